@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import quality_rules
+from .quality_rules import op3_quality_rules
 from .sharding import op8_sharding
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
     "op8_sharding": op8_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality_rules.ORACLE,
+}
