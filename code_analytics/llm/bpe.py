@@ -7,6 +7,7 @@ to the tokenizer whole.
 
 from __future__ import annotations
 
+import json
 import os
 import sys
 import unicodedata
@@ -25,8 +26,11 @@ _classes: list[np.ndarray] = []
 def classes() -> np.ndarray:
     if not _classes:
         by = {"L": LETTER, "N": NUMBER}
-        table = np.array([by.get(k[0], UNKNOWN if k == "Cn" else OTHER) for k in map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))], np.uint8)
+        table = np.full(sys.maxunicode + 1, UNKNOWN, np.uint8)
+        named = range(0x33500)  # planes 0 to 3; later ones hold next to nothing
+        table[: len(named)] = [by.get(k[0], UNKNOWN if k == "Cn" else OTHER) for k in map(unicodedata.category, map(chr, named))]
         table[[*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = BLANK
+        table[0] = UNKNOWN
         _classes.append(table)
     return _classes[0]
 
@@ -63,12 +67,32 @@ def word_starts(points: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def byte_ranks(path: str) -> dict[bytes, int]:
+    """The vocabulary of a byte-level BPE file: the bytes of each token and its id, which is also its merge rank."""
+    with open(path, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    # bytes without a visible sign of their own are written as the code points from 256 on
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    sign = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    return {bytes(map(sign.__getitem__, token)): k for token, k in vocab.items() if all(c in sign for c in token)}
+
+
 class Encoder:
-    """Ids of many texts at once; keeps the ids of the words it has met, up to CACHED_WORDS."""
+    """Ids of many texts at once; keeps the ids of the words it has met, up to CACHED_WORDS.
+
+    Words are merged by tiktoken from the vocabulary of the tokenizer file, one NUL between them; whole odd texts
+    go to the tokenizers library. Both give the ids of the file.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
+        ranks = byte_ranks(path)
+        ranks = {k: v for k, v in ranks.items() if not (k.startswith(b"<|") and k.endswith(b"|>"))}
+        self.bpe = tiktoken.Encoding("words", pat_str=r"[^\x00]+", mergeable_ranks=ranks, special_tokens={})
+        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.size[list(ranks.values())] = list(map(len, ranks))
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self._clear()
@@ -78,17 +102,29 @@ class Encoder:
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
         self.place, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, codes: list[int], texts: list[str]) -> None:
-        for code, found in zip(codes, self.tok.encode_batch(texts, add_special_tokens=False), strict=True):
-            ids, k = found.ids, len(self.index)
-            if self.used + len(ids) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
-            if k >= len(self.place):
-                self.place, self.count = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.place, self.count))
-            self.pool[self.used : self.used + len(ids)] = ids
-            self.place[k], self.count[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.index[code] = k
+    def _learn(self, codes: list[int], points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        n = ends - starts
+        to = np.cumsum(n + 1)
+        joined = np.zeros(int(to[-1]), np.uint32)
+        offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        # a NUL in a word would end it; its text goes to the tokenizer whole
+        joined[np.repeat(to - n - 1, n) + offset] = np.maximum(points[np.repeat(starts, n) + offset], 1)
+        width = 1 + (joined > 0x7F) + (joined > 0x7FF).astype(np.int64) + (joined > 0xFFFF)
+        width[joined == 0] = 0
+        ids = np.array(self.bpe.encode_ordinary(joined.tobytes().decode("utf-32-le")), np.uint32)
+        word_end = np.cumsum(width)[to - 1]
+        last = np.searchsorted(np.cumsum(self.size[ids]), word_end) + 1
+        counts = np.diff(last, prepend=0)
+        k = len(self.index)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while k + len(codes) > len(self.place):
+            self.place, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.place, self.count))
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.place[k : k + len(codes)] = self.used + last - counts
+        self.count[k : k + len(codes)] = counts
+        self.used += len(ids)
+        self.index.update(zip(codes, range(k, k + len(codes)), strict=True))
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in one array, and the offsets of the rows in it."""
@@ -103,9 +139,12 @@ class Encoder:
         if len(self.index) > CACHED_WORDS:
             self._clear()
         keys = distinct.tolist()
-        new = [k for k, c in enumerate(keys) if c not in self.index]
-        self._learn([keys[k] for k in new], [points[starts[where[k]] : ends[where[k]]].tobytes().decode("utf-32-le") for k in new])
-        k = np.array([self.index[c] for c in keys], np.int64)[inverse] if keys else np.zeros(0, np.int64)
+        known = self.index
+        new = [k for k, c in enumerate(keys) if c not in known]
+        if new:
+            at_new = where[new]
+            self._learn([keys[k] for k in new], points, starts[at_new], ends[at_new])
+        k = np.array(list(map(self.index.__getitem__, keys)), np.int64)[inverse] if keys else np.zeros(0, np.int64)
         counts = self.count[k]
         total = np.zeros(len(k) + 1, np.int64)
         np.cumsum(counts, out=total[1:])

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from . import quality_rules
+from .packing import op1_packing
 from .quality_rules import op3_quality_rules
 from .sharding import op8_sharding
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
     "op8_sharding": op8_sharding,
 }
