@@ -6,11 +6,13 @@ from . import quality_rules
 from .packing import op1_packing
 from .quality_rules import op3_quality_rules
 from .sharding import op8_sharding
+from .suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
     "op8_sharding": op8_sharding,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
