@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules
+from .near_dups import op4_near_dups
 from .packing import op1_packing
 from .quality_rules import op3_quality_rules
 from .sharding import op8_sharding
@@ -11,6 +12,7 @@ from .suffix_dedup import op10_suffix_dedup
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_near_dups": op4_near_dups,
     "op8_sharding": op8_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
