@@ -37,6 +37,7 @@ T = 96
 R = 4
 BLOCK = 512
 PERCENT = 85
+BROADCAST_ROWS = 2_000_000
 
 
 def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
@@ -195,8 +196,9 @@ def links(docs: DataFrame, drawn: DataFrame) -> DataFrame:
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("nb = 1 or own <> other")
     members = members.select("bkey", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
     members = stored(members)
-    wanted = members.select("node").distinct()
-    texts = class_texts(docs).join(wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
+    wanted = stored(members.select("node").distinct())
+    # while the wanted classes are few, only their texts are moved
+    texts = class_texts(docs).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
     grouped = members.join(texts, "node").select("bkey", "i", "j", "node", "text").repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
     return grouped.mapInArrow(group_links, "a long, b long").distinct()
 
