@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import passage_dedup, quality_rules
+from .line_dedup import op2_line_dedup
 from .near_dups import op4_near_dups
 from .packing import op1_packing
+from .passage_dedup import op6_passage_dedup
 from .quality_rules import op3_quality_rules
 from .sharding import op8_sharding
 from .suffix_dedup import op10_suffix_dedup
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_near_dups": op4_near_dups,
+    "op6_passage_dedup": op6_passage_dedup,
     "op8_sharding": op8_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
+    "op6_passage_dedup": passage_dedup.ORACLE,
 }
