@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import U, grams, mix, shingle_sets, signed, sliced, stored, table, words
+from .line_dedup import few
+from .units import column, ord_of
 
 K = 5
 T = 96
@@ -76,11 +78,11 @@ def bands(sketch: np.ndarray, r: int = R) -> np.ndarray:
     return h
 
 
-SKETCH = "doc_id long, node long, n_shingles long, bands array<long>"
+SKETCH = "doc_id long, k int, node long, n_shingles long, bands array<long>"
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, node (the class of the word sequence; null without words), n_shingles and the band keys of each text."""
+    """doc_id, k (a hash of the text), node (the class of the word sequence; null without words), n_shingles and band keys of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in sliced(batches):
@@ -89,9 +91,10 @@ def sketched(docs: DataFrame) -> DataFrame:
             keys = bands(sketches(sets))
             size = np.array([len(s) for s in sets], np.int64)
             lists = pa.ListArray.from_arrays(pa.array((np.arange(len(sets) + 1) * keys.shape[1]).astype(np.int32)), pa.array(signed(keys).reshape(-1)))
-            yield pa.record_batch([rows.column(0), pa.array(classes(codes, upto), mask=size == 0), pa.array(size), lists], ["doc_id", "node", "n_shingles", "bands"])
+            node = pa.array(classes(codes, upto), mask=size == 0)
+            yield pa.record_batch([column(rows, "doc_id"), column(rows, "k"), node, pa.array(size), lists], ["doc_id", "k", "node", "n_shingles", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.hash(F.lit(1), F.coalesce("text", F.lit(""))).alias("k"), "text").mapInArrow(run, SKETCH)
 
 
 def classes(codes: np.ndarray, upto: np.ndarray) -> np.ndarray:
@@ -235,15 +238,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and node (the class) of each row."""
+    """doc_id, k, n_shingles, component_id, kept, root (the component) and one (whether the row stands for it) of each row."""
     drawn = stored(sketched(docs))
     roots = components(links(docs, drawn))
-    rows = drawn.select("doc_id", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    rows = drawn.select("doc_id", "k", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    place = F.struct(ord_of().alias("ord"), "k")
+    # a table of its own, so that Spark may split a large component in the join
+    smallest = stored(rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.min(place).alias("first")))
     out = rows.join(smallest, "root", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "node")
+    return out.select("doc_id", "k", "n_shingles", "component_id", kept.alias("kept"), "root", F.coalesce(place == F.col("first"), F.lit(True)).alias("one"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, less those for which another document of their component stays.
+
+    Rows without words all stay. Rows with the same id and text are one document and stay together.
+    """
+    gone = near_duplicates(docs).where(~F.col("one")).select(ord_of().alias("ord"), "k").distinct()
+    whole = docs.select(ord_of().alias("_ord"), F.hash(F.lit(1), F.coalesce("text", F.lit(""))).alias("_k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return whole.join(few(gone), (F.col("_ord") == F.col("ord")) & (F.col("_k") == F.col("k")), "left_anti").select("_row.*")
 
 
 def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("node")
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

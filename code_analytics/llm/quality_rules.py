@@ -145,7 +145,10 @@ def filtered(docs: DataFrame) -> DataFrame:
     """
     f = stored(fences(sketches(measured(docs, "lang", "source"))))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "lang", "source", "text")
-    return judged(measured(whole, "_row", "lang", "source"), f, f.count() <= BROADCAST_ROWS).where("kept").select("_row.*")
+    counts = measured(whole, "_row", "lang", "source")
+    # a generator keeps the filter from being pushed into the counts, each of which it would compute several times
+    counts = counts.select("_row", F.explode(F.array(F.struct(*[c for c in counts.columns if c != "_row"]))).alias("_c")).select("_row", "_c.*")
+    return judged(counts, f, f.count() <= BROADCAST_ROWS).where("kept").select("_row.*")
 
 
 ORACLE = r"""
