@@ -26,11 +26,11 @@ def d1_parse_pr_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def d2_changed_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return _hunks(spark, d).select("repo", "pr_number", "seq", F.posexplode(D.changed_ranges(F.col("patch"))).alias("k", "r")).select("repo", "pr_number", "seq", "k", F.col("r.start").alias("start"), F.col("r.stop").alias("stop"))
+    return _hunks(spark, d).select("repo", "pr_number", F.col("seq").cast("long").alias("seq"), F.posexplode(D.changed_ranges(F.col("patch"))).alias("k", "r")).select("repo", "pr_number", "seq", "k", F.col("r.start").alias("start"), F.col("r.stop").alias("stop"))
 
 
 def d3_cap_pr_files(spark: SparkSession, d: str) -> DataFrame:
-    return D.cap_pr_files(_hunks(spark, d), 2).select("repo", "pr_number", "seq", "additions", "position")
+    return D.cap_pr_files(_hunks(spark, d), 2).select("repo", "pr_number", F.col("seq").cast("long").alias("seq"), "additions", "position")
 
 
 def d4_diff_context(spark: SparkSession, d: str) -> DataFrame:
@@ -248,7 +248,7 @@ _CONV = "conv as (select run_id, seq, repo, file, line, case when severity='' th
 _HB = _H.replace("with ", "", 1)
 _FB = _F.replace("with ", "", 1)
 _VERDICT = """case when i.file_path is null then 'file not in index' when line>line_count and not {hit} then 'line beyond end of file'
-  when regexp_matches(description,'(?i)syntax\\s*error|unclosed\\s*paren') then 'claims a syntax error but parses'
+  when regexp_matches(description,'(?i)syntax\\s*error|unclosed\\s*paren') and not (language='python' and contains(content,'from .m-')) then 'claims a syntax error but parses'
   when regexp_matches(description,'(?i)add unit tests') then 'banned phrase: add unit tests' when regexp_matches(description||' '||fix_sketch,'(?i)improve docs') then 'banned phrase: improve docs' end"""
 _DB = cte("decisions").replace("with ", "", 1)
 _SIG = r"""sg as (select *, lower(trim(repo)) as repo_key, sha256(lower(trim(repo))||chr(10)||action||chr(10)||case action when 'comment' then cast(issue as varchar)||chr(10)||left(trim(body),200) when 'create_issue' then lower(trim(title)) when 'close_issue' then cast(issue as varchar) else cast(issue as varchar)||chr(10)||trim(title)||chr(10)||left(trim(body),200) end) as signature,
