@@ -3,15 +3,15 @@
 A byte of a text goes if a string of LENGTH bytes that covers it also starts in a document with a smaller id. Suffixes
 are not sorted as a whole; they sit in buckets that are refined only while that can change the answer.
 
-1. Every q-gram (q = 16) has a bucket identifier, built by doubling from the identifiers of single bytes:
-   id(2m, p) = f(id(m, p), id(m, p + m)). Each string of LENGTH bytes is owned by the q-gram with the smallest
+1. Every q-gram (q = 24) has a bucket identifier, built by doubling from the identifiers of single bytes:
+   id(2m, p) = f(id(m, p), id(m, p + m)), and id(24, p) = f(id(16, p), id(16, p + 8)). Each string of LENGTH bytes is owned by the q-gram with the smallest
    identifier among the LENGTH - q + 1 inside it, the leftmost of equals; equal strings have equal owners at equal offsets.
-   So the initial buckets hold about one position in eighteen, with the run of string starts that it owns.
+   So the initial buckets hold about one position in fourteen, with the run of string starts that it owns.
 2. A bucket is refined by the identifier of all the bytes its members' runs cover. Members of a refined bucket are
    equal throughout: all but those of the smallest document are removed at once.
 3. Where a bucket has several refined buckets, what they share is still open. Their strings are
-   refined on, one by one, by the bucket identifiers of later offsets: id(32) = f(id(16, p), id(16, p + 16)) and
-   id(50) = f(id(32, p), id(32, p + 18)), with a second independent identifier beside it; again the smallest document stays.
+   refined on, one by one, by the bucket identifiers of later offsets: id(48, p) = f(id(24, p), id(24, p + 24)) and
+   id(50, p) = f(id(48, p), id(48, p + 2)), with a second independent identifier beside it; again the smallest document stays.
 
 Each step decides inside a chunk of texts first. Only the smallest member of a refined bucket leaves a
 chunk, and of a bucket with several refined buckets only a note that it has them, so a string that stands in a third of
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .kernels import _STEP, BYTE_CODE, U, mix, powers, signed, sliced, table
 
 LENGTH = 50
-Q = 16
+Q = 24
 REACH = LENGTH - Q + 1
 CHUNK_BYTES = 8 << 20
 MEMBER, GONE, OPEN = 0, 1, 2
@@ -52,14 +52,14 @@ def _joined(ids: np.ndarray, step: int) -> np.ndarray:
 
 def q_ids(data: np.ndarray) -> np.ndarray:
     ids = BYTE_CODE[data]
-    for step in (1, 2, 4, 8):
+    for step in (1, 2, 4):
         ids = _joined(ids, step)
-    return ids
+    return _joined(_joined(ids, 8), 8)  # 8, 16, and 16 with the 16 that begin 8 later: 24
 
 
 def string_ids(data: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two identifiers of the LENGTH bytes from each start."""
-    deep = _joined(_joined(ids, Q), LENGTH - 2 * Q)[starts]
+    deep = _joined(_joined(ids, Q), LENGTH - 2 * Q)[starts]  # 24, 48, and 48 with the 48 that begin 2 later: 50
     up, down = powers(len(data))
     total = np.zeros(len(data) + 1, U)
     np.cumsum(BYTE_CODE[data] * up[: len(data)], out=total[1:])
