@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions.text import clamp, first_reason
 from .diffs import changed_ranges
@@ -50,7 +51,7 @@ def convert_findings(rows: DataFrame) -> DataFrame:
     return out.withColumn("severity", F.when(F.coalesce("severity", F.lit("")) == "", "medium").otherwise(F.col("severity"))).withColumn("kind", F.when(F.coalesce("kind", F.lit("")) == "", "quality").otherwise(F.col("kind")))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def parses(content: pd.Series) -> pd.Series:
     """Whether a Python text parses."""
 
