@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,8 @@ def first_reason(*pairs: tuple[Column, Column | str]) -> Column:
         value = reason if isinstance(reason, Column) else F.lit(reason)
         out = F.when(condition, value) if out is None else out.when(condition, value)
     return out
+
+
+def computed(df: DataFrame) -> DataFrame:
+    """`df` with its columns computed here: what follows uses their values, where it would else repeat their expressions."""
+    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import computed
+
 DOCSTRING_CHARS = 200
 
 
@@ -35,8 +37,8 @@ def python_symbols(files: DataFrame) -> DataFrame:
             F.regexp_extract(x, head, 3).alias("name"),
         ),
     )
-    py = py.withColumn("l", lines).withColumn("solid", F.filter("l", lambda x: ~x["blank"]))
-    py = py.withColumn("heads", F.filter("l", lambda x: x["word"] != "")).where("size(heads) > 0")
+    py = computed(computed(py).withColumn("l", lines)).withColumn("solid", F.filter("l", lambda x: ~x["blank"]))
+    py = computed(py.withColumn("heads", F.filter("l", lambda x: x["word"] != "")).drop("l")).where("size(heads) > 0")
     # a block ends before the next line that is not deeper
     next_ = lambda h: F.array_min(F.transform(F.filter("solid", lambda y: (y["line"] > h["line"]) & (y["indent"] <= h["indent"])), lambda y: y["line"]))
     py = py.withColumn("heads", F.transform("heads", lambda h: h.withField("next", F.coalesce(next_(h), F.lit(2**30)))))
@@ -80,9 +82,9 @@ def js_symbols(files: DataFrame) -> DataFrame:
     braces = lambda x: F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit(""))) - (F.length(x) - F.length(F.replace(x, F.lit("}"), F.lit(""))))
     opens = lambda x: x.contains("{")
     lines = F.transform("raw", lambda x, i: F.struct((i + 1).alias("line"), kind(x).alias("kind"), name(x).alias("name"), x.rlike(r"\basync\b").alias("is_async"), braces(x).alias("delta"), opens(x).alias("opens")))
-    js = js.withColumn("l", lines)
+    js = computed(computed(js).withColumn("l", lines))
     depth = F.aggregate("l", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["delta"])))
-    js = js.withColumn("depth", depth).withColumn("heads", F.filter("l", lambda x: x["kind"].isNotNull())).where("size(heads) > 0")
+    js = computed(js.withColumn("depth", depth).withColumn("heads", F.filter("l", lambda x: x["kind"].isNotNull()))).where("size(heads) > 0")
 
     def end(h: Column) -> Column:
         start = F.get("depth", h["line"] - 1)

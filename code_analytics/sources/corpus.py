@@ -90,7 +90,11 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             table(spark, sf_dir, t).createOrReplaceTempView(t)
     if name == "code_files_v2":
         spark.sql(DERIVED["code_files"]).createOrReplaceTempView("code_files")
-    return spark.sql(DERIVED[name])
+    out = spark.sql(DERIVED[name])
+    if name.startswith("code_files"):
+        # the view comes from one small file; dealt out once, its rows are made once and read in parallel
+        out = out.repartition(spark.sparkContext.defaultParallelism, "repo", "file_path")
+    return out
 
 
 def cte(*names: str) -> str:
