@@ -116,3 +116,29 @@ def summarise_outcomes(rows: DataFrame, *keys: str) -> DataFrame:
 def append_actions(spark: SparkSession, path: str, gated: DataFrame) -> None:
     """Adds the recorded rows to the log at `path`; one writer at a time."""
     gated.where("recorded").select(*KEY, "seq", "outcome", "confidence").write.mode("append").parquet(path)
+
+
+def build_review_decisions(runs: DataFrame, findings: DataFrame) -> DataFrame:
+    """One comment a review (run_id, repo, issue, verdict, confidence): its body and evidence name the verdict, the count and the first three findings."""
+    items = findings.groupBy("run_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("seq", "file", "line"))).alias("f"))
+    cited = F.transform(F.slice("f", 1, 3), lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string")))
+    out = runs.join(items, "run_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    evidence = F.concat(F.array(F.concat(F.lit("verdict:"), "verdict"), F.concat(F.lit("findings:"), F.col("n").cast("string"))), F.coalesce(cited, F.array().cast("array<string>")))
+    return out.select("run_id", "repo", "issue", F.lit("comment").alias("action"), F.array_join(evidence, "\n").alias("body"), evidence.alias("evidence"), "confidence")
+
+
+def build_issue_decisions(milestones: DataFrame, findings: DataFrame) -> DataFrame:
+    """One create_issue a milestone (run_id, milestone, repo, title, finding_indices, confidence), with its sorted file:line keys."""
+    picked = milestones.select("run_id", "milestone", F.explode("finding_indices").alias("idx")).distinct()
+    keys = picked.join(findings.select("run_id", "idx", F.concat("file", F.lit(":"), F.col("line").cast("string")).alias("key")), ["run_id", "idx"])
+    keys = keys.groupBy("run_id", "milestone").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    return milestones.join(keys, ["run_id", "milestone"], "left").select("run_id", "milestone", "repo", F.lit("create_issue").alias("action"), "title", "keys", "confidence")
+
+
+def build_test_decisions(tests: DataFrame) -> DataFrame:
+    """Three chained actions for each generated test (repo, target, base_sha, content, confidence): branch, file, pull request."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower("target"), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
+    branch = F.concat(F.lit("tests/"), slug)
+    path = F.concat(F.lit("tests/test_"), F.regexp_extract("target", r"([^/]+?)(?:\.[^./]+)?$", 1), F.lit(".py"))
+    steps = F.explode(F.array(F.struct(F.lit(1).alias("step"), F.lit("create_branch").alias("action")), F.struct(F.lit(2).alias("step"), F.lit("update_file").alias("action")), F.struct(F.lit(3).alias("step"), F.lit("open_pr").alias("action"))))
+    return tests.select("repo", "target", branch.alias("branch"), path.alias("path"), "base_sha", "content", "confidence", steps.alias("s")).select("*", "s.step", "s.action", F.col("branch").alias("ref"), F.col("branch").alias("head"), F.lit("main").alias("base")).drop("s")

@@ -135,3 +135,14 @@ def hybrid_search(fts: DataFrame, vectors: DataFrame, boosts: DataFrame, limit:
     m = m.withColumn("score", F.round(base + F.least(0.3 * F.coalesce("n", F.lit(0)), F.lit(1.0)), 4)).withColumn("total", F.count("*").over(q))
     m = m.withColumn("position", F.row_number().over(q.orderBy(F.desc("score"), "key"))).where(F.col("position") <= limit)
     return m.select("query", "key", F.col("score").alias("rank"), "position", "total")
+
+
+def has_embeddings(index: DataFrame) -> DataFrame:
+    """(repo, mode): hybrid where a repository has a vector, else fts."""
+    return index.groupBy("repo").agg(F.when(F.bool_or(F.col("embedding").isNotNull()), "hybrid").otherwise("fts").alias("mode"))
+
+
+def normalise_ranks(ranked: DataFrame) -> DataFrame:
+    """`ranked` (query, .., rank) with norm: the rank over the query's largest, 0 where that isn't positive."""
+    top = F.max("rank").over(Window.partitionBy("query"))
+    return ranked.withColumn("norm", F.when(top > 0, F.col("rank") / top).otherwise(0.0))

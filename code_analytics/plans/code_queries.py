@@ -219,6 +219,16 @@ def q8_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return Q.vector_topk(e, e.where("vec_id < 20"), 10, 1.0).select("query", "vec_id", "distance", "rank")
 
 
+def q9_has_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    k = F.col("vec_id") % 7
+    return Q.has_embeddings(e.select(F.concat(F.lit("r"), k.cast("string")).alias("repo"), F.when(k > 2, F.col("embedding")).alias("embedding")))
+
+
+def q10_normalise_ranks(spark: SparkSession, d: str) -> DataFrame:
+    return Q.normalise_ranks(q5_cover_density(spark, d)).select("query", "doc_id", F.round("norm", 6).alias("norm"))
+
+
 def q12_matching_symbols(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "nation").select(F.concat(F.lit("a c"), F.col("n_nationkey").cast("string"), F.lit(" method")).alias("query"))
     return Q.matching_symbols(_symbols(spark, d), q)
@@ -385,6 +395,8 @@ ORACLE_SQL = {
       select documents.doc_id, round(v[1]/s,6) as e0, round(v[8]/s,6) as e7, round(list_sum(list_transform(v, lambda x: (x/s)*(x/s))),6) as norm from documents left join n using (doc_id)""",
     "q8_vector_topk": """with d as (select vec_id, embedding::double[] as e from embeddings), p as (select q.vec_id as query, d.vec_id, round(1-list_dot_product(d.e,q.e)/(sqrt(list_dot_product(d.e,d.e))*sqrt(list_dot_product(q.e,q.e))),6)+0.0 as distance from d, (select * from d where vec_id<20) q)
       select * from (select query, vec_id, distance, cast(row_number() over (partition by query order by distance, vec_id) as int) as rank from p) where rank<=10 and distance<=1.0""",
+    "q9_has_embeddings": "select distinct 'r'||cast(vec_id%7 as varchar) as repo, case when vec_id%7>2 then 'hybrid' else 'fts' end as mode from embeddings",
+    "q10_normalise_ranks": "with " + _TOK + ", " + _COVER + " select query, doc_id, round(rank/max(rank) over (partition by query),6) as norm from fts",
     "q12_matching_symbols": _with(*_SYM) + ", q as (select 'a c'||cast(n_nationkey as varchar)||' method' as query, 'c'||cast(n_nationkey as varchar) as t from nation) select query, repo, file_path, count(*) as n from sym join q on contains(lower(name), t) or contains(lower(name),'method') group by all",
     "q11_hybrid_search": "with " + _TOK + ", " + _COVER + """, e as (select vec_id, embedding::double[] as e from embeddings), z as (select e from e where vec_id=0),
       v as (select vec_id as key, round(1-list_dot_product(e.e,z.e)/(sqrt(list_dot_product(e.e,e.e))*sqrt(list_dot_product(z.e,z.e))),6)+0.0 as distance from e, z order by distance, key limit 30),
