@@ -86,7 +86,7 @@ def f1_parse_responses(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.concat(F.lit('{"verdict":"ok","score":'), (k % 100).cast("string"), F.lit("}")))
     )
     ok, bad = R.parse_responses(table(spark, d, "orders").select(k.alias("id"), text.alias("raw")), "verdict string, score int", ("verdict", "score"))
-    return ok.select("id", F.col("r.score").alias("score"), F.lit(None).cast("string").alias("rejected")).unionByName(bad.select("id", F.lit(None).cast("int").alias("score"), F.col("raw").alias("rejected")))
+    return ok.select("id", F.col("r.score").cast("double").alias("score"), F.lit(None).cast("string").alias("rejected")).unionByName(bad.select("id", F.lit(None).cast("double").alias("score"), F.col("raw").alias("rejected")))
 
 
 def f2_convert_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -305,7 +305,7 @@ ORACLE_SQL = {
     "h1_parse_commit_log": "select 'f'||cast(o_custkey%50 as varchar) as file_path, 'sha'||cast(o_orderkey as varchar) as sha, 'a'||cast(o_custkey%7 as varchar) as author, strftime(o_orderdate,'%Y-%m-%d') as date, o_orderpriority as message from orders where o_orderkey%10>0",
     "h2_recent_commits": "select * from (select 'f'||cast(o_custkey%50 as varchar) as file_path, 'sha'||cast(o_orderkey as varchar) as sha, cast(row_number() over (partition by o_custkey%50 order by o_orderdate desc, 'sha'||cast(o_orderkey as varchar)) as int) as position from orders where o_orderkey%10>0) where position<=10",
     "h3_blame_summary": "select 'r' as repo, 'f'||cast(l_partkey%100 as varchar) as file_path, 'a'||cast(l_suppkey%9 as varchar) as author, count(*) as lines from lineitem where l_orderkey%3=0 group by all",
-    "f1_parse_responses": """select o_orderkey as id, case when o_orderkey%7<>0 and o_orderkey%5<>0 and o_orderkey%11<>0 then cast(o_orderkey%100 as int) end as score, case when o_orderkey%7=0 then 'no json' when o_orderkey%5=0 then '{"verdict":"ok"}' when o_orderkey%11=0 then '{"verdict":"ok","score":"x'||cast(o_orderkey as varchar)||'"}' end as rejected from orders""",
+    "f1_parse_responses": """select o_orderkey as id, case when o_orderkey%7<>0 and o_orderkey%5<>0 and o_orderkey%11<>0 then cast(o_orderkey%100 as double) end as score, case when o_orderkey%7=0 then 'no json' when o_orderkey%5=0 then '{"verdict":"ok"}' when o_orderkey%11=0 then '{"verdict":"ok","score":"x'||cast(o_orderkey as varchar)||'"}' end as rejected from orders""",
     "f2_convert_findings": _F + ", " + _CONV + " select run_id, seq, file, line, severity, kind from conv",
     "f3_verify_findings": _with(_SEL, _HB, _RANGES, _FB, _CONV) + f", hit as (select distinct c.run_id, c.seq from conv c join rr on rr.repo=c.repo and rr.file_path=c.file where c.line between start and stop) select c.run_id, c.seq, {_VERDICT.format(hit='(h.seq is not null)')} as reason from conv c left join idx i on i.repo=c.repo and i.file_path=c.file left join hit h on h.run_id=c.run_id and h.seq=c.seq",
     "f4_structural_confidence": _with(_SEL, _FB, _CONV) + f", v as (select run_id, {_VERDICT.format(hit='false')} as reason from conv c left join idx i on i.repo=c.repo and i.file_path=c.file), g as (select run_id, count(*) as original, count(*) filter (reason is null) as verified from v group by run_id) select *, round(greatest(0.1, least(1.0, (run_id%10)/10.0::double*verified/original)),6) as confidence from g",
