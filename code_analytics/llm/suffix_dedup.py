@@ -4,43 +4,53 @@ A byte of a text goes if a string of LENGTH bytes that covers it also starts in
 are not sorted as a whole; they sit in buckets that are refined only while that can change the answer.
 
 1. Every q-gram (q = 24) has a bucket identifier, built by doubling from the identifiers of single bytes:
-   id(2m, p) = f(id(m, p), id(m, p + m)), and id(24, p) = f(id(16, p), id(16, p + 8)). Each string of LENGTH bytes is owned by the q-gram with the smallest
-   identifier among the LENGTH - q + 1 inside it, the leftmost of equals; equal strings have equal owners at equal offsets.
-   So the initial buckets hold about one position in fourteen, with the run of string starts that it owns.
+   id(2m, p) = f(id(m, p), id(m, p + m)), and id(24, p) = f(id(16, p), id(16, p + 8)). Each string of LENGTH bytes is
+   owned by the q-gram with the smallest identifier among the LENGTH - q + 1 inside it, the leftmost of equals; equal
+   strings have equal owners at equal offsets. So the initial buckets hold about one position in fourteen, with the run
+   of string starts that it owns.
 2. A bucket is refined by the identifier of all the bytes its members' runs cover. Members of a refined bucket are
    equal throughout: all but those of the smallest document are removed at once.
 3. Where a bucket has several refined buckets, what they share is still open. Their strings are
    refined on, one by one, by the bucket identifiers of later offsets: id(48, p) = f(id(24, p), id(24, p + 24)) and
    id(50, p) = f(id(48, p), id(48, p + 2)), with a second independent identifier beside it; again the smallest document stays.
 
-Each step decides inside a chunk of texts first. Only the smallest member of a refined bucket leaves a
-chunk, and of a bucket with several refined buckets only a note that it has them, so a string that stands in a third of
-all documents puts one row for each chunk into its task, and tasks read their rows in sorted order without holding
-a bucket. Texts are shuffled once (by document; both joins use that exchange).
+Texts are dealt into groups of about GROUP_BYTES by a hash, and shuffled once; all three passes read that exchange. Each
+refinement decides inside a group first, and sends for every bucket one entry: identifiers and the smallest document.
+Of a bucket with several refined buckets in one group only a note goes out that it has them, so a string that stands
+in a third of all documents puts one entry for each group into its task. A group's entries are sorted by identifier, cut
+into slices of the identifier space, and packed as byte columns with the identifiers as differences, about 11 bytes an
+entry. Answers come back as one byte an entry in the same order, so that no position is ever sent; the group computes
+its order again. A slice has a share of the identifiers, not of the texts, and there are as many slices as
+spark.sql.shuffle.partitions, 1,024 at least: more partitions make a task's slice smaller.
 
 Nulls: a null text is empty. A document without id counts as larger than all others. Rows with the same id don't
-remove each other's bytes. Texts shorter than LENGTH stay whole. An empty table gives an empty result.
+remove each other's bytes; rows equal in id and text share a group. Texts shorter than LENGTH stay whole. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import _STEP, BYTE_CODE, U, mix, powers, signed, sliced, table
+from .kernels import _STEP, BYTE_CODE, SLICE_BYTES, U, mix, powers, runs, table, text_bytes
 
 LENGTH = 50
 Q = 24
 REACH = LENGTH - Q + 1
-CHUNK_BYTES = 8 << 20
-MEMBER, GONE, OPEN = 0, 1, 2
-#: one row of either refinement: a member of bucket (key, ctx), or a run of string starts that is settled or open
-ROWS = "kind byte, key long, ctx long, ord long, k int, x int, y int"
+GROUP_BYTES = 8 << 20
+LEAST_SLICES = 1024
+#: bits kept of the two identifiers of an entry, in the refinement of buckets and in that of strings
+BUCKET_BITS, STRING_BITS = (44, 40), (60, 24)
+NOTE = U((1 << BUCKET_BITS[1]) - 1)
+GONE, SEVERAL = 1, 2
+ENTRIES = "g long, slice long, data binary"
 
 
 def _joined(ids: np.ndarray, step: int) -> np.ndarray:
@@ -82,14 +92,14 @@ def owners(ids: np.ndarray) -> np.ndarray:
 
 
 def string_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """row, first and last start (in the row), bucket identifier and refined identifier of every owner's run."""
+    """row, first and last start, bucket identifier and refined identifier of every owner's run, and the q-gram identifiers."""
     inside = np.zeros(len(data) + 1, np.int32)
     long = at[1:] - at[:-1] >= LENGTH
     np.add.at(inside, at[:-1][long], 1)
     np.add.at(inside, at[1:][long] - LENGTH + 1, -1)
     starts = np.flatnonzero(np.cumsum(inside[:-1]))
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 2
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U),) * 3
     ids = q_ids(data)
     own = owners(ids)[starts]
     cut = np.flatnonzero(np.diff(own, prepend=-1))
@@ -100,225 +110,190 @@ def string_runs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     np.cumsum(BYTE_CODE[data] * up[: len(data)], out=total[1:])
     shape = ((own - lo) * 64 + (hi - own)).astype(U)
     refined = mix((total[hi + LENGTH] - total[lo]) * down[lo] + mix(shape + U(1)))
-    row = np.searchsorted(at, lo, "right") - 1
-    return row, lo - at[row], hi - at[row], ids[own], refined
-
-
-def merged(owner: np.ndarray, x: np.ndarray, y: np.ndarray, touch: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs [x, y] of each owner, sorted, with those that overlap or lie within `touch` made one."""
-    if not len(x):
-        return owner, x, y
-    order = np.lexsort((x, owner))
-    owner, x, y = owner[order], x[order], y[order]
-    base = owner.astype(np.int64) << 32
-    far = np.maximum.accumulate(base + y)
-    new = np.ones(len(x), bool)
-    new[1:] = base[1:] + x[1:] > far[:-1] + touch
-    first = np.flatnonzero(new)
-    return owner[first], x[first], far[np.append(first[1:], len(x)) - 1] - base[first]
-
-
-class Chunk:
-    """Members of many texts, decided as far as this chunk alone allows."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.docs: list[tuple[np.ndarray, np.ndarray]] = []
-        self.n, self.size, self.seen = 0, 0, set()
-
-    def add(self, ords: np.ndarray, ks: np.ndarray, size: int, row: np.ndarray, x: np.ndarray, y: np.ndarray, key: np.ndarray, ctx: np.ndarray, extra: tuple[np.ndarray, ...] = ()) -> None:
-        self.parts.append((row + self.n, x, y, key, ctx, *extra))
-        self.docs.append((ords, ks))
-        self.n += len(ords)
-        self.size += size
-
-    def rows(self, buckets: bool, gone_length: int) -> Iterator[pa.RecordBatch]:
-        """buckets: several refined buckets of one bucket stay open; else a member stands for itself."""
-        if not self.parts:
-            return
-        row, x, y, key, ctx = (np.concatenate([p[i] for p in self.parts]) for i in range(5))
-        ords, ks = (np.concatenate([d[i] for d in self.docs]) for i in range(2))
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        again = np.zeros(len(key), bool)
-        again[1:] |= same
-        again[:-1] |= same
-        alone, shared = order[~again], order[again]
-        ord_of = ords[row]
-        shared = shared[np.lexsort((ord_of[shared], ctx[shared], key[shared]))]
-        k, c, o = key[shared], ctx[shared], ord_of[shared]
-        new_key = np.ones(len(k), bool)
-        new_key[1:] = k[1:] != k[:-1]
-        new_class = new_key.copy()
-        new_class[1:] |= c[1:] != c[:-1]
-        least = o[np.maximum.accumulate(np.where(new_class, np.arange(len(k)), 0))]
-        gone = o > least
-        several = np.zeros(len(k), bool)
-        notes = np.zeros(0, np.int64)
-        if buckets and len(k):
-            first = np.flatnonzero(new_key)
-            many = np.add.reduceat(new_class.astype(np.int64), first) > 1
-            several = np.repeat(many, np.diff(np.append(first, len(k))))
-            notes = signed(k[first[many]])
-        stay = np.concatenate([alone, shared[~gone & ~several]])
-        yield _batch(MEMBER, signed(key[stay]), signed(ctx[stay]), ords[row[stay]], ks[row[stay]], x[stay], y[stay])
-        if len(notes):
-            big = np.full(len(notes), np.iinfo(np.int64).max)
-            yield _batch(MEMBER, notes, np.zeros(len(notes), np.int64), big, np.zeros(len(notes), np.int32), np.zeros(len(notes)), np.full(len(notes), -1))
-        for kind, pick, more, touch in ((GONE, shared[gone], gone_length, 0), (OPEN, shared[~gone & several], 0, 1)):
-            if len(pick):
-                yield settled(kind, row[pick], x[pick], y[pick] + more, touch, ords, ks)
-
-
-def settled(kind: int, row: np.ndarray, x: np.ndarray, y: np.ndarray, touch: int, ords: np.ndarray, ks: np.ndarray) -> pa.RecordBatch:
-    row, x, y = merged(row, x, y, touch)
-    key = signed(mix(ords[row].astype(U) + ks[row].astype(U)))
-    return _batch(kind, key, np.zeros(len(row), np.int64), ords[row], ks[row], x, y)
-
-
-def _batch(kind: int, key: np.ndarray, ctx: np.ndarray, ords: np.ndarray, ks: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    ints = [pa.array(v.astype(np.int32, copy=False)) for v in (ks, x, y)]
-    return pa.record_batch([pa.array(np.full(len(key), kind, np.int8)), pa.array(key), pa.array(ctx), pa.array(ords), *ints], ["kind", "key", "ctx", "ord", "k", "x", "y"])
-
-
-def _doc_keys(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("ord", "k"))
-
-
-def _new_rows(chunk: Chunk, ords: np.ndarray, ks: np.ndarray) -> np.ndarray:
-    """False where the same row was in the chunk before."""
-    pairs = list(zip(ords.tolist(), ks.tolist(), strict=True))
-    new = np.ones(len(pairs), bool)
-    for i, p in enumerate(pairs):
-        if p in chunk.seen:
-            new[i] = False
-        chunk.seen.add(p)
-    return new
-
-
-def bucket_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    chunk = Chunk()
-    for rows, data, at in sliced(batches):
-        ords, ks = _doc_keys(rows)
-        new = _new_rows(chunk, ords, ks)
-        row, lo, hi, key, ctx = string_runs(data, at)
-        keep = new[row]
-        chunk.add(ords, ks, len(data), *(v[keep] for v in (row, lo, hi, key, ctx)))
-        if chunk.size >= CHUNK_BYTES:
-            yield from chunk.rows(True, LENGTH - 1)
-            chunk = Chunk()
-    yield from chunk.rows(True, LENGTH - 1)
-
-
-def refined(buckets: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Reads members sorted by (kind, key, ctx, ord). Of a bucket it holds the members of one document at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "ctx", "ord", "k", "x", "y")
-        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)] * 3
-        told = False  # the held rows have been given out
-        for batch in batches:
-            kind = batch.column(0).to_numpy(zero_copy_only=False)
-            cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in names]
-            past = kind != MEMBER
-            if past.any():
-                yield _out(kind[past], *(c[past] for c in cols[2:]))
-                if past.all():
-                    continue
-                cols = [c[~past] for c in cols]
-            n_held = len(held[0])
-            key, ctx, ords, k, x, y = (np.concatenate([a, b]) for a, b in zip(held, cols, strict=True))
-            n = len(key)
-            new_key = np.ones(n, bool)
-            new_key[1:] = key[1:] != key[:-1]
-            new_class = new_key.copy()
-            new_class[1:] |= ctx[1:] != ctx[:-1]
-            least = ords[np.maximum.accumulate(np.where(new_class, np.arange(n), 0))]
-            note = y < 0
-            gone = (ords > least) & ~note
-            fresh = np.ones(n, bool)
-            fresh[:n_held] = False
-            pick = gone & fresh
-            if pick.any():
-                yield _out(np.full(int(pick.sum()), GONE, np.int8), ords[pick], k[pick], x[pick], y[pick] + LENGTH - 1)
-            last = key == key[-1]
-            small = ~gone & ~note
-            if buckets:
-                first = np.flatnonzero(new_key)
-                several = np.repeat(np.add.reduceat((new_class | note).astype(np.int64), first) > 1, np.diff(np.append(first, n)))
-                several |= told & (key == key[0]) & (n_held > 0)
-                give = small & several
-                if told:
-                    give &= fresh
-                if give.any():
-                    yield _out(np.full(int(give.sum()), OPEN, np.int8), ords[give], k[give], x[give], y[give])
-                told = bool(several[-1])
-            # the last class goes on into the next batch; a bucket that is known to have several needs no more than its last class
-            carry = last & (ctx == ctx[-1]) & (ords == least[-1])
-            if buckets and told:
-                carry &= np.arange(n) == np.flatnonzero(carry)[0] if carry.any() else carry
-            held = [c[carry] for c in (key, ctx, ords, k, x, y)]
+    return np.searchsorted(at, lo, "right") - 1, lo, hi, ids[own], refined, ids
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Unsigned columns as little-endian byte planes, each as wide as its largest value needs."""
+    out = []
+    for c in columns:
+        width = (int(c.max()).bit_length() + 7) // 8 if len(c) else 0
+        planes = np.ascontiguousarray(c.astype(U)).view(np.uint8).reshape(-1, 8)[:, :width]
+        out += [np.array([len(c), width], "<u4").tobytes(), np.ascontiguousarray(planes.T).tobytes()]
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n, width = np.frombuffer(data, "<u4", 2, at).tolist()
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(data, np.uint8, n * width, at + 8).reshape(width, n).T
+        out.append(wide.view(U).reshape(-1))
+        at += 8 + n * width
+    return out
+
+
+def steps(sorted_values: np.ndarray) -> np.ndarray:
+    """Differences of sorted values, the first one whole; np.cumsum undoes it."""
+    return np.diff(sorted_values, prepend=sorted_values.dtype.type(0))
+
+
+@dataclass
+class Classes:
+    """Members in the order of bucket, refined bucket and document."""
+
+    order: np.ndarray
+    new_bucket: np.ndarray
+    new_class: np.ndarray
+    least: np.ndarray  # the smallest document of the member's refined bucket
+    later: np.ndarray  # the member's own document is larger
+
+
+def classes(hi: np.ndarray, lo: np.ndarray, ords: np.ndarray) -> Classes:
+    n = len(hi)
+    order = np.argsort(hi)
+    sorted_hi = hi[order]
+    again = np.zeros(n, bool)
+    again[1:] = sorted_hi[1:] == sorted_hi[:-1]
+    new_bucket = ~again
+    again[:-1] |= again[1:]
+    some = order[again]
+    order[again] = some[np.lexsort((ords[some], lo[some], hi[some]))]
+    low, own = lo[order], ords[order]
+    new_class = new_bucket.copy()
+    new_class[1:] |= low[1:] != low[:-1]
+    least = own[np.maximum.accumulate(np.where(new_class, np.arange(n), 0))] if n else own
+    return Classes(order, new_bucket, new_class, least, own > least)
+
+
+def packed_entries(g: int, n_slices: int, bits: int, hi: np.ndarray, lo: np.ndarray, ords: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """One row for each slice of the identifier space that the sorted identifiers hi reach into."""
+    if not len(hi):
+        return []
+    part = ((hi >> U(bits - 32)) * U(n_slices)) >> U(32)
+    cut = np.flatnonzero(np.diff(part, prepend=part[0] + U(1)))
+    out = []
+    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(hi)], strict=True):
+        base = ords[a:b].min()
+        out.append((g, int(part[a]), pack(steps(hi[a:b]), lo[a:b], (ords[a:b] - base).astype(U), np.array([int(base) + 2**63], U))))
+    return out
+
+
+def _entry_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    g, part, data = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.table([pa.array(g, pa.int64()), pa.array(part, pa.int64()), pa.array(data, pa.binary())], ["g", "slice", "data"])
+
+
+def answers(buckets: bool) -> Callable[[pa.Table], pa.Table]:
+    """Decides one slice of the identifier space for all groups: a byte for each entry. Slices below 0 are letters of a group to itself."""
+
+    def run(entries: pa.Table) -> pa.Table:
+        if entries["slice"][0].as_py() < 0:
+            return entries.select(["g", "slice", "data"])
+        parts = [unpack(x) for x in entries["data"].to_pylist()]
+        hi = np.concatenate([np.cumsum(p[0]) for p in parts])
+        lo = np.concatenate([p[1] for p in parts])
+        ords = np.concatenate([(p[2] + p[3][0] - U(2**63)).view(np.int64) for p in parts])
+        note = lo == NOTE if buckets else np.zeros(len(lo), bool)
+        c = classes(hi, lo, ords)
+        flags = (c.later & ~note[c.order]).astype(np.uint8) * GONE
+        if buckets:
+            first = np.flatnonzero(c.new_bucket)
+            many = np.add.reduceat(c.new_class.astype(np.int64), first) > 1
+            flags |= np.repeat(many, np.diff(np.append(first, len(hi)))).astype(np.uint8) * SEVERAL
+        back = np.zeros(len(hi), np.uint8)
+        back[c.order] = flags
+        ends = np.cumsum([len(p[0]) for p in parts])[:-1]
+        out = [x.tobytes() for x in np.split(back, ends)]
+        return pa.table([entries["g"], entries["slice"], pa.array(out, pa.binary())], ["g", "slice", "data"])
 
     return run
 
 
-def _out(kind: np.ndarray, ords: np.ndarray, k: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(v) for v in (kind.astype(np.int8), ords, k.astype(np.int32), x.astype(np.int32), y.astype(np.int32))], ["kind", "ord", "k", "x", "y"])
-
-
-def _spans(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Row of each entry of a list column, and the fields of the entries; null lists have none."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    counts = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) if len(column) else np.zeros(0, np.int64)
-    flat = column.flatten()
-    return np.repeat(np.arange(len(counts)), counts), [f.to_numpy(zero_copy_only=False) for f in flat.flatten()]
-
-
-def open_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The strings that are still open, each a member of its own bucket; what is settled is passed on."""
-    chunk = Chunk()
-    for rows, data, at in sliced(batches):
-        ords, ks = _doc_keys(rows)
-        row, (kind, x, y) = _spans(rows.column(rows.schema.get_field_index("runs")))
-        new = _new_rows(chunk, ords, ks)
-        gone = (kind == GONE) & new[row]
-        if gone.any():
-            yield settled(GONE, row[gone], x[gone].astype(np.int64), y[gone].astype(np.int64), 0, ords, ks)
-        todo = (kind == OPEN) & new[row]
-        row, x, y = merged(row[todo], x[todo].astype(np.int64), y[todo].astype(np.int64), 1)
-        n = y - x + 1
-        row, start = np.repeat(row, n), np.repeat(x, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        if len(row):
-            key, ctx = string_ids(data, q_ids(data), at[row] + start)
-            chunk.add(ords, ks, len(data), row, start, start, key, ctx)
-        if chunk.size >= CHUNK_BYTES:
-            yield from chunk.rows(False, LENGTH - 1)
-            chunk = Chunk()
-    yield from chunk.rows(False, LENGTH - 1)
-
-
-def removed_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest rows: what each document loses."""
-    for rows, data, at in sliced(batches):
-        row, fields = _spans(rows.column(rows.schema.get_field_index("runs")))
-        x, y = (fields[0].astype(np.int64), fields[1].astype(np.int64)) if len(row) else (np.zeros(0, np.int64),) * 2
-        row, x, y = merged(row, x, y, 1)
-        n = len(at) - 1
-        spans = np.bincount(row, minlength=n)
-        lost = np.bincount(row, weights=y - x + 1, minlength=n).astype(np.int64)
-        keep = np.ones(len(data), bool)
-        for r, a, b in zip(row.tolist(), x.tolist(), y.tolist(), strict=True):
-            keep[at[r] + a : at[r] + b + 1] = False
+def told(replies: pa.Table) -> np.ndarray:
+    """The answers to a group in the order of its entries."""
+    pairs = sorted(zip(replies["slice"].to_pylist(), replies["data"].to_pylist(), strict=True))
+    return np.frombuffer(b"".join(d for s, d in pairs if s >= 0), np.uint8)
+
+
+class Group:
+    """The texts of one group in the order of documents, with the members of the initial buckets."""
+
+    def __init__(self, texts: pa.Table, members: bool = True) -> None:
+        self.rows = texts.sort_by([("ord", "ascending"), ("k", "ascending")])
+        self.data, self.at = text_bytes(self.rows["text"])
+        self.ords = self.rows["ord"].to_numpy()
+        self.g = self.rows["g"][0].as_py()
+        if not members:
+            return
+        self.cuts, self.ids, found, a = [], [], [], 0
+        while a < len(self.ords):
+            b = max(a + 1, int(np.searchsorted(self.at, self.at[a] + SLICE_BYTES, "right")) - 1)
+            x = self.at[a]
+            row, first, last, key, ctx, ids = string_runs(self.data[x : self.at[b]], self.at[a : b + 1] - x)
+            found.append((row + a, first + x, last + x, key, ctx))
+            self.cuts.append((x, self.at[b]))
+            self.ids.append(ids)
+            a = b
+        row, self.first, self.last, key, ctx = (np.concatenate(v) for v in zip(*found, strict=True))
+        self.hi, self.lo = key >> U(64 - BUCKET_BITS[0]), np.minimum(ctx >> U(64 - BUCKET_BITS[1]), NOTE - U(1))
+        self.c = c = classes(self.hi, self.lo, self.ords[row])
+        self.head = np.flatnonzero(c.new_bucket)
+        count = np.add.reduceat(c.new_class.astype(np.int64), self.head) if len(self.head) else self.head
+        self.several = count > 1
+
+    def entries(self, n_slices: int) -> list[tuple[int, int, bytes]]:
+        at = self.c.order[self.head]
+        return packed_entries(self.g, n_slices, BUCKET_BITS[0], self.hi[at], np.where(self.several, NOTE, self.lo[at]), self.c.least[self.head])
+
+    def open_strings(self, flags: np.ndarray, n_slices: int) -> list[tuple[int, int, bytes]]:
+        """Entries of the strings that are still open, and a letter: runs of bytes that go, and where the entries stand."""
+        c, size = self.c, np.diff(np.append(self.head, len(self.c.order)))
+        gone = c.later | np.repeat((flags & GONE > 0) & ~self.several, size)
+        todo = ~gone & np.repeat(self.several | (flags & SEVERAL > 0), size)
+        lost = covered(len(self.data), self.first[c.order[gone]], self.last[c.order[gone]] + LENGTH)
+        start = np.flatnonzero(covered(len(self.data), self.first[c.order[todo]], self.last[c.order[todo]] + 1))
+        found = [(np.zeros(0, U), np.zeros(0, U))]
+        for (x, y), ids in zip(self.cuts, self.ids, strict=True):
+            a, b = np.searchsorted(start, (x, y))
+            if a < b:
+                found.append(string_ids(self.data[x:y], ids, start[a:b] - x))
+        hi, lo = (np.concatenate(v) >> U(64 - n) for v, n in zip(zip(*found, strict=True), STRING_BITS, strict=True))
+        s = classes(hi, lo, self.ords[np.searchsorted(self.at, start, "right") - 1])
+        later = start[s.order[s.later]]
+        lost |= covered(len(self.data), later, later + LENGTH)
+        at = s.order[s.new_class]
+        out = packed_entries(self.g, n_slices, STRING_BITS[0], hi[at], lo[at], s.least[s.new_class])
+        a, b, _ = runs(lost, np.array([0]))
+        stay = ~s.later
+        letter = pack(steps(a), b - a, start[s.order[stay]] * 2 + s.new_class[stay])
+        return [*out, (self.g, -1 - self.g, letter)] if len(a) or len(start) else out
+
+    def result(self, replies: pa.Table) -> pa.Table:
+        data, at, n = self.data, self.at, len(self.ords)
+        lost = np.zeros(len(data), bool)
+        for letter in (d for s, d in zip(replies["slice"].to_pylist(), replies["data"].to_pylist(), strict=True) if s < 0):
+            a, size, where = (v.astype(np.int64) for v in unpack(letter))
+            a = np.cumsum(a)
+            gone = (where >> 1)[told(replies)[np.cumsum(where & 1) - 1] > 0] if len(where) else where
+            lost = covered(len(data), np.concatenate([a, gone]), np.concatenate([a + size, gone + LENGTH]))
+        start, stop, cut = runs(lost, at) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64))
+        spans = np.diff(cut)
+        row = np.repeat(np.arange(n), spans)
+        n_lost = np.bincount(row, weights=stop - start, minlength=n).astype(np.int64)
         sha = []
-        for r in range(n):
-            whole = data[at[r] : at[r + 1]]
-            sha.append(hashlib.sha256((whole[keep[at[r] : at[r + 1]]] if spans[r] else whole).tobytes()).hexdigest())
-        starts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(spans)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(x), pa.array(y + 1)], ["start", "stop"]))
-        yield pa.record_batch(
-            [rows.column(rows.schema.get_field_index("doc_id")), pa.array(np.diff(at)), pa.array(lost), pa.array(spans.astype(np.int64)), pa.array(sha), starts],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
-        )
+        for a, b, some in zip(at[:-1].tolist(), at[1:].tolist(), spans.tolist(), strict=True):
+            sha.append(hashlib.sha256((data[a:b][~lost[a:b]] if some else data[a:b]).tobytes()).hexdigest())
+        pairs = pa.StructArray.from_arrays([pa.array(start - at[row], pa.int64()), pa.array(stop - at[row], pa.int64())], ["start", "stop"])
+        lists = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pairs)
+        values = [self.rows["doc_id"].cast(pa.int64()), pa.array(np.diff(at)), pa.array(n_lost), pa.array(spans.astype(np.int64)), pa.array(sha, pa.string()), lists]
+        return pa.table(values, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+
+def covered(n: int, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """True at the places of 0 to n - 1 that lie in one of the spans [start, stop)."""
+    return np.cumsum(np.bincount(start, minlength=n + 1) - np.bincount(stop, minlength=n + 1))[:n] > 0
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
@@ -326,17 +301,25 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
     """One row a document: n_bytes, n_removed, n_spans, kept_sha256 and the removed spans as byte offsets of the text."""
+    n_slices = max(LEAST_SLICES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_groups = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // GROUP_BYTES + 1
     texts = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("ord"), F.hash(F.lit(1), F.coalesce("text", F.lit(""))).alias("k"), "doc_id", "text"
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("ord"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
-    order = ("kind", "key", "ctx", "ord")
-    first = texts.select("ord", "k", "text").mapInArrow(bucket_members, ROWS).repartition("key").sortWithinPartitions(*order)
-    runs_schema = "kind byte, ord long, k int, x int, y int"
-    runs = first.mapInArrow(refined(True), runs_schema).groupBy("ord", "k").agg(F.collect_set(F.struct("kind", "x", "y")).alias("runs"))
-    some = texts.join(runs, ["ord", "k"]).select("ord", "k", "doc_id", "text", "runs")
-    second = some.mapInArrow(open_strings, ROWS).repartition("key").sortWithinPartitions(*order)
-    gone = second.mapInArrow(refined(False), runs_schema).groupBy("ord", "k").agg(F.collect_set(F.struct("x", "y")).alias("runs"))
-    return texts.join(gone, ["ord", "k"], "left").select("ord", "k", "doc_id", "text", "runs").mapInArrow(removed_runs, RESULT)
+    groups = texts.withColumn("g", F.pmod(F.xxhash64("ord", "k"), F.lit(n_groups))).repartition("g")
+
+    def members(texts: pa.Table) -> pa.Table:
+        return _entry_table(Group(texts).entries(n_slices))
+
+    def open_strings(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        return _entry_table(Group(texts).open_strings(told(replies), n_slices))
+
+    def result(texts: pa.Table, replies: pa.Table) -> pa.Table:
+        return Group(texts, members=False).result(replies)
+
+    first = groups.groupBy("g").applyInArrow(members, ENTRIES).groupBy("slice").applyInArrow(answers(True), ENTRIES)
+    second = groups.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(open_strings, ENTRIES).groupBy("slice").applyInArrow(answers(False), ENTRIES)
+    return groups.groupBy("g").cogroup(second.groupBy("g")).applyInArrow(result, RESULT)
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

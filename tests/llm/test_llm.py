@@ -350,7 +350,8 @@ def removed_bytes(rows):
 
 @pytest.mark.parametrize("batch", [10_000, 7])
 @pytest.mark.parametrize("letters", ["abcdefgh é", "ab"])
-def test_suffix_dedup(spark, letters, batch):
+def test_suffix_dedup(spark, letters, batch, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 60 * batch)
     r = random.Random(5)
     pool = ["".join(r.choice(letters) for _ in range(r.choice([30, 49, 50, 51, 60, 90, 200]))) for _ in range(12)] + ["a" * 70, "aaaa" * 40, "ab" * 50]
     text = lambda: "".join(r.choice(pool) if r.random() < 0.5 else "".join(r.choice(letters) for _ in range(r.randrange(40))) for _ in range(r.randrange(7)))
