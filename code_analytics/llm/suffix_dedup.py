@@ -225,17 +225,17 @@ class Group:
         self.data, self.at = text_bytes(self.rows["text"])
         self.ords = self.rows["ord"].to_numpy()
         self.g = self.rows["g"][0].as_py()
-        if not members:
-            return
-        self.cuts, self.ids, found, a = [], [], [], 0
+        self.cuts, self.ids, found, a = [], {}, [], 0
         while a < len(self.ords):
             b = max(a + 1, int(np.searchsorted(self.at, self.at[a] + SLICE_BYTES, "right")) - 1)
+            self.cuts.append((a, b))
+            a = b
+        if not members:
+            return
+        for a, b in self.cuts:
             x = self.at[a]
-            row, first, last, key, ctx, ids = string_runs(self.data[x : self.at[b]], self.at[a : b + 1] - x)
+            row, first, last, key, ctx, self.ids[a] = string_runs(self.data[x : self.at[b]], self.at[a : b + 1] - x)
             found.append((row + a, first + x, last + x, key, ctx))
-            self.cuts.append((x, self.at[b]))
-            self.ids.append(ids)
-            a = b
         row, self.first, self.last, key, ctx = (np.concatenate(v) for v in zip(*found, strict=True))
         self.hi, self.lo = key >> U(64 - BUCKET_BITS[0]), np.minimum(ctx >> U(64 - BUCKET_BITS[1]), NOTE - U(1))
         self.c = c = classes(self.hi, self.lo, self.ords[row])
@@ -247,37 +247,44 @@ class Group:
         at = self.c.order[self.head]
         return packed_entries(self.g, n_slices, BUCKET_BITS[0], self.hi[at], np.where(self.several, NOTE, self.lo[at]), self.c.least[self.head])
 
+    def strings(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, Classes]:
+        """Identifiers and classes of the strings from each start."""
+        found = [(np.zeros(0, U), np.zeros(0, U))]
+        for a, b in self.cuts:
+            x, y = self.at[a], self.at[b]
+            i, j = np.searchsorted(start, (x, y))
+            if i < j:
+                ids = self.ids[a] if a in self.ids else q_ids(self.data[x:y])
+                found.append(string_ids(self.data[x:y], ids, start[i:j] - x))
+        hi, lo = (np.concatenate(v) >> U(64 - n) for v, n in zip(zip(*found, strict=True), STRING_BITS, strict=True))
+        return hi, lo, classes(hi, lo, self.ords[np.searchsorted(self.at, start, "right") - 1])
+
     def open_strings(self, flags: np.ndarray, n_slices: int) -> list[tuple[int, int, bytes]]:
-        """Entries of the strings that are still open, and a letter: runs of bytes that go, and where the entries stand."""
+        """Entries of the strings that are still open, and a letter: runs of bytes that go, and runs of open starts."""
         c, size = self.c, np.diff(np.append(self.head, len(self.c.order)))
         gone = c.later | np.repeat((flags & GONE > 0) & ~self.several, size)
         todo = ~gone & np.repeat(self.several | (flags & SEVERAL > 0), size)
         lost = covered(len(self.data), self.first[c.order[gone]], self.last[c.order[gone]] + LENGTH)
-        start = np.flatnonzero(covered(len(self.data), self.first[c.order[todo]], self.last[c.order[todo]] + 1))
-        found = [(np.zeros(0, U), np.zeros(0, U))]
-        for (x, y), ids in zip(self.cuts, self.ids, strict=True):
-            a, b = np.searchsorted(start, (x, y))
-            if a < b:
-                found.append(string_ids(self.data[x:y], ids, start[a:b] - x))
-        hi, lo = (np.concatenate(v) >> U(64 - n) for v, n in zip(zip(*found, strict=True), STRING_BITS, strict=True))
-        s = classes(hi, lo, self.ords[np.searchsorted(self.at, start, "right") - 1])
-        later = start[s.order[s.later]]
-        lost |= covered(len(self.data), later, later + LENGTH)
+        todo = covered(len(self.data), self.first[c.order[todo]], self.last[c.order[todo]] + 1)
+        hi, lo, s = self.strings(np.flatnonzero(todo))
         at = s.order[s.new_class]
         out = packed_entries(self.g, n_slices, STRING_BITS[0], hi[at], lo[at], s.least[s.new_class])
-        a, b, _ = runs(lost, np.array([0]))
-        stay = ~s.later
-        letter = pack(steps(a), b - a, start[s.order[stay]] * 2 + s.new_class[stay])
-        return [*out, (self.g, -1 - self.g, letter)] if len(a) or len(start) else out
+        spans = [runs(x, np.array([0]))[:2] for x in (lost, todo)]
+        letter = pack(*(v for a, b in spans for v in (steps(a), b - a)))
+        return [*out, (self.g, -1 - self.g, letter)] if lost.any() or todo.any() else out
 
     def result(self, replies: pa.Table) -> pa.Table:
         data, at, n = self.data, self.at, len(self.ords)
         lost = np.zeros(len(data), bool)
         for letter in (d for s, d in zip(replies["slice"].to_pylist(), replies["data"].to_pylist(), strict=True) if s < 0):
-            a, size, where = (v.astype(np.int64) for v in unpack(letter))
-            a = np.cumsum(a)
-            gone = (where >> 1)[told(replies)[np.cumsum(where & 1) - 1] > 0] if len(where) else where
-            lost = covered(len(data), np.concatenate([a, gone]), np.concatenate([a + size, gone + LENGTH]))
+            a, size, todo, n_todo = (v.astype(np.int64) for v in unpack(letter))
+            a, todo = np.cumsum(a), np.cumsum(todo)
+            start = np.flatnonzero(covered(len(data), todo, todo + n_todo))
+            if len(start):
+                s = self.strings(start)[2]
+                again = start[s.order[s.later | (told(replies)[np.cumsum(s.new_class) - 1] > 0)]]
+                a, size = np.concatenate([a, again]), np.append(size, np.full(len(again), LENGTH))
+            lost = covered(len(data), a, a + size)
         start, stop, cut = runs(lost, at) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(n + 1, np.int64))
         spans = np.diff(cut)
         row = np.repeat(np.arange(n), spans)
