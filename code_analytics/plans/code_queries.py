@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -320,6 +322,13 @@ def _with(*blocks: str) -> str:
 
 _V2 = cte("code_files", "code_files_v2").split("code_files_v2 as", 1)[1]
 _DIFF = "diff as (select coalesce(a.repo,b.repo) as repo, coalesce(a.file_path,b.file_path) as file_path, case when a.repo is null then 'added' when b.repo is null then 'deleted' else 'modified' end as status from code_files a full join v2 b on a.repo=b.repo and a.file_path=b.file_path where a.content is distinct from b.content)"
+
+
+def _of_v2(block: str) -> str:
+    """The same block over the second snapshot; its tables end in _v2."""
+    return re.sub(r"\b(sel|idx|ln|imp|ini|climb|rt|roots|cand|hit|edges)\b(?!\.)", r"\1_v2", re.sub(r"\bcode_files\b", "v2", block))
+
+
 _SYM, _EDG = (_SEL, _LINES, _SYMBOLS), (_SEL, _LINES, _IMPORTS, _ROOTS, _EDGES)
 _ALL = (_SEL, _LINES, _SYMBOLS, _IMPORTS, _ROOTS, _EDGES)
 _REPOS = "reps as (select distinct 'org/repo' || cast(s_suppkey%8 as varchar) as repo, 'Org/Full' || cast(s_suppkey%8 as varchar) as full_name from supplier)"
@@ -349,6 +358,9 @@ ORACLE_SQL = {
     "s7_index_mode": """select o_orderkey as run, case when o_orderkey%5=0 then 'full' when o_orderkey%7=0 then 'full' when o_orderkey%3=o_orderkey%2 then 'noop' when o_orderkey%4>0 then 'incremental' else 'full' end as mode from orders""",
     "s8_merge_files": _with("v2 as" + _V2, _DIFF, _SEL, _SEL.split(",\nidx as")[0].replace("sel as", "sel2 as").replace("from code_files", "from v2").replace("and strlen(content) <= 200000", "")) + """select repo, file_path, md5(content) as hash from sel where not exists (select 1 from diff where diff.repo=sel.repo and diff.file_path=sel.file_path)
       union all select s.repo, s.file_path, md5(content) from sel2 s join diff d on d.repo=s.repo and d.file_path=s.file_path where status<>'deleted'""",
+    "s8_merge_edges": _with("v2 as" + _V2, _DIFF, *_EDG, *[_of_v2(b) for b in _EDG]) + """, mg as (select * from edges e where not exists (select 1 from diff d where d.repo=e.repo and d.file_path=e.src_file)
+      union all select * from edges_v2 e where exists (select 1 from diff d where d.repo=e.repo and d.file_path=e.src_file and status<>'deleted'))
+      select repo, src_file, count(*) as n, count(dst_file) as n_resolved from mg group by all""",
     "s9_rebuild": _with("v2 as" + _V2, _SEL, _SEL.split(",\nidx as")[0].replace("sel as", "sel2 as").replace("from code_files", "from v2")) + "select repo, file_path, md5(content) as hash from sel where repo not in ('org/repo1','org/repo3') union all select repo, file_path, md5(content) from sel2 where repo in ('org/repo1','org/repo3')",
     "s10_upsert_repos": """select 'r'||cast(c_custkey as varchar) as repo, case when c_custkey%4<>0 then '/new' else '/old' end as root_path,
       case when c_custkey%3<>0 and c_custkey%2=0 then 'o/r'||cast(c_custkey as varchar) when c_custkey%4<>0 then 'n/r'||cast(c_custkey as varchar) end as github_full_name,

@@ -292,6 +292,13 @@ def _greedy(rows: str, seconds: int, out: str) -> str:
       select a.key, (select min((s.t, s.id)) from src s where s.key=a.key and s.t >= a.m[1] + {seconds * 1000000}) from acc a where a.m is not null) select {out} from acc where m is not null"""
 
 
+_ADMIT = """jr as materialized (select rk as key, epoch_us(ts) as t, delivery_id as id, job_id, row_number() over (partition by rk order by ts, delivery_id, job_id) as rn from jb where job_id is not null),
+st as (select distinct key, 0::bigint as rn, null::bigint as last, []::struct(job varchar, t bigint)[] as live, null::bigint as id, null::varchar as outcome from jr union all
+  select key, rn, case when outcome='dispatched' then t else last end, case when outcome='dispatched' then list_append(live, {{'job': job_id, 't': t}}) else live end, id, outcome from (
+    select *, case when t - last < {w} then 'cooldown' when list_contains(list_transform(live, lambda x: x.job), job_id) then 'duplicate' else 'dispatched' end as outcome from (
+      select j.key, j.rn, j.t, j.id, j.job_id, s.last, list_filter(s.live, lambda x: j.t - x.t < {h}) as live from st s join jr j on j.key=s.key and j.rn=s.rn+1)))
+select id as delivery_id, outcome from st where rn > 0"""
+
 ORACLE_SQL = {
     "d1_parse_pr_files": _H + " select repo, pr_number, cast(row_number() over (partition by repo, pr_number order by seq) as int) as seq, file_path, case when seq%3>0 then status else 'modified' end as status, case when seq%5>0 then additions else 0 end as additions, cast(deletions as int) as deletions, patch from hunks",
     "d2_changed_ranges": _H + ", " + _RANGES + " select repo, pr_number, seq, k, start, stop from rr",
@@ -339,5 +346,14 @@ ORACLE_SQL = {
       select delivery_id, case when reason is null then 'dispatched' when reason='ping' then 'pong' when reason in ('no secret','queue unavailable','missing signature','bad signature') then 'error' else 'ignored' end as status, reason, cast(case when reason in ('no secret','queue unavailable') then 503 when reason in ('missing signature','bad signature') then 401 else 200 end as int) as http_code from c""",
     "e5_dedupe_jobs": f"with {_DLB}, {_EV}, {_RT} select m[2] as delivery_id, job_id from (select job_id, min((ts, delivery_id)) as m from jb where job_id is not null group by job_id)",
     "e6_cooldown": "with " + _greedy("select cast(user_id as varchar) as key, epoch_us(ts) as t, event_id as id from events", 6 * 3600, "key, m[2] as id"),
+    "e7_admit": f"with recursive {_DLB}, {_EV}, {_RT}, " + _ADMIT.format(w=6 * 3600 * 1000000, h=7 * 86400 * 1000000),
     "e9_delivery_stats": "select strftime(ts,'%Y-%m-%d') as day, event_type, count(*) as n from events group by all",
 }
+_CONTEXT = ORACLE_SQL["d4_diff_context"].rsplit("select *, count(*) filter", 1)[0]
+ORACLE_SQL["d6_pack_context"] = _CONTEXT + """, nm as (select 'org/repo'||cast(l_partkey%5 as varchar) as repo, cast(floor((l_partkey+10)/5.0) as bigint) as a, cast(floor(l_partkey/5.0) as bigint) as b from lineitem),
+  e as (select distinct repo, 'src/pkg'||cast(a%8 as varchar)||'/m'||cast(a as varchar)||'.py' as src_file, 'src/pkg'||cast(b%8 as varchar)||'/m'||cast(b as varchar)||'.py' as file_path from nm),
+  ib as (select repo, file_path, list_sort(list(src_file)) as who from e group by all),
+  pk as (select j.repo, j.pr_number, j.file_path, concat_ws(chr(10), 'file ' || j.file_path, 'changed ' || changed, 'imported by ' || array_to_string(coalesce(who, []::varchar[])[1:5], ',') || case when len(who) > 5 then ' (+' || (len(who) - 5) || ' more)' else '' end,
+    substr(array_to_string(list_transform(string_split(content, chr(10)), lambda x, i: i || ': ' || x), chr(10)), 1, 400)) as prompt
+    from j left join ib on ib.repo=j.repo and ib.file_path=j.file_path left join idx on idx.repo=j.repo and idx.file_path=j.file_path)
+  select repo, pr_number, file_path, cast(length(prompt) as int) as n_chars, md5(prompt) as hash from pk"""
