@@ -148,10 +148,10 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as a table into the shared folder and read again: the lineage ends there."""
+def stored(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df written as a table (in folders by a column) into the shared folder and read again: the lineage ends there."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

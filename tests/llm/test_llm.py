@@ -245,6 +245,43 @@ def test_lm_scoring(spark):
     assert (a > b.reindex(a.index)).mean() > 0.9
 
 
+def test_lm_scoring_tells_words_of_one_shape(spark):
+    r = random.Random(3)
+    names = ["".join(r.choice("bcdfg") + r.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    docs = [(i, " ".join(f"{names[k]} {names[k + 1]}" for k in (2 * r.randrange(100) for _ in range(60)))) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = lm_scoring.trained(df)
+    words = docs[0][1].split()
+    other = dict(zip(names, names[200:] + names[:200], strict=True))  # of the same shape, never seen
+    pairs = [w for p in zip(words[1::2], words[::2], strict=True) for w in p]
+    tries = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(other[w] for w in words)), (2, " ".join(pairs))], "doc_id long, text string")
+    got = {x.doc_id: x.mean_log_prob for x in lm_scoring.scored(tries, *model).collect()}
+    assert got[0] > got[1] + 0.5 and got[0] > got[2]
+    # more words, more tokens: all words of 200 occurrences have their own
+    assert len(model[0].keys) >= 140
+    # the probabilities of a shape's tokens add up to one, whatever stands around
+    v, _, net = model
+    leaves = np.flatnonzero(v.classes == lm_scoring.FREQUENT + 1)
+    texts_ = np.stack([np.full(len(leaves), v.tokens(np.frombuffer(names[0].encode(), np.uint8), np.array([0, 8]))[0][0]), leaves], axis=1).reshape(-1)
+    lp = net.log_probs(v, texts_, np.arange(0, len(texts_) + 1, 2))[1::2] + v.log_types[leaves]
+    assert abs(np.exp(lp).sum() - 1) < 1e-4
+
+
+def test_lm_scoring_gradients():
+    v = lm_scoring.Vocabulary(*[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, int)] * 2, np.arange(5), np.zeros(5), *map(np.array, ([-1, 1, 0, 0, -1], [1, 1, -1, 1, 1], [1, -1], [-1, 1])))
+    net = lm_scoring.TokenNetwork(v, np.array([0.3, -0.2]))
+    r = np.random.default_rng(0)
+    net.p = [r.normal(0, 0.5, x.shape) for x in net.p]
+    tokens, upto = np.array([1, 0, 2, 3, 1, 2, 2]), np.array([0, 4, 4, 7])
+    grads = [np.zeros_like(x) for x in net.p]
+    before = net.log_probs(v, tokens, upto, grads).sum()
+    for p, g in zip(net.p, grads, strict=True):
+        for i in np.ndindex(p.shape):
+            p[i] += 1e-6
+            assert abs((net.log_probs(v, tokens, upto).sum() - before) / 1e-6 - g[i]) < 1e-3
+            p[i] -= 1e-6
+
+
 def test_lm_scoring_odd(odd):
     out = lm_scoring.scored(odd, *lm_scoring.trained(odd)).collect()
     assert len(out) == odd.count() and all(x.mean_log_prob is None for x in out if x.n_words == 0)
