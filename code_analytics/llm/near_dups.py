@@ -6,8 +6,8 @@ smallest value of the earliest round that reached it; rounds t to 2t - 1 send ev
 coordinate is filled after 2t rounds whatever the size of the set, and the coordinates concentrate like sampling with
 replacement. A long text fills nearly all bins in the first round.
 
-T coordinates make T / R bands. At the threshold of 0.85 a band of R = 4 agrees with probability 0.52, so a linked pair
-shares none of the 24 bands with probability below 3e-8; with the next higher similarities it is less.
+T coordinates make T / R bands. At a threshold of 0.85 a band of R = 4 agrees with probability 0.52, so a linked pair
+shares none of the 24 bands with probability below 3e-8; at 0.8, which the pipeline takes, below 4e-6.
 
 Equal word sequences are one class, and only classes are compared. A band bucket with several classes is a group; equal
 groups of different bands are taken once. The texts of its classes are brought to it and all its links are
@@ -106,8 +106,8 @@ def classes(codes: np.ndarray, upto: np.ndarray) -> np.ndarray:
     return signed(mix(total[upto[1:]] - total[upto[:-1]] + np.diff(upto).astype(U)))
 
 
-def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 |a & b| >= 85 |a | b|."""
+def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with 100 |a & b| >= percent |a | b|."""
     n = len(sets)
     parent = list(range(n))
 
@@ -128,15 +128,15 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     if n <= 4:
         for a in range(n):
             for b in range(a + 1, n):
-                if min(size[a], size[b]) * 100 >= PERCENT * max(size[a], size[b]) and root(a) != root(b):
+                if min(size[a], size[b]) * 100 >= percent * max(size[a], size[b]) and root(a) != root(b):
                     both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if 100 * both >= PERCENT * (size[a] + size[b] - both):
+                    if 100 * both >= percent * (size[a] + size[b] - both):
                         join(a, b)
         return out
     items, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
     _, inverse, counts = np.unique(items, return_inverse=True, return_counts=True)
     twice = counts[inverse] > 1
-    alive = np.bincount(owner[twice], minlength=n) * 100 >= PERCENT * size  # else too much of it is nowhere else
+    alive = np.bincount(owner[twice], minlength=n) * 100 >= percent * size  # else too much of it is nowhere else
     keep = twice & alive[owner]
     rows = np.flatnonzero(alive)
     if len(rows) < 2:
@@ -154,13 +154,13 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         block[row[a:b], column[a:b] - lo] = 1
         both += block @ block.T
     s = size[rows]
-    hit = 100 * both >= PERCENT * (s[:, None] + s[None, :] - both)
+    hit = 100 * both >= percent * (s[:, None] + s[None, :] - both)
     for a, b in zip(*np.nonzero(np.triu(hit, 1)), strict=True):
         join(int(rows[a]), int(rows[b]))
     return out
 
 
-def group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def group_links(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
     """Reads the members of groups, sorted by (bkey, i, j); holds one group, which has two blocks at most."""
     held: tuple | None = None
     sets: list[np.ndarray] = []
@@ -169,7 +169,7 @@ def group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def close() -> None:
         if len(nodes) > 1:
-            found.extend((nodes[a], nodes[b]) for a, b in linked(sets))
+            found.extend((nodes[a], nodes[b]) for a, b in linked(sets, percent))
 
     for rows, data, at in sliced(batches):
         codes, _, _, upto = words(data, at)
@@ -189,7 +189,7 @@ def group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
 
-def links(docs: DataFrame, drawn: DataFrame) -> DataFrame:
+def links(docs: DataFrame, drawn: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b): for each group a spanning forest of its links. `drawn` is the stored sketch table of `docs`."""
     reps = drawn.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     keyed = stored(reps.select("node", F.explode("bands").alias("bkey")))
@@ -203,7 +203,7 @@ def links(docs: DataFrame, drawn: DataFrame) -> DataFrame:
     # while the wanted classes are few, only their texts are moved
     texts = class_texts(docs).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
     grouped = members.join(texts, "node").select("bkey", "i", "j", "node", "text").repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
-    return grouped.mapInArrow(group_links, "a long, b long").distinct()
+    return grouped.mapInArrow(lambda batches: group_links(batches, percent), "a long, b long").distinct()
 
 
 def class_texts(docs: DataFrame) -> DataFrame:
@@ -237,10 +237,10 @@ def components(edges: DataFrame) -> DataFrame:
         now = stored(small.where("a <> b").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, k, n_shingles, component_id, kept, root (the component) and one (whether the row stands for it) of each row."""
     drawn = stored(sketched(docs))
-    roots = components(links(docs, drawn))
+    roots = components(links(docs, drawn, percent))
     rows = drawn.select("doc_id", "k", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     place = F.struct(ord_of().alias("ord"), "k")
     # a table of its own, so that Spark may split a large component in the join
@@ -250,12 +250,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "k", "n_shingles", "component_id", kept.alias("kept"), "root", F.coalesce(place == F.col("first"), F.lit(True)).alias("one"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, with all their columns, less those for which another document of their component stays.
 
     Rows without words all stay. Rows with the same id and text are one document and stay together.
     """
-    gone = near_duplicates(docs).where(~F.col("one")).select(ord_of().alias("ord"), "k").distinct()
+    gone = near_duplicates(docs, percent).where(~F.col("one")).select(ord_of().alias("ord"), "k").distinct()
     whole = docs.select(ord_of().alias("_ord"), F.hash(F.lit(1), F.coalesce("text", F.lit(""))).alias("_k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return whole.join(few(gone), (F.col("_ord") == F.col("ord")) & (F.col("_k") == F.col("k")), "left_anti").select("_row.*")
 

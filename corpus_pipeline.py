@@ -12,6 +12,10 @@ from code_analytics.llm import decontamination, line_dedup, near_dups, packing,
 from code_analytics.llm.kernels import stored, table
 
 
+#: word shingles shared by near copies, of all their shingles
+NEAR_PERCENT = 80
+
+
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filtered(docs)
 
@@ -21,7 +25,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dups.one_of_each(docs)
+    return near_dups.one_of_each(docs, NEAR_PERCENT)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -203,6 +203,32 @@ def test_near_dups(spark, monkeypatch, block):
     assert stay == {x[0] for x in got if x[3] and x[0] is not None} | ({None} if any(t is None for d, t in rows if d is None) else set())
 
 
+def test_near_stage_at_four_fifths(spark):
+    import corpus_pipeline
+
+    sf = SF.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    sets, places = {}, collections.defaultdict(list)
+    for d, t in docs.select("doc_id", "text").collect():
+        w = lowered(t)
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else ())
+        for s in sets[d]:
+            places[s].append(d)
+    parent = {d: d for d in sets}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    both = collections.Counter((a, b) for p in places.values() for i, b in enumerate(sorted(p)) for a in sorted(p)[:i])
+    for (a, b), n in both.items():
+        if 5 * n >= 4 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    assert {x.doc_id for x in corpus_pipeline.near(spark, docs, sf).collect()} == {d for d in sets if root(d) == d}
+
+
 def test_sketch_fills_and_estimates():
     r = np.random.default_rng(0)
     for n in (1, 3, 40, 3000):
