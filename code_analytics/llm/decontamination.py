@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact verification.
 
 A window of a text has as many words as a benchmark item. Only windows that can reach the threshold are fingerprinted:
-those that lie, up to JITTER words, where a five-word shingle of the text and of some item would put the item. A
+those in which as many five-word shingles as the threshold asks for stand in items of that size, in whatever order. A
 fingerprint has 64 bits and is compared with the items of the window's size. The 64 bits are cut into RADIUS + 1
 blocks, so every item within RADIUS differing bits agrees in one block at least; items found by a block are kept if
 they are within the radius, and then the shingles with their multiplicities are compared: sum of minima over
@@ -17,6 +17,7 @@ rows are reported each. Empty tables give an empty result; without items every r
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +32,6 @@ from .units import column
 K = 5
 SIMILARITY = 0.8
 RADIUS = 24
-JITTER = 2
 PART_ITEMS = 20_000
 PART_BYTES = 32 << 20
 #: bit ranges of the RADIUS + 1 blocks
@@ -75,11 +75,11 @@ class Index:
             for lo, hi in zip(EDGES[:-1], EDGES[1:], strict=True):
                 part = (self.prints[found] >> U(lo)) & U((1 << (hi - lo)) - 1)
                 self.blocks[m].append({int(v): found[part == v] for v in np.unique(part)})
-        # where each shingle stands: (words in a shingle, value) -> size of the item and offset in it
+        # (words in a shingle, value) -> sizes of the items that hold it
         place = defaultdict(set)
         for k, s in enumerate(self.shingles):
-            for j, v in enumerate(s.tolist()):
-                place[min(self.size[k], K), v].add((self.size[k], j))
+            for v in s.tolist():
+                place[min(self.size[k], K), v].add(self.size[k])
         self.place = {w: {v: sorted(x) for (u, v), x in place.items() if u == w} for w in {u for u, _ in place}}
         self.known = {w: np.sort(np.array(list(x), U)) for w, x in self.place.items()}
         self.maps = {}
@@ -107,11 +107,12 @@ class Index:
             row = np.searchsorted(upto, p, "right") - 1
             inside = p + w <= upto[row + 1]
             p, row = p[inside], row[inside]
+            marked = defaultdict(list)
             for q, r, v in zip(p.tolist(), row.tolist(), g[p].tolist(), strict=True):
-                lo, hi = int(upto[r]), int(upto[r + 1])
-                for m, j in self.place[w][v]:
-                    for s in range(q - j - JITTER, q - j + JITTER + 1) if w == K else (q,):
-                        windows.add((r, max(lo, min(s, hi - m)), m))
+                for m in self.place[w][v]:
+                    marked[r, m].append(q)
+            for (r, m), q in marked.items():
+                windows.update((r, s, m) for s in window_starts(q, int(upto[r]), int(upto[r + 1]), m, w))
         if not windows:
             return []
         todo = sorted(windows)
@@ -130,6 +131,23 @@ class Index:
         return [(r, k, -s - int(upto[r]), m, same) for (r, k), (same, s, m) in sorted(best.items())]
 
 
+def window_starts(marked: list[int], lo: int, hi: int, m: int, w: int) -> list[int]:
+    """Starts of the windows of m words in [lo, hi) whose marked shingles of w words are enough for SIMILARITY.
+
+    With n shingles in the window and k in the item, both / (n + k - both) >= SIMILARITY asks for `need` in both.
+    """
+    n = min(m, hi - lo) - w + 1
+    need = max(1, math.ceil(SIMILARITY * (n + m - w + 1) / (1 + SIMILARITY) - 1e-9))
+    out: list[int] = []
+    begin = lo
+    for first, last in zip(marked, marked[need - 1 :]):
+        begin = max(begin, last - n + 1)
+        stop = min(first, max(lo, hi - m)) + 1
+        out.extend(range(begin, stop))
+        begin = max(begin, stop)
+    return out
+
+
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     x, nx = np.unique(a, return_counts=True)
     y, ny = np.unique(b, return_counts=True)

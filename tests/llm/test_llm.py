@@ -394,6 +394,35 @@ def test_decontamination(spark):
     assert decontamination.clean(docs_df, items_df.limit(0)).count() == len(docs)
 
 
+def test_decontamination_in_any_order(spark):
+    r = random.Random(6)
+    token = lambda: r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice("xyz")
+    items = [(i, " ".join(token() for _ in range(n))) for i, n in enumerate([60, 70, 100, 100, 101])]
+    docs = []
+    for i in range(60):
+        w = lowered(r.choice(items)[1])
+        cuts = [0, *sorted(r.sample(range(1, len(w)), r.choice([1, 1, 2]))), len(w)]
+        parts = [w[a:b] for a, b in zip(cuts, cuts[1:])]
+        parts = r.choice([parts[::-1], parts[1:] + parts[:1]])
+        docs.append((i, " ".join([token() for _ in range(r.choice([0, 70]))] + sum(parts, []) + [token() for _ in range(r.choice([0, 70]))])))
+    half = lowered(items[2][1])
+    docs.append((99, " ".join([token() for _ in range(150)] + half[50:] + half[:50] + [token() for _ in range(150)])))
+    want = {}
+    for d, t in docs:
+        w = lowered(t)
+        for k, item in items:
+            s = counted(iw := lowered(item))
+            for j in range(max(1, len(w) - len(iw) + 1)):
+                x = counted(w[j : j + len(iw)])
+                n = sum((x & s).values())
+                if (same := n / (sum(x.values()) + sum(s.values()) - n)) >= 0.8:
+                    want[d, k] = max(want.get((d, k), 0), round(same, 9))
+    docs_df, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert (99, 2) in want and len(want) > 30
+    assert {(x.doc_id, x.item_id): round(x.similarity, 9) for x in decontamination.leaks(docs_df.repartition(3), items_df).collect()} == want
+    assert {x.doc_id for x in decontamination.clean(docs_df, items_df).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+
+
 def removed_bytes(rows):
     best, out = {}, []
     for d, t in rows:
