@@ -1,6 +1,6 @@
 """Near-duplicate lines by deletion neighbourhoods.
 
-Two lines (of at least MIN_WORDS words, lower-cased, white space ignored) match if one becomes the other by at
+Two lines (with a word, lower-cased, white space ignored) match if one becomes the other by at
 most BOUND = 1 word put in, left out or exchanged and the longer has at least NEAR_WORDS words; other lines match only if equal. A line goes
 if an earlier line (by document id, then line number) matches it, whether or not that one stays.
 
@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .kernels import U, mix, powers, signed, sliced, stored, table
 from .units import Units, column, keyed, ord_of
 
-MIN_WORDS = 5
+#: any line with a word counts; only edits ask for more words
+MIN_WORDS = 1
 NEAR_WORDS = 8
 LINES = "c1 long, c2 long, ord long, k int, line int, n int, halves array<long>"
 

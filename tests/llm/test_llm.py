@@ -154,6 +154,13 @@ def test_line_dedup(spark):
     assert all(kept[d] == "\n".join(s for i, s in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows if d is not None)
 
 
+def test_line_dedup_takes_short_lines(spark):
+    rows = [(1, "one\n\ntwo words\nThree short Words"), (2, "ONE\n\nthree  short words\ntwo other"), (3, "two words\none more\none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x.ord, x.line, x.first_ord, x.first_line, x.edits) for x in line_dedup.removed_lines(df).collect())
+    assert got == [(2, 0, 1, 0, 0), (2, 2, 1, 3, 0), (3, 0, 1, 2, 0), (3, 2, 1, 0, 0)]
+
+
 # near duplicates
 
 
