@@ -466,7 +466,26 @@ def test_suffix_dedup(spark, letters, batch, monkeypatch):
 
 
 def test_suffix_dedup_odd(odd):
-    assert suffix_dedup.repeated_strings(odd).count() == odd.count()
+    got = suffix_dedup.repeated_strings(odd).drop("spans").collect()
+    assert sorted(map(tuple, got), key=repr) == removed_bytes([(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()])
+
+
+def test_suffix_dedup_over_steps(spark, monkeypatch):
+    """Texts longer than a step and than a group, with passages that cross the steps at other places in each text."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 1 << 17)
+    r = random.Random(12)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = [noise(n) for n in (60, 500, 30_000)]
+    rows = []
+    for d in range(4):
+        parts, size = [], 0
+        while size < suffix_dedup.STEP + 70_000:
+            parts += [noise(r.randrange(100, 30_000)), r.choice(shared)]
+            size += len(parts[-1]) + len(parts[-2])
+        rows.append((d, "".join(parts)))
+    rows.append((9, rows[2][1]))
+    got = suffix_dedup.repeated_strings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("spans").collect()
+    assert sorted(map(tuple, got), key=repr) == removed_bytes(rows)
 
 
 def test_quality_rules_keep_clean(spark):
