@@ -255,6 +255,13 @@ def told(replies: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(d for s, d in pairs if s >= 0), np.uint8)
 
 
+def told_parts(replies: pa.Table, n: int) -> list[np.ndarray]:
+    """Answers of n packed columns to a group, in the order of its entries."""
+    pairs = sorted(zip(replies["slice"].to_pylist(), replies["data"].to_pylist(), strict=True))
+    parts = [unpack(d) for _, d in pairs]
+    return [np.concatenate([p[k] for p in parts]) for k in range(n)]
+
+
 class Group:
     """The texts of one group in the order of documents, with the members of the initial buckets."""
 
