@@ -3,13 +3,15 @@
 For every document a few ratios are counted. A sketch of each ratio is kept for each (lang, source): counts of
 logarithmic bins (the relative-error sketch of Masson, Rim and Lee, 2019), so that sketches of groups, partitions
 or days merge by adding counts, the result does not depend on the order of rows, and a hot source is reduced
-before the shuffle. A fence is the 0.9 quantile plus FENCE times the distance from the median to it (at least the
-rule's own least spread). Groups of fewer than MIN_GROUP documents take the fence of their language, and small
-languages that of the whole corpus. The fences are joined back and a document goes where one of its counts lies
+before the shuffle. A fence is the median plus FENCE times the distance from the 0.1 quantile to it (at least the
+rule's own least spread), so junk above it moves the fence only as far as it moves the median: a group with two fifths of
+junk still has its fence near that of its clean texts. Groups of fewer than MIN_GROUP documents take the fence of their
+language, and small languages that of the whole corpus. The fences are joined back and a document goes where one of its counts lies
 beyond the fence by more than three of its own standard errors.
 
 Everything is DataFrame functions. Nulls: a null text has no words and fails the base rule; null lang and null
-source are groups of their own. Repeated rows are judged alike. An empty table gives an empty result. Other columns,
+source are groups of their own. Repeated rows are judged alike. A very long text is counted whole inside its row. Ties
+don't arise. An empty table gives an empty result. Other columns,
 whatever their names, are dropped by `measured` and carried by `filtered`.
 """
 
@@ -103,10 +105,10 @@ def fences(sketch: DataFrame) -> DataFrame:
         merged = merged.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
         middle = F.when(F.col("bin") == -100000, F.lit(0.0)).otherwise(F.pow(F.lit(BIN), F.col("bin") + 0.5))
         # the first bin whose count reaches the rank
-        at = {q: F.min(F.when(100 * F.col("upto") >= q * F.col("all"), middle)) for q in (50, 90)}
+        at = {q: F.min(F.when(100 * F.col("upto") >= q * F.col("all"), middle)) for q in (10, 50)}
         least = reduce(lambda acc, r: F.when(F.col("rule") == r, F.lit(RULES[r][2])).otherwise(acc), RULES, F.lit(0.0))
-        out = merged.groupBy(*keys, "rule").agg(at[50].alias("mid"), at[90].alias("high"), F.max("all").alias(f"n_{name}"))
-        return out.select(*keys, "rule", f"n_{name}", (F.col("high") + FENCE * F.greatest(F.col("high") - F.col("mid"), least)).alias(f"f_{name}"))
+        out = merged.groupBy(*keys, "rule").agg(at[10].alias("low"), at[50].alias("mid"), F.max("all").alias(f"n_{name}"))
+        return out.select(*keys, "rule", f"n_{name}", (F.col("mid") + FENCE * F.greatest(F.col("mid") - F.col("low"), least)).alias(f"f_{name}"))
 
     own, lang, every = level(["lang", "source"], "own"), level(["lang"], "lang"), level([], "all")
     lang = lang.withColumnRenamed("rule", "rule_l").withColumnRenamed("lang", "lang_l")
@@ -140,14 +142,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filtered(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept, with all their columns.
 
-    Two passes over the texts, so that no text is shuffled while the fences are few: the first makes the fences,
-    the second counts again beside the whole row.
+    Every text is counted once: the counts are stored beside the rows, the fences read the counts alone, and no text is
+    shuffled while the fences are few.
     """
-    f = stored(fences(sketches(measured(docs, "lang", "source"))))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "lang", "source", "text")
-    counts = measured(whole, "_row", "lang", "source")
-    # a generator keeps the filter from being pushed into the counts, each of which it would compute several times
-    counts = counts.select("_row", F.explode(F.array(F.struct(*[c for c in counts.columns if c != "_row"]))).alias("_c")).select("_row", "_c.*")
+    counts = stored(measured(whole, "_row", "lang", "source"))
+    f = stored(fences(sketches(counts.drop("_row"))))
     return judged(counts, f, f.count() <= BROADCAST_ROWS).where("kept").select("_row.*")
 
 
@@ -180,10 +180,10 @@ lv as (select 'own' as lvl, lang, source, rule, bin, n from b
   union all select 'all', null, null, rule, bin, sum(n) from b group by rule, bin),
 cu as (select *, sum(n) over (partition by lvl, lang, source, rule order by bin) as upto, sum(n) over (partition by lvl, lang, source, rule) as tot from lv),
 q as (select lvl, lang, source, rule, max(tot) as tot,
-   min(case when 100*upto >= 50*tot then case when bin=-100000 then 0.0 else pow(1.1::double, bin+0.5) end end) as mid,
-   min(case when 100*upto >= 90*tot then case when bin=-100000 then 0.0 else pow(1.1::double, bin+0.5) end end) as high
+   min(case when 100*upto >= 10*tot then case when bin=-100000 then 0.0 else pow(1.1::double, bin+0.5) end end) as low,
+   min(case when 100*upto >= 50*tot then case when bin=-100000 then 0.0 else pow(1.1::double, bin+0.5) end end) as mid
    from cu group by lvl, lang, source, rule),
-f as (select q.*, high + 8.0*greatest(high-mid, spread) as fence from q join least_ using (rule)),
+f as (select q.*, mid + 8.0*greatest(mid-low, spread) as fence from q join least_ using (rule)),
 p as (select o.lang, o.source, o.rule, case when o.tot >= 200 then o.fence when l.tot >= 200 then l.fence else a.fence end as fence
    from f o join f l on l.lvl='lang' and l.rule=o.rule and l.lang is not distinct from o.lang join f a on a.lvl='all' and a.rule=o.rule where o.lvl='own'),
 pp as (select lang, source, max(fence) filter (rule='symbols') as s, max(fence) filter (rule='upper') as u, max(fence) filter (rule='other') as o,
