@@ -1,8 +1,8 @@
 """Byte-level BPE ids of whole columns: words are found with array operations, each distinct word is encoded once.
 
 The word pattern is that of the tokenizer file (contractions, then letters, numbers or other signs with at most one
-space before them, then white space). Texts with code points that this Python's Unicode tables don't know are given
-to the tokenizer whole.
+space before them, then white space). Texts with code points that this Python's Unicode tables don't know, and texts with
+the string of a special token of the file, are given to the tokenizer whole, as the file has it.
 """
 
 from __future__ import annotations
@@ -77,6 +77,17 @@ def byte_ranks(path: str) -> dict[bytes, int]:
     return {bytes(map(sign.__getitem__, token)): k for token, k in vocab.items() if all(c in sign for c in token)}
 
 
+def _rows_with(raw: bytes, literal: bytes, at: np.ndarray) -> set[int]:
+    """Rows of the bytes `raw`, cut at the offsets `at`, that hold `literal`."""
+    found, place = set(), raw.find(literal)
+    while place >= 0:
+        row = int(np.searchsorted(at, place, "right")) - 1
+        if place + len(literal) <= at[row + 1]:
+            found.add(row)
+        place = raw.find(literal, place + 1)
+    return found
+
+
 class Encoder:
     """Ids of many texts at once; keeps the ids of the words it has met, up to CACHED_WORDS.
 
@@ -94,7 +105,8 @@ class Encoder:
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         self.size[list(ranks.values())] = list(map(len, ranks))
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"].encode() for t in json.load(f).get("added_tokens", [])]
         self._clear()
 
     def _clear(self) -> None:
@@ -128,7 +140,9 @@ class Encoder:
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows in one array, and the offsets of the rows in it."""
-        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        raw = data.tobytes()
+        odd = {r for literal in self.special for r in _rows_with(raw, literal, at)}
+        points = np.frombuffer(raw.decode("utf-8").encode("utf-32-le"), np.uint32)
         upto = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=upto[1:])
         at = upto[at]
@@ -150,9 +164,9 @@ class Encoder:
         np.cumsum(counts, out=total[1:])
         ids = self.pool[np.repeat(self.place[k] - total[:-1], counts) + np.arange(total[-1])]
         rows = total[np.searchsorted(starts, at)]
-        if len(points) and (odd := np.flatnonzero(classes()[points] == UNKNOWN)).size:
-            ids, rows = self._whole(points, at, ids, rows, set((np.searchsorted(at, odd, "right") - 1).tolist()))
-        return ids, rows
+        if len(points):
+            odd.update((np.searchsorted(at, np.flatnonzero(classes()[points] == UNKNOWN), "right") - 1).tolist())
+        return self._whole(points, at, ids, rows, odd) if odd else (ids, rows)
 
     def _whole(self, points: np.ndarray, at: np.ndarray, ids: np.ndarray, rows: np.ndarray, odd: set[int]) -> tuple[np.ndarray, np.ndarray]:
         text = lambda r: points[at[r] : at[r + 1]].tobytes().decode("utf-32-le")

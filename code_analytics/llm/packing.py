@@ -11,7 +11,9 @@ Pieces find their place by their rank among the pieces of their length. Ranks ar
 shifted by the totals of the groups before, so that no task holds all pieces of a common length.
 
 Nulls: a null text is packed as an empty one (the end id alone); a null doc_id stays null. Repeated rows are packed
-each. An empty table gives no pieces.
+each, and pieces equal in length and rank are placed in the order of their keys. The string of a special token in a text is
+that token, as the tokenizer file has it. A very long text is encoded whole in its task and cut into full pieces. Columns
+beside doc_id and text are ignored, whatever their names. An empty table gives no pieces.
 """
 
 from __future__ import annotations
