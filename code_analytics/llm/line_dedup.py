@@ -1,27 +1,27 @@
 """Near-duplicate lines by deletion neighbourhoods.
 
 Two lines (with a word, lower-cased, white space ignored) match if one becomes the other by at
-most BOUND = 1 word put in, left out or exchanged and the longer has at least NEAR_WORDS words; other lines match only if equal. A line goes
-if an earlier line (by document id, then line number) matches it, whether or not that one stays.
+most one word put in, left out or exchanged and the longer has at least near_words words; other lines match only if
+equal, whatever their length. A line goes if an earlier line (by document id, then line number) matches it, whether or not that one stays.
 
 1. Equal lines are one class, known by the place of its earliest line.
 2. A class is a candidate if it shares its first or its last half with another: one edit leaves a half alone, so
    classes whose halves occur nowhere else need no neighbourhood.
 3. A candidate emits the digest of itself and of each variant with one word left out, together with the place of
    that word. Equal variants with the same place differ in one exchanged word; a variant that equals a whole line
-   differs by one left out. Those keys are joined: a task reads them sorted, holds the earliest of a key, and needs no
-   pairs within it.
-4. The words of each match are compared once more, then every occurrence of a matched class goes, and of the others
+   differs by one left out. The earliest line of a key is found by partial aggregation and joined back, so there are no
+   pairs within a key, and a template line with one changing word, however frequent, is a key that a join may split.
+4. The words of each match are compared, then every occurrence of a matched class goes, and of the others
    every one but the earliest.
 
 Nulls: a null text has no lines; a document without id counts as larger than all others. Rows with the same id and
-text count as one and are treated alike. An empty table gives an empty result. Columns beside doc_id and text may
+text count as one and are treated alike. Ties go by document id and then line. A very long text is cut into lines inside its
+task. An empty table gives an empty result. Columns beside doc_id and text may
 have any names.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 from .kernels import U, mix, powers, signed, sliced, stored, table
 from .units import Units, column, keyed, ord_of
 
-#: any line with a word counts; only edits ask for more words
-MIN_WORDS = 1
+#: least words of the longer line for an edit to count: one word in eight
 NEAR_WORDS = 8
 LINES = "c1 long, c2 long, ord long, k int, line int, n int, halves array<long>"
 
@@ -45,7 +44,7 @@ def _span_sums(u: Units) -> np.ndarray:
     return total
 
 
-def halves(u: Units) -> tuple[np.ndarray, np.ndarray]:
+def halves(u: Units, near_words: int = NEAR_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the halves that one edit may leave alone, and their number for each line.
 
     A line of n words meets lines of n - 1, n and n + 1 words; the half is that of the shorter of the two.
@@ -56,7 +55,7 @@ def halves(u: Units) -> tuple[np.ndarray, np.ndarray]:
     keys, owner = [], []
     for odd in (0, 1):
         m = (n - odd) // 2
-        use = (n >= NEAR_WORDS - 1) & ((odd == 0) | (n % 2 == 0))
+        use = (n >= near_words - 1) & ((odd == 0) | (n % 2 == 0))
         f, s, m = u.first[use], u.stop[use], m[use]
         for side, (lo, hi) in enumerate(((f, f + m), (s - m, s))):
             keys.append(mix((total[hi] - total[lo]) * down[lo] + mix((m * 2 + side).astype(U) + U(99))))
@@ -66,13 +65,13 @@ def halves(u: Units) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], np.bincount(owner, minlength=len(n))
 
 
-def all_lines(docs: DataFrame) -> DataFrame:
+def all_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in sliced(batches):
             u = Units(data, at)
-            u.pick(u.n_words >= MIN_WORDS)
+            u.pick(u.n_words > 0)
             c1, c2 = u.digests()
-            keys, counts = halves(u)
+            keys, counts = halves(u, near_words)
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(signed(keys)))
             take = pa.array(u.row)
             yield pa.record_batch(
@@ -99,7 +98,7 @@ def wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 VARIANTS = "v long, pos int, ord long, line int, c1 long, c2 long"
 
 
-def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def variants(batches: Iterator[pa.RecordBatch], near_words: int = NEAR_WORDS) -> Iterator[pa.RecordBatch]:
     """Each line whole (pos -1) and with one word left out."""
     for rows, data, at in sliced(batches):
         u = Units(data, at)
@@ -107,7 +106,7 @@ def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = u.n_words
         total = _span_sums(u)
         _, down = powers(len(u.codes))
-        shorter = np.where(n >= NEAR_WORDS, n, 0)
+        shorter = np.where(n >= near_words, n, 0)
         line = np.repeat(np.arange(len(n)), shorter)
         place = np.arange(len(line)) - np.repeat(np.cumsum(shorter) - shorter, shorter)
         w = u.first[line] + place
@@ -121,92 +120,70 @@ def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def one_edit(a: list[str], b: list[str]) -> bool:
-    """Whether one word put in, left out or exchanged makes a from b, or none does."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    k = 0
-    while k < min(len(a), len(b)) and a[k] == b[k]:
-        k += 1
-    return a[k + (len(a) >= len(b)) :] == b[k + (len(b) >= len(a)) :]
+#: bytes of lists of lines up to which they are sent to the texts rather than both shuffled
+BROADCAST_BYTES = 32 << 20
 
 
-def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The matches whose words bear them out."""
-    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    space = re.compile("[\\x20\\x09-\\x0D]+")
-    split = lambda t: space.split(t.translate(lower))
-    for batch in batches:
-        good = [one_edit(split(a), split(b)) for a, b in zip(column(batch, "text").to_pylist(), column(batch, "p_text").to_pylist(), strict=True)]
-        yield batch.filter(pa.array(good, pa.bool_())).select(["c1", "c2", "p_ord", "p_line"])
+def few(lists: DataFrame, entries: str | None = None) -> DataFrame:
+    """`lists` stored, with a broadcast hint while it is small: 64 bytes are reckoned for a row and 16 for each entry of the array `entries`."""
+    lists = stored(lists)
+    n, more = lists.agg(F.count("*"), F.coalesce(F.sum(F.size(entries)), F.lit(0)) if entries else F.lit(0)).first()
+    return F.broadcast(lists) if 64 * n + 16 * more <= BROADCAST_BYTES else lists
 
 
-def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(c1, c2) of a later line and the place of an earlier one, from rows sorted by (v, pos, ord, line).
+def _without(words: str, pos: str):
+    """The array of words less the one at `pos`, or whole where pos is -1."""
+    w, p = F.col(words), F.col(pos)
+    return F.when(p < 0, w).otherwise(F.concat(F.slice(w, F.lit(1), p), F.slice(w, p + 2, F.size(w))))
 
-    Rows held from batch to batch: the whole line of the key, the earliest shortened one, and the first of the
-    place now being read.
-    """
-    names = ("v", "pos", "ord", "line", "c1", "c2")
-    v_now, pos_now = None, None
-    whole = least = head = None
-    for batch in batches:
-        out: list[tuple[int, int, int, int]] = []
-        for v, pos, o, ln, c1, c2 in zip(*(column(batch, c).to_pylist() for c in names), strict=True):
-            if v != v_now:
-                if whole and least and least[:2] < whole[:2]:
-                    out.append((whole[2], whole[3], least[0], least[1]))
-                v_now, pos_now, whole, least, head = v, None, None, None, None
-            me = (o, ln, c1, c2)
-            if pos < 0:
-                whole = me if whole is None or me < whole else whole
-                continue
-            if pos != pos_now:
-                pos_now, head = pos, me
-            elif me[:2] > head[:2]:
-                out.append((c1, c2, head[0], head[1]))
-            if whole and whole[:2] < me[:2]:
-                out.append((c1, c2, whole[0], whole[1]))
-            if least is None or me < least:
-                least = me
-        yield _match_rows(out)
-    if whole and least and least[:2] < whole[:2]:
-        yield _match_rows([(whole[2], whole[3], least[0], least[1])])
-
-
-def _match_rows(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    c = list(zip(*out, strict=True)) if out else [[], [], [], []]
-    return pa.record_batch([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int32())], ["c1", "c2", "p_ord", "p_line"])
-
-
-#: lists of lines, one row a document, up to which they are sent to the texts rather than both shuffled
-BROADCAST_ROWS = 500_000
-
-
-def few(lists: DataFrame) -> DataFrame:
-    """`lists` stored, with a broadcast hint while it has few rows."""
-    lists = stored(lists)
-    return F.broadcast(lists) if lists.count() <= BROADCAST_ROWS else lists
 
+def matches(texts: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """(c1, c2, p_ord, p_line): lines of `texts` and earlier ones that one edit makes of them.
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """ord, k, line, first_ord, first_line, edits of each line that goes; edits is 0 for an equal line."""
-    lines = all_lines(docs)
+    The earliest line of every variant and place is found by partial aggregation, and the lines of the few variants that
+    several hold are joined to it, so a variant that a third of all lines share is only a key that a join may split.
+    """
+    v = texts.select("c1", "c2", "ord", "line", "text").mapInArrow(lambda batches: variants(batches, near_words), VARIANTS)
+    here = F.struct("ord", "line")
+    heads = stored(v.groupBy("v", "pos").agg(F.min(here).alias("head"), F.max(here).alias("tail")))
+    by_v = heads.groupBy("v").agg(
+        F.min(F.when(F.col("pos") < 0, F.col("head"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.struct("head.ord", "head.line", "pos"))).alias("least"),
+        F.max(F.when(F.col("pos") >= 0, F.col("tail"))).alias("tail"),
+    )
+    # an exchanged word: lines with a word left out at the same place, of which the earliest is the other line
+    same = heads.where("pos >= 0 and head <> tail").select("v", "pos", F.col("head").alias("p"), F.col("pos").alias("p_pos"))
+    # a word put in or left out: a whole line, and a line that makes it with one word less
+    longer = by_v.where("whole is not null and tail > whole").select("v", F.col("whole").alias("p"), F.lit(-1).alias("p_pos"))
+    shorter = by_v.where("whole is not null and struct(least.ord, least.line) < whole").select("v", F.lit(-1).alias("pos"), F.struct("least.ord", "least.line").alias("p"), F.col("least.pos").alias("p_pos"))
+    rows = v.select("v", "pos", "c1", "c2", here.alias("me"))
+    found = rows.join(same, ["v", "pos"]).select("c1", "c2", "me", "pos", "p", "p_pos")
+    found = found.union(rows.where("pos >= 0").join(longer, "v").select("c1", "c2", "me", "pos", "p", "p_pos"))
+    found = found.union(rows.where("pos < 0").join(shorter, ["v", "pos"]).select("c1", "c2", "me", "pos", "p", "p_pos"))
+    found = found.where("p < me").select("c1", "c2", F.col("p.ord").alias("p_ord"), F.col("p.line").alias("p_line"), "pos", "p_pos").distinct()
+    words = F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+")
+    known = stored(texts.select("c1", "c2", "ord", "line", words.alias("words")))
+    pairs = found.join(known.select("c1", "c2", "words"), ["c1", "c2"]).join(known.select(F.col("ord").alias("p_ord"), F.col("line").alias("p_line"), F.col("words").alias("p_words")), ["p_ord", "p_line"])
+    # digests found them; the words decide
+    return pairs.where(_without("words", "pos") == _without("p_words", "p_pos")).select("c1", "c2", "p_ord", "p_line")
+
+
+def removed_lines(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """ord, k, line, first_ord, first_line, edits of each line that goes; edits is 0 for an equal line.
+
+    near_words: least words of the longer line for an edit to count; equal lines go whatever their length.
+    """
+    lines = all_lines(docs, near_words)
     classes = stored(
-        lines.groupBy("c1", "c2").agg(F.min(F.struct("ord", "line", "k")).alias("first"), F.max(F.struct("ord", "line", "k")).alias("last"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+        lines.groupBy("c1", "c2").agg(F.min(F.struct("ord", "line", "k")).alias("first"), F.max(F.struct("ord", "line", "k")).alias("last"), F.first("halves").alias("halves"))
     )
     by_half = classes.select(F.explode("halves").alias("h"), "c1", "c2", "first")
     shared = by_half.groupBy("h").agg(F.min("c1").alias("lo"), F.max("c1").alias("hi")).where("lo <> hi").select("h")
     candidates = stored(by_half.join(shared, "h").select("c1", "c2", "first").distinct())
     wanted = candidates.groupBy(F.col("first.ord").alias("ord"), F.col("first.k").alias("k")).agg(F.collect_set("first.line").alias("lines"))
-    texts = keyed(docs).join(few(wanted), ["ord", "k"]).mapInArrow(wanted_lines, "c1 long, c2 long, ord long, line int, text string")
+    texts = keyed(docs).join(few(wanted, "lines"), ["ord", "k"]).mapInArrow(wanted_lines, "c1 long, c2 long, ord long, line int, text string")
     texts = stored(texts.dropDuplicates(["ord", "line", "c1", "c2"]))
-    sorted_keys = texts.mapInArrow(variants, VARIANTS).repartition("v").sortWithinPartitions("v", "pos", "ord", "line")
-    found = sorted_keys.mapInArrow(matches, "c1 long, c2 long, p_ord long, p_line int").distinct()
-    pairs = found.join(texts.select("c1", "c2", "text"), ["c1", "c2"]).join(texts.select(F.col("ord").alias("p_ord"), F.col("line").alias("p_line"), F.col("text").alias("p_text")), ["p_ord", "p_line"])
-    near = pairs.mapInArrow(compared, "c1 long, c2 long, p_ord long, p_line int").groupBy("c1", "c2").agg(F.min(F.struct("p_ord", "p_line")).alias("near"))
-    gone = classes.join(near, ["c1", "c2"], "left").where("near is not null or first <> last").select("c1", "c2", "first", "near")
-    gone = stored(gone)
+    near = matches(texts, near_words).groupBy("c1", "c2").agg(F.min(F.struct("p_ord", "p_line")).alias("near"))
+    gone = stored(classes.join(near, ["c1", "c2"], "left").where("near is not null or first <> last").select("c1", "c2", "first", "near"))
     hit = lines.select("c1", "c2", "ord", "k", "line").join(gone, ["c1", "c2"])
     later = F.struct("ord", "line") > F.struct(F.col("first.ord"), F.col("first.line"))
     equal = hit.where(later).select("ord", "k", "line", F.col("first.ord").alias("first_ord"), F.col("first.line").alias("first_line"), F.lit(0).alias("edits"))
@@ -223,11 +200,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """All rows and columns of `docs`; from `text` the lines that go are left out, and n_chars, if there, follows."""
-    gone = removed_lines(docs).groupBy("ord", "k").agg(F.collect_set("line").alias("_gone"))
+    gone = removed_lines(docs, near_words).groupBy("ord", "k").agg(F.collect_set("line").alias("_gone"))
     whole = docs.select(ord_of().alias("_ord"), F.hash(F.lit(1), F.coalesce("text", F.lit(""))).alias("_k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    joined = whole.join(few(gone), (F.col("_ord") == F.col("ord")) & (F.col("_k") == F.col("k")), "left")
+    joined = whole.join(few(gone, "_gone"), (F.col("_ord") == F.col("ord")) & (F.col("_k") == F.col("k")), "left")
     rest = F.array_join(F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(rest)
     cols = []

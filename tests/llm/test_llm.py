@@ -106,7 +106,7 @@ def near_lines(rows):
     occ, first = [], {}
     for d, t in rows:
         for i, line in enumerate((t or "").split("\n")):
-            if len(w := tuple(lowered(line))) >= line_dedup.MIN_WORDS:
+            if w := tuple(lowered(line)):
                 occ.append((BIG if d is None else d, i, w))
     for o, i, w in sorted(occ):
         first.setdefault(w, (o, i))
@@ -117,7 +117,7 @@ def near_lines(rows):
             near[w] = min(near.get(w, (BIG + 1, 0)), first[x])
 
     for w in first:
-        if len(w) >= line_dedup.NEAR_WORDS:
+        if len(w) >= 8:
             for j in range(len(w)):
                 shorter[j, w[:j] + w[j + 1 :]].append(w)
     for (_, v), group in shorter.items():
@@ -152,6 +152,17 @@ def test_line_dedup(spark):
     assert all(kept[d] == "\n".join(s for i, s in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in rows if d is not None)
 
 
+def test_line_dedup_of_a_hot_template(spark, monkeypatch):
+    """One line with one changing word in every document: one variant for all of them. Beyond the bound lists are shuffled."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    rows = [(i, f"this page was made by user u{i} for all of us\nown{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {(x.ord, x.line, x.first_ord, x.first_line, x.edits) for x in line_dedup.removed_lines(df).collect()}
+    assert got == {(i, 0, 0, 0, 1) for i in range(1, 300)}
+    assert line_dedup.removed_lines(df, near_words=12).count() == 0
+    assert {x.text for x in line_dedup.without_repeats(df).collect()} == {rows[0][1], *(f"own{i}" for i in range(1, 300))}
+
+
 def test_line_dedup_takes_short_lines(spark):
     rows = [(1, "one\n\ntwo words\nThree short Words"), (2, "ONE\n\nthree  short words\ntwo other"), (3, "two words\none more\none")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
