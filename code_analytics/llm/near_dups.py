@@ -9,7 +9,7 @@ replacement. A long text fills nearly all bins in the first round.
 T coordinates make T / R bands. At a threshold of 0.85 a band of R = 4 agrees with probability 0.52, so a linked pair
 shares none of the 24 bands with probability below 3e-8; at 0.8, which the pipeline takes, below 4e-6.
 
-Equal word sequences are one class, and only classes are compared. A band bucket with several classes is a group; equal
+Equal word sequences (by digests of 128 bits) are one class, and only classes are compared. A band bucket with several classes is a group; equal
 groups of different bands are taken once. The texts of its classes are brought to it and all its links are
 found from whole sets with an inverted list of the shingles that at least two members have (a product of incidence
 blocks); a spanning forest of the links goes on. A bucket of more than BLOCK classes is dealt out as pairs of
@@ -18,7 +18,8 @@ small-star steps (Kiveris et al., 2014), with the edges written to the shared fo
 
 Nulls and texts without words: an empty set, linked with nothing; such a row is its own component. A null doc_id never
 is a smallest id; a row without id is kept only where its component has no id at all. Rows with equal text are one class
-whatever their ids. Rows that share an id share no link by that alone. An empty table gives an empty result.
+whatever their ids. Rows that share an id share no link by that alone. A very long text is sketched inside its task. Columns
+beside doc_id and text may have any names; `one_of_each` carries them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +80,7 @@ def bands(sketch: np.ndarray, r: int = R) -> np.ndarray:
     return h
 
 
-SKETCH = "doc_id long, k int, node long, n_shingles long, bands array<long>"
+SKETCH = "doc_id long, k int, node binary, n_shingles long, bands array<long>"
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -91,19 +93,27 @@ def sketched(docs: DataFrame) -> DataFrame:
             keys = bands(sketches(sets))
             size = np.array([len(s) for s in sets], np.int64)
             lists = pa.ListArray.from_arrays(pa.array((np.arange(len(sets) + 1) * keys.shape[1]).astype(np.int32)), pa.array(signed(keys).reshape(-1)))
-            node = pa.array(classes(codes, upto), mask=size == 0)
+            node = as_binary(classes(codes, upto), size > 0)
             yield pa.record_batch([column(rows, "doc_id"), column(rows, "k"), node, pa.array(size), lists], ["doc_id", "k", "node", "n_shingles", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), F.hash(F.lit(1), F.coalesce("text", F.lit(""))).alias("k"), "text").mapInArrow(run, SKETCH)
 
 
 def classes(codes: np.ndarray, upto: np.ndarray) -> np.ndarray:
-    """A digest of each row's whole word sequence."""
-    place = np.arange(len(codes)) - np.repeat(upto[:-1], np.diff(upto))
-    mixed = mix(codes + mix(place.astype(U) + U(1)))
-    total = np.zeros(len(codes) + 1, U)
-    np.cumsum(mixed, out=total[1:])
-    return signed(mix(total[upto[1:]] - total[upto[:-1]] + np.diff(upto).astype(U)))
+    """A digest of 128 bits of each row's whole word sequence, as two columns."""
+    place = mix((np.arange(len(codes)) - np.repeat(upto[:-1], np.diff(upto))).astype(U) + U(1))
+    out = np.zeros((len(upto) - 1, 2), U)
+    for k, mixed in enumerate((mix(codes + place), mix((codes >> U(7)) * codes + U(3) * place))):
+        total = np.zeros(len(codes) + 1, U)
+        np.cumsum(mixed, out=total[1:])
+        out[:, k] = mix(total[upto[1:]] - total[upto[:-1]] + np.diff(upto).astype(U))
+    return out
+
+
+def as_binary(pairs: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    """Rows of two numbers as strings of 16 bytes."""
+    raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(pairs), [None, pa.py_buffer(np.ascontiguousarray(pairs))]).cast(pa.binary())
+    return raw if valid is None else pc.if_else(pa.array(valid), raw, pa.scalar(None, pa.binary()))
 
 
 def linked(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -164,8 +174,8 @@ def group_links(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> It
     """Reads the members of groups, sorted by (bkey, i, j); holds one group, which has two blocks at most."""
     held: tuple | None = None
     sets: list[np.ndarray] = []
-    nodes: list[int] = []
-    found: list[tuple[int, int]] = []
+    nodes: list[bytes] = []
+    found: list[tuple[bytes, bytes]] = []
 
     def close() -> None:
         if len(nodes) > 1:
@@ -182,11 +192,11 @@ def group_links(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> It
             sets.append(s)
             nodes.append(node)
         if found:
-            yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+            yield pa.record_batch([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
             found = []
     close()
     if found:
-        yield pa.record_batch([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+        yield pa.record_batch([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
 
 def links(docs: DataFrame, drawn: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -203,18 +213,19 @@ def links(docs: DataFrame, drawn: DataFrame, percent: int = PERCENT) -> DataFram
     # while the wanted classes are few, only their texts are moved
     texts = class_texts(docs).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
     grouped = members.join(texts, "node").select("bkey", "i", "j", "node", "text").repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
-    return grouped.mapInArrow(lambda batches: group_links(batches, percent), "a long, b long").distinct()
+    return grouped.mapInArrow(lambda batches: group_links(batches, percent), "a binary, b binary").distinct()
 
 
 def class_texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in sliced(batches):
             codes, _, _, upto = words(data, at)
-            found, where = np.unique(np.where(np.diff(upto) > 0, classes(codes, upto), 0), return_index=True)
+            digests = classes(codes, upto)
+            where = np.unique(digests, axis=0, return_index=True)[1]
             where = where[np.diff(upto)[where] > 0]
-            yield pa.record_batch([pa.array(classes(codes, upto)[where]), rows.column(0).take(pa.array(where))], ["node", "text"])
+            yield pa.record_batch([as_binary(digests[where]), rows.column(0).take(pa.array(where))], ["node", "text"])
 
-    return docs.select("text").mapInArrow(run, "node long, text string")
+    return docs.select("text").mapInArrow(run, "node binary, text string")
 
 
 def components(edges: DataFrame) -> DataFrame:
