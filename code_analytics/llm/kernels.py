@@ -7,7 +7,6 @@ whatever the size of a record batch; a longer text is a slice of its own.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -140,20 +139,34 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; set here only where the session names none."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where the session names none, one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="shared-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
+
+
+_stored: list[str] = []
 
 
 def stored(df: DataFrame, by: str | None = None) -> DataFrame:
     """df written as a table (in folders by a column) into the shared folder and read again: the lineage ends there."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_so_far() -> int:
+    return len(_stored)
+
+
+def drop_stored(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Deletes the tables that this driver has stored since then, or all but the last. Results that are not written yet need theirs."""
+    kept = _stored[-1:] if keep_last else []
+    gone, _stored[since:] = [p for p in _stored[since:] if p not in kept], kept
+    for path in gone:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

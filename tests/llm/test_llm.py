@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from code_analytics.llm import bpe, decontamination, line_dedup, lm_scoring, near_dups, packing, passage_dedup, quality_model, quality_rules, queries, sharding, suffix_dedup
+from code_analytics.llm import bpe, decontamination, kernels, line_dedup, lm_scoring, near_dups, packing, passage_dedup, quality_model, quality_rules, queries, sharding, suffix_dedup
 from code_analytics.llm.kernels import sliced
 from tests.conftest import SF
 from tests.test_queries import rows as as_rows
@@ -375,6 +376,46 @@ def test_passages(spark):
     assert got == {(1, unit + " Tail.\nx"), (2, "pre é here.  after"), (None, ""), (3, "")}
 
 
+def test_passages_of_short_sentences(spark):
+    """A passage of short sentences in the middle of other lines goes whole, but for what its edges share with other words."""
+    passage = "We went on. It was late. No one came. He slept. The dog did too. All was still. Then it rained."
+    df = spark.createDataFrame([(1, f"First of all this is a line. {passage} And so it ended here."), (2, f"Another beginning stands here! {passage} But not the same end.\n{passage}")], "doc_id long, text string")
+    assert {(x.doc_id, x.text) for x in passage_dedup.without_repeats(df).collect()} == {(1, f"First of all this is a line. {passage} And so it ended here."), (2, "Another beginning stands here!  But not the same end.\n")}
+    runs = {(x.ord, x.start, x.length, x.first_ord) for x in passage_dedup.removed_runs(df).collect()}
+    assert runs == {(2, 31, len(passage), 1), (2, 31 + len(passage) + 23, len(passage), 1)}
+
+
+def test_passages_odd(odd):
+    out = passage_dedup.without_repeats(odd).collect()
+    assert len(out) == odd.count() and all(len(x.text) <= 200_000 for x in out)
+
+
+def qda_scores(x, y, train):
+    """Brute force: densities by inverse and determinant."""
+    stats = {c: (m := (y == c) & train).sum() and (m.sum(), x[m].mean(axis=0), np.cov(x[m].T, bias=True)) for c in (0, 1)}
+    total = stats[0][0] + stats[1][0]
+    pooled = np.diag((stats[0][0] * np.diag(stats[0][2]) + stats[1][0] * np.diag(stats[1][2])) / total)
+    log = {}
+    for c, (n, mean, cov) in stats.items():
+        s = (1 - quality_model.SHRINK) * cov + quality_model.SHRINK * pooled + quality_model.RIDGE * np.eye(len(mean))
+        z = x - mean
+        log[c] = np.log(n / total) - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z) - 0.5 * np.linalg.slogdet(s)[1]
+    return 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
+
+
+def test_quality_model_equals_brute_force(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = docs.select("doc_id", "text").toPandas().merge(labels.toPandas()[["doc_id", "quality"]], how="left", on="doc_id").sort_values("doc_id")
+    data = [(t or "").encode() for t in rows.text]
+    x = quality_model.statistics(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    y = rows.quality.fillna(-1).to_numpy()
+    train = np.array([zlib.crc32(str(d).encode()) % 4 != 2 for d in rows.doc_id])
+    got = quality_model.scored(docs, labels).toPandas().sort_values("doc_id")
+    assert np.allclose(got.score, qda_scores(x, y, train), atol=1e-6) and (got.held_out.to_numpy() == ~train).all()
+    assert (got.predicted == (got.score >= 0.7)).all()
+
+
 def test_quality_model_held_out(spark):
     sf = SF.replace("sf0.001", "sf0.01")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -397,17 +438,30 @@ def test_sharding(spark, texts):
     assert len(sums) == 24 and sums.max() - sums.min() <= out["size"].max()
 
 
-def test_sharding_grows(spark):
+def test_sharding_edits_its_map(spark):
+    """Version 2 moves slots only out of shards beyond the mean; adding a shard moves slots only into it."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sizes = sharding.slot_sizes(docs.select((F.octet_length("text") + 8).alias("size"), sharding.slot_of("doc_id", "text").alias("virtual_slot")))
-    old = sharding.assign_slots(sizes, 4)
-    new = {x.virtual_slot: x for x in sharding.add_shard(old, sizes, 4).collect()}
-    moved = [x for x in old.collect() if new[x.virtual_slot].shard != x.shard]
-    assert moved and all(new[x.virtual_slot].shard == 4 for x in moved) and {x.version for x in new.values()} == {2}
-
-
-def test_sharding_odd(odd):
-    assert sharding.sharded(odd, 3).count() == odd.count()
+    bytes_ = {x.virtual_slot: x.slot_bytes for x in sizes.collect()}
+    first = sharding.first_map(spark, 4)
+    second = sharding.rebalanced(first, sizes, 4)
+    one, two = ({x.virtual_slot: x.shard for x in m.collect()} for m in (first, second))
+    load = lambda m: [sum(bytes_.get(k, 0) for k, v in m.items() if v == n) for n in range(5)]
+    mean = sum(bytes_.values()) / 4
+    assert set(one) == set(two) == set(range(sharding.N_SLOTS)) and {x.version for x in second.collect()} == {2}
+    assert all(load(one)[one[k]] > mean for k in two if one[k] != two[k]) and max(load(two)[:4]) - min(load(two)[:4]) <= max(bytes_.values())
+    grown = {x.virtual_slot: x for x in sharding.add_shard(second, sizes, 4).collect()}
+    moved = [k for k in two if k in grown and grown[k].shard != two[k]]
+    assert moved and all(grown[k].shard == 4 for k in moved) and {x.version for x in grown.values()} == {3}
+
+
+def test_sharding_odd(odd, monkeypatch):
+    for rows, most in ((sharding.GROUP_ROWS, sharding.BROADCAST_ROWS), (1, 0)):
+        monkeypatch.setattr(sharding, "N_SLOTS", 4096 if rows > 1 else 2)
+        monkeypatch.setattr(sharding, "GROUP_ROWS", rows)
+        monkeypatch.setattr(sharding, "BROADCAST_ROWS", most)
+        out = sharding.sharded(odd, 3, sharding.N_SLOTS).toPandas()
+        assert len(out) == odd.count() and all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
 
 
 def counted(w):
@@ -597,7 +651,22 @@ def test_pipeline_stages(spark, odd):
 
 
 def test_pipeline(spark, texts):
+    """The stages one after the other are run(), and the tables between them are deleted."""
     import corpus_pipeline
 
     out = corpus_pipeline.run(spark, SF).toPandas()
-    assert set(out.doc_id) <= {d for d, _ in texts} and 0 < out.doc_id.nunique() < len(texts)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = kernels.stored(stage(spark, docs, SF))
+    assert set(out.doc_id) == {x.doc_id for x in docs.select("doc_id").collect()} and 0 < out.doc_id.nunique() < len(texts)
+    tokens = packing.pieces(docs, packing.tokenizer_path()).toPandas()
+    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(map(tuple, out[key].to_numpy().tolist())) == sorted(map(tuple, tokens[key].to_numpy().tolist()))
+
+
+def test_stored_tables_are_deleted(spark):
+    since = kernels.stored_so_far()
+    gone, kept = kernels.stored(spark.range(3)), kernels.stored(spark.range(5))
+    files = gone.inputFiles()
+    kernels.drop_stored(spark, since, keep_last=True)
+    assert kept.count() == 5 and kernels.stored_so_far() == since + 1 and not any(os.path.exists(f.removeprefix("file://")) for f in files)
