@@ -26,6 +26,22 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
 
+def ancestors(path: Column) -> Column:
+    """All directories above a path, the top first."""
+    p = parts(path)
+    return F.transform(F.sequence(F.lit(0), F.size(p) - 1), lambda i: F.array_join(F.slice(p, F.lit(1), i), "/"))
+
+
+def below(path: Column, directory: Column) -> Column:
+    """A path as seen from one of its directories."""
+    return F.when(directory == "", path).otherwise(F.substring(path, F.length(directory) + 2, F.length(path)))
+
+
+def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """`df` with a broadcast hint while it has at most `rows` rows; beyond them Spark picks the join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def language(path: Column) -> Column:
     """By the last suffix, case-sensitive; a dot file has none."""
     # fixed values: suffixes of the languages
@@ -50,8 +66,3 @@ def first_reason(*pairs: tuple[Column, Column | str]) -> Column:
         value = reason if isinstance(reason, Column) else F.lit(reason)
         out = F.when(condition, value) if out is None else out.when(condition, value)
     return out
-
-
-def computed(df: DataFrame) -> DataFrame:
-    """`df` with its columns computed here: what follows uses their values, where it would else repeat their expressions."""
-    return df.select(F.explode(F.array(F.struct(*df.columns))).alias("_row")).select("_row.*")

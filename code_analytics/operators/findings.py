@@ -130,17 +130,42 @@ def blend_confidence(confidence: Column, verified: Column) -> Column:
     return F.when(verified, F.least(F.lit(1.0), confidence + 0.05)).otherwise(F.least(confidence, F.lit(0.4)))
 
 
-def check_outputs(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """(run_id, rule, violations): rules have rule, kind (must, must_not or min_findings), pattern and n."""
+def check_outputs(findings: DataFrame, rules: DataFrame, milestones: DataFrame | None = None) -> DataFrame:
+    """(run_id, rule, violations) of a configured table of rules: rule, kind, pattern and n.
+
+    Kinds: must and must_not (a pattern in the findings), min_findings (n), file_line (a finding without a file or line is a
+    violation), and of milestones, where they are given (run_id, title, summary): max_milestones (n), banned_title (one
+    violation for each title with the pattern) and summary (no summary of the run holds the pattern). Each rule is a
+    condition of its own in one aggregate, so its pattern is compiled once.
+    """
+    configured = rules.collect()  # a table of configuration
     text = F.lower(F.concat_ws(" ", "file", "description", "fix_sketch"))
-    rows = findings.select("run_id", text.alias("text")).crossJoin(F.broadcast(rules))  # a configured table of rules
-    seen = rows.groupBy("run_id", "rule", "kind", "n").agg(F.count_if(F.expr("text rlike pattern")).alias("hits"), F.count("*").alias("all"))
-    bad = (
-        F.when(F.col("kind") == "must", F.when(F.col("hits") == 0, 1).otherwise(0))
-        .when(F.col("kind") == "must_not", F.col("hits"))
-        .otherwise(F.when(F.col("all") < F.col("n"), 1).otherwise(0))
-    )
-    return seen.select("run_id", "rule", bad.cast("long").alias("violations")).where("violations > 0")
+    rows = findings.select("run_id", text.alias("text"), (F.col("file").isNull() | (F.col("file") == "") | F.coalesce(F.col("line") <= 0, F.lit(True))).alias("bare"))
+
+    def violations(r) -> Column | None:
+        if r["kind"] in ("must", "must_not"):
+            hits = F.count_if(F.col("text").rlike(r["pattern"]))
+            return hits if r["kind"] == "must_not" else F.when(hits == 0, 1).otherwise(0)
+        if r["kind"] == "min_findings":
+            return F.when(F.count("*") < r["n"], 1).otherwise(0)
+        return F.count_if("bare") if r["kind"] == "file_line" else None
+
+    def of_milestones(r) -> Column | None:
+        if r["kind"] == "max_milestones":
+            return F.when(F.count("*") > r["n"], 1).otherwise(0)
+        if r["kind"] == "banned_title":
+            return F.count_if(F.lower("title").rlike(r["pattern"]))
+        return F.when(F.count_if(F.lower("summary").rlike(r["pattern"])) == 0, 1).otherwise(0) if r["kind"] == "summary" else None
+
+    found = []
+    for frame, rule in ((rows, violations), (milestones, of_milestones)):
+        counts = [c.cast("long").alias(r["rule"]) for r in configured if frame is not None and (c := rule(r)) is not None]
+        if counts:
+            names = [r["rule"] for r in configured if rule(r) is not None]
+            each = F.explode(F.array(*[F.struct(F.lit(x).alias("rule"), F.col(f"`{x}`").alias("violations")) for x in names]))
+            found.append(frame.groupBy("run_id").agg(*counts).select("run_id", each.alias("v")).select("run_id", "v.*"))
+    none = findings.select("run_id", F.lit("").alias("rule"), F.lit(0).cast("long").alias("violations")).limit(0)
+    return reduce(DataFrame.unionByName, found, none).where("violations > 0")
 
 
 def render_reports(findings: DataFrame, collapse_at: int = 6) -> DataFrame:

@@ -37,7 +37,10 @@ def neighborhood(index: DataFrame, edges: DataFrame, targets: DataFrame, n_edges
     out_edges = targets.join(edges.withColumnRenamed("src_file", "file_path"), ["repo", "file_path"])
     resolved = out_edges.where("dst_file is not null").withColumn("other", F.col("dst_file"))
     incoming = targets.join(edges.where("dst_file is not null").withColumnRenamed("dst_file", "file_path"), ["repo", "file_path"]).withColumn("other", F.col("src_file"))
-    sib = targets.withColumn("dir", parent(F.col("file_path"))).join(index.select("repo", F.col("file_path").alias("other"), parent(F.col("file_path")).alias("dir")), ["repo", "dir"]).where("other <> file_path")
+    # of a directory the first n_siblings + 1 files are all that any of its files can have as siblings
+    heads = index.select("repo", F.col("file_path").alias("other"), parent(F.col("file_path")).alias("dir"))
+    heads = heads.withColumn("n", F.row_number().over(Window.partitionBy("repo", "dir").orderBy("other"))).where(F.col("n") <= n_siblings + 1).drop("n")
+    sib = targets.withColumn("dir", parent(F.col("file_path"))).join(heads, ["repo", "dir"]).where("other <> file_path")
     per_file = Window.partitionBy("repo", "file_path")
     sib = sib.withColumn("ordinal", F.row_number().over(per_file.orderBy("other"))).where(F.col("ordinal") <= n_siblings)
     missing = out_edges.where("dst_file is null").withColumn("ordinal", F.row_number().over(per_file.orderBy("raw_import")))

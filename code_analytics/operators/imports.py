@@ -5,27 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import parent, parts, strip
+from ..functions.text import ancestors, below, parent, parts, strip
 from .selection import SKIP_DIRS, TEST_DIRS, in_dirs
+from .symbols import structure
 
 # fixed values: suffixes and index files tried for a relative JavaScript or TypeScript import, in this order
 JS_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 JS_INDEX = tuple("/index" + s for s in JS_SUFFIXES)
 
-PY_IMPORT = r"(?m)^[ \t]*((?:from[ \t]+\S+[ \t]+import[ \t]+(?:\([^)]*\)|[^\n]*))|import[ \t]+[^\n]+)"
-JS_IMPORT = r"(?m)^[ \t]*(import\s+(?:[^'\";]*?from\s+)?['\"][^'\"\n]+['\"];?)"
-
 
 def extract_imports(files: DataFrame) -> DataFrame:
     """(repo, file_path, language, ord, raw, start_line) of every import statement; multi-line ones whole."""
-    is_py = F.col("language") == "python"
-    pattern = F.when(is_py, F.lit(PY_IMPORT)).otherwise(F.lit(JS_IMPORT))
-    head = F.when(is_py, F.lit(r"^[ \t]*(from[ \t]+\S+[ \t]+import[ \t]+|import[ \t]+)")).otherwise(F.lit(r"^[ \t]*import\s*([^(\s]|$)"))
-    # the n-th statement begins on the n-th line that looks like the head of one
-    begins = F.filter(F.transform(F.split("content", "\n"), lambda x, i: F.when(F.regexp_like(x, head), i + 1)), lambda i: i.isNotNull())
-    found = files.select("repo", "file_path", "language", F.regexp_extract_all("content", pattern, F.lit(1)).alias("_all"), begins.alias("_at"))
-    rows = found.select("repo", "file_path", "language", F.posexplode("_all").alias("ord", "raw"), "_at")
-    return rows.select("repo", "file_path", "language", "ord", F.rtrim("raw").alias("raw"), F.get("_at", F.col("ord")).cast("int").alias("start_line"))
+    found = files.select("repo", "file_path", "language", structure(F.col("content"), F.col("language"))["imports"].alias("_all"))
+    rows = found.select("repo", "file_path", "language", F.posexplode("_all").alias("ord", "i"))
+    return rows.select("repo", "file_path", "language", "ord", F.rtrim("i.raw").alias("raw"), F.col("i.start_line").alias("start_line"))
 
 
 def package_roots(files: DataFrame) -> DataFrame:
@@ -48,27 +41,43 @@ def _join_path(base: Column, rest: Column) -> Column:
     return F.when(base == "", rest).when(rest == "", base).otherwise(F.concat(base, F.lit("/"), rest))
 
 
-def python_candidates(imports: DataFrame, roots: DataFrame) -> DataFrame:
-    """(import columns, path, rank): the files a Python import may mean, best first."""
+def python_modules(imports: DataFrame) -> DataFrame:
+    """`imports` of Python with dots (of a relative import) and tail, the module as a path."""
     text = F.regexp_replace(strip(F.col("raw")), r";+$", "")
     module = F.when(text.startswith("from ") & text.contains(" import "), strip(F.regexp_extract(text, r"^from\s+(.*?) import ", 1))).when(
         text.startswith("import "), F.regexp_extract(text, r"^import\s+([^\s,;]+)", 1)
     )
     rows = imports.where("language = 'python'").withColumn("module", module).where("module is not null and module <> ''")
-    dots = F.length(F.regexp_extract("module", r"^(\.*)", 1))
-    rows = rows.withColumn("dots", dots).withColumn("tail", F.replace(F.substring("module", F.col("dots") + 1, F.length("module")), F.lit("."), F.lit("/")))
+    rows = rows.withColumn("dots", F.length(F.regexp_extract("module", r"^(\.*)", 1)))
+    return rows.withColumn("tail", F.replace(F.substring("module", F.col("dots") + 1, F.length("module")), F.lit("."), F.lit("/")))
+
+
+def _module_files(stem: Column) -> Column:
+    """The files a module may be, best first."""
+    return F.array(F.struct(F.lit(0).alias("k"), F.concat(stem, F.lit(".py")).alias("path")), F.struct(F.lit(1).alias("k"), _join_path(stem, F.lit("__init__.py")).alias("path")))
+
+
+def relative_candidates(modules: DataFrame, *keep: str) -> DataFrame:
+    """(keep, path, rank): the files a relative Python import may mean."""
     here = F.filter(parts(parent(F.col("file_path"))), lambda x: x != "")
-    relative = rows.where("dots > 0").withColumn("here", here).where("dots - 1 <= size(here)")
+    rows = modules.where("dots > 0").withColumn("here", here).where("dots - 1 <= size(here)")
     base = F.array_join(F.slice("here", F.lit(1), F.size("here") - (F.col("dots") - 1)), "/")
-    relative = relative.withColumn("base", base).withColumn("root_ord", F.lit(0))
-    absolute = rows.where("dots = 0").join(roots.withColumnRenamed("root", "base"), "repo")
-    keep = [*imports.columns, "tail", "base", "root_ord"]
-    both = relative.select(*keep).unionByName(absolute.select(*keep))
-    stem = _join_path(F.col("base"), F.col("tail"))
-    one = F.struct((2 * F.col("root_ord")).alias("rank"), F.concat(stem, F.lit(".py")).alias("path"))
-    two = F.struct((2 * F.col("root_ord") + 1).alias("rank"), _join_path(stem, F.lit("__init__.py")).alias("path"))
-    candidates = F.when(F.col("tail") == "", F.array(two)).otherwise(F.array(one, two))
-    return both.select(*imports.columns, F.explode(candidates).alias("c")).select(*imports.columns, "c.path", "c.rank")
+    files = _module_files(_join_path(base, F.col("tail")))
+    files = F.when(F.col("tail") == "", F.slice(files, 2, 1)).otherwise(files)
+    return rows.select(*keep, F.explode(files).alias("c")).select(*keep, "c.path", F.col("c.k").alias("rank"))
+
+
+def absolute_hits(modules: DataFrame, files: DataFrame, roots: DataFrame, *keep: str) -> DataFrame:
+    """(keep, path, rank): files that an absolute Python import means under some package root.
+
+    A file has as many names as it has roots above it, so an import meets its files by an equal name, not every root of its
+    repository.
+    """
+    py = files.where(F.col("file_path").endswith(".py")).select("repo", F.col("file_path").alias("path")).distinct()
+    named = py.select("repo", "path", F.explode(ancestors(F.col("path"))).alias("root")).join(roots, ["repo", "root"])
+    named = named.select("repo", "path", "root_ord", below(F.col("path"), F.col("root")).alias("name"))
+    asked = modules.where("dots = 0").select(*keep, F.explode(_module_files(F.col("tail"))).alias("c")).select(*keep, F.col("c.path").alias("name"), "c.k")
+    return asked.join(named, ["repo", "name"]).select(*keep, "path", (2 * F.col("root_ord") + F.col("k")).alias("rank"))
 
 
 def normalised(path: Column) -> Column:
@@ -99,8 +108,10 @@ def resolve_imports(imports: DataFrame, files: DataFrame, roots: DataFrame) -> D
     """
     keys = ["repo", "file_path", "language", "ord", "raw"]
     imports = imports.select(*keys).where("raw <> ''")
-    candidates = python_candidates(imports, roots).unionByName(js_candidates(imports))
+    modules = python_modules(imports)
+    candidates = relative_candidates(modules, *keys).unionByName(js_candidates(imports))
     there = files.select("repo", F.col("file_path").alias("path")).distinct()
-    hit = candidates.join(there, ["repo", "path"]).groupBy("repo", "file_path", "ord").agg(F.min_by("path", "rank").alias("dst_file"))
+    hits = candidates.join(there, ["repo", "path"]).unionByName(absolute_hits(modules, files, roots, *keys))
+    hit = hits.groupBy("repo", "file_path", "ord").agg(F.min_by("path", "rank").alias("dst_file"))
     out = imports.join(hit, ["repo", "file_path", "ord"], "left")
     return out.select("repo", F.col("file_path").alias("src_file"), "dst_file", F.col("raw").alias("raw_import"), "language")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_reason, parent
+from ..functions.text import ancestors, below, first_reason, parent
 from .selection import SKIP_DIRS, TEST_DIRS, in_dirs
 
 MAX_LINES = 500
@@ -17,9 +17,8 @@ def _stem(path: str = "file_path"):
 
 def importable_names(targets: DataFrame, roots: DataFrame) -> DataFrame:
     """(repo, file_path, name): the dotted names of a file under every package root; __init__ is left out."""
-    rows = targets.select("repo", "file_path").join(roots, "repo")
-    under = rows.where("root = '' or startswith(file_path, concat(root, '/'))")
-    rest = F.when(F.col("root") == "", F.col("file_path")).otherwise(F.expr("substring(file_path, length(root) + 2)"))
+    under = targets.select("repo", "file_path", F.explode(ancestors(F.col("file_path"))).alias("root")).join(roots, ["repo", "root"])
+    rest = below(F.col("file_path"), F.col("root"))
     name = F.regexp_replace(F.replace(F.regexp_replace(rest, r"\.py$", ""), F.lit("/"), F.lit(".")), r"\.?__init__$", "")
     return under.select("repo", "file_path", name.alias("name")).where("name <> ''").distinct()
 

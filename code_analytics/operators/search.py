@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bounded
+
 SEPARATORS = r"[^\p{L}\p{N}]+"
+QUERY_BLOCK = 1_000
 
 
 def symbol_lookup(index: DataFrame, symbols: DataFrame, queries: DataFrame, cap: int = 10) -> DataFrame:
@@ -13,9 +18,12 @@ def symbol_lookup(index: DataFrame, symbols: DataFrame, queries: DataFrame, cap:
     q = queries.where("trim(query) <> ''").withColumn("dot", F.instr("query", "."))
     q = q.select("query", F.when(F.col("dot") > 0, F.substring_index("query", ".", 1)).alias("q_parent"), F.when(F.col("dot") > 0, F.expr("substring(query, dot + 1)")).otherwise(F.col("query")).alias("name"))
     hits = symbols.join(q, "name").where("q_parent is null or (parent_class = q_parent and kind not in ('class', 'interface'))")
-    hits = hits.join(index.where("content is not null").select("repo", "file_path", "content"), ["repo", "file_path"])
+    files = index.where("content is not null")
+    hits = hits.join(files.select("repo", "file_path"), ["repo", "file_path"], "left_semi")
     w = Window.partitionBy("query").orderBy("repo", "file_path", "start_line", "kind")
     hits = hits.withColumn("ordinal", F.row_number().over(w)).withColumn("total", F.count("*").over(Window.partitionBy("query"))).where(F.col("ordinal") <= cap)
+    # only the hits under the cap meet their contents
+    hits = hits.join(files.select("repo", "file_path", "content"), ["repo", "file_path"])
     return hits.select("query", "ordinal", "total", "repo", "file_path", "name", "kind", "start_line", "end_line", code_slice(F.col("content"), F.col("start_line"), F.col("end_line")).alias("code"))
 
 
@@ -43,7 +51,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def fts_match(tokens: DataFrame, queries: DataFrame, *keys: str) -> DataFrame:
     """(query, keys, hits) of the documents that hold all terms."""
-    hit = tokens.join(F.broadcast(query_terms(queries)), tokens.token == F.col("term"))
+    hit = tokens.join(bounded(query_terms(queries)), tokens.token == F.col("term"))
     return hit.groupBy("query", *keys).agg(F.count("*").alias("hits"), F.countDistinct("term").alias("found"), F.max("n_terms").alias("n")).where("found = n").select("query", *keys, "hits")
 
 
@@ -53,7 +61,7 @@ def cover_density(tokens: DataFrame, queries: DataFrame, *keys: str) -> DataFram
     Walking a document's hits in order, the left end of the tightest span that ends here and holds all terms is the
     smallest of the last places of the terms; among ends with the same left end the first is minimal.
     """
-    hit = tokens.join(F.broadcast(query_terms(queries)), tokens.token == F.col("term")).select("query", *keys, "pos", "term", "n_terms")
+    hit = tokens.join(bounded(query_terms(queries)), tokens.token == F.col("term")).select("query", *keys, "pos", "term", "n_terms")
     # last place of each term so far, folded over the ordered hits of the document
     lists = hit.groupBy("query", *keys, "n_terms").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("h"))
     lists = lists.where(F.size(F.array_distinct(F.transform("h", lambda x: x["term"]))) == F.col("n_terms"))
@@ -74,10 +82,11 @@ def cover_density(tokens: DataFrame, queries: DataFrame, *keys: str) -> DataFram
 
 
 def headline(docs: DataFrame, queries: DataFrame, key: str, words: int = 20) -> DataFrame:
-    """(query, key, headline): words around the first hit, hits between **; the first words where nothing hits."""
+    """(query, key, headline) of the documents that hold a term of the query: words around the first hit, hits between **."""
     terms = queries.select("query", F.array_distinct(F.filter(F.split(F.lower("query"), SEPARATORS), lambda x: x != "")).alias("terms"))
     w = F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+"), "")
-    rows = docs.select(key, w.alias("w")).crossJoin(F.broadcast(terms))  # a stated query set against all rows
+    found = tokenize(docs, key).join(bounded(query_terms(queries)), F.col("token") == F.col("term")).select("query", key).distinct()
+    rows = found.join(bounded(terms), "query").join(docs.select(key, w.alias("w")), key)
     is_hit = lambda x: F.arrays_overlap(F.split(F.lower(x), SEPARATORS), F.col("terms"))
     first = F.array_position(F.transform("w", is_hit), True)
     start = F.greatest(F.lit(1), first.cast("int") - F.lit(words // 2))
@@ -100,22 +109,28 @@ def dot(a: Column, b: Column) -> Column:
 def vector_topk(docs: DataFrame, queries: DataFrame, k: int, max_dist: float = 0.5) -> DataFrame:
     """(query, vec_id, distance, rank): the k nearest by cosine distance, then those beyond max_dist left out.
 
-    The queries are a stated set that is sent to every task; a task keeps its own k nearest before the shuffle
-    (Spark's group limit below the window).
+    The queries are a stated set. They are sent to the tasks in blocks of QUERY_BLOCK; a task keeps its own k nearest
+    before the shuffle (Spark's group limit below the window).
     """
     d = docs.where("embedding is not null").select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("n"))
     q = queries.where("embedding is not null").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("m"))
-    rows = d.crossJoin(F.broadcast(q)).select("query", "vec_id", (F.round(1 - dot(F.col("embedding"), F.col("q")) / (F.col("n") * F.col("m")), 6) + F.lit(0.0)).alias("distance"))
+    n_blocks = -(-queries.count() // QUERY_BLOCK)
+    distance = F.round(1 - dot(F.col("embedding"), F.col("q")) / (F.col("n") * F.col("m")), 6) + F.lit(0.0)
     w = Window.partitionBy("query").orderBy("distance", "vec_id")
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).where(F.col("distance") <= max_dist)
+    parts = []
+    for b in range(max(n_blocks, 1)):
+        block = q if n_blocks <= 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == b)
+        rows = d.crossJoin(F.broadcast(block)).select("query", "vec_id", distance.alias("distance"))
+        parts.append(rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).where(F.col("distance") <= max_dist))
+    return reduce(DataFrame.union, parts)
 
 
 def matching_symbols(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     """(query, repo, file_path, n): symbols whose lower-cased name holds a term of at least two characters."""
     terms = queries.select("query", F.filter(F.split(F.lower("query"), r"\s+"), lambda x: F.length(x) >= 2).alias("terms"))
-    rows = symbols.select("repo", "file_path", "name").crossJoin(F.broadcast(terms))  # a stated query set
-    hit = F.exists("terms", lambda t: F.contains(F.lower("name"), t))
-    return rows.where(hit).groupBy("query", "repo", "file_path").agg(F.count("*").alias("n"))
+    # a stated query set against the different names, which are far fewer than the symbols
+    names = symbols.select("name").distinct().crossJoin(bounded(terms)).where(F.exists("terms", lambda t: F.contains(F.lower("name"), t)))
+    return symbols.select("repo", "file_path", "name").join(names.select("query", "name"), "name").groupBy("query", "repo", "file_path").agg(F.count("*").alias("n"))
 
 
 def hybrid_search(fts: DataFrame, vectors: DataFrame, boosts: DataFrame, limit: int = 10) -> DataFrame:

@@ -1,115 +1,38 @@
-"""Symbols from the lines of a file. Everything happens inside the row of the file; nothing is shuffled.
-
-Text inside triple quotes and block comments is blanked before the scan, with its line breaks kept.
-"""
+"""Symbols of source files. Each text is parsed inside the row of its file; nothing is shuffled."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import computed
-
-DOCSTRING_CHARS = 200
+from ..functions import parsing
 
+STRUCTURE = (
+    "symbols array<struct<name:string,kind:string,start_line:int,end_line:int,parent_class:string,signature:string,docstring:string,decorators:array<string>>>, "
+    "imports array<struct<raw:string,start_line:int>>"
+)
 
-def _blanked(content: Column, fence: str) -> Column:
-    return F.array_join(F.transform(F.split(content, fence), lambda s, i: F.when(i % 2 == 1, F.regexp_replace(s, r"[^\n]", "")).otherwise(s)), "")
 
+def structure(content: Column, language: Column) -> Column:
+    """struct<symbols, imports> of a text. A grammar is beyond built-in functions, so texts go to Python in Arrow batches."""
+    return F.udf(parsing.structure, f"struct<{STRUCTURE.replace('symbols array', 'symbols:array').replace('imports array', 'imports:array')}>", useArrow=True)(content, language)
 
-def _indent(x: Column) -> Column:
-    return F.length(F.regexp_extract(x, r"^([ \t]*)", 1))
 
+def extract_symbols(files: DataFrame) -> DataFrame:
+    """(repo, file_path, name, kind, start_line, end_line, parent_class, signature, docstring, decorators) of each symbol.
 
-def python_symbols(files: DataFrame) -> DataFrame:
-    """(repo, file_path, name, kind, start_line, end_line, parent_class, signature, docstring, decorators)."""
-    py = files.where("language = 'python'")
-    py = py.select("repo", "file_path", F.split("content", "\n").alias("raw"), F.split(_blanked(F.col("content"), '"""'), "\n").alias("code"))
-    head = r"^[ \t]*(async[ \t]+)?(def|class)[ \t]+(\w+)"
-    lines = F.transform(
-        "code",
-        lambda x, i: F.struct(
-            (i + 1).alias("line"),
-            _indent(x).alias("indent"),
-            x.rlike(r"^\s*(#.*)?$").alias("blank"),
-            F.regexp_extract(x, head, 2).alias("word"),
-            (F.regexp_extract(x, head, 1) != "").alias("is_async"),
-            F.regexp_extract(x, head, 3).alias("name"),
-        ),
-    )
-    py = computed(computed(py).withColumn("l", lines)).withColumn("solid", F.filter("l", lambda x: ~x["blank"]))
-    py = computed(py.withColumn("heads", F.filter("l", lambda x: x["word"] != "")).drop("l")).where("size(heads) > 0")
-    # a block ends before the next line that is not deeper
-    next_ = lambda h: F.array_min(F.transform(F.filter("solid", lambda y: (y["line"] > h["line"]) & (y["indent"] <= h["indent"])), lambda y: y["line"]))
-    py = py.withColumn("heads", F.transform("heads", lambda h: h.withField("next", F.coalesce(next_(h), F.lit(2**30)))))
-    last = lambda h: F.array_max(F.transform(F.filter("solid", lambda y: (y["line"] >= h["line"]) & (y["line"] < h["next"])), lambda y: y["line"]))
-    rows = py.select("repo", "file_path", "raw", "heads", F.explode(F.transform("heads", lambda h: h.withField("end", last(h)))).alias("h"))
-    around = F.filter("heads", lambda c: (c["word"] == "class") & (c["line"] < F.col("h.line")) & (c["next"] > F.col("h.line")) & (c["indent"] < F.col("h.indent")))
-    rows = rows.withColumn("parent", F.when(F.col("h.word") == "def", F.get(F.transform(around, lambda c: c["name"]), F.size(around) - 1)))
-    base = F.when(F.col("h.word") == "class", "class").otherwise(F.concat(F.when(F.col("h.is_async"), "async_").otherwise(""), F.when(F.col("parent").isNotNull(), "method").otherwise("function")))
-    text = F.get("raw", F.col("h.line") - 1)
-    sig = F.regexp_extract(text, r"def[ \t]+(\w+[ \t]*\(.*\)(?:[ \t]*->[ \t]*[^:]+)?)[ \t]*:", 1)
-    below = F.get("raw", F.col("h.line"))
-    doc = F.substring(F.trim(F.regexp_extract(below, r"""^\s*(?:\"\"\"|'''|"|')(.*?)(?:\"\"\"|'''|"|')?\s*$""", 1)), 1, DOCSTRING_CHARS)
-    before = F.slice("raw", F.lit(1), F.col("h.line") - 1)
-    plain = F.array_max(F.transform(before, lambda x, i: F.when(F.ltrim(x).startswith("@"), 0).otherwise(i + 1)))
-    decorators = F.transform(F.slice("raw", F.coalesce(plain, F.lit(0)) + 1, F.col("h.line") - 1 - F.coalesce(plain, F.lit(0))), lambda x: F.trim(x))
-    return rows.select(
-        "repo", "file_path", F.col("h.name").alias("name"), base.alias("kind"), F.col("h.line").cast("int").alias("start_line"), F.col("h.end").cast("int").alias("end_line"), F.col("parent").alias("parent_class"),
-        F.when((F.col("h.word") == "def") & (sig != ""), F.concat(F.lit("def "), sig)).alias("signature"),
-        F.when(doc != "", doc).alias("docstring"), decorators.alias("decorators"),
-    )
+    A file in an unknown language, or one that can't be parsed, has none.
+    """
+    found = files.where("language in ('python', 'javascript', 'typescript')").select("repo", "file_path", structure(F.col("content"), F.col("language"))["symbols"].alias("s"))
+    return found.select("repo", "file_path", F.explode("s").alias("s")).select("repo", "file_path", "s.*")
 
 
-JS_HEADS = (
-    ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"),
-    ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"),
-    ("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*(\w+)\s*[(<]"),
-    ("arrow", r"^\s*(?:export\s+)?(?:const|let|var)\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*(?::[^=]+)?=>"),
-    ("method", r"^\s+(?:public\s+|private\s+|protected\s+|static\s+)*(?:async\s+)?(?!(?:if|for|while|switch|catch|return|function)\b)(\w+)\s*\([^;]*\)\s*(?::[^{]+)?\{"),
-)
+def python_symbols(files: DataFrame) -> DataFrame:
+    return extract_symbols(files.where("language = 'python'"))
 
 
 def js_symbols(files: DataFrame) -> DataFrame:
-    """As python_symbols, for JavaScript and TypeScript; the end of a symbol is where its braces close."""
-    js = files.where("language in ('javascript', 'typescript')").select("repo", "file_path", "language", F.split("content", "\n").alias("raw"))
-    kind, name = F.lit(None).cast("string"), F.lit("")
-    for k, pattern in reversed(JS_HEADS):
-        hit = lambda x, p=pattern: F.regexp_extract(x, p, 1)
-        kind_ = lambda x, k=k, hit=hit, old=kind: F.when(hit(x) != "", F.lit(k)).otherwise(old(x) if callable(old) and not isinstance(old, Column) else old)
-        name_ = lambda x, hit=hit, old=name: F.when(hit(x) != "", hit(x)).otherwise(old(x) if callable(old) and not isinstance(old, Column) else old)
-        kind, name = kind_, name_
-    braces = lambda x: F.length(x) - F.length(F.replace(x, F.lit("{"), F.lit(""))) - (F.length(x) - F.length(F.replace(x, F.lit("}"), F.lit(""))))
-    opens = lambda x: x.contains("{")
-    lines = F.transform("raw", lambda x, i: F.struct((i + 1).alias("line"), kind(x).alias("kind"), name(x).alias("name"), x.rlike(r"\basync\b").alias("is_async"), braces(x).alias("delta"), opens(x).alias("opens")))
-    js = computed(computed(js).withColumn("l", lines))
-    depth = F.aggregate("l", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["delta"])))
-    js = computed(js.withColumn("depth", depth).withColumn("heads", F.filter("l", lambda x: x["kind"].isNotNull()))).where("size(heads) > 0")
-
-    def end(h: Column) -> Column:
-        start = F.get("depth", h["line"] - 1)
-        closed = F.filter("l", lambda y: (y["line"] >= h["line"]) & (F.get("depth", y["line"]) <= start) & ((y["line"] > h["line"]) | y["opens"] | (h["kind"] == "arrow")))
-        return F.coalesce(F.array_min(F.transform(closed, lambda y: y["line"])), F.size("raw"))
-
-    js = js.withColumn("heads", F.transform("heads", lambda h: h.withField("end", end(h))))
-    rows = js.select("repo", "file_path", "language", "heads", "raw", F.explode("heads").alias("h")).where("language = 'typescript' or h.kind <> 'interface'")
-    around = F.filter("heads", lambda c: (c["kind"] == "class") & (c["line"] < F.col("h.line")) & (c["end"] >= F.col("h.line")))
-    parent = F.when(F.col("h.kind") == "method", F.get(F.transform(around, lambda c: c["name"]), F.size(around) - 1))
-    base = F.when(F.col("h.kind") == "arrow", "function").otherwise(F.col("h.kind"))
-    out = F.when(base.isin("function", "method") & F.col("h.is_async"), F.concat(F.lit("async_"), base)).otherwise(base)
-    text = F.get("raw", F.col("h.line") - 1)
-    sig = F.regexp_extract(text, r"(\w+\s*\([^)]*\)(?:\s*:\s*[^={]+)?)", 1)
-    above = F.get("raw", F.col("h.line") - 2)
-    doc = F.substring(F.trim(F.regexp_extract(above, r"/\*\*\s*(.*?)\s*\*/", 1)), 1, DOCSTRING_CHARS)
-    return rows.select(
-        "repo", "file_path", F.col("h.name").alias("name"), out.alias("kind"), F.col("h.line").cast("int").alias("start_line"), F.col("h.end").cast("int").alias("end_line"), parent.alias("parent_class"),
-        F.when(F.col("h.kind").isin("function", "method") & (sig != ""), F.concat(F.lit("function "), F.trim(sig))).alias("signature"), F.when(doc != "", doc).alias("docstring"), F.array().cast("array<string>").alias("decorators"),
-    )
-
-
-def extract_symbols(files: DataFrame) -> DataFrame:
-    """Symbols of all files; a file in an unknown language has none."""
-    return python_symbols(files).unionByName(js_symbols(files))
+    return extract_symbols(files.where("language in ('javascript', 'typescript')"))
 
 
 def symbol_table(symbols: DataFrame) -> DataFrame:

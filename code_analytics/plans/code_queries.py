@@ -218,7 +218,7 @@ def q7_hash_embed(spark: SparkSession, d: str) -> DataFrame:
 
 def q8_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return Q.vector_topk(e, e.where("vec_id < 20"), 10, 1.0).select("query", "vec_id", "distance", "rank")
+    return Q.vector_topk(e, e.where("vec_id % 50 = 0"), 10, 1.0).select("query", "vec_id", "distance", "rank")
 
 
 def q9_has_embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -237,11 +237,13 @@ def q12_matching_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q11_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by text rank and by the distance of their vector to vector 0; every seventh has a boost."""
+    """Documents by text rank and by the distance of their vector to the vector of the query; every seventh has a boost."""
     fts = q5_cover_density(spark, d).select("query", F.col("doc_id").alias("key"), "rank")
     e = table(spark, d, "embeddings")
-    near = Q.vector_topk(e, e.where("vec_id = 0"), 30, 2.0).select(F.col("vec_id").alias("key"), "distance")
-    vectors = near.crossJoin(F.broadcast(_text_queries(spark, d).where("query <> 'tion'")))  # 30 rows for each query
+    asked = table(spark, d, "region").select((F.col("r_regionkey") * 50).cast("long").alias("vec_id"), F.element_at(F.array(*[F.lit(x) for x in QUERY_TEXTS]), (F.col("r_regionkey") + 1).cast("int")).alias("text"))
+    asked = asked.where("text <> 'tion'")
+    near = Q.vector_topk(e, e.join(F.broadcast(asked), "vec_id", "left_semi"), 30, 2.0)  # regions are five
+    vectors = near.join(F.broadcast(asked.withColumnRenamed("vec_id", "query")), "query").select(F.col("text").alias("query"), F.col("vec_id").alias("key"), "distance")
     boosts = fts.where("key % 7 = 0").select("query", "key", F.lit(1).cast("long").alias("n"))
     return Q.hybrid_search(fts, vectors, boosts)
 
@@ -400,23 +402,23 @@ ORACLE_SQL = {
     "q5_cover_density": "with " + _TOK + ", " + _COVER + ", hc as (select query, doc_id, count(*) as hits from h group by all) select query, doc_id, rank, hits from fts join hc using (query, doc_id)",
     "q6_headline": "with " + _TOK + r""", w as (select doc_id, query, list_filter(regexp_split_to_array(coalesce(text,''),'[ \t\n\x0B\f\r]+'), lambda x: x<>'') as w, string_split(query,' ') as ts from documents, qq),
       f as (select *, list_transform(w, lambda x: list_has_any(regexp_split_to_array(lower(x),'[^\p{L}\p{N}]+'), ts)) as hit from w),
-      s as (select *, list_position(hit, true) as p from f), b as (select *, case when p is null or p=0 then 1 else greatest(1, p-10) end as st from s)
+      s as (select *, list_position(hit, true) as p from f), b as (select *, greatest(1, p-10) as st from s where p>0)
       select query, doc_id, coalesce(array_to_string(list_transform(range(st, least(st+20, len(w)+1)), lambda i: case when hit[i] then '**'||w[i]||'**' else w[i] end), ' '),'') as headline from b""",
     "q7_hash_embed": """with e as (select doc_id, list_transform(range(0,8), lambda i: (('0x'||substr(sha256(substr(text,1,8000)),1+2*i,2))::int)::double/127.5-1) as v from documents where length(text)>0),
       n as (select doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x*x))) as s from e)
       select documents.doc_id, round(v[1]/s,6) as e0, round(v[8]/s,6) as e7, round(list_sum(list_transform(v, lambda x: (x/s)*(x/s))),6) as norm from documents left join n using (doc_id)""",
-    "q8_vector_topk": """with d as (select vec_id, embedding::double[] as e from embeddings), p as (select q.vec_id as query, d.vec_id, round(1-list_dot_product(d.e,q.e)/(sqrt(list_dot_product(d.e,d.e))*sqrt(list_dot_product(q.e,q.e))),6)+0.0 as distance from d, (select * from d where vec_id<20) q)
+    "q8_vector_topk": """with d as (select vec_id, embedding::double[] as e from embeddings), p as (select q.vec_id as query, d.vec_id, round(1-list_dot_product(d.e,q.e)/(sqrt(list_dot_product(d.e,d.e))*sqrt(list_dot_product(q.e,q.e))),6)+0.0 as distance from d, (select * from d where vec_id%50=0) q)
       select * from (select query, vec_id, distance, cast(row_number() over (partition by query order by distance, vec_id) as int) as rank from p) where rank<=10 and distance<=1.0""",
     "q9_has_embeddings": "select distinct 'r'||cast(vec_id%7 as varchar) as repo, case when vec_id%7>2 then 'hybrid' else 'fts' end as mode from embeddings",
     "q10_normalise_ranks": "with " + _TOK + ", " + _COVER + " select query, doc_id, round(rank/max(rank) over (partition by query),6) as norm from fts",
     "q12_matching_symbols": _with(*_SYM) + ", q as (select 'a c'||cast(n_nationkey as varchar)||' method' as query, 'c'||cast(n_nationkey as varchar) as t from nation) select query, repo, file_path, count(*) as n from sym join q on contains(lower(name), t) or contains(lower(name),'method') group by all",
-    "q11_hybrid_search": "with " + _TOK + ", " + _COVER + """, e as (select vec_id, embedding::double[] as e from embeddings), z as (select e from e where vec_id=0),
-      v as (select vec_id as key, round(1-list_dot_product(e.e,z.e)/(sqrt(list_dot_product(e.e,e.e))*sqrt(list_dot_product(z.e,z.e))),6)+0.0 as distance from e, z order by distance, key limit 30),
-      vq as (select query, key, distance from v, (select query from qq where query<>'tion')),
+    "q11_hybrid_search": "with " + _TOK + ", " + _COVER + """, e as (select vec_id, embedding::double[] as e from embeddings), z as (select query, e.e from e join (select 50*r_regionkey as vec_id, case r_regionkey when 0 then 'the of' when 1 then 'tion' when 2 then 'was inin' when 3 then 'der und' else 'la de' end as query from region) using (vec_id) where query<>'tion'),
+      v as (select query, vec_id as key, round(1-list_dot_product(e.e,z.e)/(sqrt(list_dot_product(e.e,e.e))*sqrt(list_dot_product(z.e,z.e))),6)+0.0 as distance from e, z),
+      vq as (select query, key, distance from (select *, row_number() over (partition by query order by distance, key) as n from v) where n<=30),
       f as (select query, doc_id as key, rank, max(rank) over (partition by query) as top from (select *, row_number() over (partition by query order by rank desc, doc_id) as n from fts) where n<=30),
       m as (select coalesce(f.query,vq.query) as query, coalesce(f.key,vq.key) as key, rank, top, distance from f full join vq on f.query=vq.query and f.key=vq.key),
       b as (select query, doc_id as key from fts where doc_id%7=0),
-      sc as (select m.query, m.key, round(case when m.query<>'tion' then 0.5*coalesce(case when top>0 then rank/top else 0 end,0)+0.5*coalesce(greatest(0,1-distance/2),0) else coalesce(rank,0) end + case when b.key is not null then 0.3 else 0 end,4) as rank from m left join b on b.query=m.query and b.key=m.key)
+      sc as (select m.query, m.key, round(case when count(distance) over (partition by m.query)>0 then 0.5*coalesce(case when top>0 then rank/top else 0 end,0)+0.5*coalesce(greatest(0,1-distance/2),0) else coalesce(rank,0) end + case when b.key is not null then 0.3 else 0 end,4) as rank from m left join b on b.query=m.query and b.key=m.key)
       select * from (select query, key, rank, cast(row_number() over (partition by query order by rank desc, key) as int) as position, count(*) over (partition by query) as total from sc) where position<=10""",
     "t2_importable_names": _with(_SEL, _ROOTS) + r"""select * from (select distinct s.repo, s.file_path, regexp_replace(replace(regexp_replace(case when root='' then s.file_path else substr(s.file_path, length(root)+2) end,'\.py$',''),'/','.'),'\.?__init__$','') as name
       from sel s join roots r on r.repo=s.repo where language='python' and (root='' or starts_with(s.file_path, root||'/'))) where name<>''""",

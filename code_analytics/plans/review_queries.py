@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import decisions as A
@@ -144,7 +144,7 @@ def f9_check_outputs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def f10_render_reports(spark: SparkSession, d: str) -> DataFrame:
-    f = derived(spark, d, "findings").where("seq % 3 = 0").withColumn("run_id", F.col("seq") % 1000)
+    f = derived(spark, d, "findings").withColumn("run_id", F.col("seq") % 1000)
     return R.render_reports(f).select("run_id", "n_findings", "n_files", "collapsed", "body")
 
 
@@ -159,8 +159,9 @@ def a1_review_decisions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a1_issue_decisions(spark: SparkSession, d: str) -> DataFrame:
-    f = R.convert_findings(derived(spark, d, "findings")).withColumn("idx", (F.col("seq") % 4).cast("int"))
-    m = _milestones(spark, d).where("seq % 20 = 0").select("run_id", F.col("seq").alias("milestone"), F.lit("org/r").alias("repo"), F.lit("t").alias("title"), "finding_indices", "confidence")
+    place = F.row_number().over(Window.partitionBy("run_id").orderBy("seq")) - 1
+    f = R.convert_findings(derived(spark, d, "findings")).withColumn("idx", place)
+    m = _milestones(spark, d).select("run_id", F.col("seq").alias("milestone"), F.lit("org/r").alias("repo"), F.lit("t").alias("title"), "finding_indices", "confidence")
     return A.build_issue_decisions(m, f).select("run_id", "milestone", "action", F.md5(F.array_join("keys", ",")).alias("keys_hash"))
 
 
@@ -324,11 +325,11 @@ ORACLE_SQL = {
     "f8_blend_confidence": "select o_orderkey as id, round(case when o_orderkey%2=0 then least(1.0,(o_orderkey%101)/100.0::double+0.05) else least((o_orderkey%101)/100.0::double,0.4) end,6) as confidence from orders",
     "f9_check_outputs": _F + """, t as (select run_id, lower(file||' '||description||' '||fix_sketch) as t from findings) select * from (select run_id, 'rule0' as rule, cast(case when count(*) filter (contains(t,'unclosed'))=0 then 1 else 0 end as bigint) as violations from t group by run_id
       union all select run_id, 'rule1', count(*) filter (contains(t,'improve docs')) from t group by run_id union all select run_id, 'rule2', cast(case when count(*)<31 then 1 else 0 end as bigint) from t group by run_id) where violations>0""",
-    "f10_render_reports": _F + """, x as (select *, seq%1000 as r from findings where seq%3=0), g as (select r, file, min(seq) as first, count(*) as n, '### '||file||chr(10)||string_agg('- L'||cast(line as varchar)||' ['||severity||'] '||description, chr(10) order by seq) as block from x group by r, file)
+    "f10_render_reports": _F + """, x as (select *, seq%1000 as r from findings), g as (select r, file, min(seq) as first, count(*) as n, '### '||file||chr(10)||string_agg('- L'||cast(line as varchar)||' ['||severity||'] '||description, chr(10) order by seq) as block from x group by r, file)
       select r as run_id, cast(sum(n) as bigint) as n_findings, count(*) as n_files, sum(n)>=6 as collapsed, string_agg(block, chr(10) order by first) as body from g group by r""",
     "a1_review_decisions": _F + ", " + _CONV + """, n as (select *, row_number() over (partition by run_id order by seq, file, line) as k from conv), g as (select run_id, min(repo) as repo, count(*) as n, string_agg(file||':'||cast(line as varchar), chr(10) order by k) filter (k<=3) as c, count(*) filter (k<=3) as m from n group by run_id)
       select run_id, repo, 'comment' as action, 'verdict:'||case when run_id%2=0 then 'approve' else 'comment' end||chr(10)||'findings:'||cast(n as varchar)||chr(10)||c as body, cast(m+2 as int) as n_evidence from g""",
-    "a1_issue_decisions": _F + ", " + _CONV + """, m as (select o_orderkey%40 as run_id, o_orderkey as milestone, [o_orderkey%12-2, (o_orderkey+5)%12-2, (o_orderkey*3)%12-2] as i from orders where o_orderkey%20=0), k as (select distinct m.run_id, milestone, file||':'||cast(line as varchar) as key from m join conv c on c.run_id=m.run_id and list_contains(i, c.seq%4)),
+    "a1_issue_decisions": _F + ", " + _CONV + """, m as (select o_orderkey%40 as run_id, o_orderkey as milestone, [o_orderkey%12-2, (o_orderkey+5)%12-2, (o_orderkey*3)%12-2] as i from orders), cn as (select *, row_number() over (partition by run_id order by seq)-1 as idx from conv), mi as (select run_id, milestone, unnest(i) as idx from m), k as (select distinct mi.run_id, milestone, file||':'||cast(line as varchar) as key from mi join cn c on c.run_id=mi.run_id and c.idx=mi.idx),
       g as (select run_id, milestone, string_agg(key, ',' order by key) as ks from k group by all) select m.run_id, m.milestone, 'create_issue' as action, md5(ks) as keys_hash from m left join g on g.run_id=m.run_id and g.milestone=m.milestone""",
     "a1_test_decisions": _with(_SEL) + r"""select repo, file_path as target, 'tests/'||regexp_replace(regexp_replace(lower(file_path),'[^a-z0-9]+','-','g'),'^-+|-+$','','g') as branch, 'tests/test_'||regexp_extract(file_path,'([^/]+?)(?:\.[^./]+)?$',1)||'.py' as path, cast(step as int) as step, case step when 1 then 'create_branch' when 2 then 'update_file' else 'open_pr' end as action from idx cross join (select unnest([1,2,3]) as step)""",
     "a2_decision_signature": f"with {_DB}, {_SIG} select seq, repo_key, signature from sg",

@@ -47,7 +47,7 @@ select concat('org/repo',cast(l_partkey%5 as varchar(20))) as repo, l_orderkey%2
   cast(l_quantity as int) as additions, l_linenumber as deletions,
   concat('@@ -1,2 +',cast(l_linenumber*2 as varchar(20)),',',cast(cast(l_quantity as int)%5 as varchar(20)),' @@ ctx',chr(10),
          '@@ -9 +',cast(12+l_linenumber as varchar(20)),' @@') as patch
-from lineitem where l_orderkey%10=0
+from lineitem
 """,
     "findings": r"""
 select o_orderkey%50 as run_id, o_orderkey as seq, concat('org/repo',cast(o_orderkey%5 as varchar(20))) as repo,

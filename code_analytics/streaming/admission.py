@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import changes
+from ..operators import changes, events
 
 
 def dedupe_jobs(stream: DataFrame, horizon: str = "1 hour") -> DataFrame:
@@ -21,35 +21,47 @@ def dedupe_jobs(stream: DataFrame, horizon: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(["job_id"])
 
 
-def cooldown(stream: DataFrame, window_seconds: float = 60.0, lateness: str = "10 minutes") -> DataFrame:
-    """(key, id, t) of the accepted rows of a stream (key, id, ts)."""
-    window_us = int(window_seconds * 1e6)
+def gated(stream: DataFrame, window_us: int, horizon_us: int, lateness: str) -> DataFrame:
+    """(key, id, t, outcome) of a stream (key, id, job, ts), as the batch form gives it.
+
+    The state of a key is the time of its last dispatch, its live jobs, and the rows that the watermark has not passed.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, waiting = state.get if state.exists else (None, [])
+        last, live, waiting = state.get if state.exists else (None, [], [])
+        gate = events.Gate(window_us, horizon_us, last, {job: t for job, t in map(tuple, live)})
         waiting = [tuple(x) for x in waiting]
         for b in batches:
-            waiting += list(zip(b["t"].astype("int64").tolist(), b["id"].astype("int64").tolist(), strict=True))
+            waiting += list(zip(b["t"].astype("int64").tolist(), b["id"].astype("int64").tolist(), b["job"].where(b["job"].notna(), None).tolist(), strict=True))
         mark = state.getCurrentWatermarkMs() * 1000
-        waiting.sort()
+        waiting.sort(key=lambda x: x[:2])
         ready = [x for x in waiting if x[0] <= mark]
         waiting = [x for x in waiting if x[0] > mark]
-        out = []
-        for t, i in ready:
-            if last is None or t - last >= window_us:
-                last = t
-                out.append((key[0], i, t))
-        state.update((last, waiting))
+        out = [(key[0], i, t, gate(t, job)) for t, i, job in ready]
+        jobs = [(j, t) for j, t in gate.live.items() if t > mark - horizon_us]
+        state.update((gate.last, jobs, waiting))
         if waiting:
             state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "id", "t"])
+        yield pd.DataFrame(out, columns=["key", "id", "t", "outcome"])
 
-    rows = stream.withWatermark("ts", lateness).select(F.lower("key").alias("key"), "id", "ts", F.unix_micros("ts").alias("t"))
+    rows = stream.withWatermark("ts", lateness).select(F.lower("key").alias("key"), "id", "job", "ts", F.unix_micros("ts").alias("t"))
     return rows.groupBy("key").applyInPandasWithState(
-        run, "key string, id long, t long", "last long, waiting array<struct<t:long,id:long>>", "append", GroupStateTimeout.EventTimeTimeout
+        run, "key string, id long, t long, outcome string", "last long, live array<struct<job:string,t:long>>, waiting array<struct<t:long,id:long,job:string>>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def cooldown(stream: DataFrame, window_seconds: float = 60.0, lateness: str = "10 minutes") -> DataFrame:
+    """(key, id, t) of the accepted rows of a stream (key, id, ts)."""
+    rows = stream.select("key", "id", "ts", F.lit(None).cast("string").alias("job"))
+    return gated(rows, int(window_seconds * 1e6), 0, lateness).where("outcome = 'dispatched'").select("key", "id", "t")
+
+
+def admit(stream: DataFrame, window_seconds: float = 60.0, horizon_seconds: float = 3600.0, lateness: str = "10 minutes") -> DataFrame:
+    """(delivery_id, outcome) of a stream of jobs (delivery_id, repo_key, job_id, ts)."""
+    rows = stream.select(F.col("repo_key").alias("key"), F.col("delivery_id").alias("id"), F.col("job_id").alias("job"), "ts")
+    return gated(rows, int(window_seconds * 1e6), int(horizon_seconds * 1e6), lateness).select(F.col("id").alias("delivery_id"), "outcome")
+
+
 def delivery_stats(stream: DataFrame, status: str, lateness: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", lateness).groupBy(F.window("ts", window), status).agg(F.count("*").alias("n"))
 

@@ -94,7 +94,7 @@ def test_symbols(files):
     user, save, inner, name = (got["src/app/models.py", n] for n in ("User", "save", "inner", "name"))
     assert (user.kind, user.start_line, user.end_line, user.docstring, user.decorators) == ("class", 6, 17, "A user.", ["@wrap", "@other(1)"])
     assert (save.kind, save.parent_class, save.end_line, save.docstring) == ("async_method", "User", 13, "Save it.")
-    assert save.signature == "def save(self, deep=True) -> bool"
+    assert save.signature == "async def save(self, deep=True) -> bool"
     assert (inner.kind, inner.parent_class) == ("method", "User")
     assert (name.kind, name.decorators) == ("method", ["@property"])
     go, box, open_, shape, add = (got["web/a.ts", n] for n in ("go", "Box", "open", "Shape", "add"))
