@@ -14,6 +14,7 @@ from ..operators import preflight as T
 from ..operators import search as Q
 from ..operators import selection as S
 from ..operators import symbols as P
+from ..functions.text import language
 from ..sources.corpus import cte, derived, table
 
 
@@ -128,6 +129,29 @@ def p4_extract_imports(spark: SparkSession, d: str) -> DataFrame:
     return I.extract_imports(_selected(spark, d)).select("repo", "file_path", "raw", "start_line")
 
 
+def _shapes(spark: SparkSession, d: str) -> DataFrame:
+    return S.select_source_files(derived(spark, d, "source_shapes"))
+
+
+def p2_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Symbols of texts with heads over several lines, decorators, docstrings, nested scopes and hidden or broken code."""
+    return P.extract_symbols(_shapes(spark, d)).select(
+        "repo", "file_path", "name", "kind", "start_line", "end_line", "parent_class", "signature", "docstring", F.array_join("decorators", "|").alias("decorators")
+    )
+
+
+def p4_shapes(spark: SparkSession, d: str) -> DataFrame:
+    return I.extract_imports(_shapes(spark, d)).select("repo", "file_path", "raw", "start_line")
+
+
+def p6_structures(spark: SparkSession, d: str) -> DataFrame:
+    """Every file keeps its row, also one that can't be read or has no known language."""
+    files = derived(spark, d, "source_shapes").unionByName(derived(spark, d, "source_shapes").select("repo", F.concat("file_path", F.lit(".txt")).alias("file_path"), "content"))
+    files = files.withColumn("language", language(F.col("file_path")))
+    s = P.structure(F.col("content"), F.col("language"))
+    return files.select("repo", "file_path", s.alias("s")).select("repo", "file_path", F.size("s.symbols").cast("long").alias("n_symbols"), F.size("s.imports").cast("long").alias("n_imports"))
+
+
 def p5_symbol_table(spark: SparkSession, d: str) -> DataFrame:
     return P.symbol_table(_symbols(spark, d)).select("repo", "file_path", "ordinal", "name", "kind", "start_line")
 
@@ -317,6 +341,23 @@ hit as (select c.repo, c.file_path, c.ord, min_by(c.path, c.rank) as dst_file fr
 edges as (select i.repo, i.file_path as src_file, h.dst_file, i.raw as raw_import, i.language from imp i left join hit h on h.repo=i.repo and h.file_path=i.file_path and h.ord=i.ord)"""
 
 
+_NAMES = r"""select * from (select distinct s.repo, s.file_path, regexp_replace(replace(regexp_replace(case when root='' then s.file_path else substr(s.file_path, length(root)+2) end,'\.py$',''),'/','.'),'\.?__init__$','') as name
+      from sel s join roots r on r.repo=s.repo where language='python' and (root='' or starts_with(s.file_path, root||'/'))) where name<>''"""
+_FEASIBLE = """, c as (select repo, file_path, count(*) as n from sym group by all) select f.repo, f.file_path, case when s.language is null then 'not_indexed' when s.language<>'python' then 'non_python' when c.n is null then 'no_symbols' end as reason from code_files f left join sel s on s.repo=f.repo and s.file_path=f.file_path left join c on c.repo=f.repo and c.file_path=f.file_path"""
+_TESTED = rf"""tt as (select repo, file_path, regexp_replace(file_path,'/?[^/]*$','') as dir, regexp_extract(file_path,'([^/]+?)(?:\.[^./]+)?$',1) as stem from sel where language='python'),
+cf as (select repo, file_path as test_path, regexp_replace(file_path,'/?[^/]*$','') as dir, regexp_extract(file_path,'([^/]+)$',1) as nm, content,
+  list_has_any(string_split(file_path,'/'), {_list(S.SKIP_DIRS)}) as skipped, list_has_any(string_split(file_path,'/'), {_list(S.TEST_DIRS)}) as in_tests from code_files),
+tl as (select repo, test_path, unnest(string_split(content,chr(10))) as t from cf where ends_with(nm,'.py') and not skipped and (in_tests or starts_with(nm,'test_') or ends_with(nm,'_test.py'))),
+tm as (select repo, test_path, regexp_extract(t,'^[ \t]*from[ \t]+([\w.]+)[ \t]+import\b',1) as m, regexp_extract(t,'^[ \t]*from[ \t]+[\w.]+[ \t]+import\b(.*)$',1) as w, regexp_extract(t,'^[ \t]*import[ \t]+([\w.]+)',1) as p from tl),
+tn as (select repo, test_path, p as name from tm where p<>'' union select repo, test_path, m from tm where m<>'' union select repo, test_path, m||'.'||unnest(regexp_extract_all(w,'\w+')) from tm where m<>''),
+nms as ({_NAMES}),
+c1 as (select t.repo, t.file_path, case when f.nm='test_'||stem||'.py' then 0 else 1 end as rank, test_path, 'sibling' as how from tt t join cf f on f.repo=t.repo and f.dir=t.dir and f.nm in ('test_'||stem||'.py', stem||'_test.py')
+  union all select t.repo, t.file_path, 10, test_path, 'in_test_dir' from tt t join cf f on f.repo=t.repo and f.nm in ('test_'||stem||'.py', stem||'_test.py') where in_tests and not skipped
+  union all select nms.repo, nms.file_path, 20, test_path, 'imports_target' from nms join tn on nms.repo=tn.repo and nms.name=tn.name),
+b1 as (select *, row_number() over (partition by repo, file_path order by rank, test_path) as n from c1),
+t1 as (select tt.repo, tt.file_path, 'tests_exist:'||how||':'||test_path as reason from tt left join b1 on b1.repo=tt.repo and b1.file_path=tt.file_path and n=1)"""
+
+
 def _with(*blocks: str) -> str:
     """The derived source files and further blocks."""
     return cte("code_files").replace("with ", "with recursive ", 1) + "".join(", " + b for b in blocks) + "\n"
@@ -345,6 +386,46 @@ ls as (select query, doc_id, pos, nth, min(p) as l, min(k) as lk from lp group b
 cv as (select query, doc_id, l, min(pos) as r, min(nth) as rk, min(lk) as lk from ls group by query, doc_id, l),
 fts as (select query, doc_id, round(sum(0.1/(1+(r-l+1)-(rk-lk+1))),6) as rank from cv group by query, doc_id)"""
 
+def _rows(rows: list[tuple]) -> str:
+    """A list of rows as SQL, {k} standing for the number of the file."""
+    one = lambda v: "null" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return "values " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+# what stands in the shapes, read off their texts
+_SHAPE_SYMBOLS = [
+    ("m{k}.py", "go_{k}", "async_function", 18, 25, None, 'async def go_{k}(\n    x: int,\n    y=")",\n) -> int', "Goes there.", '@deco(\n    "x",\n)|@other'),
+    ("m{k}.py", "Outer{k}", "class", 27, 36, None, None, "Holds things.", ""),
+    ("m{k}.py", "Inner", "class", 29, 30, None, None, None, ""),
+    ("m{k}.py", "get", "method", 30, 30, "Inner", "def get(self)", None, ""),
+    ("m{k}.py", "run", "method", 32, 36, "Outer{k}", "def run(self)", None, ""),
+    ("m{k}.py", "helper", "method", 34, 35, "Outer{k}", "def helper()", None, ""),
+    ("m{k}.ts", "add_{k}", "async_function", 10, 15, None, 'async function add_{k}(\n  x: number,\n  y: string = "{",\n): Promise<number>', "Adds one.", ""),
+    ("m{k}.ts", "Box{k}", "class", 17, 25, None, None, None, ""),
+    ("m{k}.ts", "open", "method", 19, 21, "Box{k}", "function open(a: T): void", "Opens it.", ""),
+    ("m{k}.ts", "load", "async_method", 22, 24, "Box{k}", "async function load()", None, ""),
+    ("m{k}.ts", "Shape", "interface", 27, 27, None, None, None, ""),
+    ("m{k}.ts", "twice", "function", 29, 29, None, "function twice(n: number): number", None, ""),
+    ("m{k}.ts", "later", "async_function", 30, 32, None, "async function later()", None, ""),
+    ("bad{k}.py", "fine", "function", 4, 5, None, "def fine()", None, ""),
+]
+_SHAPE_IMPORTS = [
+    ("m{k}.py", "import os, sys", 4),
+    ("m{k}.py", "from .m{k} import (\n    a,\n    b,\n)", 5),
+    ("m{k}.py", "import late", 33),
+    ("m{k}.ts", "import { a } from './m{k}';", 1),
+    ("m{k}.ts", 'import type {\n  B,\n} from "../b";', 2),
+]
+_K = lambda c: f"replace({c}, '{{k}}', cast(s_suppkey as varchar))"
+_PLACE = f"'org/repo' || cast(s_suppkey%5 as varchar) as repo, 'src/shapes/' || {_K('f')} as file_path"
+_SHAPE_SQL = {
+    "p2_shapes": f"""select {_PLACE}, {_K('name')} as name, kind, cast(a as int) as start_line, cast(b as int) as end_line, {_K('parent')} as parent_class, {_K('sig')} as signature, doc as docstring, decorators
+      from supplier cross join ({_rows(_SHAPE_SYMBOLS)}) t(f, name, kind, a, b, parent, sig, doc, decorators)""",
+    "p4_shapes": f"select {_PLACE}, {_K('raw')} as raw, cast(a as int) as start_line from supplier cross join ({_rows(_SHAPE_IMPORTS)}) t(f, raw, a)",
+    "p6_structures": f"""select {_PLACE}, n_symbols, n_imports from supplier cross join (select * from (values ('m{{k}}.py', 6::bigint, 3::bigint), ('m{{k}}.ts', 7, 2), ('bad{{k}}.py', 1, 0), ('bad{{k}}.js', 0, 0)) t(f, n_symbols, n_imports)
+      union all select f || '.txt', 0::bigint, 0::bigint from (values ('m{{k}}.py'), ('m{{k}}.ts'), ('bad{{k}}.py'), ('bad{{k}}.js')) t(f))""",
+}
+
 ORACLE_SQL = {
     "s2_select_source_files": _with(_SEL) + "select repo, file_path, language, size from sel",
     "s3_build_code_index": _with(_SEL, _LINES, _SYMBOLS, _IMPORTS) + """select idx.repo, idx.file_path, language, cast(line_count as bigint) as line_count, sha256(idx.repo) as head_sha, coalesce(f,0) as n_functions, coalesce(c,0) as n_classes, coalesce(i,0) as n_imports
@@ -370,6 +451,7 @@ ORACLE_SQL = {
     "p1_python_symbols": _with(*_SYM) + "select repo, file_path, name, kind, start_line, end_line, parent_class, signature from sym where language='python'",
     "p3_js_symbols": _with(*_SYM) + "select repo, file_path, name, kind, start_line, end_line, signature from sym where language<>'python'",
     "p4_extract_imports": _with(_SEL, _LINES, _IMPORTS) + "select repo, file_path, raw, cast(line as int) as start_line from imp",
+    **_SHAPE_SQL,
     "p5_symbol_table": _with(*_SYM) + "select repo, file_path, cast(row_number() over (partition by repo, file_path order by start_line, case when kind='class' then 0 else 1 end, name) as int) as ordinal, name, kind, start_line from sym",
     "i1_package_roots": _with(_ROOTS) + "select * from roots",
     "i2_resolve_python": _with(*_EDG) + "select repo, src_file, dst_file, raw_import from edges where language='python'",
@@ -420,9 +502,11 @@ ORACLE_SQL = {
       b as (select query, doc_id as key from fts where doc_id%7=0),
       sc as (select m.query, m.key, round(case when count(distance) over (partition by m.query)>0 then 0.5*coalesce(case when top>0 then rank/top else 0 end,0)+0.5*coalesce(greatest(0,1-distance/2),0) else coalesce(rank,0) end + case when b.key is not null then 0.3 else 0 end,4) as rank from m left join b on b.query=m.query and b.key=m.key)
       select * from (select query, key, rank, cast(row_number() over (partition by query order by rank desc, key) as int) as position, count(*) over (partition by query) as total from sc) where position<=10""",
-    "t2_importable_names": _with(_SEL, _ROOTS) + r"""select * from (select distinct s.repo, s.file_path, regexp_replace(replace(regexp_replace(case when root='' then s.file_path else substr(s.file_path, length(root)+2) end,'\.py$',''),'/','.'),'\.?__init__$','') as name
-      from sel s join roots r on r.repo=s.repo where language='python' and (root='' or starts_with(s.file_path, root||'/'))) where name<>''""",
-    "t3_is_feasible": _with(*_SYM) + """, c as (select repo, file_path, count(*) as n from sym group by all) select f.repo, f.file_path, case when s.language is null then 'not_indexed' when s.language<>'python' then 'non_python' when c.n is null then 'no_symbols' end as reason from code_files f left join sel s on s.repo=f.repo and s.file_path=f.file_path left join c on c.repo=f.repo and c.file_path=f.file_path""",
+    "t1_has_existing_tests": _with(_SEL, _ROOTS, _TESTED) + " select * from t1",
+    "t2_importable_names": _with(_SEL, _ROOTS) + _NAMES,
+    "t3_is_feasible": _with(*_SYM) + _FEASIBLE,
+    "t5_preview": _with(_SEL, _LINES, _SYMBOLS, _ROOTS, _TESTED) + ", t3 as (with " + _FEASIBLE.lstrip(", ") + """)
+      select repo, count(*) as files, count(*) filter (t1.reason is null and t3.reason is null) as candidates, count(*) filter (t1.reason is not null) as rejected_a, count(*) filter (t1.reason is null and t3.reason is not null) as rejected_b from t1 join t3 using (repo, file_path) group by repo""",
     "t6_select_jobs": _with(*_SYM) + """, r as (select distinct repo, case when right(repo,1)='3' then 'not_opted_in' when right(repo,1)='4' then 'not_incremental' when right(repo,1)='0' then 'no_added_files' end as skip from sel),
       c as (select distinct repo, file_path from sym where language='python'), k as (select *, row_number() over (partition by repo order by file_path) as n, count(*) over (partition by repo) as tot from c where right(repo,1) in ('1','2'))
       select r.repo, skip, file_path, 'generate-tests:'||lower(r.repo)||':'||file_path||':'||left(sha256(r.repo),7) as job_id, coalesce(greatest(tot-2,0),0) as dropped_over_cap from r left join k on k.repo=r.repo and k.n<=2""",

@@ -10,6 +10,95 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+# source texts with what the tables' own files lack: heads over lines, nested scopes, decorators, docstrings, hidden code, broken code
+SHAPE_PY = r'''"""Module text.
+import fake_in_docstring
+"""
+import os, sys
+from .m{k} import (
+    a,
+    b,
+)
+
+TEXT = @@@
+def not_a_symbol():
+@@@
+
+@deco(
+    "x",
+)
+@other
+async def go_{k}(
+    x: int,
+    y=")",
+) -> int:
+    """
+    Goes there.
+    """
+    return x
+
+class Outer{k}(Base):
+    @@@Holds things.@@@
+    class Inner:
+        def get(self): return 1
+
+    def run(self):
+        import late
+        def helper():
+            pass
+        return helper
+'''.replace("@@@", "'''")
+SHAPE_TS = r'''import { a } from './m{k}';
+import type {
+  B,
+} from "../b";
+
+/**
+ * Adds one.
+ * @param x a number
+ */
+export async function add_{k}(
+  x: number,
+  y: string = "{",
+): Promise<number> {
+  return x;
+}
+
+export class Box{k}<T> extends Base {
+  /** Opens it. */
+  open(a: T): void {
+    if (a) { return; }
+  }
+  private async load() {
+    // } not the end
+  }
+}
+
+interface Shape { side: number }
+
+const twice = (n: number): number => n * 2;
+export const later = async () => {
+  return 1;
+};
+'''
+SHAPE_BAD = r'''def broken(:
+    pass
+
+def fine():
+    return 1
+'''
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _shape(name: str, text: str) -> str:
+    k = "cast(s_suppkey as varchar(20))"
+    place = f"concat('org/repo', cast(s_suppkey%5 as varchar(20))) as repo, replace('src/shapes/{name}', '{{k}}', {k}) as file_path"
+    return f"select {place}, replace({_literal(text)}, '{{k}}', {k}) as content from supplier"
+
+
 DERIVED: dict[str, str] = {
     "code_files": r"""
 with b as (select p_partkey as k, cast(floor(p_partkey/5.0) as bigint) as j, replace(p_name,' ','_') as nm from part)
@@ -31,6 +120,9 @@ select distinct concat('org/repo', cast(p_partkey%5 as varchar(20))) as repo,
   concat('src/pkg', cast(cast(floor(p_partkey/5.0) as bigint)%8 as varchar(20)), '/__init__.py') as file_path, '' as content
 from part
 """,
+    "source_shapes": " union all ".join(
+        [_shape("m{k}.py", SHAPE_PY), _shape("m{k}.ts", SHAPE_TS), _shape("bad{k}.py", SHAPE_BAD), _shape("bad{k}.js", "class {{ (")]
+    ),
     "code_files_v2": r"""
 select repo, file_path,
   case when length(file_path)%5=0 and length(content)%3=0 then concat(content,'# edited',chr(10)) else content end as content
@@ -85,7 +177,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of the derived corpus, from the tables of `sf_dir`."""
-    for t in ("part", "lineitem", "orders", "events"):
+    for t in ("part", "supplier", "lineitem", "orders", "events"):
         if t in DERIVED[name] or name == "code_files_v2" and t == "part":
             table(spark, sf_dir, t).createOrReplaceTempView(t)
     if name == "code_files_v2":

@@ -240,3 +240,51 @@ def test_scan(spark, tmp_path):
     files, rejects = scan_files(spark, str(tmp_path / "tree"), "r")
     assert [(r.file_path, r.size, r.content) for r in files.collect()] == [("a.py", 6, "x = 1\n")]
     assert [(r.file_path, r.reason) for r in rejects.collect()] == [("sub/b.py", "not UTF-8")]
+
+
+def test_admit_stream_equals_batch(spark, tmp_path):
+    """Cooldown and duplicates in micro-batches, one of them late, and the same jobs as one table."""
+    rows = [(i, f"org/r{i % 3}", f"job{(i * 7) % 5}", 10_000 + (i * 97) % 900) for i in range(90)]
+    schema = "delivery_id long, repo_key string, job_id string, t long"
+    jobs = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("t")).drop("t")
+    for part in range(3):
+        spark.createDataFrame(rows[part::3], schema).withColumn("ts", F.timestamp_seconds("t")).coalesce(1).write.parquet(str(tmp_path / "in" / f"{part}"))
+    spark.createDataFrame([(999, "end", "x", 100000), (1000, "end", "x", 200000)], schema).withColumn("ts", F.timestamp_seconds("t")).coalesce(1).write.parquet(str(tmp_path / "in" / "9"))
+    stream = spark.readStream.schema(schema + ", ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*")).drop("t")
+    q = admission.admit(stream, 60.0, 120.0, "1 hour").writeStream.format("memory").queryName("admitted").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.delivery_id: r.outcome for r in spark.table("admitted").collect() if r.delivery_id < 999}
+    want = {r.delivery_id: r.outcome for r in events.admit(jobs, 60.0, 120.0).collect()}
+    assert got == want and len(got) == 90 and set(want.values()) == {"dispatched", "cooldown", "duplicate"}
+
+
+def test_admit_by_brute_force(spark):
+    """Keys with and without gaps against one walk over all jobs."""
+    rows = [(i, f"r{i % 4}", f"j{(i * 5) % 7}", (i * 131) % 4000 + (i % 4) * 10_000 * (i % 3)) for i in range(300)]
+    last, live, want = {}, {}, {}
+    for i, key, job, t in sorted(rows, key=lambda r: (r[3], r[0])):
+        if key in last and t - last[key] < 30:
+            want[i] = "cooldown"
+        elif (key, job) in live and t - live[key, job] < 200:
+            want[i] = "duplicate"
+        else:
+            want[i], last[key], live[key, job] = "dispatched", t, t
+    jobs = spark.createDataFrame(rows, "delivery_id long, repo_key string, job_id string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    assert {r.delivery_id: r.outcome for r in events.admit(jobs, 30.0, 200.0).collect()} == want
+
+
+def test_checklist(spark):
+    found = spark.createDataFrame([(1, "a.py", 3, "Possible null", "guard"), (1, "", 0, "add docs", ""), (2, "b.py", 1, "leak", "close")], "run_id int, file string, line int, description string, fix_sketch string")
+    stones = spark.createDataFrame([(1, "Add tests", "null checks"), (1, "Guard inputs", ""), (2, "Close files", "about leaks")], "run_id int, title string, summary string")
+    rules = [("null", "must", "null", 0), ("docs", "must_not", "docs", 0), ("two", "min_findings", "", 2), ("cited", "file_line", "", 0), ("one", "max_milestones", "", 1), ("tests", "banned_title", "add tests", 0), ("says", "summary", "null", 0)]
+    got = {(r.run_id, r.rule, r.violations) for r in findings.check_outputs(found, spark.createDataFrame(rules, "rule string, kind string, pattern string, n long"), stones).collect()}
+    assert got == {(1, "docs", 1), (1, "cited", 1), (1, "one", 1), (1, "tests", 1), (2, "null", 1), (2, "two", 1), (2, "says", 1)}
+
+
+def test_prior_attempts(files, spark):
+    py = files.where("file_path like 'src/app/%.py'")
+    index = selection.select_source_files(py).withColumn("line_count", selection.line_count(F.col("content")))
+    log = spark.createDataFrame([("R", "test_generator", ["x", "target_file:src/app/models.py"]), ("r", "pr_reviewer", ["target_file:src/app/utils.py"])], "repo string, agent string, evidence array<string>")
+    got = {r.file_path: r.reason for r in preflight.is_feasible(py, index, symbols.extract_symbols(index), log).collect()}
+    assert got["src/app/models.py"] == "prior_attempt" and got["src/app/utils.py"] is None and got["src/app/__init__.py"] == "no_symbols"
