@@ -15,7 +15,7 @@ STRUCTURE = (
 
 def structure(content: Column, language: Column) -> Column:
     """struct<symbols, imports> of a text. A grammar is beyond built-in functions, so texts go to Python in Arrow batches."""
-    return F.udf(parsing.structure, f"struct<{STRUCTURE.replace('symbols array', 'symbols:array').replace('imports array', 'imports:array')}>", useArrow=True)(content, language)
+    return F.udf(parsing.structure, f"struct<{STRUCTURE.replace('symbols array', 'symbols:array').replace('imports array', 'imports:array')}>", useArrow=True).asNondeterministic()(content, language)
 
 
 def extract_symbols(files: DataFrame) -> DataFrame:
