@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import parent, strip
 
 
-def load_bearing(index: DataFrame, edges: DataFrame, limit: int = 10) -> DataFrame:
-    """(repo, rank, file_path, in_degree, total_files): files by the edges that point to them, `limit` (at most 100) a repository."""
+def load_bearing(index: DataFrame, edges: DataFrame, limit: int = 10, symbols: DataFrame | None = None) -> DataFrame:
+    """(repo, rank, file_path, in_degree, total_files): files by the edges that point to them, `limit` (at most 100) a repository.
+
+    With `symbols` each file has its symbols (start_line, kind, name) in the order of lines, too.
+    """
     if limit <= 0:
         raise ValueError("limit must be positive")
     degree = edges.where("dst_file is not null").groupBy("repo", F.col("dst_file").alias("file_path")).agg(F.count("*").alias("in_degree"))
@@ -17,15 +20,28 @@ def load_bearing(index: DataFrame, edges: DataFrame, limit: int = 10) -> DataFra
     w = Window.partitionBy("repo").orderBy(F.desc("in_degree"), "file_path")
     total = index.groupBy("repo").agg(F.count("*").alias("total_files"))
     top = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= min(limit, 100))
-    return top.join(total, "repo").select("repo", "rank", "file_path", "in_degree", "total_files")
+    out = top.join(total, "repo").select("repo", "rank", "file_path", "in_degree", "total_files")
+    if symbols is None:
+        return out
+    entry = F.struct("start_line", "kind", "name")
+    # only the symbols of the files at the top are gathered
+    held = symbols.join(out.select("repo", "file_path"), ["repo", "file_path"], "left_semi").groupBy("repo", "file_path").agg(F.sort_array(F.collect_list(entry)).alias("symbols"))
+    kind = dict(held.dtypes)["symbols"]
+    return out.join(held, ["repo", "file_path"], "left").withColumn("symbols", F.coalesce("symbols", F.array().cast(kind)))
 
 
-def neighborhood(index: DataFrame, edges: DataFrame, targets: DataFrame, n_edges: int = 20, n_siblings: int = 10) -> DataFrame:
-    """(repo, file_path, relation, ordinal, other) for each target (repo, file_path) that is indexed.
+def neighborhood(index: DataFrame, edges: DataFrame, targets: DataFrame, n_edges: int = 20, n_siblings: int = 10, strict: bool = False) -> DataFrame:
+    """(repo, file_path, relation, ordinal, other) for each target (repo, file_path) that is indexed; with `strict` another one is an error.
 
     imports and imported_by look at the first n_edges edges and then leave out repeats and files that aren't indexed.
     """
-    targets = targets.select("repo", F.replace("file_path", F.lit("\\"), F.lit("/")).alias("file_path")).distinct().join(index.select("repo", "file_path"), ["repo", "file_path"], "left_semi")
+    targets = targets.select("repo", F.replace("file_path", F.lit("\\"), F.lit("/")).alias("file_path")).distinct()
+    known = index.select("repo", "file_path", F.lit(True).alias("known")).distinct()
+    if strict:
+        there = F.coalesce("known", F.raise_error(F.concat(F.lit("no such file in the index: "), F.col("repo"), F.lit(" "), F.col("file_path"))).cast("boolean"))
+        targets = targets.join(known, ["repo", "file_path"], "left").where(there).select("repo", "file_path")
+    else:
+        targets = targets.join(known, ["repo", "file_path"], "left_semi")
     indexed = index.select("repo", F.col("file_path").alias("other"))
 
     def capped(rows: DataFrame, relation: str, *order: str) -> DataFrame:

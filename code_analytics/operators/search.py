@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,6 +104,27 @@ def hash_embed(text: Column, dims: int = 16) -> Column:
     return F.when(F.length(text) > 0, F.transform(raw, lambda x: x / norm))
 
 
+def embed(index: DataFrame, model: Callable[[list[str]], list[list[float]]], text: str = "content") -> DataFrame:
+    """`index` with `embedding`, from any model that takes a list of texts and gives a list of vectors.
+
+    The model gets the first 8000 characters of the texts that aren't empty, in batches of
+    spark.sql.execution.arrow.maxRecordsPerBatch at most; where it gives another number of vectors than it got texts,
+    none of that batch is attached.
+    """
+
+    @F.pandas_udf("array<float>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+        asked = [i for i, t in texts.items() if t]
+        found = model([texts[i][:8000] for i in asked]) if asked else []
+        if len(found) == len(asked):
+            for i, v in zip(asked, found, strict=True):
+                out[i] = [float(x) for x in v]
+        return out
+
+    return index.withColumn("embedding", vectors(F.col(text)))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -288,3 +288,25 @@ def test_prior_attempts(files, spark):
     log = spark.createDataFrame([("R", "test_generator", ["x", "target_file:src/app/models.py"]), ("r", "pr_reviewer", ["target_file:src/app/utils.py"])], "repo string, agent string, evidence array<string>")
     got = {r.file_path: r.reason for r in preflight.is_feasible(py, index, symbols.extract_symbols(index), log).collect()}
     assert got["src/app/models.py"] == "prior_attempt" and got["src/app/utils.py"] is None and got["src/app/__init__.py"] == "no_symbols"
+
+
+def test_load_bearing_with_symbols(files, edges):
+    index = selection.select_source_files(files)
+    top = {r.file_path: [(x.start_line, x.name) for x in r.symbols] for r in graph.load_bearing(index, edges, 50, symbols.extract_symbols(index)).collect()}
+    assert top["src/app/models.py"] == [(6, "User"), (9, "save"), (11, "inner"), (16, "name")] and top["src/app/__init__.py"] == []
+
+
+def test_neighborhood_of_unknown_files(files, edges, spark):
+    index = selection.select_source_files(files)
+    asked = spark.createDataFrame([("r", "src\\app\\core.py"), ("r", "none.py")], "repo string, file_path string")
+    got = {(r.file_path, r.relation, r.other) for r in graph.neighborhood(index, edges, asked).collect()}
+    assert {x[0] for x in got} == {"src/app/core.py"} and ("src/app/core.py", "imports", "src/app/utils.py") in got and ("src/app/core.py", "sibling", "src/app/models.py") in got
+    with pytest.raises(Exception, match="no such file in the index: r none.py"):
+        graph.neighborhood(index, edges, asked, strict=True).collect()
+
+
+def test_embed(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, ""), (3, None), (4, "x" * 9000)], "id int, content string").coalesce(1)
+    got = {r.id: r.embedding for r in search.embed(df, lambda texts: [[len(t), 1.0] for t in texts]).collect()}
+    assert got == {1: [3.0, 1.0], 2: None, 3: None, 4: [8000.0, 1.0]}
+    assert {r.embedding for r in search.embed(df, lambda texts: [[1.0]]).collect()} == {None}
