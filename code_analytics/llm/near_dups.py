@@ -12,8 +12,9 @@ shares none of the 24 bands with probability below 3e-8; at 0.8, which the pipel
 Equal word sequences (by digests of 128 bits) are one class, and only classes are compared. A band bucket with several classes is a group; equal
 groups of different bands are taken once. The texts of its classes are brought to it and all its links are
 found from whole sets with an inverted list of the shingles that at least two members have (a product of incidence
-blocks); a spanning forest of the links goes on. A bucket of more than BLOCK classes is dealt out as pairs of
-blocks, so no task holds more than two blocks. The links become components by alternating large-star and
+blocks); a spanning forest of the links goes on. A bucket of more than BLOCK classes is dealt out in blocks, and
+only classes that are still in different components meet across blocks, so no task holds more than two blocks and
+a large group of near copies isn't compared with itself again and again. The links become components by alternating large-star and
 small-star steps (Kiveris et al., 2014), with the edges written to the shared folder after each.
 
 Nulls and texts without words: an empty set, linked with nothing; such a row is its own component. A null doc_id never
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import U, grams, mix, shingle_sets, signed, sliced, stored, table, words
@@ -200,19 +201,68 @@ def group_links(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> It
 
 
 def links(docs: DataFrame, drawn: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): for each group a spanning forest of its links. `drawn` is the stored sketch table of `docs`."""
+    """(a, b): links whose components are those of all links. `drawn` is the stored sketch table of `docs`.
+
+    Blocks of a bucket are compared within themselves first. Where classes of one bucket are then still in different
+    components, two of each component are compared, and then all pairs that are apart (`apart`).
+    """
     reps = drawn.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     keyed = stored(reps.select("node", F.explode("bands").alias("bkey")))
     buckets = keyed.groupBy("bkey").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("s2"))
     once = buckets.where("m > 1").groupBy("m", "s1", "s2").agg(F.min("bkey").alias("bkey")).select("bkey", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
-    members = keyed.join(once, "bkey").withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("nb")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).where("nb = 1 or own <> other")
-    members = members.select("bkey", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
-    members = stored(members)
-    wanted = stored(members.select("node").distinct())
+    members = stored(keyed.join(once, "bkey").select("bkey", "node", "nb", part(F.col("nb")).alias("i")))
+    found = stored(compared(docs, members.select("bkey", "i", F.col("i").alias("j"), "node"), percent))
+    large = members.where("nb > 1").select("bkey", "node")
+    if large.isEmpty():
+        return found
+    for groups in (representatives, apart):
+        rooted = components(found)
+        placed = stored(large.join(rooted, "node", "left").select("bkey", "node", F.coalesce("root", "node").alias("root")))
+        several = placed.groupBy("bkey").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bkey")
+        placed = stored(placed.join(several, "bkey"))
+        star = rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        if placed.isEmpty():
+            return star
+        found = stored(star.union(compared(docs, groups(placed), percent)))
+    return found
+
+
+def part(parts: Column) -> Column:
+    """Which of so many parts a class belongs to."""
+    return F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("string")
+
+
+def representatives(placed: DataFrame) -> DataFrame:
+    """Two classes of each component of a bucket, in blocks that are compared within themselves."""
+    two = placed.groupBy("bkey", "root").agg(F.array_distinct(F.array(F.min("node"), F.max("node"))).alias("two")).select("bkey", F.explode("two").alias("node"))
+    parts = two.groupBy("bkey").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    return two.join(parts, "bkey").select("bkey", part(F.col("parts")).alias("i"), part(F.col("parts")).alias("j"), "node")
+
+
+def apart(placed: DataFrame) -> DataFrame:
+    """All classes of a bucket, so that every two in different components meet.
+
+    A component of half a block or more has blocks of its own, which don't meet each other; the rest share blocks.
+    So the m classes of a bucket move m / BLOCK times only where they really fall into many components.
+    """
+    size = placed.groupBy("bkey", "root").agg(F.count("*").alias("n")).withColumn("owner", F.when(F.col("n") * 2 >= BLOCK, F.hex("root")).otherwise(""))
+    owners = stored(size.groupBy("bkey", "owner").agg(F.ceil(F.sum("n") / BLOCK).alias("parts")))
+    name = lambda sub: F.concat("owner", F.lit("-"), sub)
+    blocks = owners.select("bkey", "owner", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("sub")).select("bkey", "owner", name(F.col("sub").cast("string")).alias("i"))
+    others = blocks.select("bkey", F.col("owner").alias("owner_j"), F.col("i").alias("j"))
+    pairs = blocks.join(others, "bkey").where("owner <> owner_j and i < j or owner = '' and owner_j = '' and i <= j")
+    tasks = pairs.select("bkey", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    own = placed.join(size.select("bkey", "root", "owner"), ["bkey", "root"]).join(owners, ["bkey", "owner"]).select("bkey", name(part(F.col("parts"))).alias("block"), "node")
+    return own.join(tasks, ["bkey", "block"]).select("bkey", "i", "j", "node")
+
+
+def compared(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each group (bkey, i, j) of classes (node) a spanning forest of its links."""
+    groups = stored(groups)
+    wanted = stored(groups.select("node").distinct())
     # while the wanted classes are few, only their texts are moved
     texts = class_texts(docs).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
-    grouped = members.join(texts, "node").select("bkey", "i", "j", "node", "text").repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
+    grouped = groups.join(texts, "node").select("bkey", "i", "j", "node", "text").repartition("bkey", "i", "j").sortWithinPartitions("bkey", "i", "j")
     return grouped.mapInArrow(lambda batches: group_links(batches, percent), "a binary, b binary").distinct()
 
 

@@ -198,7 +198,7 @@ def near_groups(rows):
     return sorted(((d, len(s), c := least.get(root(s)) if s else d, d == c) for (d, _), s in zip(rows, sets, strict=True)), key=repr)
 
 
-@pytest.mark.parametrize("block", [512, 8])
+@pytest.mark.parametrize("block", [512, 8, 2])
 def test_near_dups(spark, monkeypatch, block):
     monkeypatch.setattr(near_dups, "BLOCK", block)
     r = random.Random(4)
