@@ -200,31 +200,29 @@ def group_links(batches: Iterator[pa.RecordBatch], percent: int = PERCENT) -> It
         yield pa.record_batch([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
 
-def links(docs: DataFrame, drawn: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links whose components are those of all links. `drawn` is the stored sketch table of `docs`.
+def linked_roots(docs: DataFrame, drawn: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of the classes that are linked with another one. `drawn` is the stored sketch table of `docs`.
 
-    Blocks of a bucket are compared within themselves first. Where classes of one bucket are then still in different
-    components, two of each component are compared, and then all pairs that are apart (`apart`).
+    Blocks of a bucket are compared within themselves first; then, across blocks, the classes of a bucket that are
+    still in different components (`apart`).
     """
     reps = drawn.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     keyed = stored(reps.select("node", F.explode("bands").alias("bkey")))
     buckets = keyed.groupBy("bkey").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("s2"))
     once = buckets.where("m > 1").groupBy("m", "s1", "s2").agg(F.min("bkey").alias("bkey")).select("bkey", F.ceil(F.col("m") / BLOCK).cast("int").alias("nb"))
     members = stored(keyed.join(once, "bkey").select("bkey", "node", "nb", part(F.col("nb")).alias("i")))
-    found = stored(compared(docs, members.select("bkey", "i", F.col("i").alias("j"), "node"), percent))
+    rooted = components(compared(docs, members.select("bkey", "i", F.col("i").alias("j"), "node"), percent))
     large = members.where("nb > 1").select("bkey", "node")
     if large.isEmpty():
-        return found
-    for groups in (representatives, apart):
-        rooted = components(found)
-        placed = stored(large.join(rooted, "node", "left").select("bkey", "node", F.coalesce("root", "node").alias("root")))
-        several = placed.groupBy("bkey").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bkey")
-        placed = stored(placed.join(several, "bkey"))
-        star = rooted.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        if placed.isEmpty():
-            return star
-        found = stored(star.union(compared(docs, groups(placed), percent)))
-    return found
+        return rooted
+    placed = large.join(rooted, "node", "left").select("bkey", "node", F.coalesce("root", "node").alias("root"))
+    placed = stored(placed)
+    several = placed.groupBy("bkey").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bkey")
+    placed = stored(placed.join(several, "bkey"))
+    if placed.isEmpty():
+        return rooted
+    more = stored(compared(docs, stored(apart(placed)), percent))
+    return rooted if more.isEmpty() else components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
 
 
 def part(parts: Column) -> Column:
@@ -232,13 +230,6 @@ def part(parts: Column) -> Column:
     return F.pmod(F.xxhash64("node", F.lit(3)), parts).cast("string")
 
 
-def representatives(placed: DataFrame) -> DataFrame:
-    """Two classes of each component of a bucket, in blocks that are compared within themselves."""
-    two = placed.groupBy("bkey", "root").agg(F.array_distinct(F.array(F.min("node"), F.max("node"))).alias("two")).select("bkey", F.explode("two").alias("node"))
-    parts = two.groupBy("bkey").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    return two.join(parts, "bkey").select("bkey", part(F.col("parts")).alias("i"), part(F.col("parts")).alias("j"), "node")
-
-
 def apart(placed: DataFrame) -> DataFrame:
     """All classes of a bucket, so that every two in different components meet.
 
@@ -257,8 +248,7 @@ def apart(placed: DataFrame) -> DataFrame:
 
 
 def compared(docs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each group (bkey, i, j) of classes (node) a spanning forest of its links."""
-    groups = stored(groups)
+    """(a, b): for each group of a stored table (bkey, i, j, node) a spanning forest of its links."""
     wanted = stored(groups.select("node").distinct())
     # while the wanted classes are few, only their texts are moved
     texts = class_texts(docs).join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "node").groupBy("node").agg(F.first("text").alias("text"))
@@ -301,7 +291,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, k, n_shingles, component_id, kept, root (the component) and one (whether the row stands for it) of each row."""
     drawn = stored(sketched(docs))
-    roots = components(links(docs, drawn, percent))
+    roots = linked_roots(docs, drawn, percent)
     rows = drawn.select("doc_id", "k", "node", "n_shingles").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     place = F.struct(ord_of().alias("ord"), "k")
     # a table of its own, so that Spark may split a large component in the join
