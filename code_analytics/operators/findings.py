@@ -175,3 +175,21 @@ def render_reports(findings: DataFrame, collapse_at: int = 6) -> DataFrame:
     rows = by_file.select("run_id", "first", "n", block.alias("block"))
     out = rows.groupBy("run_id").agg(F.sum("n").alias("n_findings"), F.count("*").alias("n_files"), F.sort_array(F.collect_list(F.struct("first", "block"))).alias("b"))
     return out.select("run_id", "n_findings", "n_files", (F.col("n_findings") >= collapse_at).alias("collapsed"), F.array_join(F.transform("b", lambda x: x["block"]), "\n").alias("body"))
+
+
+def render_milestones(milestones: DataFrame, findings: DataFrame, collapse_at: int = 6) -> DataFrame:
+    """(run_id, milestone, n_cited, collapsed, body): the issue body of each milestone (run_id, milestone, summary, finding_indices, confidence).
+
+    Cited are the findings (run_id, idx, ...) of the run at the indices, in the order of the indices; others are left out.
+    A milestone that cites none has its summary and confidence only.
+    """
+    item = F.concat(F.lit("- [ ] **"), F.upper("severity"), F.lit("** _"), F.col("kind"), F.lit("_ at `"), F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit("`\n  "), F.coalesce("description", F.lit("")))
+    item = F.concat(item, F.when(F.col("fix_sketch") != "", F.concat(F.lit("\n  fix: "), F.col("fix_sketch"))).otherwise(""))
+    items = findings.select("run_id", F.col("idx").cast("int").alias("idx"), item.alias("item"))
+    places = milestones.select("run_id", "milestone", F.posexplode("finding_indices").alias("place", "idx")).withColumn("idx", F.col("idx").cast("int"))
+    cited = places.join(items, ["run_id", "idx"]).groupBy("run_id", "milestone").agg(F.sort_array(F.collect_list(F.struct("place", "item"))).alias("cited"))
+    out = milestones.join(cited, ["run_id", "milestone"], "left").withColumn("n_cited", F.when(F.col("cited").isNull(), 0).otherwise(F.size("cited")))
+    head = F.concat(F.lit("> "), F.trim(F.coalesce("summary", F.lit(""))), F.lit("\n\n_Confidence: "), F.round(F.col("confidence") * 100).cast("int").cast("string"), F.lit("%_"))
+    tail = F.concat(F.lit("\n\n## Findings ("), F.col("n_cited").cast("string"), F.lit(")\n\n"), F.array_join(F.transform("cited", lambda x: x["item"]), "\n"))
+    body = F.concat(head, F.when(F.col("n_cited") > 0, tail).otherwise(""))
+    return out.select("run_id", "milestone", "n_cited", (F.col("n_cited") >= collapse_at).alias("collapsed"), body.alias("body"))

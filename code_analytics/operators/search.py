@@ -83,17 +83,28 @@ def cover_density(tokens: DataFrame, queries: DataFrame, *keys: str) -> DataFram
     return lists.select("query", *keys, F.round(rank, 6).alias("rank"), F.size("h").cast("long").alias("hits"))
 
 
-def headline(docs: DataFrame, queries: DataFrame, key: str, words: int = 20) -> DataFrame:
-    """(query, key, headline) of the documents that hold a term of the query: words around the first hit, hits between **."""
+def headline(docs: DataFrame, queries: DataFrame, key: str, words: int = 20, fragments: int = 3) -> DataFrame:
+    """(query, key, headline) of the documents that hold a term of the query: words around hits, hits between **.
+
+    The first fragment lies around the first hit, each next one around the first hit beyond the fragment before, up to
+    `fragments` of them with ... between; fragments don't overlap.
+    """
     terms = queries.select("query", F.array_distinct(F.filter(F.split(F.lower("query"), SEPARATORS), lambda x: x != "")).alias("terms"))
     w = F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+"), "")
     found = tokenize(docs, key).join(bounded(query_terms(queries)), F.col("token") == F.col("term")).select("query", key).distinct()
     rows = found.join(bounded(terms), "query").join(docs.select(key, w.alias("w")), key)
     is_hit = lambda x: F.arrays_overlap(F.split(F.lower(x), SEPARATORS), F.col("terms"))
-    first = F.array_position(F.transform("w", is_hit), True)
-    start = F.greatest(F.lit(1), first.cast("int") - F.lit(words // 2))
-    some = F.slice("w", F.when(first > 0, start).otherwise(1), F.lit(words))
-    return rows.select("query", key, F.array_join(F.transform(some, lambda x: F.when(is_hit(x), F.concat(F.lit("**"), x, F.lit("**"))).otherwise(x)), " ").alias("headline"))
+    hits = F.filter(F.transform("w", lambda x, i: F.when(is_hit(x), i + 1)), lambda x: x.isNotNull())
+
+    def place(starts: Column, hit: Column) -> Column:
+        free = F.coalesce(F.get(starts, F.size(starts) - 1) + words, F.lit(1))
+        return F.when((F.size(starts) < fragments) & (hit >= free), F.concat(starts, F.array(F.greatest(free, hit - words // 2)))).otherwise(starts)
+
+    starts = F.aggregate("h", F.array().cast("array<int>"), place)
+    rows = rows.withColumn("h", hits).withColumn("starts", F.when(F.size("h") > 0, starts).otherwise(F.array(F.lit(1))))
+    marked = lambda x: F.when(is_hit(x), F.concat(F.lit("**"), x, F.lit("**"))).otherwise(x)
+    piece = lambda s: F.array_join(F.transform(F.slice("w", s, F.lit(words)), marked), " ")
+    return rows.select("query", key, F.array_join(F.transform("starts", piece), " ... ").alias("headline"))
 
 
 def hash_embed(text: Column, dims: int = 16) -> Column:

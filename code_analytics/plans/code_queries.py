@@ -484,8 +484,12 @@ ORACLE_SQL = {
     "q5_cover_density": "with " + _TOK + ", " + _COVER + ", hc as (select query, doc_id, count(*) as hits from h group by all) select query, doc_id, rank, hits from fts join hc using (query, doc_id)",
     "q6_headline": "with " + _TOK + r""", w as (select doc_id, query, list_filter(regexp_split_to_array(coalesce(text,''),'[ \t\n\x0B\f\r]+'), lambda x: x<>'') as w, string_split(query,' ') as ts from documents, qq),
       f as (select *, list_transform(w, lambda x: list_has_any(regexp_split_to_array(lower(x),'[^\p{L}\p{N}]+'), ts)) as hit from w),
-      s as (select *, list_position(hit, true) as p from f), b as (select *, greatest(1, p-10) as st from s where p>0)
-      select query, doc_id, coalesce(array_to_string(list_transform(range(st, least(st+20, len(w)+1)), lambda i: case when hit[i] then '**'||w[i]||'**' else w[i] end), ' '),'') as headline from b""",
+      s as (select *, list_filter(range(1, len(w)+1), lambda i: hit[i]) as h from f), s1 as (select *, greatest(1, h[1]-10) as a from s where len(h)>0),
+      p2 as (select *, list_filter(h, lambda x: x>=a+20)[1] as p from s1), s2 as (select * exclude (p), case when p is not null then greatest(a+20, p-10) end as b from p2),
+      p3 as (select *, list_filter(h, lambda x: x>=b+20)[1] as p from s2), s3 as (select *, case when p is not null then greatest(b+20, p-10) end as c from p3)
+      select query, doc_id, array_to_string(list_transform(range(a, least(a+20, len(w)+1)), lambda i: case when hit[i] then '**'||w[i]||'**' else w[i] end), ' ')
+        ||case when b is null then '' else ' ... '||array_to_string(list_transform(range(b, least(b+20, len(w)+1)), lambda i: case when hit[i] then '**'||w[i]||'**' else w[i] end), ' ') end
+        ||case when c is null then '' else ' ... '||array_to_string(list_transform(range(c, least(c+20, len(w)+1)), lambda i: case when hit[i] then '**'||w[i]||'**' else w[i] end), ' ') end as headline from s3""",
     "q7_hash_embed": """with e as (select doc_id, list_transform(range(0,8), lambda i: (('0x'||substr(sha256(substr(text,1,8000)),1+2*i,2))::int)::double/127.5-1) as v from documents where length(text)>0),
       n as (select doc_id, v, sqrt(list_sum(list_transform(v, lambda x: x*x))) as s from e)
       select documents.doc_id, round(v[1]/s,6) as e0, round(v[8]/s,6) as e7, round(list_sum(list_transform(v, lambda x: (x/s)*(x/s))),6) as norm from documents left join n using (doc_id)""",

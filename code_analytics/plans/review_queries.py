@@ -148,6 +148,12 @@ def f10_render_reports(spark: SparkSession, d: str) -> DataFrame:
     return R.render_reports(f).select("run_id", "n_findings", "n_files", "collapsed", "body")
 
 
+def f10_milestone_bodies(spark: SparkSession, d: str) -> DataFrame:
+    f = R.convert_findings(derived(spark, d, "findings")).withColumn("idx", F.row_number().over(Window.partitionBy("run_id").orderBy("seq")) - 1)
+    m = _milestones(spark, d).select("run_id", F.col("seq").alias("milestone"), F.concat(F.lit(" milestone "), F.col("seq").cast("string")).alias("summary"), "finding_indices", ((F.col("seq") % 100) / 100).alias("confidence"))
+    return R.render_milestones(m, f).select("run_id", "milestone", "n_cited", "collapsed", "body")
+
+
 def _decisions(spark: SparkSession, d: str) -> DataFrame:
     return derived(spark, d, "decisions")
 
@@ -327,6 +333,10 @@ ORACLE_SQL = {
       union all select run_id, 'rule1', count(*) filter (contains(t,'improve docs')) from t group by run_id union all select run_id, 'rule2', cast(case when count(*)<31 then 1 else 0 end as bigint) from t group by run_id) where violations>0""",
     "f10_render_reports": _F + """, x as (select *, seq%1000 as r from findings), g as (select r, file, min(seq) as first, count(*) as n, '### '||file||chr(10)||string_agg('- L'||cast(line as varchar)||' ['||severity||'] '||description, chr(10) order by seq) as block from x group by r, file)
       select r as run_id, cast(sum(n) as bigint) as n_findings, count(*) as n_files, sum(n)>=6 as collapsed, string_agg(block, chr(10) order by first) as body from g group by r""",
+    "f10_milestone_bodies": _F + ", " + _CONV + """, m as (select o_orderkey%40 as run_id, o_orderkey as milestone, [o_orderkey%12-2, (o_orderkey+5)%12-2, (o_orderkey*3)%12-2] as i from orders),
+      cn as (select *, row_number() over (partition by run_id order by seq)-1 as idx from conv), mi as (select run_id, milestone, unnest(i) as idx, unnest([1,2,3]) as place from m),
+      g as (select mi.run_id, milestone, count(*) as n, string_agg('- [ ] **'||upper(severity)||'** _'||kind||'_ at `'||file||':'||cast(line as varchar)||'`'||chr(10)||'  '||coalesce(description,'')||case when fix_sketch<>'' then chr(10)||'  fix: '||fix_sketch else '' end, chr(10) order by place) as items from mi join cn c on c.run_id=mi.run_id and c.idx=mi.idx group by all)
+      select m.run_id, m.milestone, cast(coalesce(n,0) as int) as n_cited, coalesce(n,0)>=6 as collapsed, '> milestone '||cast(m.milestone as varchar)||chr(10)||chr(10)||'_Confidence: '||cast(m.milestone%100 as varchar)||'%_'||case when n>0 then chr(10)||chr(10)||'## Findings ('||cast(n as varchar)||')'||chr(10)||chr(10)||items else '' end as body from m left join g on g.run_id=m.run_id and g.milestone=m.milestone""",
     "a1_review_decisions": _F + ", " + _CONV + """, n as (select *, row_number() over (partition by run_id order by seq, file, line) as k from conv), g as (select run_id, min(repo) as repo, count(*) as n, string_agg(file||':'||cast(line as varchar), chr(10) order by k) filter (k<=3) as c, count(*) filter (k<=3) as m from n group by run_id)
       select run_id, repo, 'comment' as action, 'verdict:'||case when run_id%2=0 then 'approve' else 'comment' end||chr(10)||'findings:'||cast(n as varchar)||chr(10)||c as body, cast(m+2 as int) as n_evidence from g""",
     "a1_issue_decisions": _F + ", " + _CONV + """, m as (select o_orderkey%40 as run_id, o_orderkey as milestone, [o_orderkey%12-2, (o_orderkey+5)%12-2, (o_orderkey*3)%12-2] as i from orders), cn as (select *, row_number() over (partition by run_id order by seq)-1 as idx from conv), mi as (select run_id, milestone, unnest(i) as idx from m), k as (select distinct mi.run_id, milestone, file||':'||cast(line as varchar) as key from mi join cn c on c.run_id=mi.run_id and c.idx=mi.idx),
