@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import passage_dedup, quality_rules
+from . import passage_dedup, quality_rules, vector_codes
 from .decontamination import op9_decontamination
 from .line_dedup import op2_line_dedup
 from .lm_scoring import op5_lm_scoring
@@ -15,6 +15,7 @@ from .quality_model import op7_quality_model
 from .quality_rules import op3_quality_rules
 from .sharding import op8_sharding
 from .suffix_dedup import op10_suffix_dedup
+from .vector_codes import op13_vector_codes
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,10 +35,12 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op6_passage_dedup": passage_dedup.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
