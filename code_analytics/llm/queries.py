@@ -13,6 +13,7 @@ from .packing import op1_packing
 from .passage_dedup import op6_passage_dedup
 from .quality_model import op7_quality_model
 from .quality_rules import op3_quality_rules
+from .resampling import op12_resampling
 from .sharding import op8_sharding
 from .suffix_dedup import op10_suffix_dedup
 from .vector_codes import op13_vector_codes
@@ -35,6 +36,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_resampling": op12_resampling,
     "op13_vector_codes": op13_vector_codes,
     "pipeline": pipeline,
 }
