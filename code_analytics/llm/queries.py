@@ -17,6 +17,7 @@ from .resampling import op12_resampling
 from .sharding import op8_sharding
 from .suffix_dedup import op10_suffix_dedup
 from .vector_codes import op13_vector_codes
+from .vector_search import op11_neighbours
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +37,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_decontamination": op9_decontamination,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_neighbours": op11_neighbours,
     "op12_resampling": op12_resampling,
     "op13_vector_codes": op13_vector_codes,
     "pipeline": pipeline,
