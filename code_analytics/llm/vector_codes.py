@@ -41,7 +41,7 @@ def whole(x: np.ndarray, n_parts: int) -> np.ndarray:
     q = np.clip(np.floor(x.astype(np.float64) * SCALE), -LARGEST, LARGEST).astype(np.int64)
     if fill := -q.shape[1] % n_parts:
         q = np.pad(q, ((0, 0), (0, fill)))
-    return q.reshape(len(q), n_parts, -1)
+    return q.reshape(len(q), n_parts, q.shape[1] // n_parts)
 
 
 class Orchard:
