@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_reason
+from .folds import gated, spaced
 
 PAYLOAD = (
     "action string, pull_request struct<number:int, head:struct<sha:string>>, issue struct<number:int>, after string, "
@@ -59,62 +57,10 @@ def dispatch(events: DataFrame) -> DataFrame:
     return events.withColumn("function_name", F.when(good, fn)).withColumn("job_id", F.when(good, job)).withColumn("repo_key", repo)
 
 
-def in_order(df: DataFrame, gap_us: int) -> DataFrame:
-    """Rows (key, t, ..) dealt out and sorted for a fold over each key in the order of time.
-
-    Where a key has nothing for `gap_us`, its fold begins anew, so it is cut there and its pieces run in several tasks. The
-    cuts come from the first and last time of each key and stretch of gap_us, which tasks reduce before the shuffle.
-    """
-    df = df.withColumn("stretch", F.floor(F.col("t") / gap_us))
-    some = df.groupBy("key", "stretch").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    w = Window.partitionBy("key").orderBy("stretch")
-    new = F.coalesce(F.col("lo") - F.lag("hi").over(w) >= gap_us, F.lit(True))
-    pieces = some.withColumn("new", new.cast("int")).withColumn("piece", F.sum("new").over(w)).select("key", "stretch", "piece")
-    return df.join(pieces, ["key", "stretch"]).drop("stretch").repartition("key", "piece").sortWithinPartitions("key", "piece", "t", "id")
-
-
-class Gate:
-    """What one key remembers: the time of the last dispatch, and the jobs whose horizon isn't over."""
-
-    def __init__(self, window_us: int, horizon_us: int = 0, last: int | None = None, live: dict[str, int] | None = None):
-        self.window_us, self.horizon_us, self.last, self.live = window_us, horizon_us, last, live or {}
-
-    def __call__(self, t: int, job: str | None = None) -> str:
-        """The cooldown is looked at before the duplicate, and only a dispatched job moves it."""
-        if self.last is not None and t - self.last < self.window_us:
-            return "cooldown"
-        if job is not None and job in self.live:
-            if t - self.live[job] < self.horizon_us:
-                return "duplicate"
-            del self.live[job]
-        self.last = t
-        if job is not None:
-            self.live[job] = t
-            if len(self.live) > 1000:
-                self.live = {j: s for j, s in self.live.items() if t - s < self.horizon_us}
-        return "dispatched"
-
-
-def gated(rows: DataFrame, window_us: int, horizon_us: int = 0) -> DataFrame:
-    """(key, id, t, outcome) of rows (key, t, id, job), job null where only the cooldown counts; a task holds one key's gate."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, gate = None, Gate(window_us, horizon_us)
-        for b in batches:
-            out = []
-            for key, piece, t, job in zip(*(b.column(c).to_pylist() for c in ("key", "piece", "t", "job")), strict=True):
-                if (key, piece) != now:
-                    now, gate = (key, piece), Gate(window_us, horizon_us)
-                out.append(gate(t, job))
-            yield pa.record_batch([b.column("key"), b.column("id"), b.column("t"), pa.array(out, pa.string())], ["key", "id", "t", "outcome"])
-
-    return in_order(rows, max(window_us, horizon_us)).mapInArrow(run, "key string, id long, t long, outcome string")
-
-
 def cooldown(df: DataFrame, key: Column, ts: str, event_id: str, window_seconds: float = 60.0) -> DataFrame:
-    """(key, id, t) of the accepted rows. The accepted time moves only on acceptance, so a key is a fold over its rows in order."""
-    rows = df.select(F.lower(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(event_id).cast("long").alias("id"), F.lit(None).cast("string").alias("job"))
-    return gated(rows, int(window_seconds * 1e6)).where("outcome = 'dispatched'").select("key", "id", "t")
+    """(key, id, t) of the accepted rows. The accepted time moves only on acceptance; rows without key or time are accepted and move nothing."""
+    rows = df.select(F.lower(key).alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(event_id).cast("long").alias("id"))
+    return spaced(rows, int(window_seconds * 1e6))
 
 
 def dedupe_jobs(jobs: DataFrame, horizon_seconds: float) -> DataFrame:
@@ -123,10 +69,15 @@ def dedupe_jobs(jobs: DataFrame, horizon_seconds: float) -> DataFrame:
     return jobs.join(kept.select(F.col("id").alias("delivery_id")), "delivery_id", "left_semi")
 
 
-def admit(jobs: DataFrame, window_seconds: float = 60.0, horizon_seconds: float = 3600.0) -> DataFrame:
-    """(delivery_id, outcome) of jobs (delivery_id, repo_key, job_id, ts): dispatched, cooldown or duplicate."""
+def admit(jobs: DataFrame, window_seconds: float = 60.0, horizon_seconds: float = 3600.0, reruns: bool = False) -> DataFrame:
+    """(delivery_id, outcome) of jobs (delivery_id, repo_key, job_id, ts): dispatched, cooldown or duplicate.
+
+    Jobs without repository or time meet no gate and are dispatched. With `reruns` a column says which rows were run twice,
+    since the gate before their partition wasn't empty.
+    """
     rows = jobs.select(F.col("repo_key").alias("key"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col("delivery_id").cast("long").alias("id"), F.col("job_id").alias("job"))
-    return gated(rows, int(window_seconds * 1e6), int(horizon_seconds * 1e6)).select(F.col("id").alias("delivery_id"), "outcome")
+    out = gated(rows, int(window_seconds * 1e6), int(horizon_seconds * 1e6))
+    return out.select(F.col("id").alias("delivery_id"), "outcome", *(["rerun"] if reruns else []))
 
 
 def classify_deliveries(d: DataFrame) -> DataFrame:

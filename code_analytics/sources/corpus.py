@@ -133,7 +133,7 @@ where file_path like 'src/%.py' and length(content)%11=0 and length(content)>0
 """,
     "hunks": r"""
 select concat('org/repo',cast(l_partkey%5 as varchar(20))) as repo, l_orderkey%200 as pr_number,
-  row_number() over (partition by l_orderkey%200 order by l_orderkey,l_linenumber,l_partkey,l_suppkey) as seq,
+  row_number() over (partition by l_orderkey%200 order by l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,l_returnflag,l_extendedprice,l_discount,l_tax,l_shipdate) as seq,
   concat('src/pkg',cast(cast(floor(l_partkey/5.0) as bigint)%8 as varchar(20)),'/m',cast(cast(floor(l_partkey/5.0) as bigint) as varchar(20)),'.py') as file_path,
   case when l_returnflag='R' then 'added' else 'modified' end as status,
   cast(l_quantity as int) as additions, l_linenumber as deletions,
@@ -186,6 +186,8 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name.startswith("code_files"):
         # the view comes from one small file; dealt out once, its rows are made once and read in parallel
         out = out.repartition(spark.sparkContext.defaultParallelism, "repo", "file_path")
+    if name == "deliveries":
+        out = out.repartition(spark.sparkContext.defaultParallelism, "delivery_id")
     return out
 
 

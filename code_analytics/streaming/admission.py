@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import changes, events
+from ..operators import changes
+from ..operators.folds import Gate
 
 
 def dedupe_jobs(stream: DataFrame, horizon: str = "1 hour") -> DataFrame:
@@ -29,7 +30,7 @@ def gated(stream: DataFrame, window_us: int, horizon_us: int, lateness: str) ->
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, live, waiting = state.get if state.exists else (None, [], [])
-        gate = events.Gate(window_us, horizon_us, last, {job: t for job, t in map(tuple, live)})
+        gate = Gate(window_us, horizon_us, last, {job: t for job, t in map(tuple, live)})
         waiting = [tuple(x) for x in waiting]
         for b in batches:
             waiting += list(zip(b["t"].astype("int64").tolist(), b["id"].astype("int64").tolist(), b["job"].where(b["job"].notna(), None).tolist(), strict=True))
