@@ -1,7 +1,7 @@
 """What one source text declares: small row helpers that the symbol and import operators run inside an Arrow UDF.
 
-Python texts are read by Python's own parser. A line that it rejects is left blank and the rest is read again, so one
-broken statement doesn't hide the others. JavaScript and TypeScript texts are read by their brackets: comments and
+Python texts are read by Python's own parser. A line that it rejects gives way to an empty statement at its place and the rest
+is read again from the last whole statement, so a broken statement hides neither the others nor the heads around it. JavaScript and TypeScript texts are read by their brackets: comments and
 strings are blanked first, then heads are found by pattern and their ends by the matching bracket. A text that can't be
 read declares nothing; no text raises.
 """
@@ -13,7 +13,6 @@ import bisect
 import re
 
 DOCSTRING_CHARS = 200
-RETRIES = 20
 
 SPACE = re.compile(r"\s*")
 PY_STRING = r"'''[\s\S]*?(?:'''|\Z)|\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'(?:\\.|[^'\\\n])*'|\"(?:\\.|[^\"\\\n])*\""
@@ -38,28 +37,83 @@ def pairs(text: str) -> dict[int, int]:
     return out
 
 
-def python_tree(text: str) -> tuple[ast.Module | None, list[int]]:
-    """The tree, if any, and the lines (from 0) that were left blank for it."""
-    lines, tried = text.split("\n"), []
-    for _ in range(RETRIES):
+EMPTY_BLOCK = re.compile(r"expected an indented block after .* on line (\d+)")
+OPEN_END = re.compile(r"was never closed|unterminated|unexpected EOF")
+#: a line that begins a statement at the top, and the clauses that go on with the one before
+TOP = re.compile(r"(?!(?:else|elif|except|finally)\b)[^\s#)\]}]")
+CLAUSE = re.compile(r"\s*(except|elif|else|finally)\b")
+CLAUSES = {"except": "except Exception:", "elif": "elif 1:", "else": "else:", "finally": "finally:"}
+WINDOW = 256
+
+
+def parsed(lines: list[str], begin: int, end: int) -> list[ast.stmt]:
+    return ast.increment_lineno(ast.parse("\n".join(lines[begin:end])), begin).body
+
+
+def emptied(line: str, state: int) -> str:
+    """A rejected line: first a head or clause that keeps its block, then `pass`, then blank."""
+    indent = line[: len(line) - len(line.lstrip())]
+    clause = CLAUSE.match(line)
+    return indent + (CLAUSES[clause[1]] if clause else "if 1:", "pass", "")[state] if state < 2 else ""
+
+
+def python_tree(text: str) -> tuple[list[ast.stmt], list[int]]:
+    """The statements, and the lines (from 0) that the parser rejected.
+
+    Texts with faults are read in windows that end at the top, and what stands before the last whole statement at the top is
+    done with and not read again. A head with an empty block gets a `pass`, and a `try` without its clauses becomes `if 1`.
+    """
+    lines, body, begin, window, mended, tried = text.split("\n"), [], 0, len(text), set(), {}
+    while begin < len(lines):
+        end = begin + window
+        while end < len(lines) and not TOP.match(lines[end]):
+            end += 1
         try:
-            return ast.parse("\n".join(lines)), tried
+            body += parsed(lines, begin, end)
+            begin = end
+            continue
         except SyntaxError as e:
-            k = (e.lineno or 0) - 1
-            if k in tried or not 0 <= k < len(lines):
-                break
-            tried.append(k)
-            lines[k] = ""
+            at, message = begin + (e.lineno or 0) - 1, e.msg or ""
         except (ValueError, RecursionError, MemoryError):
             break
-    return None, tried
+        if end < len(lines) and (at >= end - 1 or OPEN_END.search(message)):  # the window may have cut a statement
+            window *= 4
+            continue
+        window = WINDOW
+        if empty := EMPTY_BLOCK.search(message):
+            head = begin + int(empty[1]) - 1
+            if head not in mended:
+                mended.add(head)
+                lines[head] = lines[head].split("#")[0].rstrip() + " pass"
+                continue
+        k = min(at, len(lines) - 1)
+        if "'except' or 'finally'" in message:
+            head = next((h for h in range(k, begin - 1, -1) if re.match(r"\s*try\s*:", lines[h])), None)
+            if head is not None:
+                lines[head] = lines[head].replace("try", "if 1", 1)
+                continue
+        while k >= begin and tried.get(k) == 3:  # blank already: the fault lies before it
+            k -= 1
+        if k < begin:
+            break
+        state = tried.get(k, 0 if lines[k].split("#")[0].rstrip().endswith(":") else 1)
+        lines[k], tried[k] = emptied(lines[k], state), state + 1
+        top = k
+        while top > begin and not TOP.match(lines[top]):
+            top -= 1
+        if top > begin:
+            try:
+                body += parsed(lines, begin, top)
+                begin = top
+            except (SyntaxError, ValueError, RecursionError, MemoryError):
+                pass
+    return body, sorted(tried)
 
 
 def python_structure(text: str) -> tuple[list[tuple], list[tuple]]:
     """(name, kind, start_line, end_line, parent_class, signature, docstring, decorators) of each def and class, and (raw, start_line) of each import."""
-    tree, rejected = python_tree(text)
-    if tree is None:
-        return [], []
+    text = text.removeprefix("\ufeff").replace("\0", " ")
+    statements, rejected = python_tree(text)
     data = text.encode()
     begins = [0, *(m.end() for m in re.finditer(rb"\r\n|\r|\n", data))]
     part = lambda a, b, c, d: data[begins[a - 1] + b : begins[c - 1] + d].decode(errors="replace")
@@ -89,7 +143,7 @@ def python_structure(text: str) -> tuple[list[tuple], list[tuple]]:
     lines = text.split("\n")
     # an import that the parser rejects still says what it asks for
     imports = [(lines[k].strip(), k + 1) for k in rejected if re.match(r"\s*(?:from\s+\S+\s+)?import\s+[^\s(]", lines[k])]
-    symbols, todo = [], [(n, None) for n in tree.body]
+    symbols, todo = [], [(n, None) for n in statements]
     while todo:
         n, owner = todo.pop()
         inner = owner
@@ -120,6 +174,7 @@ JS_IMPORT = re.compile(r"import\s+(?:[^'\";]*?from\s+|[\w$]+\s*=\s*require\s*\(\
 
 def script_structure(text: str, typescript: bool) -> tuple[list[tuple], list[tuple]]:
     """As python_structure, for JavaScript and TypeScript."""
+    text = text.removeprefix("\ufeff")
     code = blanked(text, JS_HIDDEN)
     close = pairs(code)
     breaks = [m.start() for m in re.finditer("\n", text)]

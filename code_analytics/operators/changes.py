@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import VersionedTable
 from .selection import select_source_files
 
 
@@ -72,6 +73,16 @@ def rebuild(index: DataFrame, fresh: DataFrame) -> DataFrame:
     return index.join(fresh.select("repo").distinct(), "repo", "left_anti").unionByName(fresh)
 
 
+def merge_stored(index: VersionedTable, changes: DataFrame, new_files: DataFrame, batch: tuple[str, int] | None = None) -> int | None:
+    """merge_files on a stored index; only the buckets of changed repositories are read and written. The new version, or null for a batch that it holds already."""
+    return index.rewrite(changes.select("repo"), lambda rows: merge_files(rows, changes, new_files), batch)
+
+
+def rebuild_stored(index: VersionedTable, fresh: DataFrame) -> int | None:
+    """rebuild on a stored index; the files of other buckets stay as they are."""
+    return index.rewrite(fresh.select("repo"), lambda rows: rebuild(rows, fresh.select(*rows.columns)))
+
+
 def upsert_repos(repos: DataFrame, incoming: DataFrame) -> DataFrame:
     """root_path is overwritten, github_full_name only filled, default_branch overwritten where given (else main for a new row)."""
     a, b = repos.alias("a"), incoming.alias("b")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from ..sources.tables import VersionedTable
 
 # fixed values: least confidence of each action, and the characters of a body that count
 THRESHOLDS = {
@@ -113,9 +114,18 @@ def summarise_outcomes(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("total"), by("executed", "shadow_logged").alias("executed"), by("deduped").alias("deduped"), by("downgraded_low_confidence", "downgraded_write_mode").alias("downgraded"), by("error", "rejected_no_client").alias("errors"))
 
 
-def append_actions(spark: SparkSession, path: str, gated: DataFrame) -> None:
-    """Adds the recorded rows to the log at `path`; one writer at a time."""
-    gated.where("recorded").select(*KEY, "seq", "outcome", "confidence").write.mode("append").parquet(path)
+LOG_SCHEMA = "repo_key string, agent string, action string, signature string, seq long, outcome string, confidence double"
+
+
+def append_actions(log: VersionedTable, gated: DataFrame) -> int:
+    """Adds the recorded rows to the log. Any number of writers may append at once: each stages its rows and publishes them whole."""
+    return log.append(gated.where("recorded"))
+
+
+def recorded_actions(log: VersionedTable) -> DataFrame:
+    """The rows of the log, of each key only the one recorded first: writers that didn't see each other may both have recorded it."""
+    w = Window.partitionBy(*KEY).orderBy("published", "seq")
+    return log.read().withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def build_review_decisions(runs: DataFrame, findings: DataFrame) -> DataFrame:

@@ -30,12 +30,17 @@ def test_like(files: DataFrame) -> DataFrame:
 
 
 def imported_names(tests: DataFrame) -> DataFrame:
-    """(repo, test_path, name): every dotted name that a test file imports, by each of the three forms, once."""
-    plain = F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*import[ \t]+([\w.]+)"), F.lit(1))
-    source = F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*from[ \t]+([\w.]+)[ \t]+import\b"), F.lit(1))
-    what = F.regexp_extract_all("content", F.lit(r"(?m)^[ \t]*from[ \t]+[\w.]+[ \t]+import\b([^\n]*)"), F.lit(1))
+    """(repo, test_path, name): every dotted name that a test file imports, once, wherever in a line the statement stands.
+
+    `import a.b` imports a and a.b; `from a import b, c` the names a, a.b and a.c, and b on its own.
+    """
+    every = lambda p, group: F.regexp_extract_all("content", F.lit(p), F.lit(group))
+    dotted = every(r"\bimport\s+([\w.]+)", 1)
+    prefixes = F.flatten(F.transform(dotted, lambda x: F.transform(F.sequence(F.lit(1), F.size(F.split(x, r"\."))), lambda n: F.array_join(F.slice(F.split(x, r"\."), F.lit(1), n), "."))))
+    # the names behind `import` are looked at ahead, so that a second statement in the line is found, too
+    source, what = (every(r"\bfrom\s+([\w.]+)\s+import\b(?=\s*([^\n]*))", g) for g in (1, 2))
     pairs = F.flatten(F.zip_with(source, what, lambda m, w: F.transform(F.regexp_extract_all(w, F.lit(r"(\w+)"), F.lit(1)), lambda x: F.concat(m, F.lit("."), x))))
-    names = F.array_distinct(F.concat(plain, source, pairs))
+    names = F.array_distinct(F.concat(prefixes, source, pairs))
     return tests.select("repo", F.col("file_path").alias("test_path"), F.explode(names).alias("name"))
 
 

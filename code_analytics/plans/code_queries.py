@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from ..operators import selection as S
 from ..operators import symbols as P
 from ..functions.text import language
 from ..sources.corpus import cte, derived, table
+from ..sources.shared import shared_folder
+from ..sources.tables import VersionedTable
 
 
 def _list(values: tuple[str, ...]) -> str:
@@ -108,6 +111,20 @@ def s9_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return C.rebuild(_selected(spark, d), fresh).select("repo", "file_path", F.md5("content").alias("hash"))
 
 
+def _stored_index(spark: SparkSession, d: str) -> VersionedTable:
+    """The selected files as a stored index of its own."""
+    out = VersionedTable(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", "repo string, file_path string, content string", n_buckets=8)
+    out.append(_selected(spark, d))
+    return out
+
+
+def s9_rebuild_stored(spark: SparkSession, d: str) -> DataFrame:
+    """The same on a stored index, of which the other repositories' files stay untouched."""
+    index = _stored_index(spark, d)
+    C.rebuild_stored(index, S.select_source_files(derived(spark, d, "code_files_v2").where("repo in ('org/repo1', 'org/repo3')")))
+    return index.read().select("repo", "file_path", F.md5("content").alias("hash"))
+
+
 def s10_upsert_repos(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
@@ -278,6 +295,12 @@ def t1_has_existing_tests(spark: SparkSession, d: str) -> DataFrame:
     return T.has_existing_tests(targets, files, I.package_roots(files))
 
 
+def t1_prefix_imports(spark: SparkSession, d: str) -> DataFrame:
+    """The same with tests that import below a module, inside a block, or the module as one of several names."""
+    files = _files(spark, d).unionByName(derived(spark, d, "test_uses"))
+    return T.has_existing_tests(_selected(spark, d).where("language = 'python'"), files, I.package_roots(files))
+
+
 def t2_importable_names(spark: SparkSession, d: str) -> DataFrame:
     return T.importable_names(_selected(spark, d).where("language = 'python'"), I.package_roots(_files(spark, d)))
 
@@ -286,6 +309,16 @@ def t3_is_feasible(spark: SparkSession, d: str) -> DataFrame:
     return T.is_feasible(_files(spark, d), _index(spark, d), _symbols(spark, d))
 
 
+def t4_prior_attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Feasibility with a log in which every sixth part's module was tried, and as many were looked at by another agent."""
+    k, j = F.col("p_partkey"), F.floor(F.col("p_partkey") / 5.0)
+    path = F.concat(F.lit("src/pkg"), (j % 8).cast("string"), F.lit("/m"), j.cast("string"), F.lit(".py"))
+    log = table(spark, d, "part").where(k % 3 == 0).select(
+        F.concat(F.lit("Org/Repo"), (k % 5).cast("string")).alias("repo"), F.when(k % 2 == 0, "test_generator").otherwise("pr_reviewer").alias("agent"), F.array(F.lit("x"), F.concat(F.lit("target_file:"), path)).alias("evidence")
+    )
+    return T.is_feasible(_files(spark, d), _index(spark, d), _symbols(spark, d), log)
+
+
 def t5_preview(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
     return T.preview(_index(spark, d), files, _symbols(spark, d), I.package_roots(files))
@@ -348,8 +381,8 @@ _TESTED = rf"""tt as (select repo, file_path, regexp_replace(file_path,'/?[^/]*$
 cf as (select repo, file_path as test_path, regexp_replace(file_path,'/?[^/]*$','') as dir, regexp_extract(file_path,'([^/]+)$',1) as nm, content,
   list_has_any(string_split(file_path,'/'), {_list(S.SKIP_DIRS)}) as skipped, list_has_any(string_split(file_path,'/'), {_list(S.TEST_DIRS)}) as in_tests from code_files),
 tl as (select repo, test_path, unnest(string_split(content,chr(10))) as t from cf where ends_with(nm,'.py') and not skipped and (in_tests or starts_with(nm,'test_') or ends_with(nm,'_test.py'))),
-tm as (select repo, test_path, regexp_extract(t,'^[ \t]*from[ \t]+([\w.]+)[ \t]+import\b',1) as m, regexp_extract(t,'^[ \t]*from[ \t]+[\w.]+[ \t]+import\b(.*)$',1) as w, regexp_extract(t,'^[ \t]*import[ \t]+([\w.]+)',1) as p from tl),
-tn as (select repo, test_path, p as name from tm where p<>'' union select repo, test_path, m from tm where m<>'' union select repo, test_path, m||'.'||unnest(regexp_extract_all(w,'\w+')) from tm where m<>''),
+tm as (select repo, test_path, regexp_extract(t,'\bfrom\s+([\w.]+)\s+import\b',1) as m, regexp_extract(t,'\bfrom\s+[\w.]+\s+import\b(.*)$',1) as w, unnest(regexp_extract_all(t,'\bimport\s+([\w.]+)',1)) as p from tl),
+tn as (select repo, test_path, array_to_string(string_split(p,'.')[1:k],'.') as name from (select *, unnest(range(1, len(string_split(p,'.'))+1)) as k from tm) union select repo, test_path, m from tm where m<>'' union select repo, test_path, m||'.'||unnest(regexp_extract_all(w,'\w+')) from tm where m<>''),
 nms as ({_NAMES}),
 c1 as (select t.repo, t.file_path, case when f.nm='test_'||stem||'.py' then 0 else 1 end as rank, test_path, 'sibling' as how from tt t join cf f on f.repo=t.repo and f.dir=t.dir and f.nm in ('test_'||stem||'.py', stem||'_test.py')
   union all select t.repo, t.file_path, 10, test_path, 'in_test_dir' from tt t join cf f on f.repo=t.repo and f.nm in ('test_'||stem||'.py', stem||'_test.py') where in_tests and not skipped
@@ -408,6 +441,11 @@ _SHAPE_SYMBOLS = [
     ("m{k}.ts", "twice", "function", 29, 29, None, "function twice(n: number): number", None, ""),
     ("m{k}.ts", "later", "async_function", 30, 32, None, "async function later()", None, ""),
     ("bad{k}.py", "fine", "function", 4, 5, None, "def fine()", None, ""),
+    ("bad{k}.py", "shout", "function", 7, 8, None, "def shout()", None, ""),
+    ("bad{k}.py", "Old", "class", 10, 14, None, None, None, ""),
+    ("bad{k}.py", "m", "method", 11, 12, "Old", "def m(self)", None, ""),
+    ("bad{k}.py", "n", "method", 13, 14, "Old", "def n(self)", None, ""),
+    ("mark{k}.py", "first", "function", 1, 2, None, "def first()", None, ""),
 ]
 _SHAPE_IMPORTS = [
     ("m{k}.py", "import os, sys", 4),
@@ -422,8 +460,8 @@ _SHAPE_SQL = {
     "p2_shapes": f"""select {_PLACE}, {_K('name')} as name, kind, cast(a as int) as start_line, cast(b as int) as end_line, {_K('parent')} as parent_class, {_K('sig')} as signature, doc as docstring, decorators
       from supplier cross join ({_rows(_SHAPE_SYMBOLS)}) t(f, name, kind, a, b, parent, sig, doc, decorators)""",
     "p4_shapes": f"select {_PLACE}, {_K('raw')} as raw, cast(a as int) as start_line from supplier cross join ({_rows(_SHAPE_IMPORTS)}) t(f, raw, a)",
-    "p6_structures": f"""select {_PLACE}, n_symbols, n_imports from supplier cross join (select * from (values ('m{{k}}.py', 6::bigint, 3::bigint), ('m{{k}}.ts', 7, 2), ('bad{{k}}.py', 1, 0), ('bad{{k}}.js', 0, 0)) t(f, n_symbols, n_imports)
-      union all select f || '.txt', 0::bigint, 0::bigint from (values ('m{{k}}.py'), ('m{{k}}.ts'), ('bad{{k}}.py'), ('bad{{k}}.js')) t(f))""",
+    "p6_structures": f"""select {_PLACE}, n_symbols, n_imports from supplier cross join (select * from (values ('m{{k}}.py', 6::bigint, 3::bigint), ('m{{k}}.ts', 7, 2), ('bad{{k}}.py', 5, 0), ('mark{{k}}.py', 1, 0), ('bad{{k}}.js', 0, 0)) t(f, n_symbols, n_imports)
+      union all select f || '.txt', 0::bigint, 0::bigint from (values ('m{{k}}.py'), ('m{{k}}.ts'), ('bad{{k}}.py'), ('mark{{k}}.py'), ('bad{{k}}.js')) t(f))""",
 }
 
 ORACLE_SQL = {
@@ -509,9 +547,14 @@ ORACLE_SQL = {
     "t1_has_existing_tests": _with(_SEL, _ROOTS, _TESTED) + " select * from t1",
     "t2_importable_names": _with(_SEL, _ROOTS) + _NAMES,
     "t3_is_feasible": _with(*_SYM) + _FEASIBLE,
+    "t4_prior_attempts": _with(*_SYM) + _FEASIBLE.replace("select f.repo", """, tr as (select distinct 'org/repo'||cast(p_partkey%5 as varchar) as repo, 'src/pkg'||cast(cast(floor(p_partkey/5.0) as bigint)%8 as varchar)||'/m'||cast(cast(floor(p_partkey/5.0) as bigint) as varchar)||'.py' as file_path from part where p_partkey%6=0)
+      select f.repo""", 1).replace("'no_symbols' end", "'no_symbols' when tr.repo is not null then 'prior_attempt' end") + " left join tr on tr.repo=f.repo and tr.file_path=f.file_path",
     "t5_preview": _with(_SEL, _LINES, _SYMBOLS, _ROOTS, _TESTED) + ", t3 as (with " + _FEASIBLE.lstrip(", ") + """)
       select repo, count(*) as files, count(*) filter (t1.reason is null and t3.reason is null) as candidates, count(*) filter (t1.reason is not null) as rejected_a, count(*) filter (t1.reason is null and t3.reason is not null) as rejected_b from t1 join t3 using (repo, file_path) group by repo""",
     "t6_select_jobs": _with(*_SYM) + """, r as (select distinct repo, case when right(repo,1)='3' then 'not_opted_in' when right(repo,1)='4' then 'not_incremental' when right(repo,1)='0' then 'no_added_files' end as skip from sel),
       c as (select distinct repo, file_path from sym where language='python'), k as (select *, row_number() over (partition by repo order by file_path) as n, count(*) over (partition by repo) as tot from c where right(repo,1) in ('1','2'))
       select r.repo, skip, file_path, 'generate-tests:'||lower(r.repo)||':'||file_path||':'||left(sha256(r.repo),7) as job_id, coalesce(greatest(tot-2,0),0) as dropped_over_cap from r left join k on k.repo=r.repo and k.n<=2""",
 }
+_USED = _with(_SEL.replace("from code_files", "from code_files0"), _ROOTS, _TESTED).replace("code_files as (", "code_files0 as (", 1)
+ORACLE_SQL["t1_prefix_imports"] = _USED.replace(", sel as", f", {cte('test_uses').removeprefix('with ')}, code_files as (select * from code_files0 union all select * from test_uses), sel as", 1) + " select * from t1"
+ORACLE_SQL["s9_rebuild_stored"] = ORACLE_SQL["s9_rebuild"]

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import changes as C
 from ..operators import decisions as A
 from ..operators import diffs as D
 from ..operators import events as E
 from ..operators import findings as R
 from ..sources.corpus import cte, derived, table
-from .code_queries import _LINES, _SEL, _SYMBOLS, _index, _symbols, _with
+from ..sources.shared import shared_folder
+from ..sources.tables import VersionedTable
+from ..streaming import reindex
+from . import code_queries
+from .code_queries import _LINES, _SEL, _SYMBOLS, _index, _stored_index, _symbols, _with
 
 
 def _hunks(spark: SparkSession, d: str) -> DataFrame:
@@ -262,7 +269,27 @@ def e9_delivery_stats(spark: SparkSession, d: str) -> DataFrame:
     return E.delivery_stats(table(spark, d, "events"), "ts", "event_type", "1 day").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-QUERIES = {k: v for k, v in list(globals().items()) if k[:1] in "dhfae" and k[1:2].isdigit() and callable(v)}
+def e8_reindex_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The changes from the first snapshot to the second as files, streamed into the stored index in three batches; then a batch comes again."""
+    index, folder = _stored_index(spark, d), f"{shared_folder(spark)}/changes-{uuid.uuid4().hex}"
+    old, new = derived(spark, d, "code_files"), derived(spark, d, "code_files_v2")
+    rows = C.snapshot_diff(old, new).join(new, ["repo", "file_path"], "left").withColumn("at", F.lit("2026-01-01").cast("timestamp"))
+    rows.select("repo", "file_path", "status", "content", "at").repartition(3, "repo", "file_path").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(reindex.CHANGES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    reindex.reindex(stream, index, f"{folder}/checkpoint").awaitTermination()
+    reindex.merge_batches(index, "reindex")(spark.read.schema(reindex.CHANGES).parquet(f"{folder}/in"), 1)
+    return index.read().select("repo", "file_path", F.md5("content").alias("hash"))
+
+
+def s11_action_log(spark: SparkSession, d: str) -> DataFrame:
+    """Two writers that don't see each other's rows append to one log; of a key the one recorded first counts."""
+    log = VersionedTable(spark, f"{shared_folder(spark)}/log-{uuid.uuid4().hex}", A.LOG_SCHEMA, "repo_key", 8)
+    for writer in (0, 1):
+        A.append_actions(log, A.gate_decisions(_decisions(spark, d).where(F.col("seq") % 2 == writer), "full"))
+    return A.recorded_actions(log).select("seq", "repo_key", "agent", "action", "signature", "outcome", "published")
+
+
+QUERIES = {k: v for k, v in list(globals().items()) if k[:1] in "dhfaes" and k[1:2].isdigit() and callable(v)}
 
 _H = cte("hunks")
 _RANGES = r"""rg as (select repo, pr_number, seq, file_path, row_number() over () as z, unnest(range(0,len(a))) as k, unnest(a) as a, unnest(b) as b from (select *, regexp_extract_all(patch,'@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@',1) as a, regexp_extract_all(patch,'@@ -\d+(?:,\d+)? \+(\d+)(?:,(\d+))? @@',2) as b from hunks)),
@@ -360,6 +387,10 @@ ORACLE_SQL = {
     "e7_admit": f"with recursive {_DLB}, {_EV}, {_RT}, " + _ADMIT.format(w=6 * 3600 * 1000000, h=7 * 86400 * 1000000),
     "e9_delivery_stats": "select strftime(ts,'%Y-%m-%d') as day, event_type, count(*) as n from events group by all",
 }
+ORACLE_SQL["e8_reindex_stream"] = code_queries.ORACLE_SQL["s8_merge_files"]
+ORACLE_SQL["s11_action_log"] = f"""with {_DB}, {_SIG}, fr as (select *, min(seq) over (partition by seq%2, repo_key, agent, action, signature) as f from sg where client_ok),
+  rc as (select *, row_number() over (partition by repo_key, agent, action, signature order by seq%2, seq) as n from fr where seq=f)
+  select seq, repo_key, agent, action, signature, case when confidence<threshold then 'downgraded_low_confidence' else 'executed' end as outcome, cast(seq%2+1 as int) as published from rc where n=1"""
 _CONTEXT = ORACLE_SQL["d4_diff_context"].rsplit("select *, count(*) filter", 1)[0]
 ORACLE_SQL["d6_pack_context"] = _CONTEXT + """, nm as (select 'org/repo'||cast(l_partkey%5 as varchar) as repo, cast(floor((l_partkey+10)/5.0) as bigint) as a, cast(floor(l_partkey/5.0) as bigint) as b from lineitem),
   e as (select distinct repo, 'src/pkg'||cast(a%8 as varchar)||'/m'||cast(a as varchar)||'.py' as src_file, 'src/pkg'||cast(b%8 as varchar)||'/m'||cast(b as varchar)||'.py' as file_path from nm),

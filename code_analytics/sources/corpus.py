@@ -86,7 +86,17 @@ SHAPE_BAD = r'''def broken(:
 
 def fine():
     return 1
-'''
+
+def shout():
+    print @@@x@@@
+
+class Old:
+    def m(self):
+        print @@@y@@@
+    def n(self):
+        return 1
+'''.replace("@@@", '"')
+SHAPE_MARK = "\ufeffdef first():\n    pass\n"
 
 
 def _literal(text: str) -> str:
@@ -121,8 +131,14 @@ select distinct concat('org/repo', cast(p_partkey%5 as varchar(20))) as repo,
 from part
 """,
     "source_shapes": " union all ".join(
-        [_shape("m{k}.py", SHAPE_PY), _shape("m{k}.ts", SHAPE_TS), _shape("bad{k}.py", SHAPE_BAD), _shape("bad{k}.js", "class {{ (")]
+        [_shape("m{k}.py", SHAPE_PY), _shape("m{k}.ts", SHAPE_TS), _shape("bad{k}.py", SHAPE_BAD), _shape("mark{k}.py", SHAPE_MARK), _shape("bad{k}.js", "class {{ (")]
     ),
+    "test_uses": r"""
+select distinct concat('org/repo', cast(p_partkey%5 as varchar(20))) as repo, concat('tests/uses_', cast(cast(floor(p_partkey/5.0) as bigint) as varchar(20)), '_test.py') as file_path,
+  concat('try:',chr(10),'    import pkg',cast(cast(floor(p_partkey/5.0) as bigint)%8 as varchar(20)),'.m',cast(cast(floor(p_partkey/5.0) as bigint) as varchar(20)),'.deep as d',chr(10),
+         'except ImportError:',chr(10),'    from other import m1, pkg',cast(p_partkey%3 as varchar(20)),chr(10)) as content
+from part where p_partkey%37=0
+""",
     "code_files_v2": r"""
 select repo, file_path,
   case when length(file_path)%5=0 and length(content)%3=0 then concat(content,'# edited',chr(10)) else content end as content

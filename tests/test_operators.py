@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from code_analytics.operators import changes, decisions, diffs, events, findings, graph, imports, preflight, search, selection, symbols
+from code_analytics.sources.tables import VersionedTable
 from code_analytics.sources.tree import scan_files
 from code_analytics.streaming import admission
 
@@ -153,9 +154,9 @@ def test_gate_and_log(spark, tmp_path):
     df = spark.createDataFrame(rows, "seq long, repo string, agent string, action string, issue int, body string, confidence double, client_ok boolean")
     full = decisions.gate_decisions(df, "full")
     assert {r.seq: r.outcome for r in full.collect()} == {1: "executed", 2: "deduped", 3: "downgraded_low_confidence", 4: "rejected_no_client", 5: "error", 6: "executed"}
-    path = str(tmp_path / "log")
-    decisions.append_actions(spark, path, full)
-    again = decisions.gate_decisions(df, "full", spark.read.parquet(path))
+    log = VersionedTable(spark, str(tmp_path / "log"), decisions.LOG_SCHEMA, "repo_key", 2)
+    decisions.append_actions(log, full)
+    again = decisions.gate_decisions(df, "full", decisions.recorded_actions(log))
     assert {r.seq for r in again.where("outcome = 'deduped'").collect()} == {1, 2, 3, 6}
     assert {r.outcome for r in decisions.gate_decisions(df.where("confidence > 0.5"), "shadow").collect()} == {"shadow_logged", "deduped"}
     with pytest.raises(Exception, match="no threshold"):
@@ -200,14 +201,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {i for k in range(3) for i in _accepted([(t, i) for i, key, t in rows if key == f"k{k}"], 60)}
 
 
-def test_reindex_batch(spark):
-    index = spark.createDataFrame([("r", "a.py", "1"), ("r", "b.py", "2"), ("r", "c.py", "3")], "repo string, file_path string, content string")
-    batch = spark.createDataFrame([("r", "a.py", "deleted", None), ("r", "b.py", "modified", "22"), ("r", "d.py", "added", "4"), ("r", "e.txt", "added", "5")], "repo string, file_path string, status string, content string")
-    seen = {}
-    admission.reindex_batches(lambda: index, lambda df, i: seen.update({i: {(r.file_path, r.content) for r in df.collect()}}))(batch, 7)
-    assert seen == {7: {("b.py", "22"), ("c.py", "3"), ("d.py", "4")}}
-
-
 def test_responses_and_verdicts(spark):
     df = spark.createDataFrame([(1, '{"a": 1, "b": "x"}'), (2, '{"a": "no", "b": "x"}'), (3, "{"), (4, None)], "id int, raw string")
     ok, bad = findings.parse_responses(df, "a int, b string", ("a", "b"))
