@@ -130,8 +130,9 @@ def recorded_actions(log: VersionedTable) -> DataFrame:
 
 def build_review_decisions(runs: DataFrame, findings: DataFrame) -> DataFrame:
     """One comment a review (run_id, repo, issue, verdict, confidence): its body and evidence name the verdict, the count and the first three findings."""
-    items = findings.groupBy("run_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("seq", "file", "line"))).alias("f"))
-    cited = F.transform(F.slice("f", 1, 3), lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string")))
+    first = findings.withColumn("_n", F.row_number().over(Window.partitionBy("run_id").orderBy("seq", "file", "line"))).where("_n <= 3")
+    items = findings.groupBy("run_id").agg(F.count("*").alias("n")).join(first.groupBy("run_id").agg(F.sort_array(F.collect_list(F.struct("seq", "file", "line"))).alias("f")), "run_id")
+    cited = F.transform("f", lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string")))
     out = runs.join(items, "run_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     evidence = F.concat(F.array(F.concat(F.lit("verdict:"), "verdict"), F.concat(F.lit("findings:"), F.col("n").cast("string"))), F.coalesce(cited, F.array().cast("array<string>")))
     return out.select("run_id", "repo", "issue", F.lit("comment").alias("action"), F.array_join(evidence, "\n").alias("body"), evidence.alias("evidence"), "confidence")

@@ -37,10 +37,29 @@ def cap_pr_files(hunks: DataFrame, n: int = 20) -> DataFrame:
     return out.where((F.col("_all") <= n) | (F.col("_rank") <= n)).withColumn("position", place.cast("int")).drop("_all", "_rank")
 
 
+BIN_LINES = 64
+
+
+def merged_ranges(ranges: DataFrame, *keys: str) -> DataFrame:
+    """(keys, start, stop): overlapping and adjacent ranges of a key as one, so that those of a key are disjoint."""
+    w = Window.partitionBy(*keys).orderBy("start", "stop")
+    reach = F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    islands = ranges.select(*keys, "start", "stop", F.when(F.col("start") <= reach + 1, 0).otherwise(1).alias("new"))
+    islands = islands.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return islands.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")
+
+
+def in_bins(df: DataFrame, start: str, stop: str) -> DataFrame:
+    """A row for each bin of lines that start to stop touches: what overlaps shares a bin."""
+    first, last = (F.floor(F.col(c) / BIN_LINES) for c in (start, stop))
+    return df.where(F.col(start) <= F.col(stop)).withColumn("bin", F.explode(F.sequence(first, last)))
+
+
 def diff_symbols(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """(repo, pr_number, file_path, name, kind, start_line): the symbols that a changed range overlaps, once each."""
-    ranges = hunks.select("repo", "pr_number", "file_path", F.explode(changed_ranges(F.col("patch"))).alias("r"))
-    hit = ranges.join(symbols, ["repo", "file_path"]).where("start_line <= r.stop and end_line >= r.start")
+    ranges = hunks.select("repo", "pr_number", "file_path", F.explode(changed_ranges(F.col("patch"))).alias("r")).select("repo", "pr_number", "file_path", "r.*")
+    ranges = in_bins(merged_ranges(ranges.distinct(), "repo", "pr_number", "file_path"), "start", "stop")
+    hit = ranges.join(in_bins(symbols, "start_line", "end_line"), ["repo", "file_path", "bin"]).where("start_line <= stop and end_line >= start")
     return hit.select("repo", "pr_number", "file_path", "name", "kind", "start_line").distinct()
 
 
@@ -65,13 +84,17 @@ def reverse_dependencies(hunks: DataFrame, edges: DataFrame) -> DataFrame:
 
 def pack_context(context: DataFrame, index: DataFrame, importers: DataFrame, cap: int = 8000, n_importers: int = 5) -> DataFrame:
     """(repo, pr_number, file_path, prompt): head, changed symbols, first importers, and numbered content up to `cap` characters."""
-    by = importers.groupBy("repo", "pr_number", "file_path").agg(F.sort_array(F.collect_set("src_file")).alias("who"))
-    rows = context.join(by, ["repo", "pr_number", "file_path"], "left").join(index.select("repo", "file_path", "content"), ["repo", "file_path"], "left")
+    keys = ["repo", "pr_number", "file_path"]
+    # of all importers only their number, and of the first ones their names
+    number = importers.groupBy(*keys).agg(F.countDistinct("src_file").alias("n_who"))
+    first = importers.select(*keys, "src_file").distinct().withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("src_file"))).where(F.col("_n") <= n_importers)
+    by = number.join(first.groupBy(*keys).agg(F.sort_array(F.collect_list("src_file")).alias("who")), keys)
+    rows = context.join(by, keys, "left").join(index.select("repo", "file_path", "content"), ["repo", "file_path"], "left")
     who = F.coalesce("who", F.array().cast("array<string>"))
-    more = F.when(F.size(who) > n_importers, F.concat(F.lit(" (+"), (F.size(who) - n_importers).cast("string"), F.lit(" more)"))).otherwise("")
+    more = F.when(F.col("n_who") > n_importers, F.concat(F.lit(" (+"), (F.col("n_who") - n_importers).cast("string"), F.lit(" more)"))).otherwise("")
     numbered = F.array_join(F.transform(F.split("content", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(": "), x)), "\n")
     prompt = F.concat_ws(
-        "\n", F.concat(F.lit("file "), F.col("file_path")), F.concat(F.lit("changed "), F.col("changed")), F.concat(F.lit("imported by "), F.array_join(F.slice(who, 1, n_importers), ","), more), F.substring(numbered, 1, cap)
+        "\n", F.concat(F.lit("file "), F.col("file_path")), F.concat(F.lit("changed "), F.col("changed")), F.concat(F.lit("imported by "), F.array_join(who, ","), more), F.substring(numbered, 1, cap)
     )
     return rows.select("repo", "pr_number", "file_path", prompt.alias("prompt"))
 

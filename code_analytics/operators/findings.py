@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from ..functions.text import clamp, first_reason
-from .diffs import changed_ranges
+from .diffs import BIN_LINES, changed_ranges, in_bins, merged_ranges
 
 # fixed values: what a finding may not say, and how a claimed syntax error is told
 BANNED = (
@@ -73,8 +73,11 @@ def verify_findings(findings: DataFrame, index: DataFrame, hunks: DataFrame | No
     files = index.select("repo", F.col("file_path").alias("file"), "line_count", "language", F.lit(True).alias("known"))
     out = findings.join(files, ["repo", "file"], "left")
     if hunks is not None:
-        spans = hunks.select("repo", F.col("file_path").alias("file"), F.explode(changed_ranges(F.col("patch"))).alias("s")).distinct()
-        hit = findings.select("run_id", "seq", "repo", "file", "line").join(spans, ["repo", "file"]).where("line between s.start and s.stop").select("run_id", "seq").distinct()
+        spans = hunks.select("repo", F.col("file_path").alias("file"), F.explode(changed_ranges(F.col("patch"))).alias("s")).select("repo", "file", "s.*").distinct()
+        # disjoint ranges: a line lies in one of them at most
+        spans = in_bins(merged_ranges(spans, "repo", "file"), "start", "stop")
+        at = findings.select("run_id", "seq", "repo", "file", "line").withColumn("bin", F.floor(F.col("line") / BIN_LINES))
+        hit = at.join(spans, ["repo", "file", "bin"]).where("line between start and stop").select("run_id", "seq").distinct()
         out = out.join(hit.withColumn("in_range", F.lit(True)), ["run_id", "seq"], "left")
     else:
         out = out.withColumn("in_range", F.lit(False))

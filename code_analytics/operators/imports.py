@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ancestors, below, parent, parts, strip
 from .selection import SKIP_DIRS, TEST_DIRS, in_dirs
-from .symbols import structure
+from .symbols import structure_of
 
 # fixed values: suffixes and index files tried for a relative JavaScript or TypeScript import, in this order
 JS_SUFFIXES = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
@@ -16,7 +16,7 @@ JS_INDEX = tuple("/index" + s for s in JS_SUFFIXES)
 
 def extract_imports(files: DataFrame) -> DataFrame:
     """(repo, file_path, language, ord, raw, start_line) of every import statement; multi-line ones whole."""
-    found = files.select("repo", "file_path", "language", structure(F.col("content"), F.col("language"))["imports"].alias("_all"))
+    found = files.select("repo", "file_path", "language", structure_of(files)["imports"].alias("_all"))
     rows = found.select("repo", "file_path", "language", F.posexplode("_all").alias("ord", "i"))
     return rows.select("repo", "file_path", "language", "ord", F.rtrim("i.raw").alias("raw"), F.col("i.start_line").alias("start_line"))
 

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bounded
+from ..sources.tables import VersionedTable
 
 SEPARATORS = r"[^\p{L}\p{N}]+"
-QUERY_BLOCK = 1_000
+MOST_PUSHED = 1_000
 
 
 def symbol_lookup(index: DataFrame, symbols: DataFrame, queries: DataFrame, cap: int = 10) -> DataFrame:
@@ -51,57 +51,118 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query", F.explode(terms).alias("term"), F.size(terms).alias("n_terms"))
 
 
+def hits(tokens: DataFrame, queries: DataFrame, *keys: str) -> DataFrame:
+    """(query, keys, pos, term, n_terms): where a term of a query stands."""
+    return tokens.join(bounded(query_terms(queries)), tokens.token == F.col("term")).select("query", *keys, "pos", "term", "n_terms")
+
+
+def _all_terms(counts: DataFrame, *keys: str) -> DataFrame:
+    """Of (query, keys, term, n_terms, n) the documents that hold all terms, with their hits."""
+    found = counts.groupBy("query", *keys).agg(F.sum("n").alias("hits"), F.countDistinct("term").alias("found"), F.max("n_terms").alias("n"))
+    return found.where("found = n").select("query", *keys, "hits")
+
+
 def fts_match(tokens: DataFrame, queries: DataFrame, *keys: str) -> DataFrame:
     """(query, keys, hits) of the documents that hold all terms."""
-    hit = tokens.join(bounded(query_terms(queries)), tokens.token == F.col("term"))
-    return hit.groupBy("query", *keys).agg(F.count("*").alias("hits"), F.countDistinct("term").alias("found"), F.max("n_terms").alias("n")).where("found = n").select("query", *keys, "hits")
+    return _all_terms(hits(tokens, queries, *keys).withColumn("n", F.lit(1)), *keys)
 
 
-def cover_density(tokens: DataFrame, queries: DataFrame, *keys: str) -> DataFrame:
+def covers(hit: DataFrame, n_terms: int, *keys: str) -> DataFrame:
     """(query, keys, rank, hits): the sum over minimal covers of 0.1 / (1 + other words in the cover).
 
-    Walking a document's hits in order, the left end of the tightest span that ends here and holds all terms is the
-    smallest of the last places of the terms; among ends with the same left end the first is minimal.
+    Along a document's hits the last place of each term is carried on; the left end of the tightest span that ends at a hit
+    and holds all terms is the smallest of these places. Of ends with the same left end the first is minimal. `n_terms` is
+    the largest number of terms of a query. Work is linear in the hits, and a document is a window of its own.
     """
-    hit = tokens.join(bounded(query_terms(queries)), tokens.token == F.col("term")).select("query", *keys, "pos", "term", "n_terms")
-    # last place of each term so far, folded over the ordered hits of the document
-    lists = hit.groupBy("query", *keys, "n_terms").agg(F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("h"))
-    lists = lists.where(F.size(F.array_distinct(F.transform("h", lambda x: x["term"]))) == F.col("n_terms"))
-    start = F.struct(F.array().cast("array<struct<term:string,pos:int,nth:int>>").alias("last"), F.array().cast("array<struct<l:int,r:int,k:int>>").alias("covers"), F.lit(0).alias("nth"))
-
-    def step(acc: Column, x: Column) -> Column:
-        nth = acc["nth"] + 1
-        last = F.concat(F.filter(acc["last"], lambda y: y["term"] != x["term"]), F.array(F.struct(x["term"].alias("term"), x["pos"].cast("int").alias("pos"), nth.alias("nth"))))
-        left = F.array_min(F.transform(last, lambda y: F.struct(y["pos"].alias("pos"), y["nth"].alias("nth"))))
-        full = F.size(last) == F.col("n_terms")
-        fresh = F.coalesce(F.get(acc["covers"], F.size(acc["covers"]) - 1)["l"], F.lit(-1)) != left["pos"]
-        cover = F.struct(left["pos"].alias("l"), x["pos"].cast("int").alias("r"), (nth - left["nth"] + 1).alias("k"))
-        return F.struct(last.alias("last"), F.when(full & fresh, F.concat(acc["covers"], F.array(cover))).otherwise(acc["covers"]).alias("covers"), nth.alias("nth"))
-
-    covers = F.aggregate("h", start, step)["covers"]
-    rank = F.aggregate(covers, F.lit(0.0), lambda acc, c: acc + F.lit(0.1) / (1 + (c["r"] - c["l"] + 1) - c["k"]))
-    return lists.select("query", *keys, F.round(rank, 6).alias("rank"), F.size("h").cast("long").alias("hits"))
-
-
-def headline(docs: DataFrame, queries: DataFrame, key: str, words: int = 20, fragments: int = 3) -> DataFrame:
+    w = Window.partitionBy("query", *keys).orderBy("pos")
+    # a place and its number among the hits, in one value that sorts by place
+    hit = hit.withColumn("nth", F.row_number().over(w)).withColumn("at", F.shiftleft(F.col("pos").cast("long"), 32) + F.col("nth"))
+    numbers = Window.partitionBy("query").orderBy("term")
+    terms = hit.select("query", "term").distinct().withColumn("no", F.row_number().over(numbers) - 1)
+    hit = hit.join(bounded(terms), ["query", "term"])
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.last(F.when(F.col("no") == k, F.col("at")), ignorenulls=True).over(so_far).alias(f"last{k}") for k in range(n_terms)]
+    hit = hit.select("query", *keys, "n_terms", "at", *last)
+    lasts = [F.when(F.col("n_terms") > k, F.col(f"last{k}")) for k in range(n_terms)]
+    full = sum((x.isNotNull().cast("int") for x in lasts), F.lit(0)) == F.col("n_terms")
+    left = F.least(*lasts) if n_terms > 1 else lasts[0]  # least skips nulls
+    hit = hit.select("query", *keys, "at", F.when(full, left).alias("left"))
+    before = F.lag("left").over(Window.partitionBy("query", *keys).orderBy("at"))
+    words = F.shiftright("at", 32) - F.shiftright("left", 32) + 1
+    inside = F.col("at").bitwiseAND(F.lit(2**32 - 1)) - F.col("left").bitwiseAND(F.lit(2**32 - 1)) + 1
+    hit = hit.withColumn("before", before).withColumn("part", F.when(F.col("left").isNotNull() & ~F.col("before").eqNullSafe(F.col("left")), F.lit(0.1) / (1 + words - inside)))
+    return hit.groupBy("query", *keys).agg(F.round(F.sum("part"), 6).alias("rank"), F.count("*").alias("hits")).where("rank is not null")
+
+
+def _most_terms(queries: DataFrame) -> int:
+    return query_terms(queries).agg(F.max("n_terms")).first()[0] or 1
+
+
+def cover_density(tokens: DataFrame, queries: DataFrame, *keys: str) -> DataFrame:
+    """covers of the documents that hold all terms of a query."""
+    return covers(hits(tokens, queries, *keys), _most_terms(queries), *keys)
+
+
+# a stored positional index: a row for each term and document, so a common term is many rows
+
+
+POSTINGS = "term string, {key} long, gaps array<int>"
+
+
+def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(term, key, gaps): the places of each term in each document, the first one and then the distances between them."""
+    places = tokenize(docs, key, text=text).groupBy(key, "token").agg(F.sort_array(F.collect_list("pos")).alias("p"))
+    return places.select(F.col("token").alias("term"), key, F.transform("p", lambda x, i: x - F.coalesce(F.get("p", i - 1), F.lit(0))).alias("gaps"))
+
+
+def positional_index(spark: SparkSession, path: str, key: str, n_buckets: int = 64) -> VersionedTable:
+    """An index by terms. Documents are added in segments by index.append(postings(docs, key)), each document once."""
+    return VersionedTable(spark, path, POSTINGS.format(key=key), "term", n_buckets)
+
+
+def asked_postings(index: VersionedTable, queries: DataFrame) -> DataFrame:
+    """(query, term, n_terms, key, gaps): only the buckets of the queried terms are read, and of these, where the terms are few, their rows."""
+    terms = query_terms(queries)
+    buckets = {str(r[0]) for r in terms.select(index.bucket()).distinct().collect()}  # at most n_buckets
+    rows, few = index.read(buckets=buckets).drop("published"), terms.select("term").distinct().limit(MOST_PUSHED + 1).collect()
+    if len(few) <= MOST_PUSHED:
+        rows = rows.where(F.col("term").isin([r[0] for r in few]))
+    return rows.join(bounded(terms), "term")
+
+
+def fts_match_indexed(index: VersionedTable, queries: DataFrame, key: str) -> DataFrame:
+    """fts_match over the postings of the queried terms."""
+    return _all_terms(asked_postings(index, queries).withColumn("n", F.size("gaps").cast("long")), key)
+
+
+def cover_density_indexed(index: VersionedTable, queries: DataFrame, key: str) -> DataFrame:
+    """cover_density over the postings of the queried terms; only documents that hold all of them are unpacked."""
+    rows = asked_postings(index, queries)
+    some = rows.withColumn("found", F.count("*").over(Window.partitionBy("query", key))).where("found = n_terms")
+    places = some.select("query", key, "term", "n_terms", F.posexplode("gaps").alias("k", "gap"))
+    along = Window.partitionBy("query", key, "term").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    return covers(places.select("query", key, F.sum("gap").over(along).alias("pos"), "term", "n_terms"), _most_terms(queries), key)
+
+
+def headline(docs: DataFrame, queries: DataFrame, key: str, words: int = 20, fragments: int = 3, index: VersionedTable | None = None) -> DataFrame:
     """(query, key, headline) of the documents that hold a term of the query: words around hits, hits between **.
 
     The first fragment lies around the first hit, each next one around the first hit beyond the fragment before, up to
-    `fragments` of them with ... between; fragments don't overlap.
+    `fragments` of them with ... between; fragments don't overlap. With an index the documents come from its postings.
     """
     terms = queries.select("query", F.array_distinct(F.filter(F.split(F.lower("query"), SEPARATORS), lambda x: x != "")).alias("terms"))
     w = F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+"), "")
-    found = tokenize(docs, key).join(bounded(query_terms(queries)), F.col("token") == F.col("term")).select("query", key).distinct()
+    found = (hits(tokenize(docs, key), queries, key) if index is None else asked_postings(index, queries)).select("query", key).distinct()
     rows = found.join(bounded(terms), "query").join(docs.select(key, w.alias("w")), key)
     is_hit = lambda x: F.arrays_overlap(F.split(F.lower(x), SEPARATORS), F.col("terms"))
-    hits = F.filter(F.transform("w", lambda x, i: F.when(is_hit(x), i + 1)), lambda x: x.isNotNull())
+    marked_at = F.filter(F.transform("w", lambda x, i: F.when(is_hit(x), i + 1)), lambda x: x.isNotNull())
 
     def place(starts: Column, hit: Column) -> Column:
         free = F.coalesce(F.get(starts, F.size(starts) - 1) + words, F.lit(1))
         return F.when((F.size(starts) < fragments) & (hit >= free), F.concat(starts, F.array(F.greatest(free, hit - words // 2)))).otherwise(starts)
 
     starts = F.aggregate("h", F.array().cast("array<int>"), place)
-    rows = rows.withColumn("h", hits).withColumn("starts", F.when(F.size("h") > 0, starts).otherwise(F.array(F.lit(1))))
+    rows = rows.withColumn("h", marked_at).withColumn("starts", F.when(F.size("h") > 0, starts).otherwise(F.array(F.lit(1))))
     marked = lambda x: F.when(is_hit(x), F.concat(F.lit("**"), x, F.lit("**"))).otherwise(x)
     piece = lambda s: F.array_join(F.transform(F.slice("w", s, F.lit(words)), marked), " ")
     return rows.select("query", key, F.array_join(F.transform("starts", piece), " ... ").alias("headline"))
@@ -140,31 +201,26 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topk(docs: DataFrame, queries: DataFrame, k: int, max_dist: float = 0.5) -> DataFrame:
-    """(query, vec_id, distance, rank): the k nearest by cosine distance, then those beyond max_dist left out.
-
-    The queries are a stated set. They are sent to the tasks in blocks of QUERY_BLOCK; a task keeps its own k nearest
-    before the shuffle (Spark's group limit below the window).
-    """
-    d = docs.where("embedding is not null").select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("n"))
-    q = queries.where("embedding is not null").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("m"))
-    n_blocks = -(-queries.count() // QUERY_BLOCK)
-    distance = F.round(1 - dot(F.col("embedding"), F.col("q")) / (F.col("n") * F.col("m")), 6) + F.lit(0.0)
-    w = Window.partitionBy("query").orderBy("distance", "vec_id")
-    parts = []
-    for b in range(max(n_blocks, 1)):
-        block = q if n_blocks <= 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(n_blocks)) == b)
-        rows = d.crossJoin(F.broadcast(block)).select("query", "vec_id", distance.alias("distance"))
-        parts.append(rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).where(F.col("distance") <= max_dist))
-    return reduce(DataFrame.union, parts)
+def grams(text: Column, n: int) -> Column:
+    """The different runs of n characters."""
+    return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
 def matching_symbols(symbols: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, repo, file_path, n): symbols whose lower-cased name holds a term of at least two characters."""
-    terms = queries.select("query", F.filter(F.split(F.lower("query"), r"\s+"), lambda x: F.length(x) >= 2).alias("terms"))
-    # a stated query set against the different names, which are far fewer than the symbols
-    names = symbols.select("name").distinct().crossJoin(bounded(terms)).where(F.exists("terms", lambda t: F.contains(F.lower("name"), t)))
-    return symbols.select("repo", "file_path", "name").join(names.select("query", "name"), "name").groupBy("query", "repo", "file_path").agg(F.count("*").alias("n"))
+    """(query, repo, file_path, n): symbols whose lower-cased name holds a term of at least two characters.
+
+    The different names are indexed by their runs of three and of two characters. A term is looked up by the rarest of its
+    runs of three (a term of two by itself), and only the names behind that one are searched for it.
+    """
+    terms = queries.select("query", F.explode(F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda x: F.length(x) >= 2))).alias("term"))
+    names = symbols.select("name").distinct().withColumn("lower", F.lower("name"))
+    index = names.select("name", "lower", F.explode(F.concat(grams(F.col("lower"), 3), grams(F.col("lower"), 2))).alias("gram"))
+    t = F.col("term")
+    parts = terms.select("term").distinct().select("term", F.explode(F.when(F.length(t) == 2, F.array(t)).otherwise(grams(t, 3))).alias("gram"))
+    rarest = parts.join(index.groupBy("gram").agg(F.count("*").alias("n")), "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    found = rarest.join(index, "gram").where(F.contains("lower", t)).select("term", "name")
+    asked = terms.join(found, "term").select("query", "name").distinct()
+    return symbols.select("repo", "file_path", "name").join(asked, "name").groupBy("query", "repo", "file_path").agg(F.count("*").alias("n"))
 
 
 def hybrid_search(fts: DataFrame, vectors: DataFrame, boosts: DataFrame, limit: int = 10) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing
+from ..sources.shared import stored
 
 STRUCTURE = (
     "symbols array<struct<name:string,kind:string,start_line:int,end_line:int,parent_class:string,signature:string,docstring:string,decorators:array<string>>>, "
@@ -18,12 +19,21 @@ def structure(content: Column, language: Column) -> Column:
     return F.udf(parsing.structure, f"struct<{STRUCTURE.replace('symbols array', 'symbols:array').replace('imports array', 'imports:array')}>", useArrow=True).asNondeterministic()(content, language)
 
 
+def parsed(files: DataFrame) -> DataFrame:
+    """`files` with the column parsed, stored: symbols and imports of these rows come from one reading of their texts."""
+    return stored(files.withColumn("parsed", structure(F.col("content"), F.col("language"))))
+
+
+def structure_of(files: DataFrame) -> Column:
+    return F.col("parsed") if "parsed" in files.columns else structure(F.col("content"), F.col("language"))
+
+
 def extract_symbols(files: DataFrame) -> DataFrame:
     """(repo, file_path, name, kind, start_line, end_line, parent_class, signature, docstring, decorators) of each symbol.
 
     A file in an unknown language, or one that can't be parsed, has none.
     """
-    found = files.where("language in ('python', 'javascript', 'typescript')").select("repo", "file_path", structure(F.col("content"), F.col("language"))["symbols"].alias("s"))
+    found = files.where("language in ('python', 'javascript', 'typescript')").select("repo", "file_path", structure_of(files)["symbols"].alias("s"))
     return found.select("repo", "file_path", F.explode("s").alias("s")).select("repo", "file_path", "s.*")
 
 

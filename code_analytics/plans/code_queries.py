@@ -15,10 +15,12 @@ from ..operators import preflight as T
 from ..operators import search as Q
 from ..operators import selection as S
 from ..operators import symbols as P
+from ..operators import vectors as V
 from ..functions.text import language
 from ..sources.corpus import cte, derived, table
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, stored
 from ..sources.tables import VersionedTable
+from ..sources.tree import scan_files
 
 
 def _list(values: tuple[str, ...]) -> str:
@@ -51,12 +53,25 @@ def _repos(spark: SparkSession, d: str) -> DataFrame:
     return s.select(F.concat(F.lit("org/repo"), F.col("k").cast("string")).alias("repo"), F.concat(F.lit("Org/Full"), F.col("k").cast("string")).alias("github_full_name"))
 
 
+def s1_scan_tree(spark: SparkSession, d: str) -> DataFrame:
+    """A tree with a folder for each supplier, of which every seventh holds bytes that are no UTF-8, written and scanned."""
+    k = F.col("s_suppkey")
+    text = F.when(k % 7 == 0, F.unhex(F.lit("FFFE41")).cast("string")).otherwise(F.concat("s_name", F.lit("\n# "), k.cast("string")))
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    table(spark, d, "supplier").select(k.cast("string").alias("place"), text.alias("value")).repartition("place").write.partitionBy("place").text(root)
+    files, rejects = scan_files(spark, root, "r")
+    place = F.regexp_extract("file_path", r"^place=([^/]+)/", 1).cast("long").alias("place")
+    # the marker that Spark leaves beside the folders is an empty file
+    found = files.where("file_path like 'place=%'").select(place, "size", F.md5("content").alias("hash"), F.lit(None).cast("string").alias("reason"))
+    return found.unionByName(rejects.select(place, "size", F.lit(None).cast("string").alias("hash"), "reason"))
+
+
 def s2_select_source_files(spark: SparkSession, d: str) -> DataFrame:
     return _selected(spark, d).select("repo", "file_path", "language", "size")
 
 
 def s3_build_code_index(spark: SparkSession, d: str) -> DataFrame:
-    files = _selected(spark, d)
+    files = P.parsed(_selected(spark, d))
     heads = files.select("repo").distinct().withColumn("head_sha", F.sha2("repo", 256))
     out = S.build_code_index(files, P.extract_symbols(files), I.extract_imports(files), heads)
     n = lambda c: F.size(f"structure.{c}").cast("long").alias(f"n_{c}")
@@ -201,8 +216,8 @@ def g1_part_in_degree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g2_neighborhood(spark: SparkSession, d: str) -> DataFrame:
-    index = _index(spark, d)
-    return G.neighborhood(index, _edges(spark, d), index.select("repo", "file_path"))
+    index = stored(_index(spark, d).drop("content"))
+    return G.neighborhood(index, stored(_edges(spark, d)), index.select("repo", "file_path"))
 
 
 def g3_repo_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -239,16 +254,36 @@ def _text_queries(spark: SparkSession, d: str) -> DataFrame:
 QUERY_TEXTS = ("the of", "tion", "was inin", "der und", "la de")
 
 
+_positions: dict[tuple[str, str], VersionedTable] = {}
+
+
+def _document_index(spark: SparkSession, d: str) -> VersionedTable:
+    """The positional index of the documents, built once a session: two segments, as when documents come later."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _positions:
+        index = Q.positional_index(spark, f"{shared_folder(spark)}/positions-{uuid.uuid4().hex}", "doc_id", 16)
+        docs = table(spark, d, "documents")
+        for part in (0, 1):
+            index.append(Q.postings(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == part), "doc_id"))
+        _positions[at] = index
+    return _positions[at]
+
+
+def q3_positional_index(spark: SparkSession, d: str) -> DataFrame:
+    """Of each term of the index its documents, places and the sum of the first places."""
+    return _document_index(spark, d).read().groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("gaps")).alias("places"), F.sum(F.get("gaps", F.lit(0))).alias("first_places"))
+
+
 def q4_fts_match(spark: SparkSession, d: str) -> DataFrame:
-    return Q.fts_match(Q.tokenize(table(spark, d, "documents"), "doc_id"), _text_queries(spark, d), "doc_id")
+    return Q.fts_match_indexed(_document_index(spark, d), _text_queries(spark, d), "doc_id")
 
 
 def q5_cover_density(spark: SparkSession, d: str) -> DataFrame:
-    return Q.cover_density(Q.tokenize(table(spark, d, "documents"), "doc_id"), _text_queries(spark, d), "doc_id")
+    return Q.cover_density_indexed(_document_index(spark, d), _text_queries(spark, d), "doc_id")
 
 
 def q6_headline(spark: SparkSession, d: str) -> DataFrame:
-    return Q.headline(table(spark, d, "documents"), _text_queries(spark, d), "doc_id")
+    return Q.headline(table(spark, d, "documents"), _text_queries(spark, d), "doc_id", index=_document_index(spark, d))
 
 
 def q7_hash_embed(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +294,14 @@ def q7_hash_embed(spark: SparkSession, d: str) -> DataFrame:
 
 def q8_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    return Q.vector_topk(e, e.where("vec_id % 50 = 0"), 10, 1.0).select("query", "vec_id", "distance", "rank")
+    return V.exact(e, e.where("vec_id % 50 = 0"), 10, 1.0)
+
+
+def q8_vector_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an inverted file, with at least nine tenths of the rows."""
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 50 = 0")
+    return V.InvertedFile(e, queries=asked).search(asked, 10, 1.0)
 
 
 def q9_has_embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -278,13 +320,15 @@ def q12_matching_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q11_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Documents by text rank and by the distance of their vector to the vector of the query; every seventh has a boost."""
-    fts = q5_cover_density(spark, d).select("query", F.col("doc_id").alias("key"), "rank")
+    """A query for every fiftieth vector, with one of the texts; documents by text rank and by the distance of their vector; every seventh has a boost, and one text has no vectors."""
     e = table(spark, d, "embeddings")
-    asked = table(spark, d, "region").select((F.col("r_regionkey") * 50).cast("long").alias("vec_id"), F.element_at(F.array(*[F.lit(x) for x in QUERY_TEXTS]), (F.col("r_regionkey") + 1).cast("int")).alias("text"))
-    asked = asked.where("text <> 'tion'")
-    near = Q.vector_topk(e, e.join(F.broadcast(asked), "vec_id", "left_semi"), 30, 2.0)  # regions are five
-    vectors = near.join(F.broadcast(asked.withColumnRenamed("vec_id", "query")), "query").select(F.col("text").alias("query"), F.col("vec_id").alias("key"), "distance")
+    number = (F.floor(F.col("vec_id") / 50) % len(QUERY_TEXTS) + 1).cast("int")
+    asked = e.where("vec_id % 50 = 0").select("vec_id", F.element_at(F.array(*[F.lit(x) for x in QUERY_TEXTS]), number).alias("text"))
+    name = F.concat("text", F.lit(" #"), F.col("vec_id").cast("string"))
+    ranked = q5_cover_density(spark, d).select(F.col("query").alias("text"), F.col("doc_id").alias("key"), "rank")
+    fts = asked.join(ranked, "text").select(name.alias("query"), "key", "rank")
+    near = V.exact(e, e.where("vec_id % 50 = 0"), 30).withColumnRenamed("vec_id", "key")
+    vectors = near.join(asked.where("text <> 'tion'").withColumnRenamed("vec_id", "query"), "query").select(F.concat("text", F.lit(" #"), F.col("query").cast("string")).alias("query"), "key", "distance")
     boosts = fts.where("key % 7 = 0").select("query", "key", F.lit(1).cast("long").alias("n"))
     return Q.hybrid_search(fts, vectors, boosts)
 
@@ -465,6 +509,8 @@ _SHAPE_SQL = {
 }
 
 ORACLE_SQL = {
+    "s1_scan_tree": """with s as (select s_suppkey as place, s_name||chr(10)||'# '||cast(s_suppkey as varchar)||chr(10) as text from supplier)
+      select place, case when place%7=0 then 4::bigint else strlen(text) end as size, case when place%7<>0 then md5(text) end as hash, case when place%7=0 then 'not UTF-8' end as reason from s""",
     "s2_select_source_files": _with(_SEL) + "select repo, file_path, language, size from sel",
     "s3_build_code_index": _with(_SEL, _LINES, _SYMBOLS, _IMPORTS) + """select idx.repo, idx.file_path, language, cast(line_count as bigint) as line_count, sha256(idx.repo) as head_sha, coalesce(f,0) as n_functions, coalesce(c,0) as n_classes, coalesce(i,0) as n_imports
       from idx left join (select repo, file_path, count(*) filter (kind<>'class') as f, count(*) filter (kind='class') as c from sym group by all) s on s.repo=idx.repo and s.file_path=idx.file_path
@@ -518,6 +564,7 @@ ORACLE_SQL = {
       m as (select query, row_number() over (partition by query order by s.repo, s.file_path, start_line, kind) as ordinal, count(*) over (partition by query) as total, s.*, content from q join sym s on s.name=query join sel f on f.repo=s.repo and f.file_path=s.file_path)
       select query, cast(ordinal as int) as ordinal, total, repo, file_path, name, kind, (select string_agg(lpad(cast(i as varchar), cast(length(cast(end_line as varchar)) as int), ' ')||': '||string_split(content,chr(10))[i], chr(10) order by i) from (select unnest(range(start_line, end_line+1)) as i)) as code from m where ordinal<=10""",
     "q3_tokenize": "with " + _TOK + " select token, count(*) as n, cast(max(pos) as bigint) as last_pos from tok group by token",
+    "q3_positional_index": "with " + _TOK + ", p as (select token as term, doc_id, count(*) as n, min(pos) as first from tok group by all) select term, count(*) as docs, cast(sum(n) as bigint) as places, cast(sum(first) as bigint) as first_places from p group by term",
     "q4_fts_match": "with " + _TOK + " select query, doc_id, count(*) as hits from h group by query, doc_id, n having count(distinct term)=n",
     "q5_cover_density": "with " + _TOK + ", " + _COVER + ", hc as (select query, doc_id, count(*) as hits from h group by all) select query, doc_id, rank, hits from fts join hc using (query, doc_id)",
     "q6_headline": "with " + _TOK + r""", w as (select doc_id, query, list_filter(regexp_split_to_array(coalesce(text,''),'[ \t\n\x0B\f\r]+'), lambda x: x<>'') as w, string_split(query,' ') as ts from documents, qq),
@@ -536,7 +583,9 @@ ORACLE_SQL = {
     "q9_has_embeddings": "select distinct 'r'||cast(vec_id%7 as varchar) as repo, case when vec_id%7>2 then 'hybrid' else 'fts' end as mode from embeddings",
     "q10_normalise_ranks": "with " + _TOK + ", " + _COVER + " select query, doc_id, round(rank/max(rank) over (partition by query),6) as norm from fts",
     "q12_matching_symbols": _with(*_SYM) + ", q as (select 'a c'||cast(n_nationkey as varchar)||' method' as query, 'c'||cast(n_nationkey as varchar) as t from nation) select query, repo, file_path, count(*) as n from sym join q on contains(lower(name), t) or contains(lower(name),'method') group by all",
-    "q11_hybrid_search": "with " + _TOK + ", " + _COVER + """, e as (select vec_id, embedding::double[] as e from embeddings), z as (select query, e.e from e join (select 50*r_regionkey as vec_id, case r_regionkey when 0 then 'the of' when 1 then 'tion' when 2 then 'was inin' when 3 then 'der und' else 'la de' end as query from region) using (vec_id) where query<>'tion'),
+    "q11_hybrid_search": "with " + _TOK + ", " + _COVER.replace("fts as (", "ftx as (") + """, e as (select vec_id, embedding::double[] as e from embeddings),
+      ak as (select vec_id, e, case (vec_id//50)%5 when 0 then 'the of' when 1 then 'tion' when 2 then 'was inin' when 3 then 'der und' else 'la de' end as text from e where vec_id%50=0),
+      fts as (select text||' #'||cast(vec_id as varchar) as query, doc_id, rank from ak join ftx on ftx.query=text), z as (select text||' #'||cast(vec_id as varchar) as query, e from ak where text<>'tion'),
       v as (select query, vec_id as key, round(1-list_dot_product(e.e,z.e)/(sqrt(list_dot_product(e.e,e.e))*sqrt(list_dot_product(z.e,z.e))),6)+0.0 as distance from e, z),
       vq as (select query, key, distance from (select *, row_number() over (partition by query order by distance, key) as n from v) where n<=30),
       f as (select query, doc_id as key, rank, max(rank) over (partition by query) as top from (select *, row_number() over (partition by query order by rank desc, doc_id) as n from fts) where n<=30),

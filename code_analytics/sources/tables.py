@@ -71,9 +71,9 @@ class VersionedTable:
         return F.pmod(F.xxhash64(self.key), F.lit(self.n_buckets)).cast("int")
 
     def _stage(self, rows: DataFrame) -> str:
-        """Writes rows under a folder of their own, in folders by bucket."""
+        """Writes rows under a folder of their own, in folders by bucket and there in the order of the key."""
         name = uuid.uuid4().hex
-        rows.select(*self.schema.names, self.bucket().alias("_bucket")).write.partitionBy("_bucket").parquet(f"{self.path}/data/{name}")
+        rows.select(*self.schema.names, self.bucket().alias("_bucket")).sortWithinPartitions("_bucket", self.key).write.partitionBy("_bucket").parquet(f"{self.path}/data/{name}")
         return name
 
     def _buckets_of(self, folder: str) -> list[str]:

@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import os
+import zipfile
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -230,9 +231,15 @@ def test_scan(spark, tmp_path):
     os.makedirs(tmp_path / "tree" / "sub")
     (tmp_path / "tree" / "a.py").write_text("x = 1\n")
     (tmp_path / "tree" / "sub" / "b.py").write_bytes(b"\xff\xfe\x00")
+    with zipfile.ZipFile(tmp_path / "tree" / "sub" / "c.zip", "w") as z:
+        z.writestr("d/e.py", "y = 2\n")
+        z.writestr("d/f.py", b"\xff")
+        z.mkdir("empty")
+    (tmp_path / "tree" / "bad.zip").write_bytes(b"no zip")
     files, rejects = scan_files(spark, str(tmp_path / "tree"), "r")
-    assert [(r.file_path, r.size, r.content) for r in files.collect()] == [("a.py", 6, "x = 1\n")]
-    assert [(r.file_path, r.reason) for r in rejects.collect()] == [("sub/b.py", "not UTF-8")]
+    assert sorted((r.file_path, r.size, r.content) for r in files.collect()) == [("a.py", 6, "x = 1\n"), ("sub/c.zip/d/e.py", 6, "y = 2\n")]
+    assert sorted((r.file_path, r.reason) for r in rejects.collect()) == [("bad.zip", "no archive"), ("sub/b.py", "not UTF-8"), ("sub/c.zip/d/f.py", "not UTF-8")]
+    assert {r.file_path: r.reason for r in scan_files(spark, str(tmp_path / "tree"), "r", archives=False)[1].collect()}["sub/c.zip"] == "not UTF-8"
 
 
 def test_admit_stream_equals_batch(spark, tmp_path):
