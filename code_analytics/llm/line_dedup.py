@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import U, mix, powers, signed, sliced, stored, table
-from .units import Units, column, keyed, ord_of
+from .units import Units, column, key_of, keyed, ord_of
 
 #: least words of the longer line for an edit to count: one word in eight
 NEAR_WORDS = 8
-LINES = "c1 long, c2 long, ord long, k int, line int, n int, halves array<long>"
+LINES = "c1 long, c2 long, ord long, k binary, line int, n int, halves array<long>"
 
 
 def _span_sums(u: Units) -> np.ndarray:
@@ -203,7 +203,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_repeats(docs: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """All rows and columns of `docs`; from `text` the lines that go are left out, and n_chars, if there, follows."""
     gone = removed_lines(docs, near_words).groupBy("ord", "k").agg(F.collect_set("line").alias("_gone"))
-    whole = docs.select(ord_of().alias("_ord"), F.hash(F.lit(1), F.coalesce("text", F.lit(""))).alias("_k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    whole = docs.select(ord_of().alias("_ord"), key_of().alias("_k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     joined = whole.join(few(gone, "_gone"), (F.col("_ord") == F.col("ord")) & (F.col("_k") == F.col("k")), "left")
     rest = F.array_join(F.filter(F.split("_row.text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(rest)

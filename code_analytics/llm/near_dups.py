@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .kernels import U, grams, mix, shingle_sets, signed, sliced, stored, table, words
 from .line_dedup import few
-from .units import column, ord_of
+from .units import column, key_of, ord_of
 
 K = 5
 T = 96
@@ -81,7 +81,7 @@ def bands(sketch: np.ndarray, r: int = R) -> np.ndarray:
     return h
 
 
-SKETCH = "doc_id long, k int, node binary, n_shingles long, bands array<long>"
+SKETCH = "doc_id long, k binary, node binary, n_shingles long, bands array<long>"
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -97,7 +97,7 @@ def sketched(docs: DataFrame) -> DataFrame:
             node = as_binary(classes(codes, upto), size > 0)
             yield pa.record_batch([column(rows, "doc_id"), column(rows, "k"), node, pa.array(size), lists], ["doc_id", "k", "node", "n_shingles", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.hash(F.lit(1), F.coalesce("text", F.lit(""))).alias("k"), "text").mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), key_of().alias("k"), "text").mapInArrow(run, SKETCH)
 
 
 def classes(codes: np.ndarray, upto: np.ndarray) -> np.ndarray:
@@ -307,7 +307,7 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Rows without words all stay. Rows with the same id and text are one document and stay together.
     """
     gone = near_duplicates(docs, percent).where(~F.col("one")).select(ord_of().alias("ord"), "k").distinct()
-    whole = docs.select(ord_of().alias("_ord"), F.hash(F.lit(1), F.coalesce("text", F.lit(""))).alias("_k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    whole = docs.select(ord_of().alias("_ord"), key_of().alias("_k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return whole.join(few(gone), (F.col("_ord") == F.col("ord")) & (F.col("_k") == F.col("k")), "left_anti").select("_row.*")
 
 

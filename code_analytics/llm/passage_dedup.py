@@ -28,7 +28,7 @@ from .kernels import signed, sliced, stored, table
 from .units import Units, column, keyed
 
 MIN_WORDS = 8
-UNITS = "d1 long, d2 long, ord long, k int, start int, length int"
+UNITS = "d1 long, d2 long, ord long, k binary, start int, length int"
 
 
 def sentence_runs(u: Units, min_words: int) -> None:

@@ -67,9 +67,15 @@ def ord_of(c: str = "doc_id") -> Column:
     return F.coalesce(F.col(c).cast("long"), F.lit(2**63 - 1))
 
 
+def key_of() -> Column:
+    """A digest of the text: 128 bits where it alone tells a row from others, which is without an id, and 64 beside an id."""
+    text = F.coalesce("text", F.lit(""))
+    return F.when(F.col("doc_id").cast("long").isNull(), F.unhex(F.md5(text))).otherwise(F.xxhash64(text).cast("binary"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """ord, k and text; a null id counts as larger than all others."""
-    return docs.select(ord_of().alias("ord"), F.hash(F.lit(1), F.coalesce("text", F.lit(""))).alias("k"), "text")
+    return docs.select(ord_of().alias("ord"), key_of().alias("k"), "text")
 
 
 def column(rows: pa.RecordBatch, name: str) -> pa.Array:
