@@ -70,7 +70,7 @@ def ord_of(c: str = "doc_id") -> Column:
 def key_of() -> Column:
     """A digest of the text: 128 bits where it alone tells a row from others, which is without an id, and 64 beside an id."""
     text = F.coalesce("text", F.lit(""))
-    return F.when(F.col("doc_id").cast("long").isNull(), F.unhex(F.md5(text))).otherwise(F.xxhash64(text).cast("binary"))
+    return F.when(F.col("doc_id").cast("long").isNull(), F.unhex(F.md5(text))).otherwise(F.unhex(F.lpad(F.hex(F.xxhash64(text)), 16, "0")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
