@@ -5,8 +5,9 @@ logarithmic bins (the relative-error sketch of Masson, Rim and Lee, 2019), so th
 or days merge by adding counts, the result does not depend on the order of rows, and a hot source is reduced
 before the shuffle. A fence is the median plus FENCE times the distance from the 0.1 quantile to it (at least the
 rule's own least spread), so junk above it moves the fence only as far as it moves the median: a group with two fifths of
-junk still has its fence near that of its clean texts. Groups of fewer than MIN_GROUP documents take the fence of their
-language, and small languages that of the whole corpus. The fences are joined back and a document goes where one of its counts lies
+junk still has its fence near that of its clean texts. A group's fence is drawn towards that of its language as if PRIOR
+documents of the language were in it, and that of the language likewise towards the whole corpus: a small group follows its
+language, a large one itself, and nothing switches at any size. The fences are joined back and a document goes where one of its counts lies
 beyond the fence by more than three of its own standard errors.
 
 Everything is DataFrame functions. Nulls: a null text has no words and fails the base rule; null lang and null
@@ -30,7 +31,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 FENCE = 8.0
-MIN_GROUP = 200
+#: documents that the fence of the language, or of the whole corpus, counts for
+PRIOR = 200
 BIN = 1.1
 #: rule: (numerator, denominator, least spread)
 RULES = {
@@ -96,7 +98,7 @@ def sketches(counts: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", F.col("r.rule").alias("rule"), F.coalesce(binned, F.lit(-100000)).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def fences(sketch: DataFrame) -> DataFrame:
+def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     """lang, source, and a column fence_<rule> for each rule."""
 
     def level(keys: list[str], name: str) -> DataFrame:
@@ -114,7 +116,8 @@ def fences(sketch: DataFrame) -> DataFrame:
     lang = lang.withColumnRenamed("rule", "rule_l").withColumnRenamed("lang", "lang_l")
     every = every.withColumnRenamed("rule", "rule_a")
     joined = own.join(lang, (F.col("rule") == F.col("rule_l")) & F.col("lang").eqNullSafe(F.col("lang_l"))).join(every, F.col("rule") == F.col("rule_a"))
-    fence = F.when(F.col("n_own") >= MIN_GROUP, F.col("f_own")).when(F.col("n_lang") >= MIN_GROUP, F.col("f_lang")).otherwise(F.col("f_all"))
+    drawn = lambda n, own, wider: (F.col(n) * F.col(own) + prior * wider) / (F.col(n) + prior)
+    fence = drawn("n_own", "f_own", drawn("n_lang", "f_lang", F.col("f_all")))
     picked = [F.max(F.when(F.col("rule") == r, F.col("fence"))).alias(f"fence_{r}") for r in RULES]
     return joined.select("lang", "source", "rule", fence.alias("fence")).groupBy("lang", "source").agg(*picked)
 
@@ -136,7 +139,8 @@ def judged(counts: DataFrame, f: DataFrame, small: bool = False) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = stored(measured(table(spark, sf_dir, "documents"), "doc_id", "lang", "source"))
-    return judged(counts, fences(sketches(counts))).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    f = stored(fences(sketches(counts)))
+    return judged(counts, f, f.count() <= BROADCAST_ROWS).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def filtered(docs: DataFrame) -> DataFrame:
@@ -184,7 +188,7 @@ q as (select lvl, lang, source, rule, max(tot) as tot,
    min(case when 100*upto >= 50*tot then case when bin=-100000 then 0.0 else pow(1.1::double, bin+0.5) end end) as mid
    from cu group by lvl, lang, source, rule),
 f as (select q.*, mid + 8.0*greatest(mid-low, spread) as fence from q join least_ using (rule)),
-p as (select o.lang, o.source, o.rule, case when o.tot >= 200 then o.fence when l.tot >= 200 then l.fence else a.fence end as fence
+p as (select o.lang, o.source, o.rule, (o.tot*o.fence + 200*(l.tot*l.fence + 200*a.fence)/(l.tot+200))/(o.tot+200) as fence
    from f o join f l on l.lvl='lang' and l.rule=o.rule and l.lang is not distinct from o.lang join f a on a.lvl='all' and a.rule=o.rule where o.lvl='own'),
 pp as (select lang, source, max(fence) filter (rule='symbols') as s, max(fence) filter (rule='upper') as u, max(fence) filter (rule='other') as o,
    max(fence) filter (rule='lines') as l, max(fence) filter (rule='repeats') as r from p group by lang, source),
