@@ -293,7 +293,7 @@ def test_lm_scoring_learns_what_stands_around(spark):
     words = docs[0][1].split()
     swapped = [w for p in zip(words[1::2], words[::2], strict=True) for w in p]
     tries = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(swapped))], "doc_id long, text string")
-    got = {x.doc_id: x.network_log_prob / x.n_words for x in lm_scoring.scored(tries, vocab, net).collect()}
+    got = {x.doc_id: x.mean_log_prob for x in lm_scoring.scored(tries, vocab, net).collect()}
     assert got[0] > unigram + 0.5 and got[0] > got[1] + 0.5
 
 
@@ -336,7 +336,8 @@ def test_lm_scoring_gradients(monkeypatch):
             p[i] -= 1e-6
 
 
-def test_lm_scoring_memory_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [0, 3])
+def test_lm_scoring_memory_equals_brute_force(spark, monkeypatch, bits):
     """The counts of windows over the other texts, added up over groups and slices."""
     r = random.Random(11)
     rows = [(i, " ".join(r.choice("abcd") for _ in range(r.randrange(40)))) for i in range(40)]
@@ -344,9 +345,9 @@ def test_lm_scoring_memory_equals_brute_force(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     monkeypatch.setattr(lm_scoring, "GROUP_BYTES", 200)
     vocab, net = lm_scoring.trained(df, 4, 4)
-    got = sorted((x.n_words, x.log_prob, x.network_log_prob, -1 if x.remembered is None else x.remembered) for x in lm_scoring.scored(df, vocab, net).collect())
+    got = sorted((x.n_words, x.memory_log_prob, x.log_prob, -1 if x.remembered is None else x.remembered) for x in lm_scoring.scored(df, vocab, net, bits).collect())
     found = []
-    for x in lm_scoring.network_scores(df, vocab, net).collect():
+    for x in lm_scoring.network_scores(df, vocab, net, bits).collect():
         found.append((x.n_words, x.log_prob, np.frombuffer(bytes(x.windows), lm_scoring.WINDOWS)))
     every, pairs = collections.Counter(), collections.Counter()
     for _, _, w in found:
@@ -369,6 +370,29 @@ def test_lm_scoring_odd(odd):
     assert len(out) == odd.count() and all(x.mean_log_prob is None for x in out if x.n_words == 0)
 
 
+def test_rows_without_id_of_one_short_hash(spark):
+    """Two texts that a hash of 32 bits takes for one: neither goes for the other, and each loses its own lines."""
+    texts = spark.range(600_000).select(F.concat_ws(" ", *[F.concat(F.lit(c), (F.col("id") * (k + 3) % 1_000_003).cast("string")) for k, c in enumerate("abcdefg")]).alias("text"))
+    pair = texts.groupBy(F.hash(F.lit(1), "text").alias("h")).agg(F.collect_list("text").alias("t")).where("size(t) = 2").orderBy("h").first()
+    a, b = pair.t
+    again = "a line that stands in both of the long ones here"
+    rows = [(None, a), (None, b), (1, b), (2, again)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter(tuple(r) for r in near_dups.one_of_each(df).collect()) == collections.Counter([(None, a), (1, b), (2, again)])
+    df = spark.createDataFrame([(None, f"{a}\n{again}"), (None, b), (1, again)], "doc_id long, text string")
+    assert sorted(r.text for r in line_dedup.without_repeats(df).collect()) == sorted([a, b, again])
+
+
+def test_small_groups_follow_their_language(spark):
+    """Fences of groups of 2, 200 and 20,000 documents between those of their own and of their language."""
+    rows = [("en", "s", "lines", 0, n) for n in (2,)] + [("en", "m", "lines", 0, 200), ("en", "l", "lines", 0, 20_000), ("de", "s", "lines", -5, 20_000)]
+    sketch = spark.createDataFrame(rows, "lang string, source string, rule string, bin int, n long")
+    got = {(r.lang, r.source): r.fence_lines for r in quality_rules.fences(sketch).collect()}
+    assert got["en", "s"] == pytest.approx(got["en", "l"], rel=0.02) and got["de", "s"] < got["en", "l"]
+    none = {(r.lang, r.source): r.fence_lines for r in quality_rules.fences(sketch, 0).collect()}
+    assert none["en", "l"] == none["en", "m"] == pytest.approx(1.1**0.5 + 8 * 0.05)
+
+
 def test_passages(spark):
     unit = "One two three four five six seven eight."
     df = spark.createDataFrame([(1, unit + " Tail.\nx"), (2, "pre é here. " + unit.replace(" ", "  ") + " after"), (None, unit), (None, None), (3, "")], "doc_id long, text string")
