@@ -47,7 +47,8 @@ WINDOW = 256
 
 
 def parsed(lines: list[str], begin: int, end: int) -> list[ast.stmt]:
-    return ast.increment_lineno(ast.parse("\n".join(lines[begin:end])), begin).body
+    tree = ast.parse("\n".join(lines[begin:end]))
+    return (ast.increment_lineno(tree, begin) if begin else tree).body
 
 
 def emptied(line: str, state: int) -> str:

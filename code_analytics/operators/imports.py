@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors, below, parent, parts, strip
+from ..sources.shared import stored
 from .selection import SKIP_DIRS, TEST_DIRS, in_dirs
 from .symbols import structure_of
 
@@ -107,7 +108,8 @@ def resolve_imports(imports: DataFrame, files: DataFrame, roots: DataFrame) -> D
     `files` are all files of the repositories, indexed or not.
     """
     keys = ["repo", "file_path", "language", "ord", "raw"]
-    imports = imports.select(*keys).where("raw <> ''")
+    # read four times below, and behind it the parsed texts: a table of its own
+    imports = stored(imports.select(*keys).where("raw <> ''"))
     modules = python_modules(imports)
     candidates = relative_candidates(modules, *keys).unionByName(js_candidates(imports))
     there = files.select("repo", F.col("file_path").alias("path")).distinct()

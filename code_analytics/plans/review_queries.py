@@ -63,7 +63,7 @@ def _log_rows(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     date = F.date_format("o_orderdate", "yyyy-MM-dd")
     rec = F.concat_ws("\x1f", F.concat(F.lit("sha"), F.col("o_orderkey").cast("string")), F.lit("s"), F.concat(F.lit("a"), (F.col("o_custkey") % 7).cast("string")), date, F.when(F.col("o_orderkey") % 10 > 0, F.col("o_orderpriority")))
-    path = F.concat(F.lit("f"), (F.col("o_custkey") % 50).cast("string"))
+    path = F.concat(F.lit("f"), F.col("o_custkey").cast("string"))
     return o.select(path.alias("file_path"), F.col("o_orderkey").alias("k"), rec.alias("rec"))
 
 
@@ -343,8 +343,8 @@ ORACLE_SQL = {
       select *, count(*) filter (indexed) over w as indexed_files, count(*) over w as total_files from j window w as (partition by repo, pr_number)""",
     "d5_reverse_dependencies": _H + """, nm as (select 'org/repo'||cast(l_partkey%5 as varchar) as repo, cast(floor((l_partkey+10)/5.0) as bigint) as a, cast(floor(l_partkey/5.0) as bigint) as b from lineitem), e as (select repo, 'src/pkg'||cast(a%8 as varchar)||'/m'||cast(a as varchar)||'.py' as src_file, 'src/pkg'||cast(b%8 as varchar)||'/m'||cast(b as varchar)||'.py' as file_path, count(*) as n from nm group by all)
       select h.repo, h.pr_number, h.file_path, src_file, n from (select distinct repo, pr_number, file_path from hunks) h join e on e.repo=h.repo and e.file_path=h.file_path""",
-    "h1_parse_commit_log": "select 'f'||cast(o_custkey%50 as varchar) as file_path, 'sha'||cast(o_orderkey as varchar) as sha, 'a'||cast(o_custkey%7 as varchar) as author, strftime(o_orderdate,'%Y-%m-%d') as date, o_orderpriority as message from orders where o_orderkey%10>0",
-    "h2_recent_commits": "select * from (select 'f'||cast(o_custkey%50 as varchar) as file_path, 'sha'||cast(o_orderkey as varchar) as sha, cast(row_number() over (partition by o_custkey%50 order by o_orderdate desc, 'sha'||cast(o_orderkey as varchar)) as int) as position from orders where o_orderkey%10>0) where position<=10",
+    "h1_parse_commit_log": "select 'f'||cast(o_custkey as varchar) as file_path, 'sha'||cast(o_orderkey as varchar) as sha, 'a'||cast(o_custkey%7 as varchar) as author, strftime(o_orderdate,'%Y-%m-%d') as date, o_orderpriority as message from orders where o_orderkey%10>0",
+    "h2_recent_commits": "select * from (select 'f'||cast(o_custkey as varchar) as file_path, 'sha'||cast(o_orderkey as varchar) as sha, cast(row_number() over (partition by o_custkey order by o_orderdate desc, 'sha'||cast(o_orderkey as varchar)) as int) as position from orders where o_orderkey%10>0) where position<=10",
     "h3_blame_summary": "select 'r' as repo, 'f'||cast(l_partkey%100 as varchar) as file_path, 'a'||cast(l_suppkey%9 as varchar) as author, count(*) as lines from lineitem where l_orderkey%3=0 group by all",
     "f1_parse_responses": """select o_orderkey as id, case when o_orderkey%7<>0 and o_orderkey%5<>0 and o_orderkey%11<>0 then cast(o_orderkey%100 as double) end as score, case when o_orderkey%7=0 then 'no json' when o_orderkey%5=0 then '{"verdict":"ok"}' when o_orderkey%11=0 then '{"verdict":"ok","score":"x'||cast(o_orderkey as varchar)||'"}' end as rejected from orders""",
     "f2_convert_findings": _F + ", " + _CONV + " select run_id, seq, file, line, severity, kind from conv",

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import stored
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 # source texts with what the tables' own files lack: heads over lines, nested scopes, decorators, docstrings, hidden code, broken code
@@ -148,8 +150,8 @@ select repo, replace(file_path,'.py','_new.py') as file_path, content from code_
 where file_path like 'src/%.py' and length(content)%11=0 and length(content)>0
 """,
     "hunks": r"""
-select concat('org/repo',cast(l_partkey%5 as varchar(20))) as repo, l_orderkey%200 as pr_number,
-  row_number() over (partition by l_orderkey%200 order by l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,l_returnflag,l_extendedprice,l_discount,l_tax,l_shipdate) as seq,
+select concat('org/repo',cast(l_partkey%5 as varchar(20))) as repo, cast(floor(l_orderkey/50.0) as bigint) as pr_number,
+  row_number() over (partition by cast(floor(l_orderkey/50.0) as bigint) order by l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,l_returnflag,l_extendedprice,l_discount,l_tax,l_shipdate) as seq,
   concat('src/pkg',cast(cast(floor(l_partkey/5.0) as bigint)%8 as varchar(20)),'/m',cast(cast(floor(l_partkey/5.0) as bigint) as varchar(20)),'.py') as file_path,
   case when l_returnflag='R' then 'added' else 'modified' end as status,
   cast(l_quantity as int) as additions, l_linenumber as deletions,
@@ -191,17 +193,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A view of the derived corpus, from the tables of `sf_dir`."""
+    """A view of the derived corpus, from the tables of `sf_dir`. The source files are made once a session, as a stored table."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at in _made:
+        return _made[at]
     for t in ("part", "supplier", "lineitem", "orders", "events"):
-        if t in DERIVED[name] or name == "code_files_v2" and t == "part":
+        if t in DERIVED[name]:
             table(spark, sf_dir, t).createOrReplaceTempView(t)
     if name == "code_files_v2":
-        spark.sql(DERIVED["code_files"]).createOrReplaceTempView("code_files")
+        derived(spark, sf_dir, "code_files").createOrReplaceTempView("code_files")
     out = spark.sql(DERIVED[name])
     if name.startswith("code_files"):
-        # the view comes from one small file; dealt out once, its rows are made once and read in parallel
-        out = out.repartition(spark.sparkContext.defaultParallelism, "repo", "file_path")
+        # the rows come from one small file; dealt out, they are read in parallel
+        out = _made[at] = stored(out.repartition(spark.sparkContext.defaultParallelism, "repo", "file_path"))
     if name == "deliveries":
         out = out.repartition(spark.sparkContext.defaultParallelism, "delivery_id")
     return out

@@ -32,7 +32,11 @@ def delete(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Deletes the tables that this driver has stored; results that are not written yet need theirs."""
-    while _stored:
+def stored_so_far() -> int:
+    return len(_stored)
+
+
+def drop_stored(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that this driver has stored since then; results that are not written yet need theirs."""
+    while len(_stored) > since:
         delete(spark, _stored.pop())

@@ -159,10 +159,11 @@ def test_bucketed_tables_need_no_exchange(spark):
 
 
 def test_shared_folder(spark):
-    df = spark.range(3)
-    assert rows(shared.stored(df)) == [(0,), (1,), (2,)]
-    shared.drop_stored(spark)
-    assert not glob.glob(f"{shared.shared_folder(spark)}/stored-*")
+    since = shared.stored_so_far()
+    there = set(glob.glob(f"{shared.shared_folder(spark)}/stored-*"))
+    assert rows(shared.stored(spark.range(3))) == [(0,), (1,), (2,)]
+    shared.drop_stored(spark, since)
+    assert set(glob.glob(f"{shared.shared_folder(spark)}/stored-*")) == there
 
 
 def test_admission_over_restarts(spark, tmp_path):
