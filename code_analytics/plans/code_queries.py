@@ -18,7 +18,7 @@ from ..operators import symbols as P
 from ..operators import vectors as V
 from ..functions.text import language
 from ..sources.corpus import cte, derived, table
-from ..sources.shared import shared_folder, stored
+from ..sources.shared import exists, shared_folder, stored
 from ..sources.tables import VersionedTable
 from ..sources.tree import scan_files
 
@@ -260,7 +260,7 @@ _positions: dict[tuple[str, str], VersionedTable] = {}
 def _document_index(spark: SparkSession, d: str) -> VersionedTable:
     """The positional index of the documents, built once a session: two segments, as when documents come later."""
     at = (spark.sparkContext.applicationId, d)
-    if at not in _positions:
+    if at not in _positions or not exists(spark, _positions[at].path):
         index = Q.positional_index(spark, f"{shared_folder(spark)}/positions-{uuid.uuid4().hex}", "doc_id", 16)
         docs = table(spark, d, "documents")
         for part in (0, 1):

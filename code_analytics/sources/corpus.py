@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import stored
+from .shared import exists, last_stored, stored
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -193,14 +193,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_made: dict[tuple[str, str, str], DataFrame] = {}
+_made: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of the derived corpus, from the tables of `sf_dir`. The source files are made once a session, as a stored table."""
     at = (spark.sparkContext.applicationId, sf_dir, name)
-    if at in _made:
-        return _made[at]
+    if at in _made and exists(spark, _made[at][1]):
+        return _made[at][0]
     for t in ("part", "supplier", "lineitem", "orders", "events"):
         if t in DERIVED[name]:
             table(spark, sf_dir, t).createOrReplaceTempView(t)
@@ -209,7 +209,8 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     out = spark.sql(DERIVED[name])
     if name.startswith("code_files"):
         # the rows come from one small file; dealt out, they are read in parallel
-        out = _made[at] = stored(out.repartition(spark.sparkContext.defaultParallelism, "repo", "file_path"))
+        out = stored(out.repartition(spark.sparkContext.defaultParallelism, "repo", "file_path"))
+        _made[at] = (out, last_stored())
     if name == "deliveries":
         out = out.repartition(spark.sparkContext.defaultParallelism, "delivery_id")
     return out
