@@ -139,9 +139,17 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where the session names none, one in the warehouse."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where the session names none, one in the warehouse.
+
+    A warehouse of one machine will do in local mode only; on a cluster it is refused.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return (found or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared").rstrip("/")
+    if found:
+        return found.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("tables between steps need spark.checkpoint.dir: the warehouse lies on one machine")
+    return f"{warehouse}/_shared"
 
 
 _stored: list[str] = []

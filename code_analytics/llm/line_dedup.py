@@ -7,7 +7,7 @@ equal, whatever their length. A line goes if an earlier line (by document id, th
 1. Equal lines are one class, known by the place of its earliest line.
 2. A class is a candidate if it shares its first or its last half with another: one edit leaves a half alone, so
    classes whose halves occur nowhere else need no neighbourhood.
-3. A candidate emits the digest of itself and of each variant with one word left out, together with the place of
+3. A candidate emits two 64-bit digests of itself and of each variant with one word left out, together with the place of
    that word. Equal variants with the same place differ in one exchanged word; a variant that equals a whole line
    differs by one left out. The earliest line of a key is found by partial aggregation and joined back, so there are no
    pairs within a key, and a template line with one changing word, however frequent, is a key that a join may split.
@@ -30,17 +30,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import U, mix, powers, signed, sliced, stored, table
-from .units import Units, column, key_of, keyed, ord_of
+from .units import Units, column, key_of, keyed, ord_of, second
 
 #: least words of the longer line for an edit to count: one word in eight
 NEAR_WORDS = 8
 LINES = "c1 long, c2 long, ord long, k binary, line int, n int, halves array<long>"
 
 
-def _span_sums(u: Units) -> np.ndarray:
-    up, _ = powers(len(u.codes))
-    total = np.zeros(len(u.codes) + 1, U)
-    np.cumsum(u.codes * up[: len(u.codes)], out=total[1:])
+def _span_sums(codes: np.ndarray) -> np.ndarray:
+    up, _ = powers(len(codes))
+    total = np.zeros(len(codes) + 1, U)
+    np.cumsum(codes * up[: len(codes)], out=total[1:])
     return total
 
 
@@ -50,7 +50,7 @@ def halves(u: Units, near_words: int = NEAR_WORDS) -> tuple[np.ndarray, np.ndarr
     A line of n words meets lines of n - 1, n and n + 1 words; the half is that of the shorter of the two.
     """
     n = u.n_words
-    total = _span_sums(u)
+    total = _span_sums(u.codes)
     _, down = powers(len(u.codes))
     keys, owner = [], []
     for odd in (0, 1):
@@ -95,7 +95,7 @@ def wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(signed(c1)), pa.array(signed(c2)), column(rows, "ord").take(pa.array(u.row)), pa.array(u.line.astype(np.int32)), pa.array(texts, pa.string())], ["c1", "c2", "ord", "line", "text"])
 
 
-VARIANTS = "v long, pos int, ord long, line int, c1 long, c2 long"
+VARIANTS = "v1 long, v2 long, pos int, ord long, line int, c1 long, c2 long"
 
 
 def variants(batches: Iterator[pa.RecordBatch], near_words: int = NEAR_WORDS) -> Iterator[pa.RecordBatch]:
@@ -104,19 +104,22 @@ def variants(batches: Iterator[pa.RecordBatch], near_words: int = NEAR_WORDS) ->
         u = Units(data, at)
         c1, c2 = (column(rows, c).to_numpy() for c in ("c1", "c2"))
         n = u.n_words
-        total = _span_sums(u)
         _, down = powers(len(u.codes))
         shorter = np.where(n >= near_words, n, 0)
         line = np.repeat(np.arange(len(n)), shorter)
         place = np.arange(len(line)) - np.repeat(np.cumsum(shorter) - shorter, shorter)
         w = u.first[line] + place
-        before = total[w] - total[u.first[line]]
-        after = (total[u.stop[line]] - total[w + 1]) * down[1]
-        v = mix((before + after) * down[u.first[line]] + (n[line] - 1).astype(U))
+        keys = []
+        for whole, codes in ((c1, u.codes), (c2, second(u.codes))):
+            total = _span_sums(codes)
+            before = total[w] - total[u.first[line]]
+            after = (total[u.stop[line]] - total[w + 1]) * down[1]
+            v = mix((before + after) * down[u.first[line]] + (n[line] - 1).astype(U))
+            keys.append(pa.array(np.concatenate([whole, signed(v)])))
         both = np.concatenate([np.arange(len(n)), line])
         yield pa.record_batch(
-            [pa.array(np.concatenate([c1, signed(v)])), pa.array(np.concatenate([np.full(len(n), -1), place]).astype(np.int32)), *(column(rows, c).take(pa.array(both)) for c in ("ord", "line", "c1", "c2"))],
-            ["v", "pos", "ord", "line", "c1", "c2"],
+            [*keys, pa.array(np.concatenate([np.full(len(n), -1), place]).astype(np.int32)), *(column(rows, c).take(pa.array(both)) for c in ("ord", "line", "c1", "c2"))],
+            ["v1", "v2", "pos", "ord", "line", "c1", "c2"],
         )
 
 
@@ -145,20 +148,20 @@ def matches(texts: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """
     v = texts.select("c1", "c2", "ord", "line", "text").mapInArrow(lambda batches: variants(batches, near_words), VARIANTS)
     here = F.struct("ord", "line")
-    heads = stored(v.groupBy("v", "pos").agg(F.min(here).alias("head"), F.max(here).alias("tail")))
-    by_v = heads.groupBy("v").agg(
+    heads = stored(v.groupBy("v1", "v2", "pos").agg(F.min(here).alias("head"), F.max(here).alias("tail")))
+    by_v = heads.groupBy("v1", "v2").agg(
         F.min(F.when(F.col("pos") < 0, F.col("head"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.struct("head.ord", "head.line", "pos"))).alias("least"),
         F.max(F.when(F.col("pos") >= 0, F.col("tail"))).alias("tail"),
     )
     # an exchanged word: lines with a word left out at the same place, of which the earliest is the other line
-    same = heads.where("pos >= 0 and head <> tail").select("v", "pos", F.col("head").alias("p"), F.col("pos").alias("p_pos"))
+    same = heads.where("pos >= 0 and head <> tail").select("v1", "v2", "pos", F.col("head").alias("p"), F.col("pos").alias("p_pos"))
     # a word put in or left out: a whole line, and a line that makes it with one word less
-    longer = by_v.where("whole is not null and tail > whole").select("v", F.col("whole").alias("p"), F.lit(-1).alias("p_pos"))
-    shorter = by_v.where("whole is not null and struct(least.ord, least.line) < whole").select("v", F.lit(-1).alias("pos"), F.struct("least.ord", "least.line").alias("p"), F.col("least.pos").alias("p_pos"))
-    rows = v.select("v", "pos", "c1", "c2", here.alias("me"))
-    found = rows.join(same, ["v", "pos"]).select("c1", "c2", "me", "pos", "p", "p_pos")
-    found = found.union(rows.where("pos >= 0").join(longer, "v").select("c1", "c2", "me", "pos", "p", "p_pos"))
-    found = found.union(rows.where("pos < 0").join(shorter, ["v", "pos"]).select("c1", "c2", "me", "pos", "p", "p_pos"))
+    longer = by_v.where("whole is not null and tail > whole").select("v1", "v2", F.col("whole").alias("p"), F.lit(-1).alias("p_pos"))
+    shorter = by_v.where("whole is not null and struct(least.ord, least.line) < whole").select("v1", "v2", F.lit(-1).alias("pos"), F.struct("least.ord", "least.line").alias("p"), F.col("least.pos").alias("p_pos"))
+    rows = v.select("v1", "v2", "pos", "c1", "c2", here.alias("me"))
+    found = rows.join(same, ["v1", "v2", "pos"]).select("c1", "c2", "me", "pos", "p", "p_pos")
+    found = found.union(rows.where("pos >= 0").join(longer, ["v1", "v2"]).select("c1", "c2", "me", "pos", "p", "p_pos"))
+    found = found.union(rows.where("pos < 0").join(shorter, ["v1", "v2", "pos"]).select("c1", "c2", "me", "pos", "p", "p_pos"))
     found = found.where("p < me").select("c1", "c2", F.col("p.ord").alias("p_ord"), F.col("p.line").alias("p_line"), "pos", "p_pos").distinct()
     words = F.split(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+")
     known = stored(texts.select("c1", "c2", "ord", "line", words.alias("words")))

@@ -13,6 +13,11 @@ LAST_SIGNS = np.zeros(256, bool)
 LAST_SIGNS[[ord(c) for c in ".!?"]] = True
 
 
+def second(codes: np.ndarray) -> np.ndarray:
+    """Codes of the same words for the second of two digests."""
+    return (codes >> np.uint64(7)) * codes
+
+
 class Units:
     """The words of the rows, and units as half-open word ranges [first, stop), each inside one line."""
 
@@ -50,7 +55,7 @@ class Units:
         """Two independent digests of each unit's words, so that white space and A-Z / a-z make no difference."""
         if not len(self.codes):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        return span_codes(self.codes, self.first, self.stop), span_codes((self.codes >> np.uint64(7)) * self.codes, self.first, self.stop)
+        return span_codes(self.codes, self.first, self.stop), span_codes(second(self.codes), self.first, self.stop)
 
     def chars(self) -> tuple[np.ndarray, np.ndarray]:
         """Offset and length of each unit in characters of its row's text."""
