@@ -171,6 +171,35 @@ def test_line_dedup_takes_short_lines(spark):
     assert got == [(2, 0, 1, 0, 0), (2, 2, 1, 3, 0), (3, 0, 1, 2, 0), (3, 2, 1, 0, 0)]
 
 
+def test_line_dedup_odd(odd):
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    got = {(x.ord, x.line, x.first_ord, x.first_line, x.edits) for x in line_dedup.removed_lines(odd).collect()}
+    assert got == set(near_lines(rows))
+    assert sorted(map(tuple, line_dedup.without_repeats(odd).collect()), key=repr) == sorted(map(tuple, odd.collect()), key=repr)
+
+
+def test_line_dedup_variants_of_one_short_digest(spark, monkeypatch):
+    """The first digest of every variant is the same, the second tells them apart: no link is hidden by a false head."""
+    inner = line_dedup.variants
+
+    def clashing(batches, near_words):
+        for b in inner(batches, near_words):
+            yield b.set_column(0, "v1", pa.array(np.zeros(b.num_rows, np.int64)))
+
+    monkeypatch.setattr(line_dedup, "variants", clashing)
+    r = random.Random(21)
+    base = [[r.choice("abcd") + r.choice("xyz") for _ in range(10)] for _ in range(12)]
+    rows = []
+    for i in range(60):
+        w = list(r.choice(base))
+        j = r.randrange(len(w))
+        w[j : j + r.choice([0, 1])] = r.choice([[], [f"n{i}"]])
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((x.ord, x.line, x.first_ord, x.first_line, x.edits) for x in line_dedup.removed_lines(df).collect())
+    assert got == near_lines(rows) and any(x[4] for x in got)
+
+
 # near duplicates
 
 
@@ -220,6 +249,14 @@ def test_near_dups(spark, monkeypatch, block):
     assert stay == {x[0] for x in got if x[3] and x[0] is not None} | ({None} if any(t is None for d, t in rows if d is None) else set())
 
 
+def test_near_dups_odd(odd):
+    """Rows equal in id and text stay together; a text without id, words or both is linked with nothing."""
+    rows = [(r.doc_id, r.text) for r in odd.select("doc_id", "text").collect()]
+    got = near_dups.near_duplicates(odd).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == near_groups(rows)
+    assert sorted(map(tuple, near_dups.one_of_each(odd).collect()), key=repr) == sorted(map(tuple, odd.collect()), key=repr)
+
+
 def test_near_stage_at_four_fifths(spark):
     import corpus_pipeline
 
@@ -527,6 +564,17 @@ def test_decontamination(spark):
     assert decontamination.clean(docs_df, items_df.limit(0)).count() == len(docs)
 
 
+@pytest.mark.parametrize("items", [[], [(None, None), (1, ""), (2, "ein text ein TEXT ein text"), (2, "ein text ein TEXT ein text"), (3, "x" * 200_000), (4, "of none")]])
+def test_decontamination_odd(spark, odd, items):
+    """Documents of one repeated pair of words and of one very long word, against items of both, of nothing and without id."""
+    df = spark.createDataFrame(items, "item_id long, text string")
+    held = odd.count() > 0 and len(items) > 0
+    got = {(x.doc_id, x.item_id): round(x.similarity, 9) for x in decontamination.leaks(odd, df).collect()}
+    assert got == ({(2, 3): 1.0, (3, 2): 1.0} if held else {})
+    want = [tuple(r) for r in odd.collect() if not (held and r.doc_id in (2, 3))]
+    assert sorted(map(tuple, decontamination.clean(odd, df).collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_decontamination_of_long_texts():
     """A megabyte of one word against items of one word: windows with the same shingles are looked at once."""
     import resource
@@ -637,6 +685,34 @@ def test_suffix_dedup_over_steps(spark, monkeypatch):
     assert sorted(map(tuple, got), key=repr) == removed_bytes(rows)
 
 
+def base_counts(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of the base rules."""
+    w, seen, again = WORD.findall(text or ""), set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            again += line in seen
+            seen.add(line)
+    at = collections.defaultdict(list)
+    for i in range(len(w) - 7):
+        at[tuple(w[i : i + 8])].append(i)
+    covered = {i + k for places in at.values() if len(places) > 1 for i in places for k in range(8)}
+    return len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", text or "")), again, len(covered)
+
+
+@pytest.mark.parametrize("most", [quality_rules.BROADCAST_ROWS, 0])
+def test_quality_rules_odd(odd, monkeypatch, most):
+    """The counts of odd rows by brute force; what fails the base rules goes, and beyond the broadcast bound as well."""
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", most)
+    rows = [tuple(r) for r in odd.collect()]
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    counts = quality_rules.measured(odd, "doc_id", "lang", "source")
+    assert sorted(map(tuple, counts.select(*names).collect()), key=repr) == sorted(((r[0], *base_counts(r[1])) for r in rows), key=repr)
+    fine = lambda n: n[0] >= 20 and 100 * n[4] <= 30 * n[0]
+    out = quality_rules.filtered(odd)
+    assert out.columns == odd.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted((r for r in rows if fine(base_counts(r[1]))), key=repr)
+
+
 @pytest.mark.parametrize("percent", [0, 11, 20, 40])
 def test_quality_fences_hold_with_junk(spark, percent):
     """The share of junk in a group moves its fences by little, and all the junk goes."""
