@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from ..functions.text import bounded
 from ..sources.tables import VersionedTable
 
 SEPARATORS = r"[^\p{L}\p{N}]+"
 MOST_PUSHED = 1_000
+#: documents whose words are sorted at once
+POSTING_ROWS = 256
 
 
 def symbol_lookup(index: DataFrame, symbols: DataFrame, queries: DataFrame, cap: int = 10) -> DataFrame:
@@ -67,40 +72,69 @@ def fts_match(tokens: DataFrame, queries: DataFrame, *keys: str) -> DataFrame:
     return _all_terms(hits(tokens, queries, *keys).withColumn("n", F.lit(1)), *keys)
 
 
-def covers(hit: DataFrame, n_terms: int, *keys: str) -> DataFrame:
-    """(query, keys, rank, hits): the sum over minimal covers of 0.1 / (1 + other words in the cover).
+def cover_sums(row: np.ndarray, pos: np.ndarray, term: np.ndarray, n_terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document the sum over minimal covers of 0.1 / (1 + other words in the cover), and its hits.
 
-    Along a document's hits the last place of each term is carried on; the left end of the tightest span that ends at a hit
-    and holds all terms is the smallest of these places. Of ends with the same left end the first is minimal. `n_terms` is
-    the largest number of terms of a query. Work is linear in the hits, and a document is a window of its own.
+    The hits are (row of the document, place, number of the term there); a document has the terms 0 to its `n_terms` - 1.
+    Along its hits the last place of each term is carried on; the left end of the tightest span that ends at a hit and holds
+    all terms is the smallest of these places. Of ends with the same left end the first is minimal. Linear but for the sort.
     """
-    w = Window.partitionBy("query", *keys).orderBy("pos")
-    # a place and its number among the hits, in one value that sorts by place
-    hit = hit.withColumn("nth", F.row_number().over(w)).withColumn("at", F.shiftleft(F.col("pos").cast("long"), 32) + F.col("nth"))
-    numbers = Window.partitionBy("query").orderBy("term")
-    terms = hit.select("query", "term").distinct().withColumn("no", F.row_number().over(numbers) - 1)
-    hit = hit.join(bounded(terms), ["query", "term"])
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.last(F.when(F.col("no") == k, F.col("at")), ignorenulls=True).over(so_far).alias(f"last{k}") for k in range(n_terms)]
-    hit = hit.select("query", *keys, "n_terms", "at", *last)
-    lasts = [F.when(F.col("n_terms") > k, F.col(f"last{k}")) for k in range(n_terms)]
-    full = sum((x.isNotNull().cast("int") for x in lasts), F.lit(0)) == F.col("n_terms")
-    left = F.least(*lasts) if n_terms > 1 else lasts[0]  # least skips nulls
-    hit = hit.select("query", *keys, "at", F.when(full, left).alias("left"))
-    before = F.lag("left").over(Window.partitionBy("query", *keys).orderBy("at"))
-    words = F.shiftright("at", 32) - F.shiftright("left", 32) + 1
-    inside = F.col("at").bitwiseAND(F.lit(2**32 - 1)) - F.col("left").bitwiseAND(F.lit(2**32 - 1)) + 1
-    hit = hit.withColumn("before", before).withColumn("part", F.when(F.col("left").isNotNull() & ~F.col("before").eqNullSafe(F.col("left")), F.lit(0.1) / (1 + words - inside)))
-    return hit.groupBy("query", *keys).agg(F.round(F.sum("part"), 6).alias("rank"), F.count("*").alias("hits")).where("rank is not null")
-
-
-def _most_terms(queries: DataFrame) -> int:
-    return query_terms(queries).agg(F.max("n_terms")).first()[0] or 1
+    order = np.lexsort((pos, row))
+    row, pos, term = row[order], pos[order], term[order]
+    at = np.arange(len(row))
+    begin = np.searchsorted(row, np.arange(len(n_terms)))[row]
+    left = at.copy()
+    for k in range(n_terms.max(initial=0)):
+        last = np.maximum.accumulate(np.where(term == k, at, -1))
+        left = np.where(n_terms[row] > k, np.minimum(left, np.where(last < begin, -1, last)), left)
+    minimal = left >= 0
+    minimal[1:] &= (left[1:] != left[:-1]) | (row[1:] != row[:-1])
+    inside = at - left + 1
+    words = pos - pos[np.maximum(left, 0)] + 1
+    part = np.where(minimal, 0.1 / np.where(minimal, 1 + words - inside, 1), 0.0)
+    return np.bincount(row, weights=part, minlength=len(n_terms)).astype(np.float64), np.bincount(row, minlength=len(n_terms))
+
+
+def _covers(documents: DataFrame, *keys: str) -> DataFrame:
+    """(query, keys, rank, hits) of rows (query, keys, places): a document with the gaps of each of a query's terms."""
+    names = ["query", *keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms = b.column(len(names))
+            n_terms = terms.value_lengths().to_numpy().astype(np.int64)
+            gaps = terms.flatten()
+            size = gaps.value_lengths().to_numpy().astype(np.int64)
+            first = np.cumsum(n_terms) - n_terms
+            lists = np.repeat(np.arange(len(size)), size)
+            row = np.repeat(np.arange(b.num_rows), n_terms)
+            pos = np.cumsum(gaps.flatten().to_numpy().astype(np.int64))
+            begin = np.concatenate([[0], pos])[np.cumsum(size) - size]  # what the lists before add up to
+            rank, hits = cover_sums(row[lists], pos - begin[lists], (np.arange(len(size)) - first[row])[lists], n_terms)
+            yield pa.record_batch([*[b.column(i) for i in range(len(names))], pa.array(rank), pa.array(hits)], [*names, "rank", "hits"])
+
+    kept = StructType([documents.schema[c] for c in names]).add("rank", "double").add("hits", "long")
+    return documents.select(*names, "places").mapInArrow(run, kept).select(*names, F.round("rank", 6).alias("rank"), "hits")
+
+
+def _gaps(places: str) -> Column:
+    """The first of sorted places and then the distances between them."""
+    return F.transform(places, lambda x, i: x - F.coalesce(F.get(places, i - 1), F.lit(0)))
+
+
+def covers(hit: DataFrame, *keys: str) -> DataFrame:
+    """(query, keys, rank, hits) of (query, keys, pos, term, n_terms): the cover density of the documents that hold all terms of a query.
+
+    A document is one row with its places, so its hits are held by one task.
+    """
+    of_terms = hit.groupBy("query", *keys, "term").agg(F.max("n_terms").alias("n_terms"), F.sort_array(F.collect_list("pos")).alias("p"))
+    documents = of_terms.groupBy("query", *keys).agg(F.max("n_terms").alias("n_terms"), F.collect_list(_gaps("p")).alias("places"))
+    return _covers(documents.where(F.size("places") == F.col("n_terms")), *keys)
 
 
 def cover_density(tokens: DataFrame, queries: DataFrame, *keys: str) -> DataFrame:
     """covers of the documents that hold all terms of a query."""
-    return covers(hits(tokens, queries, *keys), _most_terms(queries), *keys)
+    return covers(hits(tokens, queries, *keys), *keys)
 
 
 # a stored positional index: a row for each term and document, so a common term is many rows
@@ -110,9 +144,34 @@ POSTINGS = "term string, {key} long, gaps array<int>"
 
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(term, key, gaps): the places of each term in each document, the first one and then the distances between them."""
-    places = tokenize(docs, key, text=text).groupBy(key, "token").agg(F.sort_array(F.collect_list("pos")).alias("p"))
-    return places.select(F.col("token").alias("term"), key, F.transform("p", lambda x, i: x - F.coalesce(F.get("p", i - 1), F.lit(0))).alias("gaps"))
+    """(term, key, gaps): the places of each term in each document, the first one and then the distances between them.
+
+    A document's texts meet once, whole; its terms are gathered in its row, so no occurrence of a word is shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, POSTING_ROWS):
+                some = b.slice(lo, POSTING_ROWS)
+                texts = some.column(1)
+                in_text = texts.flatten().value_lengths().to_numpy().astype(np.int64)
+                words = texts.flatten().flatten().dictionary_encode()
+                code = words.indices.to_numpy().astype(np.int64)
+                doc = np.repeat(np.repeat(np.arange(some.num_rows), texts.value_lengths().to_numpy()), in_text)
+                pos = np.arange(len(code)) - np.repeat(np.cumsum(in_text) - in_text, in_text)
+                order = np.lexsort((pos, doc * len(words.dictionary) + code))
+                doc, code, pos = doc[order], code[order], pos[order]
+                new = np.ones(len(order), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])
+                first = np.flatnonzero(new)
+                gaps = np.where(new, pos, np.diff(pos, prepend=0)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)), pa.array(gaps))
+                yield pa.record_batch([words.dictionary.take(pa.array(code[first])), some.column(0).take(pa.array(doc[first])), lists], ["term", key, "gaps"])
+
+    whole = docs.groupBy(key).agg(F.collect_list(text).alias("texts"))
+    of_text = F.transform("texts", lambda t: F.filter(F.split(F.lower(t), SEPARATORS), lambda x: x != ""))
+    kept = StructType().add("term", "string").add(docs.schema[key]).add("gaps", ArrayType(IntegerType()))
+    return whole.select(key, of_text.alias("words")).mapInArrow(run, kept)
 
 
 def positional_index(spark: SparkSession, path: str, key: str, n_buckets: int = 64) -> VersionedTable:
@@ -136,12 +195,9 @@ def fts_match_indexed(index: VersionedTable, queries: DataFrame, key: str) -> Da
 
 
 def cover_density_indexed(index: VersionedTable, queries: DataFrame, key: str) -> DataFrame:
-    """cover_density over the postings of the queried terms; only documents that hold all of them are unpacked."""
-    rows = asked_postings(index, queries)
-    some = rows.withColumn("found", F.count("*").over(Window.partitionBy("query", key))).where("found = n_terms")
-    places = some.select("query", key, "term", "n_terms", F.posexplode("gaps").alias("k", "gap"))
-    along = Window.partitionBy("query", key, "term").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    return covers(places.select("query", key, F.sum("gap").over(along).alias("pos"), "term", "n_terms"), _most_terms(queries), key)
+    """cover_density over the postings of the queried terms: they are shuffled once, packed as they are stored."""
+    documents = asked_postings(index, queries).groupBy("query", key).agg(F.max("n_terms").alias("n_terms"), F.collect_list("gaps").alias("places"))
+    return _covers(documents.where(F.size("places") == F.col("n_terms")), key)
 
 
 def headline(docs: DataFrame, queries: DataFrame, key: str, words: int = 20, fragments: int = 3, index: VersionedTable | None = None) -> DataFrame:
@@ -152,9 +208,13 @@ def headline(docs: DataFrame, queries: DataFrame, key: str, words: int = 20, fra
     """
     terms = queries.select("query", F.array_distinct(F.filter(F.split(F.lower("query"), SEPARATORS), lambda x: x != "")).alias("terms"))
     w = F.array_remove(F.split(F.coalesce(F.col("text"), F.lit("")), r"\s+"), "")
-    found = (hits(tokenize(docs, key), queries, key) if index is None else asked_postings(index, queries)).select("query", key).distinct()
-    rows = found.join(bounded(terms), "query").join(docs.select(key, w.alias("w")), key)
-    is_hit = lambda x: F.arrays_overlap(F.split(F.lower(x), SEPARATORS), F.col("terms"))
+    found = (hits(tokenize(docs, key), queries, key) if index is None else asked_postings(index, queries)).select("query", key)
+    # a text is shuffled once, whole, however many queries it answers, and cut into words where its headlines are made
+    found = found.groupBy(key).agg(F.collect_set("query").alias("queries"))
+    rows = found.join(docs.select(key, "text"), key).select(key, "text", F.explode("queries").alias("query"))
+    rows = rows.join(bounded(terms), "query").select("query", key, "terms", w.alias("w"))
+    # only a word that contains a term is taken apart
+    is_hit = lambda x: F.exists("terms", lambda t: F.contains(F.lower(x), t)) & F.arrays_overlap(F.split(F.lower(x), SEPARATORS), F.col("terms"))
     marked_at = F.filter(F.transform("w", lambda x, i: F.when(is_hit(x), i + 1)), lambda x: x.isNotNull())
 
     def place(starts: Column, hit: Column) -> Column:
@@ -223,6 +283,12 @@ def matching_symbols(symbols: DataFrame, queries: DataFrame) -> DataFrame:
     return symbols.select("repo", "file_path", "name").join(asked, "name").groupBy("query", "repo", "file_path").agg(F.count("*").alias("n"))
 
 
+def candidates(ranked: DataFrame, by: str, limit: int = 10) -> DataFrame:
+    """Of (by, key, rank) the 3 limit documents of each `by` that hybrid_search may take as text candidates."""
+    w = Window.partitionBy(by).orderBy(F.desc("rank"), "key")
+    return ranked.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= 3 * limit).drop("_n")
+
+
 def hybrid_search(fts: DataFrame, vectors: DataFrame, boosts: DataFrame, limit: int = 10) -> DataFrame:
     """(query, key, rank, position, total): text rank and vector similarity merged.
 
@@ -231,7 +297,7 @@ def hybrid_search(fts: DataFrame, vectors: DataFrame, boosts: DataFrame, limit:
     similarity 1 - d / 2; without, the text rank as it is. Symbols add 0.3 each, 1.0 at most.
     """
     q = Window.partitionBy("query")
-    f = fts.withColumn("_n", F.row_number().over(q.orderBy(F.desc("rank"), "key"))).where(F.col("_n") <= 3 * limit).drop("_n")
+    f = candidates(fts, "query", limit)
     v = vectors.withColumn("_n", F.row_number().over(q.orderBy("distance", "key"))).where(F.col("_n") <= 3 * limit).drop("_n")
     f = f.withColumn("top", F.max("rank").over(q)).withColumn("norm", F.when(F.col("top") > 0, F.col("rank") / F.col("top")).otherwise(0.0)).drop("top")
     m = f.join(v, ["query", "key"], "full").withColumn("with_vectors", F.count("distance").over(q) > 0).join(boosts, ["query", "key"], "left")
@@ -249,5 +315,6 @@ def has_embeddings(index: DataFrame) -> DataFrame:
 
 def normalise_ranks(ranked: DataFrame) -> DataFrame:
     """`ranked` (query, .., rank) with norm: the rank over the query's largest, 0 where that isn't positive."""
-    top = F.max("rank").over(Window.partitionBy("query"))
-    return ranked.withColumn("norm", F.when(top > 0, F.col("rank") / top).otherwise(0.0))
+    top = bounded(ranked.groupBy(F.col("query").alias("_query")).agg(F.max("rank").alias("_top")))
+    out = ranked.join(top, F.col("query").eqNullSafe(F.col("_query")))
+    return out.withColumn("norm", F.when(F.col("_top") > 0, F.col("rank") / F.col("_top")).otherwise(0.0)).drop("_query", "_top")

@@ -152,3 +152,45 @@ def test_a_file_of_many_hunks(spark):
     hit = {i * 7 % 1_000_000 for i in range(100_000)}
     got = {r.seq for r in findings.verify_findings(asked, index, hunks).where("reason is null").collect()}
     assert got == {i for i in range(1000) if i + 5 in hit}
+
+
+def _sent(df):
+    """How often a plan shuffles by keys."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_words_of_a_document_are_not_shuffled(spark):
+    """Postings of rows of one document are one; the texts are shuffled, not the occurrences of words."""
+    docs = spark.createDataFrame([(1, "a b a"), (1, "B, c"), (2, None), (3, ""), (None, "x x"), (4, "É é")], "doc_id long, text string")
+    out = search.postings(docs, "doc_id")
+    assert _sent(out) == 1 and "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.term, r.doc_id): r.gaps for r in out.collect()}
+    assert got == {("a", 1): [0, 2], ("b", 1): [0, 1], ("c", 1): [1], ("x", None): [0, 1], ("é", 4): [0, 1]}
+
+
+def test_asked_postings_are_shuffled_once(spark, index, docs):
+    """Cover density unpacks the places inside a document's row; a headline's text is shuffled whole."""
+    queries = spark.createDataFrame([("a b",), ("a",)], "query string")
+    plan = search.cover_density_indexed(index, queries, "doc_id")
+    assert _sent(plan) == 1 and "Window" not in plan._jdf.queryExecution().executedPlan().toString()
+    # in a plan the root comes first: the words are made above the join
+    plan = search.headline(docs, queries, "doc_id", index=index)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.index("array_remove(split(") < plan.index("Join Inner")
+
+
+def test_ranks_are_divided_without_a_window_of_a_query(spark):
+    ranked = spark.createDataFrame([("q", 1, 2.0), ("q", 2, 1.0), ("z", 1, 0.0), (None, 1, 4.0)], "query string, key int, rank double")
+    out = search.normalise_ranks(ranked)
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r.query), r.key, r.norm) for r in out.collect()) == [("None", 1, 1.0), ("q", 1, 1.0), ("q", 2, 0.5), ("z", 1, 0.0)]
+
+
+def test_hybrid_search_meets_candidates_only(spark, monkeypatch):
+    """q11: a text's documents meet its queries as candidates, not all of them."""
+    from code_analytics.plans import code_queries
+    from tests.conftest import SF
+
+    sizes = []
+    plain = search.hybrid_search
+    monkeypatch.setattr(search, "hybrid_search", lambda fts, *rest: sizes.append(fts.groupBy("query").count().agg(F.max("count")).first()[0]) or plain(fts, *rest))
+    assert code_queries.q11_hybrid_search(spark, SF).count() and sizes and max(sizes) <= 3 * code_queries.HYBRID_LIMIT
