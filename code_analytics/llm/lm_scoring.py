@@ -53,8 +53,8 @@ CHUNK_WORDS = 16_384
 BLOCK_WORDS = 1_024
 PARTIAL_WORDS = 500_000
 BLOCK_ROWS = 4096
-#: of the windows one in 2^MEMORY_BITS is remembered
-MEMORY_BITS = 3
+#: of the windows one in 2^MEMORY_BITS is remembered: all of them
+MEMORY_BITS = 0
 GROUP_BYTES = 16 << 20
 SLICE_TEXT = 64 << 20
 
