@@ -47,11 +47,8 @@ def unpacked(archives: DataFrame) -> DataFrame:
     return archives.select("repo", "file_path", "size", "content").mapInArrow(run, SCANNED)
 
 
-def scan_files(spark: SparkSession, root: str, repo: str, archives: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(files, rejects) under `root`, read by Spark wherever it lies; with `archives` the entries of .zip files are files, too.
-
-    A file that isn't UTF-8 and an archive or entry that can't be read is a reject (repo, file_path, size, reason).
-    """
+def scanned(spark: SparkSession, root: str, repo: str, archives: bool = True) -> DataFrame:
+    """(repo, file_path, size, content, reason) of what lies under `root`, listed and read once where no archive is in it; a reject has a reason."""
     base = root.rstrip("/").split(":", 1)[-1].lstrip("/")
     path = F.regexp_replace(F.col("path"), r"^[a-z0-9]+:/+", "")
 
@@ -60,9 +57,20 @@ def scan_files(spark: SparkSession, root: str, repo: str, archives: bool = True)
         raw = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
         return raw.select(F.lit(repo).alias("repo"), F.substring(path, F.lit(len(base) + 2), F.length(path)).alias("file_path"), F.col("length").alias("size"), "content")
 
-    plain = read().withColumn("reason", F.lit(None).cast("string"))
-    rows = plain.where(~F.col("file_path").endswith(".zip")).unionByName(unpacked(read("*.zip"))) if archives else plain
+    every = read()
+    rows, is_zip = every.withColumn("reason", F.lit(None).cast("string")), F.col("file_path").endswith(".zip")
+    # the tree is listed and read a second time only where it holds an archive
+    if archives and not every.select("file_path").where(is_zip).isEmpty():
+        rows = rows.where(~is_zip).unionByName(unpacked(read("*.zip")))
     good = F.is_valid_utf8(F.col("content").cast("string"))
-    rows = rows.withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(~good, "not UTF-8"))
+    return rows.withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason")).when(~good, "not UTF-8"))
+
+
+def scan_files(spark: SparkSession, root: str, repo: str, archives: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(files, rejects) under `root`, read by Spark wherever it lies; with `archives` the entries of .zip files are files, too.
+
+    A file that isn't UTF-8 and an archive or entry that can't be read is a reject (repo, file_path, size, reason).
+    """
+    rows = scanned(spark, root, repo, archives)
     files = rows.where("reason is null").select("repo", "file_path", "size", F.col("content").cast("string").alias("content"))
     return files, rows.where("reason is not null").select("repo", "file_path", "size", "reason")
