@@ -21,6 +21,7 @@ from ..sources.shared import stored
 
 ROWS, QUERIES = 2_048, 1_024
 SENT_BYTES = 32 << 20
+NEAR_BYTES = 16 << 20
 SAMPLE, LIST_ROWS = 16_384, 500
 CALIBRATED, RECALL = 100, 0.95
 #: distances are rounded to six places before they are compared
@@ -50,7 +51,9 @@ def units(vectors: DataFrame, n: int, size: int, centroids: np.ndarray | None =
                 parts = [(0, np.arange(len(ids)))] if len(ids) else []
             else:
                 near = nearest_lists(x, centroids, probes)
-                parts = [(int(j), np.flatnonzero((near == j).any(axis=1))) for j in np.unique(near)]
+                order = np.argsort(near, axis=None, kind="stable")  # a list's rows side by side, in their order
+                lists, first = np.unique(near.ravel()[order], return_index=True)
+                parts = list(zip(lists.tolist(), np.split(order // max(1, near.shape[1]), first[1:]), strict=True)) if len(lists) else []
             out = [(j, ids[rows[lo : lo + size]].tolist(), x[rows[lo : lo + size]].tobytes()) for j, rows in parts for lo in range(0, len(rows), size)]
             if out:
                 yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["list", "ids", "vs"])
@@ -60,7 +63,10 @@ def units(vectors: DataFrame, n: int, size: int, centroids: np.ndarray | None =
 
 
 def nearest_lists(x: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
-    return np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :probes]
+    """The lists of each row, a part of the rows at a time: what is held doesn't grow with rows times lists."""
+    step = max(1, NEAR_BYTES // (8 * max(1, len(centroids))))
+    near = [np.argsort(-(x[lo : lo + step] @ centroids.T), axis=1, kind="stable")[:, :probes].astype(np.int32) for lo in range(0, len(x), step)]
+    return np.concatenate(near) if near else np.zeros((0, min(probes, len(centroids))), np.int32)
 
 
 def compared(pairs: DataFrame, n: int, k: int) -> DataFrame:
