@@ -18,8 +18,11 @@ network, whose size is bounded by TOKENS.
 Memory, beside the score: of the windows whose hash ends in `memory_bits` zeros (0: of all windows) the words that stand in
 them are counted over the whole corpus. In such a window the remembered probability is
 (n(window, word) + network) / (n(window) + 1), without the counts of the scored text itself: a text that stands twice in
-the corpus is likely by its other copy. Counts of windows meet by slices of their hashes, packed as in suffix_dedup. How
-texts lie in files decides which windows share a mini-batch, so another layout gives a slightly different network.
+the corpus is likely by its other copy. Texts are shuffled once, into groups. A window that stands nowhere else changes
+nothing, so the groups first exchange the leading PRINT_BITS bits of their windows' hashes, and only windows whose bits came
+back as repeated (none that is repeated is left out) are counted with their words. Bits and counts meet by slices of the
+hashes, packed as in suffix_dedup; a group is scored when its counts are there. How texts lie in files decides which windows
+share a mini-batch, so another layout gives a slightly different network.
 
 Nulls: a null or wordless text has no words, log_prob 0 and a null mean. A null doc_id stays null; repeated rows are
 counted and scored each, and are each other's memory. Ties among words at the edge of the vocabulary go by digest. A very
@@ -34,11 +37,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import U, mix, signed, sliced, stored, table, words
-from .suffix_dedup import _entry_table, pack, packed_entries, told_parts, unpack
+from .kernels import U, drop_stored, mix, signed, sliced, stored, stored_so_far, table, words
+from .suffix_dedup import _entry_table, pack, packed_entries, steps, told_parts, unpack
 from .units import column
 
 TOKENS = (2_048, 16_384)
@@ -55,6 +59,7 @@ PARTIAL_WORDS = 500_000
 BLOCK_ROWS = 4096
 #: of the windows one in 2^MEMORY_BITS is remembered: all of them
 MEMORY_BITS = 0
+PRINT_BITS = 40
 GROUP_BYTES = 16 << 20
 SLICE_TEXT = 64 << 20
 
@@ -151,10 +156,14 @@ def chunks(values: np.ndarray, upto: np.ndarray) -> Iterator[tuple[np.ndarray, n
         lo = hi
 
 
-def _exp_sums(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of the exponentials of each row, over a common factor, and the logarithm of the sum itself; z becomes the exponentials."""
-    top = z.max()  # logits differ by far less than what float32 holds
-    z -= top
+def _exp_sums(z: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the exponentials of each row, over a common factor, and the logarithm of the sum itself; z becomes the exponentials.
+
+    No logit is further from zero than `bound`; the factor is one where float32 holds their exponentials.
+    """
+    top = z.max() if bound > 40 else 0  # logits differ by far less than what float32 holds
+    if top:
+        z -= top
     np.exp(z, out=z)
     total = np.maximum(z @ np.ones(z.shape[1], z.dtype), np.float32(1e-30))
     return total, np.log(total) + top
@@ -189,18 +198,25 @@ class TokenNetwork:
             return np.zeros(0)
         embed, scale, bias, w1, b1, w2, b2 = self.p
         n = np.diff(upto)
-        order = np.argsort(tokens, kind="stable")  # the words of a class stand side by side
+        # the words of a class stand side by side; 16 bits are sorted by their digits
+        order = np.argsort(tokens.astype(np.uint16) if vocab.edge < 1 << 16 else tokens, kind="stable")
         tokens = tokens[order]
         at = (np.arange(len(tokens)) + SPAN * (np.repeat(np.arange(len(n)), n) + 1))[order]
         padded = np.full(len(tokens) + SPAN * (len(n) + 1), vocab.edge)
         padded[at] = tokens
-        e = embed[padded]
-        x = np.repeat(bias, len(at), axis=0)
-        for k, o in enumerate(OFFSETS):
-            x += scale[k] * np.take(e, at + o, axis=0)
-        h = np.tanh(x)
-        h1 = np.hstack([h, np.ones((len(h), 1), h.dtype)])  # with a one for the offset of each logit
+        e = np.take(embed, padded, axis=0)
+        # sums over the places around are those of shifted slices, in the order of the text
+        inner = len(padded) - 2 * SPAN
+        beside = [slice(SPAN + o, SPAN + o + inner) for o in OFFSETS]
+        x = np.repeat(bias, inner, axis=0)
+        for k, near in enumerate(beside):
+            x += scale[k] * e[near]
+        h1 = np.ones((len(at), HIDDEN + 1), x.dtype)  # with a one for the offset of each logit
+        h = np.tanh(np.take(x, at - SPAN, axis=0))
+        h1[:, :-1] = h
         wb1, wb2 = np.hstack([w1, b1]), np.hstack([w2, b2])
+        # h lies within -1 and 1
+        bound1, bound2 = np.abs(wb1).sum(axis=1).max(), np.maximum.reduceat(np.abs(wb2).sum(axis=1), vocab.first[:-1])
         every = np.arange(len(at))
         own = np.searchsorted(vocab.first, tokens, "right") - 1
         total = -vocab.log_types[tokens]
@@ -210,7 +226,7 @@ class TokenNetwork:
             z = h1[a:b] @ wb1.T
             rows, here = every[: b - a], own[a:b]
             total[a:b] += z[rows, here]
-            sums, logs = _exp_sums(z)
+            sums, logs = _exp_sums(z, bound1)
             total[a:b] -= logs
             if grads is not None:
                 z[rows, here] -= sums
@@ -224,7 +240,7 @@ class TokenNetwork:
             z = h1[a:b] @ wb2[lo:hi].T
             rows, here = every[: b - a], tokens[a:b] - lo
             total[a:b] += z[rows, here]
-            sums, logs = _exp_sums(z)
+            sums, logs = _exp_sums(z, bound2[c])
             total[a:b] -= logs
             if grads is not None:
                 z[rows, here] -= sums
@@ -233,12 +249,16 @@ class TokenNetwork:
                 grads[5][lo:hi] += g[:, :-1]
                 grads[6][lo:hi] += g[:, -1:]
         if grads is not None:
-            dx = dh * (1 - h * h)
+            np.multiply(h, h, out=h)
+            np.subtract(1, h, out=h)
+            dh *= h
+            dx = np.zeros_like(x)
+            dx[at - SPAN] = dh
             de = np.zeros_like(e)
-            for k, o in enumerate(OFFSETS):
-                grads[1][k] += (dx * np.take(e, at + o, axis=0)).sum(axis=0)
-                de[at + o] += dx * scale[k]
-            grads[2] += dx.sum(axis=0)
+            for k, near in enumerate(beside):
+                grads[1][k] += np.einsum("ij,ij->j", dx, e[near])
+                de[near] += dx * scale[k]
+            grads[2] += np.ones(inner, dx.dtype) @ dx
             first = np.flatnonzero(np.diff(tokens, prepend=-1))
             grads[0][tokens[first]] += np.add.reduceat(de[at], first, axis=0)
             grads[0][vocab.edge] += de[padded == vocab.edge].sum(axis=0)
@@ -316,6 +336,7 @@ def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def trained(docs: DataFrame, max_tokens: int | None = None, n_buckets: int | None = None) -> tuple[Vocabulary, TokenNetwork]:
     """The vocabulary and the network of a corpus."""
     sc = docs.sparkSession.sparkContext
+    since = stored_so_far()
     vocab, weight = vocabulary(stored(word_counts(docs)), max_tokens, n_buckets)
     net = TokenNetwork(vocab, weight)
     held = sc.broadcast(vocab)
@@ -328,6 +349,7 @@ def trained(docs: DataFrame, max_tokens: int | None = None, n_buckets: int | Non
             mean = np.frombuffer(r["moved"], np.float32).reshape(-1, net.p[r["part"]].shape[1])
             net.p[r["part"]][r["block"] * BLOCK_ROWS : r["block"] * BLOCK_ROWS + len(mean)] += mean
         params.destroy()
+    drop_stored(docs.sparkSession, since)
     return vocab, net
 
 
@@ -361,9 +383,9 @@ def network_scores(docs: DataFrame, vocab: Vocabulary, net: TokenNetwork, memory
             row = np.repeat(np.arange(rows.num_rows), n)
             total = np.bincount(row, weights=each, minlength=rows.num_rows).astype(np.float64)
             code = window_codes(codes, upto)
-            some = np.flatnonzero(code & U((1 << memory_bits) - 1) == 0)
+            some, window = remembered_windows(code, memory_bits)
             found = np.zeros(len(some), WINDOWS)
-            found["window"], found["word"], found["lp"] = code[some], codes[some] >> U(32), each[some]
+            found["window"], found["word"], found["lp"] = window, codes[some] >> U(32), each[some]
             cut = np.searchsorted(row[some], np.arange(rows.num_rows + 1)) if len(some) else np.zeros(rows.num_rows + 1, np.int64)
             packed = [found[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.record_batch([column(rows, "doc_id"), pa.array(n), pa.array(total), pa.array(packed, pa.binary())], ["doc_id", "n_words", "log_prob", "windows"])
@@ -371,44 +393,110 @@ def network_scores(docs: DataFrame, vocab: Vocabulary, net: TokenNetwork, memory
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED)
 
 
+def prints(rows: pa.Table, n_slices: int, memory_bits: int) -> pa.Table:
+    """The leading bits of the windows of one group, each once."""
+    found = []
+    for _, data, at in sliced(iter(rows.select(["text"]).combine_chunks().to_batches())):
+        codes, _, _, upto = words(data, at)
+        found.append(remembered_windows(window_codes(codes, upto), memory_bits)[1] >> U(64 - PRINT_BITS))
+    every = np.unique(np.concatenate(found))
+    if not len(every):
+        return _entry_table([])
+    part = (every * U(n_slices)) >> U(PRINT_BITS)
+    cut = np.flatnonzero(np.diff(part, prepend=U(n_slices)))
+    g = rows["g"][0].as_py()
+    return _entry_table([(g, int(part[a]), pack(steps(every[a:b]))) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(every)], strict=True)])
+
+
+def repeated_prints(entries: pa.Table) -> pa.Table:
+    """For each entry of one slice a bit: another group has it too."""
+    parts = [np.cumsum(unpack(x)[0]) for x in entries["data"].to_pylist()]
+    every = np.concatenate(parts)
+    order = np.argsort(every)
+    same = np.zeros(len(every) + 1, bool)
+    same[1:-1] = every[order][1:] == every[order][:-1]
+    out = np.empty(len(every), bool)
+    out[order] = same[1:] | same[:-1]
+    ends = np.cumsum([len(x) for x in parts])[:-1]
+    data = [np.array([len(x)], "<u4").tobytes() + np.packbits(x).tobytes() for x in np.split(out, ends)]
+    return pa.table([entries["g"], entries["slice"], pa.array(data, pa.binary())], ["g", "slice", "data"])
+
+
+def _joined_bits(replies: pa.Table) -> np.ndarray:
+    """The bits of all slices in their order, a byte each."""
+    one = lambda x: np.unpackbits(np.frombuffer(x, np.uint8, offset=4), count=int(np.frombuffer(x, "<u4", 1)[0]))
+    rows = sorted(zip(replies["slice"].to_pylist(), replies["data"].to_pylist(), strict=True))
+    return np.concatenate([np.zeros(0, np.uint8), *[one(x) for _, x in rows]])
+
+
+def remembered_windows(code: np.ndarray, memory_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places and hashes of the windows that the memory covers."""
+    if not memory_bits:
+        return np.arange(len(code)), code
+    some = np.flatnonzero(code & U((1 << memory_bits) - 1) == 0)
+    return some, code[some]
+
+
 class Remembered:
-    """The windows of one group of texts: each (window, word) once, with its count."""
+    """One group of texts; of its windows that may stand elsewhere each (window, word) once, with its count."""
 
-    def __init__(self, rows: pa.Table) -> None:
-        self.rows = rows
+    def __init__(self, rows: pa.Table, bits: np.ndarray, memory_bits: int) -> None:
         self.g = rows["g"][0].as_py()
-        raw = rows["windows"].to_pylist()
-        self.size = np.array([len(x) // WINDOWS.itemsize for x in raw], np.int64)
-        self.found = np.frombuffer(b"".join(raw), WINDOWS)
-        order = np.lexsort((self.found["word"], self.found["window"]))
-        w, x = self.found["window"][order], self.found["word"][order]
+        self.rows = rows.select(["doc_id", "text"]).combine_chunks()
+        codes, n, window = [], [], []
+        for _, data, at in sliced(iter(self.rows.to_batches())):
+            c, _, _, upto = words(data, at)
+            codes.append(c)
+            n.append(np.diff(upto))
+            window.append(window_codes(c, upto))
+        self.codes, self.n = np.concatenate(codes), np.concatenate(n)
+        some, window = remembered_windows(np.concatenate(window), memory_bits)
+        row = np.repeat(np.arange(len(self.n)), self.n)
+        self.size = np.bincount(row[some], minlength=len(self.n))
+        order = np.argsort(window)
+        window, some = window[order], some[order]
+        lead = window >> U(64 - PRINT_BITS)
+        new = np.ones(len(lead), bool)
+        new[1:] = lead[1:] != lead[:-1]
+        first = np.flatnonzero(new)
+        times = np.diff(np.append(first, len(lead)))
+        kept = np.repeat(bits[: len(times)].astype(bool) | (times > 1), times)
+        window, some = window[kept], some[kept]
+        word = self.codes[some] >> U(32)
+        order = np.lexsort((word, window))
+        w, x = window[order], word[order]
+        #: the places of the words in the order of the entries, their rows, and the entry of each
+        self.place = some[order]
+        self.row = row[self.place]
         new = np.ones(len(order), bool)
         new[1:] = (w[1:] != w[:-1]) | (x[1:] != x[:-1])
         first = np.flatnonzero(new)
-        self.windows, self.words = w[first], x[first].astype(U)
+        self.windows, self.words = w[first], x[first]
         self.counts = np.diff(np.append(first, len(order)))
-        self.entry = np.empty(len(order), np.int64)
-        self.entry[order] = np.cumsum(new) - 1
-
-    def entries(self, n_slices: int) -> pa.Table:
-        return _entry_table(packed_entries(self.g, n_slices, 64, self.windows, self.words, self.counts))
-
-    def scores(self, replies: pa.Table) -> pa.Table:
-        """Adds to each text what the memory changes."""
+        self.entry = np.cumsum(new) - 1
+
+    def entries(self, n_slices: int) -> list[tuple[int, int, bytes]]:
+        return packed_entries(self.g, n_slices, 64, self.windows, self.words, self.counts)
+
+    def scores(self, replies: pa.Table, vocab: Vocabulary, net: TokenNetwork) -> pa.Table:
+        """The scores of each text, and what the memory changes."""
+        each = [np.zeros(0)]
+        upto = np.concatenate([[0], np.cumsum(self.n)])
+        for tokens, at in chunks(vocab.tokens(self.codes), upto):
+            each.append(net.log_probs(vocab, tokens, at))
+        each = np.concatenate(each)
+        total = lambda row, v: np.bincount(row, weights=v, minlength=len(self.n)).astype(np.float64)
+        network = total(np.repeat(np.arange(len(self.n)), self.n), each)
         same, every = told_parts(replies, 2) if len(self.entry) else (np.zeros(0, U),) * 2
         same, every = same.astype(np.int64)[self.entry], every.astype(np.int64)[self.entry]
-        row = np.repeat(np.arange(len(self.size)), self.size)
         # without the text's own counts
-        same -= _own(row, self.entry)
-        every -= _own(row, np.cumsum(np.diff(self.windows, prepend=self.windows[:1]) != 0)[self.entry] if len(row) else row)
-        lp = self.found["lp"].astype(np.float64)
+        same -= _own(self.row, self.entry)
+        every -= _own(self.row, np.cumsum(np.diff(self.windows, prepend=self.windows[:1]) != 0)[self.entry] if len(self.row) else self.row)
+        lp = each[self.place].astype(np.float32).astype(np.float64)
         change = np.log((same + np.exp(lp)) / (every + 1)) - lp
-        total = lambda v: np.bincount(row, weights=v, minlength=len(self.size)).astype(np.float64)
-        n = self.rows["n_words"].to_numpy()
-        network = self.rows["log_prob"].to_numpy()
-        mean = pa.array(network / np.maximum(n, 1), mask=n == 0)
-        remembered = pa.array(total(same > 0) / np.maximum(self.size, 1), mask=self.size == 0)
-        return pa.table([self.rows["doc_id"], pa.array(n), pa.array(network), mean, pa.array(network + total(change)), remembered], ["doc_id", "n_words", "log_prob", "mean_log_prob", "memory_log_prob", "remembered"])
+        mean = pa.array(network / np.maximum(self.n, 1), mask=self.n == 0)
+        remembered = pa.array(total(self.row, same > 0) / np.maximum(self.size, 1), mask=self.size == 0)
+        return pa.table([self.rows["doc_id"], pa.array(self.n), pa.array(network), mean, pa.array(network + total(self.row, change)), remembered], ["doc_id", "n_words", "log_prob", "mean_log_prob", "memory_log_prob", "remembered"])
 
 
 def _own(row: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -427,7 +515,12 @@ def _own(row: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def window_totals(entries: pa.Table) -> pa.Table:
-    """Adds up one slice of the window hashes for all groups: for each entry the counts of its (window, word) and of its window."""
+    """Adds up one slice of the window hashes for all groups: for each entry the counts of its (window, word) and of its window.
+
+    Slices below 0 are letters of a group to itself.
+    """
+    if entries["slice"][0].as_py() < 0:
+        return entries.select(["g", "slice", "data"])
     parts = [unpack(x) for x in entries["data"].to_pylist()]
     window = np.concatenate([np.cumsum(p[0]) for p in parts])
     word = np.concatenate([p[1] for p in parts])
@@ -455,11 +548,25 @@ def scored(docs: DataFrame, vocab: Vocabulary, net: TokenNetwork, memory_bits: i
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_groups = total // GROUP_BYTES + 1
     n_slices = max(total // SLICE_TEXT, 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = stored(network_scores(docs, vocab, net, memory_bits))
-    groups = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "windows"), F.lit(n_groups))).repartition("g")
+    held = docs.sparkSession.sparkContext.broadcast((vocab, net))
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    groups = texts.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_groups))).repartition("g")
     entries = "g long, slice long, data binary"
-    counts = groups.groupBy("g").applyInArrow(lambda t: Remembered(t).entries(n_slices), entries).groupBy("slice").applyInArrow(window_totals, entries)
-    return groups.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(lambda t, replies: Remembered(t).scores(replies), RESULT)
+
+    def exact(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        bits = _joined_bits(replies)
+        # the bits go along as a letter of the group to itself, in a slice of its own
+        letter = (group := rows["g"][0].as_py(), -1 - group, np.packbits(bits).tobytes())
+        return _entry_table([letter, *Remembered(rows, bits, memory_bits).entries(n_slices)])
+
+    def result(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        letter = pc.less(replies["slice"], 0)
+        bits = np.unpackbits(np.frombuffer(replies.filter(letter)["data"][0].as_py(), np.uint8))
+        return Remembered(rows, bits, memory_bits).scores(replies.filter(pc.invert(letter)), *held.value)
+
+    first = groups.groupBy("g").applyInArrow(lambda t: prints(t, n_slices, memory_bits), entries).groupBy("slice").applyInArrow(repeated_prints, entries)
+    counts = groups.groupBy("g").cogroup(first.groupBy("g")).applyInArrow(exact, entries).groupBy("slice").applyInArrow(window_totals, entries)
+    return groups.groupBy("g").cogroup(counts.groupBy("g")).applyInArrow(result, RESULT)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,3 +87,21 @@ def test_nearest_lists_hold_a_part_of_the_rows():
     tracemalloc.stop()
     assert peak < 5 * vectors.NEAR_BYTES
     assert (near[:50] == np.argsort(-(x[:50] @ centroids.T), axis=1, kind="stable")[:, :3]).all()
+
+
+def test_memory_stores_no_windows(spark):
+    """op5: no table of all windows is written, and windows that stand once are not counted."""
+    import numpy as np
+    import pyarrow as pa
+
+    from code_analytics.llm import kernels, lm_scoring
+
+    before = kernels.stored_so_far()
+    df = spark.createDataFrame([(1, "a b c d e f g h"), (2, "a b c d e x y z"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.remembered for r in lm_scoring.scored(df, *lm_scoring.trained(df)).collect()}
+    assert got == {1: 3 / 8, 2: 3 / 8, 3: None}
+    empty = df.where("doc_id = 3")
+    assert [r.n_words for r in lm_scoring.scored(empty, *lm_scoring.trained(empty)).collect()] == [0]
+    assert kernels.stored_so_far() == before
+    rows = pa.table({"g": [0], "doc_id": [1], "text": ["a b c d e f g h"]})
+    assert not len(lm_scoring.Remembered(rows, np.zeros(8, np.uint8), 0).windows)
