@@ -55,10 +55,13 @@ def neighborhood(index: DataFrame, edges: DataFrame, targets: DataFrame, n_edges
     incoming = targets.join(edges.where("dst_file is not null").withColumnRenamed("dst_file", "file_path"), ["repo", "file_path"]).withColumn("other", F.col("src_file"))
     # of a directory the first n_siblings + 1 files are all that any of its files can have as siblings
     heads = index.select("repo", F.col("file_path").alias("other"), parent(F.col("file_path")).alias("dir"))
-    heads = heads.withColumn("n", F.row_number().over(Window.partitionBy("repo", "dir").orderBy("other"))).where(F.col("n") <= n_siblings + 1).drop("n")
-    sib = targets.withColumn("dir", parent(F.col("file_path"))).join(heads, ["repo", "dir"]).where("other <> file_path")
+    heads = heads.withColumn("n", F.row_number().over(Window.partitionBy("repo", "dir").orderBy("other"))).where(F.col("n") <= n_siblings + 1)
+    # a row for each directory, so a large one can be split in the join, and siblings come from a file's own row
+    heads = heads.groupBy("repo", "dir").agg(F.sort_array(F.collect_list("other")).alias("heads"))
+    sib = targets.withColumn("dir", parent(F.col("file_path"))).join(heads, ["repo", "dir"])
+    others = F.slice(F.filter("heads", lambda x: x != F.col("file_path")), 1, max(n_siblings, 0))
+    sib = sib.select("repo", "file_path", F.posexplode(others).alias("ordinal", "other")).withColumn("ordinal", F.col("ordinal") + 1)
     per_file = Window.partitionBy("repo", "file_path")
-    sib = sib.withColumn("ordinal", F.row_number().over(per_file.orderBy("other"))).where(F.col("ordinal") <= n_siblings)
     missing = out_edges.where("dst_file is null").withColumn("ordinal", F.row_number().over(per_file.orderBy("raw_import")))
     return (
         capped(resolved, "imports", "raw_import", "other")

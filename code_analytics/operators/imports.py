@@ -42,14 +42,21 @@ def _join_path(base: Column, rest: Column) -> Column:
     return F.when(base == "", rest).when(rest == "", base).otherwise(F.concat(base, F.lit("/"), rest))
 
 
-def python_modules(imports: DataFrame) -> DataFrame:
-    """`imports` of Python with dots (of a relative import) and tail, the module as a path."""
+def module_of(imports: DataFrame) -> Column:
+    """The module that an import of Python names, with its dots."""
+    if "module" in imports.columns:
+        return F.col("module")
     text = F.regexp_replace(strip(F.col("raw")), r";+$", "")
     module = F.when(text.startswith("from ") & text.contains(" import "), strip(F.regexp_extract(text, r"^from\s+(.*?) import ", 1))).when(
         text.startswith("import "), F.regexp_extract(text, r"^import\s+([^\s,;]+)", 1)
     )
-    rows = imports.where("language = 'python'").withColumn("module", module).where("module is not null and module <> ''")
-    rows = rows.withColumn("dots", F.length(F.regexp_extract("module", r"^(\.*)", 1)))
+    return F.when(F.col("language") == "python", module)
+
+
+def python_modules(imports: DataFrame) -> DataFrame:
+    """`imports` of Python with dots (of a relative import) and tail, the module as a path."""
+    rows = imports.where("language = 'python'").withColumn("module", module_of(imports)).where("module is not null and module <> ''")
+    rows = rows.withColumn("dots", F.length("module") - F.length(F.ltrim("module", F.lit("."))))
     return rows.withColumn("tail", F.replace(F.substring("module", F.col("dots") + 1, F.length("module")), F.lit("."), F.lit("/")))
 
 
@@ -108,10 +115,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame, roots: DataFrame) -> D
     `files` are all files of the repositories, indexed or not.
     """
     keys = ["repo", "file_path", "language", "ord", "raw"]
-    # read four times below, and behind it the parsed texts: a table of its own
-    imports = stored(imports.select(*keys).where("raw <> ''"))
+    # read four times below, and behind it the parsed texts: a table of its own, with the module, since filters would match its
+    # patterns again for each place where it stands
+    imports = imports.select(*keys).where("raw <> ''")
+    imports = stored(imports.withColumn("module", module_of(imports)))
     modules = python_modules(imports)
-    candidates = relative_candidates(modules, *keys).unionByName(js_candidates(imports))
+    candidates = relative_candidates(modules, *keys).unionByName(js_candidates(imports.select(*keys)))
     there = files.select("repo", F.col("file_path").alias("path")).distinct()
     hits = candidates.join(there, ["repo", "path"]).unionByName(absolute_hits(modules, files, roots, *keys))
     hit = hits.groupBy("repo", "file_path", "ord").agg(F.min_by("path", "rank").alias("dst_file"))

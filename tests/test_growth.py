@@ -105,3 +105,31 @@ def test_memory_stores_no_windows(spark):
     assert kernels.stored_so_far() == before
     rows = pa.table({"g": [0], "doc_id": [1], "text": ["a b c d e f g h"]})
     assert not len(lm_scoring.Remembered(rows, np.zeros(8, np.uint8), 0).windows)
+
+
+def test_siblings_come_from_a_row_for_each_directory(spark):
+    """g2: the rows of siblings are not shuffled and numbered again; a large directory joins one row."""
+    from code_analytics.operators import graph
+
+    names = sorted(f"d/m{k}.py" for k in range(40))
+    index = spark.createDataFrame([("r", n) for n in [*names, "top.py"]], "repo string, file_path string")
+    edges = spark.createDataFrame([], "repo string, src_file string, dst_file string, raw_import string, language string")
+    out = graph.neighborhood(index, edges, index)
+    got = {}
+    for r in out.where("relation = 'sibling'").orderBy("file_path", "ordinal").collect():
+        got.setdefault(r.file_path, []).append(r.other)
+    assert got == {n: [x for x in names if x != n][:10] for n in names}
+    assert _plan(out.where("relation = 'sibling'")).count("Window [") == 1
+
+
+def test_patterns_of_an_import_are_matched_once(spark):
+    """g2: the stored imports hold the module, so no filter behind them matches patterns on the raw text of Python again."""
+    from code_analytics.operators import imports
+
+    rows = spark.createDataFrame([("r", "a/b.py", "python", 0, "from ..c import d;"), ("r", "a/b.py", "python", 1, "import e.f"), ("r", "a/b.js", "javascript", 0, "import x from './y'")], "repo string, file_path string, language string, ord int, raw string")
+    held = rows.withColumn("module", imports.module_of(rows))
+    assert [r.module for r in held.orderBy("language", "ord").collect()] == [None, "..c", "e.f"]
+    assert [(r.dots, r.tail) for r in imports.python_modules(held).orderBy("ord").collect()] == [(2, "c"), (0, "e/f")]
+    files = rows.select("repo", "file_path")
+    plan = _plan(imports.resolve_imports(rows, files, imports.package_roots(files)))
+    assert "^from" not in plan and "^import" not in plan
