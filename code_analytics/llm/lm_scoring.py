@@ -6,7 +6,7 @@ its words.
 
 Network: the embeddings of the SPAN tokens on each side, scaled by place, are added; after tanh comes a softmax over
 classes of tokens and one over the tokens of the class. The classes are CLASSES parts of the tokens in the order of their
-counts, of about equal counts in all. So the probabilities of all tokens add up to one whatever stands around.
+counts, with about equal sums of the square roots of the counts. So the probabilities of all tokens add up to one whatever stands around.
 It is trained in numpy on all windows of all texts: texts are dealt into ROUNDS shares by their hash; in a round every
 task goes through its windows of the share in mini-batches with AdaGrad, beginning with the network of the round before,
 and the tasks' changes are averaged, each row of a parameter by how often the tasks used it. The network starts as the
@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import U, drop_stored, mix, signed, sliced, stored, stored_so_far, table, words
+from .kernels import U, drop_stored, mix, signed, sliced, stored, stored_so_far, table, text_bytes, words
 from .suffix_dedup import _entry_table, pack, packed_entries, steps, told_parts, unpack
 from .units import column
 
@@ -54,6 +55,8 @@ ROUNDS = 3
 RATE = 0.3
 SEED = 1
 CHUNK_WORDS = 16_384
+#: words that are scored together: fewer calls of numpy than by mini-batches
+SCORED_WORDS = 65_536
 BLOCK_WORDS = 1_024
 PARTIAL_WORDS = 500_000
 BLOCK_ROWS = 4096
@@ -103,14 +106,31 @@ class Vocabulary:
     def edge(self) -> int:
         return int(self.first[-1])
 
+    @property
+    def kind(self) -> np.dtype:
+        """Of stored tokens."""
+        return np.dtype("<u2" if self.edge < 1 << 16 else "<u4")
+
     def tokens(self, codes: np.ndarray) -> np.ndarray:
         """The token of every word digest."""
         out = self.bucket_token[(codes % U(len(self.bucket_token))).astype(np.int64)]
         if len(self.keys):
-            where = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
-            out = np.where(self.keys[where] == codes, self.key_token[where], out)
+            shift, begin, most = self.parts
+            where = begin[(codes >> shift).astype(np.int64)]
+            for _ in range(most):
+                where += self.keys[where] < codes
+                np.minimum(where, len(self.keys) - 1, out=where)
+            own = np.flatnonzero(self.keys[where] == codes)
+            out[own] = self.key_token[where[own]]
         return out
 
+    @cached_property
+    def parts(self) -> tuple[np.uint64, np.ndarray, int]:
+        """The leading bits of digests to look at by a shift, the first key that has them or larger ones, and how many keys share them at most."""
+        bits = max(len(self.keys).bit_length() + 3, 1)
+        n = np.bincount((self.keys >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+        return U(64 - bits), np.minimum(np.cumsum(n) - n, len(self.keys) - 1), int(n.max())
+
     @classmethod
     def of(cls, keys: np.ndarray, n: np.ndarray, bucket_n: np.ndarray, bucket_types: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
         """From the sorted keys with their counts, and the words and the different words of each bucket; also the weight of each token."""
@@ -119,7 +139,9 @@ class Vocabulary:
         token = np.empty(len(order), np.int64)
         token[order] = np.arange(len(order))
         weight = weight[order]
-        part = ((np.cumsum(weight) - weight) / weight.sum() * CLASSES).astype(np.int64)
+        # of all cuts into so many classes this has the smallest class around a word of the corpus, on average
+        root = np.sqrt(weight)
+        part = ((np.cumsum(root) - root) / root.sum() * CLASSES).astype(np.int64)
         first = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(order))
         log_types = np.concatenate([np.zeros(len(keys)), np.log(np.maximum(bucket_types, 1))])[order]
         return cls(keys, token[: len(keys)], token[len(keys) :], log_types, first), weight
@@ -144,29 +166,25 @@ def vocabulary(counts: DataFrame, max_tokens: int | None = None, n_buckets: int
     return Vocabulary.of(keys, n, weight - np.bincount(own, weights=n, minlength=n_buckets), types - np.bincount(own, minlength=n_buckets))
 
 
-def chunks(values: np.ndarray, upto: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Values and offsets of rows in chunks of about CHUNK_WORDS; a longer row is cut, and the parts share no windows."""
+def chunks(values: np.ndarray, upto: np.ndarray, size: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Values and offsets of rows in chunks of about `size`, or CHUNK_WORDS; a row longer than CHUNK_WORDS is cut, and the parts share no windows."""
     n = np.diff(upto)
     if len(n) and n.max() > CHUNK_WORDS:
         upto = np.unique(np.concatenate([upto, *[np.arange(a, b, CHUNK_WORDS) for a, b in zip(upto[:-1][n > CHUNK_WORDS], upto[1:][n > CHUNK_WORDS], strict=True)]]))
     lo = 0
     while lo < len(upto) - 1:
-        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + CHUNK_WORDS, "right")) - 1)
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + (size or CHUNK_WORDS), "right")) - 1)
         yield values[upto[lo] : upto[hi]], upto[lo : hi + 1] - upto[lo]
         lo = hi
 
 
-def _exp_sums(z: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """The sum of the exponentials of each row, over a common factor, and the logarithm of the sum itself; z becomes the exponentials.
-
-    No logit is further from zero than `bound`; the factor is one where float32 holds their exponentials.
-    """
-    top = z.max() if bound > 40 else 0  # logits differ by far less than what float32 holds
-    if top:
-        z -= top
-    np.exp(z, out=z)
-    total = np.maximum(z @ np.ones(z.shape[1], z.dtype), np.float32(1e-30))
-    return total, np.log(total) + top
+def by_rows(ufunc: np.ufunc, x: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """ufunc(x, row) with a short row for all rows of x, many rows side by side: numpy's innermost loop is as long as the last axis."""
+    out = np.empty_like(x)
+    m = len(x) // 64 * 64
+    ufunc(x[:m].reshape(-1, 64 * len(row)), np.tile(row, 64), out=out[:m].reshape(-1, 64 * len(row)))
+    ufunc(x[m:], row, out=out[m:])
+    return out
 
 
 class TokenNetwork:
@@ -208,56 +226,68 @@ class TokenNetwork:
         # sums over the places around are those of shifted slices, in the order of the text
         inner = len(padded) - 2 * SPAN
         beside = [slice(SPAN + o, SPAN + o + inner) for o in OFFSETS]
-        x = np.repeat(bias, inner, axis=0)
-        for k, near in enumerate(beside):
-            x += scale[k] * e[near]
-        h1 = np.ones((len(at), HIDDEN + 1), x.dtype)  # with a one for the offset of each logit
-        h = np.tanh(np.take(x, at - SPAN, axis=0))
-        h1[:, :-1] = h
+        x = by_rows(np.multiply, e[beside[0]], scale[0])
+        for k, near in enumerate(beside[1:], 1):
+            x += by_rows(np.multiply, e[near], scale[k])
+        x = by_rows(np.add, x, bias[0])
+        h = np.take(x, at - SPAN, axis=0)
+        np.tanh(h, out=h)
+        h1 = np.ones((HIDDEN + 1, len(at)), x.dtype)  # with a one for the offset of each logit
+        h1[:-1] = h.T  # a column for each word: many classes have few tokens, but all have many words
         wb1, wb2 = np.hstack([w1, b1]), np.hstack([w2, b2])
         # h lies within -1 and 1
         bound1, bound2 = np.abs(wb1).sum(axis=1).max(), np.maximum.reduceat(np.abs(wb2).sum(axis=1), vocab.first[:-1])
         every = np.arange(len(at))
-        own = np.searchsorted(vocab.first, tokens, "right") - 1
-        total = -vocab.log_types[tokens]
-        dh = np.empty_like(h)
+        cut = np.searchsorted(tokens, vocab.first)
+        own = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+        alone = (np.diff(vocab.first) == 1)[own]
+        total = np.where(alone, 0, np.einsum("ij,ij->i", h, np.take(w2, tokens, axis=0)) + b2[tokens, 0]) - vocab.log_types[tokens]
+        total += np.einsum("ij,ij->i", h, np.take(w1, own, axis=0)) + b1[own, 0]
+        # for the classes and the words within them: sums of exponentials, the logarithm of the factor they lack, and what of their gradient reaches h
+        sums, level = np.ones((2, len(at)), h.dtype), np.zeros((2, len(at)), h.dtype)
+        ones = np.ones(max(len(wb1), np.diff(vocab.first).max()), h.dtype)
+        if grads is not None:
+            back, g1, g2 = np.zeros((2, HIDDEN, len(at)), h.dtype), np.zeros_like(wb1), np.zeros_like(wb2)
+
+        def softmax(k: int, a: int, b: int, wb: np.ndarray, here: np.ndarray, bound: float, g: np.ndarray | None) -> None:
+            """Words a to b among the rows of wb, of which theirs is `here`; the exponentials stay in the cache."""
+            z = wb @ h1[:, a:b]
+            if bound > 40:  # logits differ by far less than what float32 holds
+                level[k, a:b] = top = z.max()
+                z -= top
+            np.exp(z, out=z)
+            some = np.dot(ones[: len(z)], z, out=sums[k, a:b])
+            np.maximum(some, np.float32(1e-30), out=some)
+            if grads is not None:
+                z.reshape(-1)[here * (b - a) + every[: b - a]] -= some
+                np.matmul(wb[:, :-1].T, z, out=back[k, :, a:b])
+                g -= z @ (h1[:, a:b] / some).T
+
         for a in range(0, len(at), BLOCK_WORDS):
             b = min(a + BLOCK_WORDS, len(at))
-            z = h1[a:b] @ wb1.T
-            rows, here = every[: b - a], own[a:b]
-            total[a:b] += z[rows, here]
-            sums, logs = _exp_sums(z, bound1)
-            total[a:b] -= logs
-            if grads is not None:
-                z[rows, here] -= sums
-                dh[a:b] = (z @ w1) / -sums[:, None]
-                g = z.T @ (h1[a:b] / -sums[:, None])
-                grads[3] += g[:, :-1]
-                grads[4] += g[:, -1:]
-        cut = np.searchsorted(own, np.arange(len(vocab.first)))
+            softmax(0, a, b, wb1, own[a:b], bound1, grads and g1)
         for c in np.flatnonzero((np.diff(cut) > 0) & (np.diff(vocab.first) > 1)).tolist():
-            a, b, lo, hi = cut[c], cut[c + 1], vocab.first[c], vocab.first[c + 1]
-            z = h1[a:b] @ wb2[lo:hi].T
-            rows, here = every[: b - a], tokens[a:b] - lo
-            total[a:b] += z[rows, here]
-            sums, logs = _exp_sums(z, bound2[c])
-            total[a:b] -= logs
-            if grads is not None:
-                z[rows, here] -= sums
-                dh[a:b] += (z @ w2[lo:hi]) / -sums[:, None]
-                g = z.T @ (h1[a:b] / -sums[:, None])
-                grads[5][lo:hi] += g[:, :-1]
-                grads[6][lo:hi] += g[:, -1:]
+            lo, hi = vocab.first[c], vocab.first[c + 1]
+            step = max(BLOCK_WORDS * CLASSES // (hi - lo), BLOCK_WORDS // 16)
+            for a in range(cut[c], cut[c + 1], step):
+                b = min(a + step, cut[c + 1])
+                softmax(1, a, b, wb2[lo:hi], tokens[a:b] - lo, bound2[c], grads and g2[lo:hi])
+        total -= (np.log(sums) + level).sum(axis=0)
         if grads is not None:
+            for k, g in ((3, g1), (5, g2)):
+                grads[k] += g[:, :-1]
+                grads[k + 1] += g[:, -1:]
+            back /= -sums[:, None]
+            dh = back.sum(axis=0)
             np.multiply(h, h, out=h)
             np.subtract(1, h, out=h)
-            dh *= h
+            h *= dh.T
             dx = np.zeros_like(x)
-            dx[at - SPAN] = dh
+            dx[at - SPAN] = h
             de = np.zeros_like(e)
             for k, near in enumerate(beside):
                 grads[1][k] += np.einsum("ij,ij->j", dx, e[near])
-                de[near] += dx * scale[k]
+                de[near] += by_rows(np.multiply, dx, scale[k])
             grads[2] += np.ones(inner, dx.dtype) @ dx
             first = np.flatnonzero(np.diff(tokens, prepend=-1))
             grads[0][tokens[first]] += np.add.reduceat(de[at], first, axis=0)
@@ -273,11 +303,12 @@ def coded(docs: DataFrame, vocab) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in sliced(batches):
             codes, _, _, upto = words(data, at)
-            lists = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(vocab.value.tokens(codes).astype(np.int32)))
-            yield pa.record_batch([column(rows, "share"), lists], ["share", "tokens"])
+            tokens = vocab.value.tokens(codes).astype(vocab.value.kind)
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(upto) - 1, [None, pa.py_buffer((upto * tokens.itemsize).astype(np.int64)), pa.py_buffer(tokens)])
+            yield pa.record_batch([column(rows, "share"), packed.cast(pa.binary())], ["share", "tokens"])
 
     share = F.pmod(F.xxhash64("text"), F.lit(ROUNDS)).cast("int")
-    return stored(docs.where("text is not null").select(share.alias("share"), "text").mapInArrow(run, "share int, tokens array<int>"), "share")
+    return stored(docs.where("text is not null").select(share.alias("share"), "text").mapInArrow(run, "share int, tokens binary"), "share")
 
 
 CHANGES = "part int, block int, n binary, moved binary"
@@ -290,19 +321,26 @@ def trained_share(vocab, params, rate: float = RATE):
         net, before = TokenNetwork.of(params.value), params.value
         seen = [np.full(x.shape, 0.1, np.float32) for x in before]
         uses = [np.zeros(len(x)) for x in before]
+        grads = [np.zeros_like(x) for x in before]
         for batch in batches:
-            lists = column(batch, "tokens")
-            upto = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-            for tokens, at in chunks(lists.flatten().to_numpy().astype(np.int64), upto):
+            data, upto = text_bytes(column(batch, "tokens"))
+            for tokens, at in chunks(np.frombuffer(data, vocab.value.kind).astype(np.int64), upto // vocab.value.kind.itemsize):
                 if not len(tokens):
                     continue
-                grads = [np.zeros_like(x) for x in net.p]
                 net.log_probs(vocab.value, tokens, at, grads)
-                for k, g in enumerate(grads):
-                    g *= np.float32(1 / len(tokens) ** 0.5)
-                    seen[k] += g * g
-                    net.p[k] += np.float32(rate) * g / np.sqrt(seen[k])
-                    uses[k] += (g != 0).any(axis=1)
+                # of the embeddings those of other tokens stay as they are; the others go block by block, which the cache holds
+                embedded = np.append(np.flatnonzero(np.bincount(tokens)), vocab.value.edge)
+                blocks = [(k, slice(lo, lo + BLOCK_ROWS)) for k, g in enumerate(grads[1:], 1) for lo in range(0, len(g), BLOCK_ROWS)]
+                for k, some in [(0, embedded), *blocks]:
+                    g = grads[k][some] * np.float32(1 / len(tokens) ** 0.5)
+                    grads[k][some] = 0
+                    root = g * g
+                    root += seen[k][some]
+                    seen[k][some] = root
+                    uses[k][some] += np.einsum("ij->i", g != 0)
+                    g *= np.float32(rate)
+                    g /= np.sqrt(root, out=root)
+                    net.p[k][some] += g
         out = []
         for k, (new, old) in enumerate(zip(net.p, before, strict=True)):
             for b, lo in enumerate(range(0, len(new), BLOCK_ROWS)):
@@ -393,13 +431,30 @@ def network_scores(docs: DataFrame, vocab: Vocabulary, net: TokenNetwork, memory
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED)
 
 
+def _begins(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before."""
+    out = np.ones(len(sorted_columns[0]), bool)
+    out[1:] = False
+    for x in sorted_columns:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
+def _pair_order(window: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The order by window and then word, words of 32 bits."""
+    order = np.argsort(window)
+    run = np.cumsum(_begins(window[order]), dtype=np.uint64)
+    return order[np.argsort(run << U(32) | word[order])]
+
+
 def prints(rows: pa.Table, n_slices: int, memory_bits: int) -> pa.Table:
     """The leading bits of the windows of one group, each once."""
     found = []
     for _, data, at in sliced(iter(rows.select(["text"]).combine_chunks().to_batches())):
         codes, _, _, upto = words(data, at)
         found.append(remembered_windows(window_codes(codes, upto), memory_bits)[1] >> U(64 - PRINT_BITS))
-    every = np.unique(np.concatenate(found))
+    every = np.sort(np.concatenate(found))  # np.unique would hash these
+    every = every[_begins(every)]
     if not len(every):
         return _entry_table([])
     part = (every * U(n_slices)) >> U(PRINT_BITS)
@@ -437,39 +492,51 @@ def remembered_windows(code: np.ndarray, memory_bits: int) -> tuple[np.ndarray,
     return some, code[some]
 
 
+def group_windows(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of a group of texts, how many each text has, and the hashes of their windows."""
+    codes, n, window = [], [], []
+    for _, data, at in sliced(iter(rows.to_batches())):
+        c, _, _, upto = words(data, at)
+        codes.append(c)
+        n.append(np.diff(upto))
+        window.append(window_codes(c, upto))
+    return np.concatenate(codes), np.concatenate(n), np.concatenate(window)
+
+
+def _by_lead(window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of windows by their leading bits, and these in that order."""
+    rest = U(64 - PRINT_BITS)
+    if len(window) > 1 << int(rest):
+        order = np.argsort(window)
+        return order, window[order] >> rest
+    # the place in the group takes the bits behind, so values are sorted instead of places
+    both = np.sort((window >> rest) << rest | np.arange(len(window), dtype=U))
+    return (both & U((1 << int(rest)) - 1)).astype(np.int64), both >> rest
+
+
 class Remembered:
-    """One group of texts; of its windows that may stand elsewhere each (window, word) once, with its count."""
+    """One group of texts, in whatever order; of its windows that may stand elsewhere each (window, word) once, with its count."""
 
     def __init__(self, rows: pa.Table, bits: np.ndarray, memory_bits: int) -> None:
         self.g = rows["g"][0].as_py()
         self.rows = rows.select(["doc_id", "text"]).combine_chunks()
-        codes, n, window = [], [], []
-        for _, data, at in sliced(iter(self.rows.to_batches())):
-            c, _, _, upto = words(data, at)
-            codes.append(c)
-            n.append(np.diff(upto))
-            window.append(window_codes(c, upto))
-        self.codes, self.n = np.concatenate(codes), np.concatenate(n)
-        some, window = remembered_windows(np.concatenate(window), memory_bits)
+        self.codes, self.n, window = group_windows(self.rows)
+        some, window = remembered_windows(window, memory_bits)
         row = np.repeat(np.arange(len(self.n)), self.n)
         self.size = np.bincount(row[some], minlength=len(self.n))
-        order = np.argsort(window)
-        window, some = window[order], some[order]
-        lead = window >> U(64 - PRINT_BITS)
-        new = np.ones(len(lead), bool)
-        new[1:] = lead[1:] != lead[:-1]
-        first = np.flatnonzero(new)
+        order, lead = _by_lead(window)
+        first = np.flatnonzero(_begins(lead))
         times = np.diff(np.append(first, len(lead)))
-        kept = np.repeat(bits[: len(times)].astype(bool) | (times > 1), times)
-        window, some = window[kept], some[kept]
+        del lead
+        order = order[np.repeat(bits[: len(times)].astype(bool) | (times > 1), times)]
+        window, some = window[order], some[order]
         word = self.codes[some] >> U(32)
-        order = np.lexsort((word, window))
+        order = _pair_order(window, word)
         w, x = window[order], word[order]
         #: the places of the words in the order of the entries, their rows, and the entry of each
         self.place = some[order]
         self.row = row[self.place]
-        new = np.ones(len(order), bool)
-        new[1:] = (w[1:] != w[:-1]) | (x[1:] != x[:-1])
+        new = _begins(w, x)
         first = np.flatnonzero(new)
         self.windows, self.words = w[first], x[first]
         self.counts = np.diff(np.append(first, len(order)))
@@ -482,7 +549,7 @@ class Remembered:
         """The scores of each text, and what the memory changes."""
         each = [np.zeros(0)]
         upto = np.concatenate([[0], np.cumsum(self.n)])
-        for tokens, at in chunks(vocab.tokens(self.codes), upto):
+        for tokens, at in chunks(vocab.tokens(self.codes), upto, SCORED_WORDS):
             each.append(net.log_probs(vocab, tokens, at))
         each = np.concatenate(each)
         total = lambda row, v: np.bincount(row, weights=v, minlength=len(self.n)).astype(np.float64)
@@ -503,11 +570,9 @@ def _own(row: np.ndarray, key: np.ndarray) -> np.ndarray:
     """For each entry how many of its row have its key."""
     if not len(row):
         return row
-    order = np.lexsort((key, row))
-    r, k = row[order], key[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (r[1:] != r[:-1]) | (k[1:] != k[:-1])
-    first = np.flatnonzero(new)
+    both = row.astype(U) << U(32) | key.astype(U)  # numbers of rows and entries of one group
+    order = np.argsort(both)
+    first = np.flatnonzero(_begins(both[order]))
     n = np.diff(np.append(first, len(order)))
     out = np.empty(len(order), np.int64)
     out[order] = np.repeat(n, n)
@@ -525,11 +590,9 @@ def window_totals(entries: pa.Table) -> pa.Table:
     window = np.concatenate([np.cumsum(p[0]) for p in parts])
     word = np.concatenate([p[1] for p in parts])
     n = np.concatenate([(p[2] + p[3][0] - U(2**63)).view(np.int64) for p in parts])
-    order = np.lexsort((word, window))
+    order = _pair_order(window, word)
     w, x = window[order], word[order]
-    new_window, new = np.ones(len(w), bool), np.ones(len(w), bool)
-    new_window[1:] = w[1:] != w[:-1]
-    new[1:] = new_window[1:] | (x[1:] != x[:-1])
+    new_window, new = _begins(w), _begins(w, x)
     out = []
     for begins in (new, new_window):
         first = np.flatnonzero(begins)

@@ -107,6 +107,40 @@ def test_memory_stores_no_windows(spark):
     assert not len(lm_scoring.Remembered(rows, np.zeros(8, np.uint8), 0).windows)
 
 
+def test_classes_are_small_around_a_word():
+    """op5: the softmax within a class goes over fewer tokens a word than with classes of equal counts (there as many as tokens / classes), on any scale."""
+    import numpy as np
+
+    from code_analytics.llm import lm_scoring
+
+    for top in lm_scoring.TOKENS:
+        n, bins = 1e9 / np.arange(1, top + 1), np.full(top // 8, 1e4)
+        vocab, weight = lm_scoring.Vocabulary.of(np.arange(top, dtype=np.uint64) << np.uint64(40), n, bins, bins / 10)
+        own = np.add.reduceat(weight, vocab.first[:-1])
+        assert (own * np.diff(vocab.first)).sum() / own.sum() < 0.7 * vocab.edge / lm_scoring.CLASSES
+        assert len(own) <= lm_scoring.CLASSES and (vocab.tokens(vocab.keys) == vocab.key_token).all()
+
+
+def test_the_order_of_a_group_changes_no_entries(monkeypatch):
+    """op5: a group's texts come in another order each time they are read."""
+    import numpy as np
+    import pyarrow as pa
+
+    from code_analytics.llm import lm_scoring
+
+    texts = ["a b c d e f g h", "a b c x y z", "p q a b c d e f", "g h a b c d"]
+    bits = np.array([1, 0, 0, 1] * 8, np.uint8)
+
+    def entries(order):
+        rows = pa.table({"g": [0] * 4, "doc_id": order, "text": [texts[k] for k in order]})
+        return lm_scoring.Remembered(rows, bits, 0).entries(3)
+
+    want = entries([0, 1, 2, 3])
+    assert want and entries([2, 0, 3, 1]) == want
+    monkeypatch.setattr(lm_scoring, "PRINT_BITS", 63)
+    assert sum(lm_scoring.Remembered(pa.table({"g": [0], "doc_id": [0], "text": [texts[0] + " " + texts[0]]}), bits * 0, 0).counts) == 8
+
+
 def test_siblings_come_from_a_row_for_each_directory(spark):
     """g2: the rows of siblings are not shuffled and numbered again; a large directory joins one row."""
     from code_analytics.operators import graph
