@@ -7,10 +7,12 @@ visits it. How many leaves are visited is calibrated: for a bounded set of queri
 the whole index, the leaves are visited in the order of the queue, and the visits are widened until the wanted share of true
 neighbours lies in visited leaves. Where vectors have no structure that is most of the tree, so recall is kept and time is not.
 
-Leaves below the same node are a bin. Rows are packed into blocks of a bin (many blocks where the bin is large), queries are
-sent to the bins they visit with the leaves they want there, and a task multiplies block by block. Of equal vectors only the
-k + 1 smallest ids are in the index, since no answer needs more, and equal queries are asked once; their answers are joined
-back with the copies of hot queries spread.
+Leaves below the same node are a bin. Leaves, bin by bin, are packed into parts of about as many rows each (many parts where
+a leaf is large). Up to CHUNK_QUERIES queries meet a part in a cell: a task that holds these queries with the leaves they want
+there and reads the part's rows leaf by leaf, keeping the nearest. Queries and rows are dealt to cells by one shuffle and are
+never broadcast: a query comes once for each part it visits, which is many times what a plan expects from the table of queries.
+Of equal vectors only the k + 1 smallest ids are in the index, since no answer needs more, and equal queries are asked once;
+their answers are joined back with the copies of hot queries spread.
 
 Distances are Euclidean in double precision on the original vectors, from differences; products only choose candidates, with
 room for their rounding.
@@ -47,6 +49,12 @@ CALIBRATED = 200
 RECALL = 0.96
 BLOCK_ROWS = 2_048
 BLOCK_QUERIES = 1_024
+#: parts that the rows are dealt out to: so many, of no fewer and no more rows than this
+PARTS = 64
+LEAST_PART, MOST_PART = 1_024, 262_144
+#: queries a task holds at once, and those for which it looks into the tree at once and at least
+CHUNK_QUERIES = 65_536
+TREE_QUERIES, LEAST_ASKED = 256, 64
 
 
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -95,6 +103,7 @@ class Tree:
         self.leaves = [n for n in range(len(centroids)) if n not in self.children]
         self.leaf_of = {n: i for i, n in enumerate(self.leaves)}
         above = {c: n for n, cs in self.children.items() for c in cs} or {0: 0}
+        self.parents = np.array([above.get(n, 0) for n in range(len(centroids))])
         bin_of = {n: i for i, n in enumerate(sorted({above[n] for n in self.leaves}))}
         self.n_bins, slots = len(bin_of), {}
         self.bin = np.array([bin_of[above[n]] for n in self.leaves])
@@ -133,6 +142,40 @@ class Tree:
                         heapq.heappush(queue, (d[kid], kid))
             yield found
 
+    def visited(self, x: np.ndarray, n_leaves: int) -> np.ndarray:
+        """(rows, leaves): whether a leaf is among the first n_leaves of a row.
+
+        The queue takes nodes by the farthest node on their way, and below that one by the farthest of the rest.
+        """
+        far = _squares(x, self.centroids)
+        far[:, 0] = 0  # the root comes first
+        n_leaves = min(n_leaves, len(self.leaves))
+        most = far.copy()
+        for node, kids in self.children.items():  # parents come before their children
+            most[:, kids] = np.maximum(far[:, kids], most[:, [node]])
+        most = most[:, self.leaves]
+        edge = np.partition(most, n_leaves - 1, axis=1)[:, [n_leaves - 1]]
+        out = most < edge
+        for i, missing in enumerate((n_leaves - out.sum(axis=1)).tolist()):
+            level = np.flatnonzero(most[i] == edge[i])
+            if len(level) > missing:
+                level = level[np.lexsort(self._ways(far[i], level))[:missing]]
+            out[i, level] = True
+        return out
+
+    def _ways(self, far: np.ndarray, leaves: np.ndarray) -> list[np.ndarray]:
+        """For each leaf, its number and the farthest node from each level of its way on; the root comes last."""
+        steps = [np.array(self.leaves)[leaves]]
+        while steps[-1].any():
+            steps.append(self.parents[steps[-1]])
+        depth = np.sum([s > 0 for s in steps], axis=0)
+        ways = np.full((len(steps), len(leaves)), -1.0)
+        for up, nodes in enumerate(steps):
+            level = depth - up
+            there = np.flatnonzero(level >= 0)
+            ways[level[there], there] = far[nodes[there]]
+        return [leaves, *np.maximum.accumulate(ways[::-1], axis=0)]
+
 
 def widened(leaf_ranks: np.ndarray, n_leaves: int, recall: float = RECALL) -> int:
     """The fewest visits, doubled and then cut back, by which `recall` of the true neighbours are met; leaf_ranks says at which visit (from 0) each is."""
@@ -162,10 +205,15 @@ def usable(vectors: DataFrame, n: int) -> DataFrame:
     return rows.select("vec_id", "v", F.xxhash64("v").alias("d1"), F.xxhash64("v", F.lit(1)).alias("d2"))
 
 
-def vectors_of(raw: bytes, count: int, n: int) -> np.ndarray:
+def held_vectors(raw: bytes, count: int, n: int) -> np.ndarray:
+    """The rows in the precision in which they are held."""
     if not count:
         return np.zeros((0, n))
-    return np.frombuffer(raw, "<f8" if len(raw) == 8 * count * n else "<f4").reshape(count, n).astype(np.float64)
+    return np.frombuffer(raw, "<f8" if len(raw) == 8 * count * n else "<f4").reshape(count, n)
+
+
+def vectors_of(raw: bytes, count: int, n: int) -> np.ndarray:
+    return held_vectors(raw, count, n).astype(np.float64)
 
 
 def distances(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray, step: int = 16_384) -> np.ndarray:
@@ -218,7 +266,6 @@ def first_of_each(q: np.ndarray, k: int, *order: np.ndarray) -> np.ndarray:
 
 def calibrated(index: DataFrame, tree: Tree, some: np.ndarray, n: int, k: int, recall: float) -> int:
     """Visits by which `recall` of the k nearest classes of some queries, themselves left out, are met; one scan of the index."""
-    leaf_at = {(b, s): i for i, (b, s) in enumerate(zip(tree.bin.tolist(), tree.slot.tolist(), strict=True))}
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
@@ -226,14 +273,14 @@ def calibrated(index: DataFrame, tree: Tree, some: np.ndarray, n: int, k: int, r
             for lo in range(0, whole.num_rows, BLOCK_ROWS):
                 b = whole.slice(lo, BLOCK_ROWS)
                 raw = column(b, "v").to_pylist()
-                leaf = np.array([leaf_at[x] for x in zip(column(b, "bin").to_pylist(), column(b, "slot").to_pylist(), strict=True)])
+                leaf = column(b, "leaf").to_numpy().astype(np.int64)
                 q, r, d = nearest(some, vectors_of(b"".join(raw), len(raw), n), k + 1)
                 q, leaf, d = (np.concatenate(p) for p in zip(kept, (q, leaf[r], d), strict=True))
                 top = first_of_each(q, k + 1, d)
                 kept = q[top], leaf[top], d[top]
         yield pa.record_batch([pa.array(a) for a in kept], ["q", "leaf", "d"])
 
-    near = index.select("v", "bin", "slot").mapInArrow(scan, "q long, leaf long, d double")
+    near = index.select("v", "leaf").mapInArrow(scan, "q long, leaf long, d double")
     found = least(near, k + 1, ("q",), "d", "leaf").where("d > 0").select("q", "leaf").collect()  # k rows a calibrated query
     wanted: dict[int, list[int]] = {}
     for r in found:
@@ -245,60 +292,174 @@ def calibrated(index: DataFrame, tree: Tree, some: np.ndarray, n: int, k: int, r
     return widened(np.array(ranks), len(tree.leaves), recall) if ranks else 1
 
 
-def blocks(index: DataFrame, n_blocks: np.ndarray) -> DataFrame:
-    """(bin, block, rows): the rows of a bin in blocks of about BLOCK_ROWS."""
-    spark = index.sparkSession
-    sizes = spark.createDataFrame([(i, int(b)) for i, b in enumerate(n_blocks)], "bin int, n_blocks int")
-    rows = index.join(F.broadcast(sizes), "bin").withColumn("block", F.pmod("d2", F.col("n_blocks")).cast("int"))
-    return rows.groupBy("bin", "block").agg(F.collect_list(F.struct("slot", "v", "ids")).alias("rows"))
-
-
-def asked(queries: DataFrame, tree: Tree, n_blocks: np.ndarray, visits: int, n: int) -> DataFrame:
-    """(bin, block, q1, q2, wanted, vs): the queries that visit leaves of a bin, in blocks, for each block of its rows; wanted has a bit for each leaf."""
+class Parts:
+    """The leaves, bin by bin, in parts of about as many rows: the first part of each leaf and how many it has to itself; the places of leaves, and those of a part."""
+
+    def __init__(self, tree: Tree, sizes: np.ndarray):
+        total = int(sizes.sum())
+        wanted = max(min(PARTS, -(-total // LEAST_PART)), -(-total // MOST_PART), 1)
+        most = max(1, -(-total // wanted))
+        order = np.lexsort((tree.slot, tree.bin))
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+        self.first, self.count = np.zeros(len(order), np.int64), np.ones(len(order), np.int64)
+        part, held = 0, 0
+        for leaf in order.tolist():
+            size = int(sizes[leaf])
+            if held and held + size > most:
+                part, held = part + 1, 0
+            self.first[leaf] = part
+            if size > most:
+                self.count[leaf] = -(-size // most)
+                part += int(self.count[leaf])
+            else:
+                held += size
+        self.n = int((self.first + self.count).max())
+        self.low, self.high = np.full(self.n, len(order)), np.zeros(self.n, np.int64)
+        for leaf in order.tolist():
+            own = slice(self.first[leaf], self.first[leaf] + self.count[leaf])
+            self.low[own] = np.minimum(self.low[own], self.place[leaf])
+            self.high[own] = np.maximum(self.high[own], self.place[leaf] + 1)
+
+
+#: a query (place -1) with a bit for each leaf of the part that it wants, or a row with its ids; cell is chunk * parts + part
+CELLS = "cell int, place int, d1 long, d2 long, v binary, wanted binary, ids array<long>"
+
+
+def asked(queries: DataFrame, tree: Tree, parts: Parts, n_chunks: int, visits: int, n: int) -> DataFrame:
+    """As CELLS: each query for each part where it visits a leaf."""
+    order = np.argsort(parts.place)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, BLOCK_QUERIES):
-                part = b.slice(lo, BLOCK_QUERIES)
-                raw = part.column(2).to_pylist()
-                wants: dict[int, dict[int, int]] = {}
-                for i, leaves in enumerate(tree.best_bins_first(vectors_of(b"".join(raw), len(raw), n), visits)):
-                    for leaf in leaves:
-                        of_bin = wants.setdefault(int(tree.bin[leaf]), {})
-                        of_bin[i] = of_bin.get(i, 0) | 1 << int(tree.slot[leaf])
-                ids = [part.column(c).to_pylist() for c in (0, 1)]
-                out = [(a, blk, [ids[0][i] for i in m], [ids[1][i] for i in m], list(m.values()), b"".join(raw[i] for i in m)) for a, m in wants.items() for blk in range(int(n_blocks[a]))]
-                kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-                if out:
-                    yield pa.record_batch([pa.array(list(x), t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["bin", "block", "q1", "q2", "wanted", "vs"])
-
-    return queries.select("d1", "d2", "v").mapInArrow(run, "bin int, block int, q1 array<long>, q2 array<long>, wanted array<long>, vs binary")
-
-
-def compared(pairs: DataFrame, n: int, k: int) -> DataFrame:
-    """(d1, d2, ids, score): of each pair of blocks the k nearest classes of each query, among the leaves it visits."""
+            for lo in range(0, b.num_rows, TREE_QUERIES):
+                some = b.slice(lo, TREE_QUERIES)
+                d1, d2, v = (column(some, c) for c in ("d1", "d2", "v"))
+                visited = tree.visited(vectors_of(b"".join(v.to_pylist()), some.num_rows, n), visits)[:, order]
+                chunk = d2.to_numpy() % n_chunks
+                for part in range(parts.n):
+                    wanted = visited[:, parts.low[part] : parts.high[part]]
+                    there = np.flatnonzero(wanted.any(axis=1))
+                    if len(there):
+                        at, bits = pa.array(there), np.packbits(wanted[there], axis=1)
+                        yield pa.record_batch(
+                            [pa.array((chunk[there] * parts.n + part).astype(np.int32)), pa.array(np.full(len(there), -1, np.int32)), d1.take(at), d2.take(at), v.take(at), pa.array([w.tobytes() for w in bits], pa.binary()), pa.nulls(len(there), pa.list_(pa.int64()))],
+                            ["cell", "place", "d1", "d2", "v", "wanted", "ids"],
+                        )
+
+    return queries.select("d1", "d2", "v").mapInArrow(run, CELLS)
+
+
+def dealt(index: DataFrame, parts: Parts, n_chunks: int) -> DataFrame:
+    """As CELLS: each row in its part, once for each chunk of the queries."""
+    spark = index.sparkSession
+    leaves = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(zip(parts.place, parts.first, parts.count, strict=True))], "leaf int, place int, first int, count int")
+    part = F.col("first") + F.pmod("d2", F.col("count")).cast("int")
+    rows = index.join(F.broadcast(leaves), "leaf").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))))
+    none = F.lit(None)
+    return rows.select((F.col("chunk") * parts.n + part).alias("cell"), "place", none.cast("long").alias("d1"), none.cast("long").alias("d2"), "v", none.cast("binary").alias("wanted"), "ids")
+
+
+class Cell:
+    """The queries of a cell and the k nearest classes of each among the rows read so far."""
+
+    def __init__(self, low: int, n_leaves: int, n: int, k: int):
+        self.low, self.n_leaves, self.n, self.k = low, n_leaves, n, k
+        self.asking: list[tuple[np.ndarray, np.ndarray, bytes, bytes]] = []
+        self.x: np.ndarray | None = None
+        self.sizes, self.ids, self.least, self.n_rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        self.found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        self.n_found = 0
+
+    def ask(self, b: pa.RecordBatch) -> None:
+        self.asking.append((column(b, "d1").to_numpy(), column(b, "d2").to_numpy(), b"".join(column(b, "v").to_pylist()), b"".join(column(b, "wanted").to_pylist())))
+
+    def _begin(self) -> None:
+        self.d1, self.d2 = (np.concatenate([a[c] for a in self.asking]) for c in (0, 1))
+        count = len(self.d1)
+        self.x = held_vectors(b"".join(a[2] for a in self.asking), count, self.n)
+        bits = np.frombuffer(b"".join(a[3] for a in self.asking), np.uint8).reshape(count, -1)
+        self.wanted = np.unpackbits(bits, axis=1, count=self.n_leaves).astype(bool).T.copy()
+        self.near = np.full(count, np.inf)  # the k-th distance so far
+        self.asking = []
+
+    def read(self, b: pa.RecordBatch) -> None:
+        """Rows in the order of their leaves; without queries they are passed over."""
+        if self.x is None and not self.asking:
+            return
+        if self.x is None:
+            self._begin()
+        ids, place = column(b, "ids"), column(b, "place").to_numpy()
+        y = vectors_of(b"".join(column(b, "v").to_pylist()), b.num_rows, self.n)
+        sizes, flat = ids.value_lengths().to_numpy().astype(np.int64), np.array(ids.flatten())
+        self.sizes.append(sizes)
+        self.ids.append(flat)
+        self.least.append(flat[np.cumsum(sizes) - sizes])
+        edges = [0, *(np.flatnonzero(place[1:] != place[:-1]) + 1).tolist(), len(place)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            mine = np.flatnonzero(self.wanted[place[lo] - self.low])
+            for q in range(0, len(mine), BLOCK_QUERIES):
+                for r in range(lo, hi, BLOCK_ROWS):
+                    self._meet(mine[q : q + BLOCK_QUERIES], y[r : min(hi, r + BLOCK_ROWS)], self.n_rows + r)
+        self.n_rows += b.num_rows
+
+    def _meet(self, mine: np.ndarray, y: np.ndarray, at: int) -> None:
+        x, edge = self.x[mine].astype(np.float64), self.near[mine] ** 2
+        d = _squares(x, y)
+        if len(y) > self.k and np.isinf(edge).any():
+            edge = np.minimum(edge, np.partition(d, self.k - 1, axis=1)[:, self.k - 1])
+        # products round; what they call a little farther than the k-th may be as near
+        room = 1e-9 * ((x * x).sum(axis=1) + (y * y).sum(axis=1).max())
+        q, r = np.nonzero(d <= (edge + room)[:, None])
+        self.found.append((mine[q], at + r, distances(x, q, y, r)))
+        self.n_found += len(q)
+        if self.n_found > 2 * self.k * len(self.near) + BLOCK_ROWS:
+            self._keep()
+
+    def _keep(self) -> None:
+        q, r, d = (np.concatenate(z) for z in zip(*self.found, strict=True))
+        self.least = [np.concatenate(self.least)]
+        top = first_of_each(q, self.k, self.least[0][r], d)
+        q, r, d = q[top], r[top], d[top]
+        self.found, self.n_found = [(q, r, d)], len(q)
+        last = np.arange(len(q)) - np.searchsorted(q, q) == self.k - 1
+        self.near[q[last]] = d[last]
+
+    def answers(self) -> Iterator[pa.RecordBatch]:
+        if self.x is None:
+            return
+        self._keep()
+        sizes, ids = np.concatenate(self.sizes), np.concatenate(self.ids)
+        at = np.append(0, np.cumsum(sizes))
+        for lo in range(0, self.n_found, CHUNK_QUERIES):
+            q, r, d = (z[lo : lo + CHUNK_QUERIES] for z in self.found[0])
+            stops = np.append(0, np.cumsum(sizes[r]))
+            own = np.repeat(at[r] - stops[:-1], sizes[r]) + np.arange(stops[-1])
+            of_row = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(ids[own]))
+            yield pa.record_batch([pa.array(self.d1[q]), pa.array(self.d2[q]), of_row, pa.array(d)], ["d1", "d2", "ids", "score"])
+
+
+def compared(cells: DataFrame, parts: Parts, n: int, k: int) -> DataFrame:
+    """(d1, d2, ids, score): of each cell the k nearest classes of each query, among the leaves it visits. Cells come sorted by cell and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cell = -1, None
         for b in batches:
-            for i in range(b.num_rows):
-                rows, q1, q2, wanted, vs = (b.column(c)[i].as_py() for c in ("rows", "q1", "q2", "wanted", "vs"))
-                x = vectors_of(b"".join(r["v"] for r in rows), len(rows), n)
-                slot, q, bits = np.array([r["slot"] for r in rows]), vectors_of(vs, len(q1), n), np.array(wanted)
-                found = []
-                for s in np.unique(slot):
-                    mine, here = np.flatnonzero(bits >> s & 1), np.flatnonzero(slot == s)
-                    a, r, d = nearest(q[mine], x[here], k)
-                    found.append((mine[a], here[r], d))
-                a, r, d = (np.concatenate(z) for z in zip(*found, strict=True))
-                first = np.array([row["ids"][0] for row in rows])
-                top = first_of_each(a, k, first[r], d)
-                a, r, d = a[top], r[top], d[top]
-                yield pa.record_batch(
-                    [pa.array(np.array(q1, np.int64)[a]), pa.array(np.array(q2, np.int64)[a]), pa.array([rows[j]["ids"] for j in r.tolist()], pa.list_(pa.int64())), pa.array(d)],
-                    ["d1", "d2", "ids", "score"],
-                )
-
-    return pairs.select("rows", "q1", "q2", "wanted", "vs").mapInArrow(run, "d1 long, d2 long, ids array<long>, score double")
+            of, place = (column(b, c).to_numpy() for c in ("cell", "place"))
+            kind = place < 0
+            edges = [0, *(np.flatnonzero((of[1:] != of[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if hi > lo and of[lo] != now:
+                    if cell:
+                        yield from cell.answers()
+                    now, part = of[lo], of[lo] % parts.n
+                    cell = Cell(parts.low[part], parts.high[part] - parts.low[part], n, k)
+                if hi > lo:
+                    (cell.ask if kind[lo] else cell.read)(b.slice(lo, hi - lo))
+        if cell:
+            yield from cell.answers()
+
+    return cells.mapInArrow(run, "d1 long, d2 long, ids array<long>, score double")
 
 
 def neighbours(vectors: DataFrame, is_query: Column, k: int = K, recall: float = RECALL, sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -319,18 +480,22 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = K, recall: float =
         for b in batches:
             raw = column(b, "v").to_pylist()
             leaf = tree.leaf(vectors_of(b"".join(raw), len(raw), n))
-            yield pa.record_batch([column(b, "d2"), column(b, "v"), column(b, "ids"), pa.array(tree.bin[leaf].astype(np.int32)), pa.array(tree.slot[leaf].astype(np.int32))], ["d2", "v", "ids", "bin", "slot"])
+            yield pa.record_batch([column(b, "d2"), column(b, "v"), column(b, "ids"), pa.array(leaf.astype(np.int32))], ["d2", "v", "ids", "leaf"])
 
     # k + 1 ids of equal vectors: one of them may be the query itself
-    index = stored(classes(rows, k + 1).select("d2", "v", "ids").mapInArrow(descend, "d2 long, v binary, ids array<long>, bin int, slot int"))
+    index = stored(classes(rows, k + 1).select("d2", "v", "ids").mapInArrow(descend, "d2 long, v binary, ids array<long>, leaf int"))
     visits = calibrated(index, tree, sampled(queries, n_queries, CALIBRATED, n), n, k, recall)
-    sizes = np.zeros(tree.n_bins, np.int64)
-    for r in index.groupBy("bin").count().collect():  # fewer than the sample has rows
-        sizes[r["bin"]] = r["count"]
-    n_blocks = np.maximum(-(-sizes // BLOCK_ROWS), 1)
+    sizes = np.zeros(len(tree.leaves), np.int64)
+    for r in index.groupBy("leaf").count().collect():  # fewer than the sample has rows
+        sizes[r["leaf"]] = r["count"]
     questions = stored(queries.groupBy("d1", "d2").agg(F.first("v").alias("v"), F.count("*").alias("copies")))
-    pairs = asked(questions, tree, n_blocks, visits, n).join(blocks(index, n_blocks), ["bin", "block"])
-    each = compared(pairs, n, k + 1).withColumn("least_id", F.get("ids", F.lit(0)))
+    n_questions = questions.count()
+    parts, n_chunks = Parts(tree, sizes), -(-n_questions // CHUNK_QUERIES)
+    # a small table is one partition, in which one task would look into the tree for all queries
+    spread = questions.repartition(min(PARTS, -(-n_questions // LEAST_ASKED)), "d1", "d2")
+    both = asked(spread, tree, parts, n_chunks, visits, n).unionByName(dealt(index, parts, n_chunks))
+    cells = both.repartitionById(n_chunks * parts.n, "cell").sortWithinPartitions("cell", "place")
+    each = compared(cells, parts, n, k + 1).withColumn("least_id", F.get("ids", F.lit(0)))
     # the k + 1 nearest classes hold the k nearest rows, whoever asks
     best = least(each, k + 1, ("d1", "d2"), "score", "least_id").groupBy("d1", "d2").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
     found = F.flatten(F.transform("found", lambda c: F.transform(c["ids"], lambda i: F.struct(c["score"].alias("score"), i.alias("vec_id")))))

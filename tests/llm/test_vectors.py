@@ -153,6 +153,56 @@ def test_visits():
     assert len({(b, s) for b, s in zip(tree.bin.tolist(), tree.slot.tolist(), strict=True)}) == len(tree.leaves) and tree.slot.max() < vector_search.BRANCH
 
 
+def test_queries_are_not_broadcast(spark, monkeypatch):
+    """A query stands once for each part it visits; a plan expects the bytes of the small table of queries and would broadcast these."""
+    plans, plain = [], vector_search.compared
+    monkeypatch.setattr(vector_search, "compared", lambda pairs, *a: plans.append(pairs._jdf.queryExecution().executedPlan().toString()) or plain(pairs, *a))
+    df = spark.createDataFrame(_clustered(300, 0), "vec_id long, embedding array<float>")
+    assert vector_search.neighbours(df, F.col("vec_id") % 10 == 0, leaf_rows=20).count() == 300
+    (plan,) = plans
+    assert plan.count("BroadcastExchange") == 1  # of the leaves' parts
+    below = plan[plan.index("BroadcastExchange") :]
+    assert "MapInArrow" not in below
+
+
+@pytest.mark.parametrize("n_chunks", [1, 4])
+def test_neighbours_over_many_cells(spark, monkeypatch, n_chunks):
+    """Leaves of several parts, parts of several leaves, and several chunks of queries."""
+    monkeypatch.setattr(vector_search, "PARTS", 13)
+    monkeypatch.setattr(vector_search, "LEAST_PART", 10)
+    rows = _clustered(300, 150) + [(20, [2.0] * 8), (20, [2.0] * 8)]
+    n_queries = sum(i % 10 == 0 for i, _ in rows)
+    monkeypatch.setattr(vector_search, "CHUNK_QUERIES", -(-n_queries // n_chunks))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = vector_search.neighbours(df, F.col("vec_id") % 10 == 0, recall=1.1, leaf_rows=40)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == _nearest(rows, 10, 10)
+
+
+def test_visited_leaves_are_those_of_the_queue():
+    rng = np.random.default_rng(4)
+    for rows, n_rows in ((1, 10), (300, 3_000), (2_000, 100_000)):
+        sample = rng.normal(size=(rows, 6))
+        tree = vector_search.Tree(sample, n_rows)
+        x = np.concatenate([rng.normal(size=(15, 6)), sample[:3]])
+        for n in {1, len(tree.leaves) // 3 or 1, len(tree.leaves)}:
+            assert [set(np.flatnonzero(v)) for v in tree.visited(x, n)] == [set(o) for o in tree.best_bins_first(x, n)]
+
+
+def test_parts_hold_about_as_many_rows(monkeypatch):
+    monkeypatch.setattr(vector_search, "LEAST_PART", 10)
+    tree = vector_search.Tree(np.random.default_rng(5).normal(size=(500, 4)), 5_000, 100)
+    for sizes in (np.zeros(len(tree.leaves), np.int64), np.arange(len(tree.leaves)) ** 3, np.full(len(tree.leaves), 7)):
+        sizes[3:5] = [0, 2_000]
+        parts, most = vector_search.Parts(tree, sizes), -(-sizes.sum() // 64)
+        held = np.zeros(parts.n)
+        for leaf, size in enumerate(sizes.tolist()):
+            held[parts.first[leaf] : parts.first[leaf] + parts.count[leaf]] += size / parts.count[leaf]
+            for part in range(parts.first[leaf], parts.first[leaf] + parts.count[leaf]):
+                assert parts.low[part] <= parts.place[leaf] < parts.high[part]
+        assert held.sum() == pytest.approx(sizes.sum()) and held.max() <= most and parts.n <= 2 * 64 + 1
+        assert (parts.high - parts.low).sum() <= len(tree.leaves) + parts.count.sum()
+
+
 # resampling
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
